@@ -3,16 +3,22 @@
 from __future__ import annotations
 
 from panelwright.llm.common import small_batches, table
+from panelwright.llm.ngram_join import near_duplicate_classes
 from panelwright.llm.substring_dedup import without_repeats
 
 
+def op7_ngram_jaccard_join(spark, sf_dir):
+    small_batches(spark)
+    return near_duplicate_classes(table(spark, sf_dir, "documents")).drop("r", "component")
+
+
 def op10_substring_dedup(spark, sf_dir):
     small_batches(spark)
     return without_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
 
 
 def queries():
-    return {"op10_substring_dedup": op10_substring_dedup}
+    return {"op7_ngram_jaccard_join": op7_ngram_jaccard_join, "op10_substring_dedup": op10_substring_dedup}
 
 
 def oracle_sql():
