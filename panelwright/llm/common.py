@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelwright.sources.session import ship_package
+
 #: Bytes that stand in words of `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` after lower-casing A-Z: digits, a-z and all of UTF-8 above ASCII.
 _WORD_TABLE = bytes((b + 32 if 65 <= b <= 90 else b) if (48 <= b <= 57 or 97 <= b <= 122 or 65 <= b <= 90 or b >= 128) else 32 for b in range(256))
 #: Odd multiplier of all rolling hashes here.
@@ -38,8 +40,9 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of at most so many rows, since one row can hold a whole book."""
+def prepare(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of at most so many rows, since one row can hold a whole book; and workers that know this package."""
+    ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 

@@ -2,24 +2,35 @@
 
 from __future__ import annotations
 
-from panelwright.llm.common import small_batches, table
+from panelwright.llm import oracles
+from panelwright.llm.common import prepare, table
+from panelwright.llm.decontaminate import contamination
 from panelwright.llm.ngram_join import near_duplicate_classes
 from panelwright.llm.substring_dedup import without_repeats
 
 
+def op4_benchmark_decontamination(spark, sf_dir):
+    prepare(spark)
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("r")
+
+
 def op7_ngram_jaccard_join(spark, sf_dir):
-    small_batches(spark)
+    prepare(spark)
     return near_duplicate_classes(table(spark, sf_dir, "documents")).drop("r", "component")
 
 
 def op10_substring_dedup(spark, sf_dir):
-    small_batches(spark)
+    prepare(spark)
     return without_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
 
 
 def queries():
-    return {"op7_ngram_jaccard_join": op7_ngram_jaccard_join, "op10_substring_dedup": op10_substring_dedup}
+    return {
+        "op4_benchmark_decontamination": op4_benchmark_decontamination,
+        "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
+        "op10_substring_dedup": op10_substring_dedup,
+    }
 
 
 def oracle_sql():
-    return {}
+    return {"op4_benchmark_decontamination": oracles.DECONTAMINATION}
