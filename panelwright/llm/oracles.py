@@ -16,3 +16,27 @@ named AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS i
 SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM docs d LEFT JOIN words USING (doc_id) LEFT JOIN named USING (doc_id)
 """
+
+LINE_DEDUP = """
+WITH parts AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS raw, unnest(range(len(string_split(text, chr(10))))) AS no FROM documents),
+lines AS (SELECT doc_id, no, raw, trim(raw, ' ') AS line FROM parts),
+firsts AS (SELECT line, min({'doc_id': doc_id, 'no': no}) AS pos, length(line) AS n FROM lines WHERE line <> '' GROUP BY line),
+fit AS (SELECT *, unnest([n, n + 1]) AS t FROM firsts WHERE n >= 16),
+keys AS (
+  SELECT line, pos, t, 'l' AS side, substr(line, 1, t // 2) AS k FROM fit
+  UNION ALL SELECT line, pos, t, 'r', right(line, t - t // 2) FROM fit
+),
+near AS (
+  SELECT DISTINCT y.line FROM keys x JOIN keys y ON x.t = y.t AND x.side = y.side AND x.k = y.k AND x.pos < y.pos
+  WHERE abs(length(x.line) - length(y.line)) <= 1 AND levenshtein(x.line, y.line) = 1
+),
+judged AS (
+  SELECT l.doc_id, l.no, l.raw, l.line <> '' AS solid, l.line = '' OR (f.pos = {'doc_id': l.doc_id, 'no': l.no} AND n.line IS NULL) AS stays
+  FROM lines l LEFT JOIN firsts f ON l.line = f.line LEFT JOIN near n ON l.line = n.line
+)
+SELECT d.doc_id, any_value(CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(j.kept, '') END) AS text, any_value(j.n_lines) AS n_lines, any_value(j.n_removed) AS n_removed
+FROM documents d LEFT JOIN (
+  SELECT doc_id, string_agg(raw, chr(10) ORDER BY no) FILTER (WHERE stays) AS kept, count(*) FILTER (WHERE solid) AS n_lines, count(*) FILTER (WHERE NOT stays) AS n_removed
+  FROM judged GROUP BY doc_id
+) j USING (doc_id) GROUP BY d.doc_id
+"""

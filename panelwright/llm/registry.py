@@ -5,10 +5,16 @@ from __future__ import annotations
 from panelwright.llm import oracles
 from panelwright.llm.common import prepare, table
 from panelwright.llm.decontaminate import contamination
+from panelwright.llm.line_dedup import deduplicated
 from panelwright.llm.ngram_join import near_duplicate_classes
 from panelwright.llm.substring_dedup import without_repeats
 
 
+def op2_line_dedup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return deduplicated(docs)
+
+
 def op4_benchmark_decontamination(spark, sf_dir):
     prepare(spark)
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("r")
@@ -26,6 +32,7 @@ def op10_substring_dedup(spark, sf_dir):
 
 def queries():
     return {
+        "op2_line_dedup": op2_line_dedup,
         "op4_benchmark_decontamination": op4_benchmark_decontamination,
         "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
         "op10_substring_dedup": op10_substring_dedup,
@@ -33,4 +40,7 @@ def queries():
 
 
 def oracle_sql():
-    return {"op4_benchmark_decontamination": oracles.DECONTAMINATION}
+    return {
+        "op2_line_dedup": oracles.LINE_DEDUP,
+        "op4_benchmark_decontamination": oracles.DECONTAMINATION,
+    }
