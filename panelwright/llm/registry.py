@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import public_tokenizers
+
 from panelwright.llm import oracles
 from panelwright.llm.common import prepare, table
 from panelwright.llm.decontaminate import contamination
 from panelwright.llm.line_dedup import deduplicated
 from panelwright.llm.ngram_join import near_duplicate_classes
+from panelwright.llm.packing import packed
 from panelwright.llm.substring_dedup import without_repeats
 
 
@@ -25,6 +28,11 @@ def op7_ngram_jaccard_join(spark, sf_dir):
     return near_duplicate_classes(table(spark, sf_dir, "documents")).drop("r", "component")
 
 
+def op9_best_fit_packing(spark, sf_dir):
+    prepare(spark)
+    return packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op10_substring_dedup(spark, sf_dir):
     prepare(spark)
     return without_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
@@ -35,6 +43,7 @@ def queries():
         "op2_line_dedup": op2_line_dedup,
         "op4_benchmark_decontamination": op4_benchmark_decontamination,
         "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
+        "op9_best_fit_packing": op9_best_fit_packing,
         "op10_substring_dedup": op10_substring_dedup,
     }
 
