@@ -7,12 +7,18 @@ import public_tokenizers
 from panelwright.llm import oracles
 from panelwright.llm.common import prepare, table
 from panelwright.llm.decontaminate import contamination
+from panelwright.llm.fingerprints import fingerprinted
 from panelwright.llm.line_dedup import deduplicated
 from panelwright.llm.ngram_join import near_duplicate_classes
 from panelwright.llm.packing import packed
 from panelwright.llm.substring_dedup import without_repeats
 
 
+def op1_document_fingerprints(spark, sf_dir):
+    prepare(spark)
+    return fingerprinted(table(spark, sf_dir, "documents"))
+
+
 def op2_line_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return deduplicated(docs)
@@ -40,6 +46,7 @@ def op10_substring_dedup(spark, sf_dir):
 
 def queries():
     return {
+        "op1_document_fingerprints": op1_document_fingerprints,
         "op2_line_dedup": op2_line_dedup,
         "op4_benchmark_decontamination": op4_benchmark_decontamination,
         "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
