@@ -8,6 +8,7 @@ from panelwright.llm import oracles
 from panelwright.llm.common import prepare, table
 from panelwright.llm.decontaminate import contamination
 from panelwright.llm.fingerprints import fingerprinted
+from panelwright.llm.language_id import language_predictions
 from panelwright.llm.line_dedup import deduplicated
 from panelwright.llm.ngram_join import near_duplicate_classes
 from panelwright.llm.packing import packed
@@ -29,6 +30,11 @@ def op4_benchmark_decontamination(spark, sf_dir):
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("r")
 
 
+def op6_language_id(spark, sf_dir):
+    prepare(spark)
+    return language_predictions(table(spark, sf_dir, "documents"))
+
+
 def op7_ngram_jaccard_join(spark, sf_dir):
     prepare(spark)
     return near_duplicate_classes(table(spark, sf_dir, "documents")).drop("r", "component")
@@ -49,6 +55,7 @@ def queries():
         "op1_document_fingerprints": op1_document_fingerprints,
         "op2_line_dedup": op2_line_dedup,
         "op4_benchmark_decontamination": op4_benchmark_decontamination,
+        "op6_language_id": op6_language_id,
         "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_substring_dedup": op10_substring_dedup,
