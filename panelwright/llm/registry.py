@@ -13,6 +13,7 @@ from panelwright.llm.line_dedup import deduplicated
 from panelwright.llm.ngram_join import near_duplicate_classes
 from panelwright.llm.packing import packed
 from panelwright.llm.substring_dedup import without_repeats
+from panelwright.llm.toxicity import toxicity_scores
 
 
 def op1_document_fingerprints(spark, sf_dir):
@@ -30,6 +31,11 @@ def op4_benchmark_decontamination(spark, sf_dir):
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("r")
 
 
+def op5_toxicity(spark, sf_dir):
+    prepare(spark)
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_language_id(spark, sf_dir):
     prepare(spark)
     return language_predictions(table(spark, sf_dir, "documents"))
@@ -55,6 +61,7 @@ def queries():
         "op1_document_fingerprints": op1_document_fingerprints,
         "op2_line_dedup": op2_line_dedup,
         "op4_benchmark_decontamination": op4_benchmark_decontamination,
+        "op5_toxicity": op5_toxicity,
         "op6_language_id": op6_language_id,
         "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
         "op9_best_fit_packing": op9_best_fit_packing,
