@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from panelwright.llm.common import row_key, saved
 
 MIN_CHARS = 16
+#: Slots of the filter that goes before the second reading of the lines: a table of at most 2 ** (SLOTS - 6) rows, and so safe to broadcast.
+SLOTS = 23
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -81,11 +83,19 @@ def _variants(blocks: DataFrame) -> DataFrame:
     return blocks.select("a", "b", "pos", "line", "own", F.explode(F.coalesce(inside, whole)).alias("v")).select("a", "b", "pos", "line", "own", "v.*")
 
 
+def _passing(lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The lines whose key may be among the wanted: a bit map of fixed size, made and tested by joins on its words."""
+    slot = F.shiftrightunsigned("a", 64 - SLOTS)
+    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(a, {64 - SLOTS}) & 63 AS int))")
+    words = wanted.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
+    return lines.withColumn("word", F.shiftright(slot, 6)).join(F.broadcast(words), "word").filter(F.col("bits").bitwiseAND(bit) != 0).drop("word", "bits")
+
+
 def near_lines(lines: DataFrame) -> DataFrame:
     """a, b of the lines (distinct: a, b, pos, line) that have an earlier line within one edit."""
-    blocks = saved(_blocks(lines), "blocks")
-    busy = _meeting(blocks.groupBy("a", "b", "key").agg(F.first("t").alias("t")), ["a", "b"], "key")
-    some = blocks.join(busy, ["a", "b"], "left_semi")
+    blocks = _blocks(lines)
+    busy = _meeting(blocks.select("a", "b", "key"), ["a", "b", "key"], "key")
+    some = blocks.join(busy, ["a", "b", "key"], "left_semi")
     variants = saved(_variants(some), "variants")
     one_edit = lambda x, y: F.levenshtein(x, y, 1).between(0, 1)
     # Changed characters: one position deleted from both.
@@ -106,10 +116,11 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     first = saved(first, "lines")
     halves = first.filter(F.col("n") >= min_chars).select("a", "b", F.explode(F.array(*[f"h{k}" for k in range(4)])).alias("half"))
     some = _meeting(halves, ["a", "b"], "half")
-    places = first.join(some, ["a", "b"], "left_semi").select("a", "b", "pos")
+    places = saved(first.join(some, ["a", "b"], "left_semi").select("a", "b", "pos"), "places")
     # The lines' words are read again only where a partner is possible; pos names one place of each.
-    texts = _lines(docs).select("a", "b", "line", "pos").join(places, ["a", "b", "pos"], "left_semi").dropDuplicates(["a", "b"])
-    near = near_lines(texts).withColumn("near", F.lit(True))
+    again = _passing(_lines(docs).select("a", "b", "line", "pos"), places)
+    texts = again.join(places, ["a", "b", "pos"], "left_semi").dropDuplicates(["a", "b"])
+    near = near_lines(saved(texts, "texts")).withColumn("near", F.lit(True))
     return first.select("a", "b", "pos").join(near, ["a", "b"], "left").select("a", "b", "pos", F.coalesce("near", F.lit(False)).alias("near"))
 
 
