@@ -9,9 +9,11 @@ from panelwright.llm.common import prepare, table
 from panelwright.llm.decontaminate import contamination
 from panelwright.llm.fingerprints import fingerprinted
 from panelwright.llm.language_id import language_predictions
+from panelwright.llm.license_scan import license_digest
 from panelwright.llm.line_dedup import deduplicated
 from panelwright.llm.ngram_join import near_duplicate_classes
 from panelwright.llm.packing import packed
+from panelwright.llm.quality import resampled
 from panelwright.llm.substring_dedup import without_repeats
 from panelwright.llm.toxicity import toxicity_scores
 
@@ -26,6 +28,11 @@ def op2_line_dedup(spark, sf_dir):
     return deduplicated(docs)
 
 
+def op3_quality_classifier(spark, sf_dir):
+    prepare(spark)
+    return resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_benchmark_decontamination(spark, sf_dir):
     prepare(spark)
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("r")
@@ -46,6 +53,11 @@ def op7_ngram_jaccard_join(spark, sf_dir):
     return near_duplicate_classes(table(spark, sf_dir, "documents")).drop("r", "component")
 
 
+def op8_license_scans(spark, sf_dir):
+    prepare(spark)
+    return license_digest(table(spark, sf_dir, "documents"))
+
+
 def op9_best_fit_packing(spark, sf_dir):
     prepare(spark)
     return packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -60,10 +72,12 @@ def queries():
     return {
         "op1_document_fingerprints": op1_document_fingerprints,
         "op2_line_dedup": op2_line_dedup,
+        "op3_quality_classifier": op3_quality_classifier,
         "op4_benchmark_decontamination": op4_benchmark_decontamination,
         "op5_toxicity": op5_toxicity,
         "op6_language_id": op6_language_id,
         "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
+        "op8_license_scans": op8_license_scans,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_substring_dedup": op10_substring_dedup,
     }
