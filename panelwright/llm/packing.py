@@ -13,6 +13,7 @@ empty result. Only doc_id and text are read.
 
 from __future__ import annotations
 
+import re
 import zlib
 from itertools import groupby
 
@@ -21,43 +22,83 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.llm.common import byte_texts, saved
+from panelwright.llm.common import saved
 
 CAPACITY, END, LOT = 4096, 1, 16384
 
 
+#: Letters for which lower-casing in Python is the tokenizer's, and that no normal form changes; and signs that are one token run after them.
+_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0132-\u024f]+)([.,!?;:*&#$%]*)")
+
+
 class WordTokens(dict):
-    """Token ids, as little-endian bytes, of the pieces of a text between spaces and line ends.
+    """Token ids, as little-endian bytes, of the pieces of a text between spaces and line ends; bounded.
 
-    The tokenizer drops white space and never merges across it, so a text's ids are those of its pieces in order. Bounded.
+    The tokenizer drops white space and never merges across it, so a text's ids are those of its pieces in order. New plain
+    words are encoded together, and their ids parted after each token that ends a word.
     """
 
-    LIMIT = 300_000
+    LIMIT = 500_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= self.LIMIT:
+        suffix = self.tokenizer.model.end_of_word_suffix
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for token, i in vocabulary.items() if suffix and token.endswith(suffix)]] = True
+        self.cores: dict[str, bytes] = {}
+
+    def encode(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def encode_plain(self, words: list[str]) -> list[bytes]:
+        """Of words of letters alone, each one unit for the tokenizer."""
+        out = []
+        for i in range(0, len(words), 500):
+            part = words[i : i + 500]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(part):
+                out += self.encode(part)
+                continue
+            raw, bounds = ids.tobytes(), [0, *(4 * ends).tolist()]
+            out += [raw[a:b] for a, b in zip(bounds, bounds[1:])]
+        return out
+
+    def learn(self, wanted: set[str]) -> None:
+        new = [piece for piece in wanted if piece not in self]
+        if len(self) + len(new) > self.LIMIT:
             self.clear()
-        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        value = self[word] = np.array(ids, dtype="<u4").tobytes()
-        return value
-
-    def ids(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+            new = wanted
+        if len(self.cores) > self.LIMIT:
+            self.cores.clear()
+        plain, odd = [], []
+        for piece in new:
+            found = _PLAIN.fullmatch(piece)
+            if found:
+                plain.append((piece, found[1].lower(), found[2]))
+            else:
+                odd.append(piece)
+        for words, encode in (({c for _, c, _ in plain}, self.encode_plain), ({s for *_, s in plain}, self.encode)):
+            words = [word for word in words if word not in self.cores]
+            self.cores.update(zip(words, encode(words)))
+        self.update((piece, self.cores[core] + self.cores[signs]) for piece, core, signs in plain)
+        self.update(zip(odd, self.encode(odd)))
 
 
 _TOKENS: dict[str, WordTokens] = {}
 
 
-def token_bytes(text: str | None, tokenizer: str, end: int = END) -> bytes:
-    """Ids of a text and the end id, each as an unsigned 32-bit little-endian number."""
+def token_bytes(texts: list[str | None], tokenizer: str, end: int = END) -> list[bytes]:
+    """Ids of each text and the end id, each as an unsigned 32-bit little-endian number."""
     if tokenizer not in _TOKENS:
         _TOKENS[tokenizer] = WordTokens(tokenizer)
-    return _TOKENS[tokenizer].ids(text or "") + np.array([end], dtype="<u4").tobytes()
+    tokens, closing = _TOKENS[tokenizer], np.array([end], dtype="<u4").tobytes()
+    parts = [(text or "").replace("\n", " ").split(" ") for text in texts]
+    tokens.learn(set().union(*parts))
+    return [b"".join(map(tokens.__getitem__, part)) + closing for part in parts]
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
@@ -66,8 +107,9 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
     def cut(batches):
         for batch in batches:
             rows = []
-            for doc_id, text, deal in zip(batch["doc_id"].to_pylist(), byte_texts(batch["text"]), batch["deal"].to_pylist()):
-                ids = token_bytes(text.decode() if text else None, tokenizer, end)
+            texts = batch["text"].to_pylist()
+            coded = (ids for at in range(0, len(texts), 50) for ids in token_bytes(texts[at : at + 50], tokenizer, end))
+            for doc_id, ids, deal in zip(batch["doc_id"].to_pylist(), coded, batch["deal"].to_pylist()):
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     own = ids[at : at + 4 * capacity]
                     rows.append((doc_id, piece, at // 4, len(own) // 4, zlib.crc32(own), (deal + piece * 0x9E3779B1) & 0x7FFFFFFF))

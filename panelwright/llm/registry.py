@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import public_tokenizers
 
+import corpus_pipeline
+
 from panelwright.llm import oracles
 from panelwright.llm.common import prepare, table
 from panelwright.llm.decontaminate import contamination
@@ -70,6 +72,7 @@ def op10_substring_dedup(spark, sf_dir):
 
 def queries():
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_document_fingerprints": op1_document_fingerprints,
         "op2_line_dedup": op2_line_dedup,
         "op3_quality_classifier": op3_quality_classifier,
