@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+from panelwright.plans import quality
+from panelwright.sources.tables import Tables
+
+MODULES = [quality]
+
+
+def _over_tables(query):
+    return lambda spark, sf_dir: query(Tables(spark, sf_dir))
+
 
 def queries():
-    return {}
+    return {name: _over_tables(q) for m in MODULES for name, q in m.QUERIES.items()}
 
 
 def oracle_sql():
-    return {}
+    return {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
