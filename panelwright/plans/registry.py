@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from panelwright.plans import quality
+from panelwright.plans import profiles, quality
 from panelwright.sources.tables import Tables
 
-MODULES = [quality]
+MODULES = [quality, profiles]
 
 
 def _over_tables(query):
