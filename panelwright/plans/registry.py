@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from panelwright.plans import profiles, quality
+from panelwright.plans import panel, profiles, quality
 from panelwright.sources.tables import Tables
 
-MODULES = [quality, profiles]
+MODULES = [quality, profiles, panel]
 
 
 def _over_tables(query):
