@@ -119,7 +119,8 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     places = saved(first.join(some, ["a", "b"], "left_semi").select("a", "b", "pos"), "places")
     # The lines' words are read again only where a partner is possible; pos names one place of each.
     again = _passing(_lines(docs).select("a", "b", "line", "pos"), places)
-    texts = again.join(places, ["a", "b", "pos"], "left_semi").dropDuplicates(["a", "b"])
+    # An inner join: a semi-join would be moved to before the filter, and all lines would be shuffled.
+    texts = again.join(places, ["a", "b", "pos"]).dropDuplicates(["a", "b"])
     near = near_lines(saved(texts, "texts")).withColumn("near", F.lit(True))
     return first.select("a", "b", "pos").join(near, ["a", "b"], "left").select("a", "b", "pos", F.coalesce("near", F.lit(False)).alias("near"))
 
