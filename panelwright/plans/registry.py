@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from panelwright.plans import evaluation, panel, profiles, quality
+from panelwright.plans import decisions, evaluation, panel, profiles, quality
 from panelwright.sources.tables import Tables
 
-MODULES = [quality, profiles, panel, evaluation]
+MODULES = [quality, profiles, panel, evaluation, decisions]
 
 
 def _over_tables(query):
