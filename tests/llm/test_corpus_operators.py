@@ -1,0 +1,352 @@
+"""The text operators against brute force on small tables with nulls, empty and repeated rows, ties and clashing columns."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from panelwright.llm import components, decontaminate, fingerprints, language_id, license_scan, line_dedup, ngram_join, packing, quality, substring_dedup, toxicity
+from panelwright.llm.common import folded_words, prepare
+
+WORDS = [f"w{a}{b}" for a in "abcdefghij" for b in "klmnopqrst"]
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, bucket int, r long, h long"
+
+
+def prose(seed, n):
+    rng = np.random.default_rng(seed)
+    return " ".join(rng.choice(WORDS, n))
+
+
+def frame(spark, rows):
+    prepare(spark)
+    return spark.createDataFrame([(i, t, "en", "s", len(t or ""), 0.5, 1, 2, 3) for i, t in rows], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def rows():
+    passage = prose(1, 40)
+    out = [(i, prose(100 + i, 60) + "\n" + prose(200 + i, 20)) for i in range(12)]
+    out += [(20, prose(5, 90)), (21, prose(5, 90)), (22, prose(5, 90) + " one more"), (23, prose(5, 89))]
+    out += [(30, "x y " + passage + " z"), (31, prose(9, 30) + " " + passage + " " + passage), (40, "ab ab ab " * 40)]
+    out += [(50, None), (51, ""), (52, "  \n \n"), (53, "one two"), (54, "one two"), (None, prose(5, 90)), (None, None)]
+    out += [(60, prose(77, 50)), (60, prose(77, 50)), (61, prose(88, 3000))]
+    return out
+
+
+def plain(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+def test_substring_dedup_equals_brute_force(spark, rows):
+    counts = Counter(tuple(w[p : p + 35]) for _, t in rows for w in [plain(t)] for p in range(len(w) - 34))
+    expected = []
+    for i, t in rows:
+        w = plain(t)
+        gone = [False] * len(w)
+        for p in range(len(w) - 34):
+            if counts[tuple(w[p : p + 35])] > 1:
+                gone[p : p + 35] = [True] * 35
+        expected.append((i, len(w), sum(gone), hashlib.sha256(" ".join(x for x, g in zip(w, gone) if not g).encode()).hexdigest()))
+    docs = frame(spark, rows)
+    for most in (substring_dedup.MOST_BYTES, 0):  # by the bit filter, and by the shuffle
+        got = substring_dedup.without_repeats(docs, most_bytes=most).collect()
+        assert sorted(map(repr, expected)) == sorted(repr((r.doc_id, r.n_words, r.n_removed, r.kept_sha256)) for r in got)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from("abc"), min_size=12, max_size=60), st.integers(9, 12))
+def test_runs_cover_all_windows(letters, span):
+    words = [x.encode() for x in letters]
+    runs = substring_dedup.Runs(words, span)
+    assert (runs.end - runs.first).sum() == len(words) - span + 1
+    h, _ = runs.windows(np.arange(len(words) - span + 1))
+    same = defaultdict(set)
+    for p in range(len(words) - span + 1):
+        same[tuple(words[p : p + span])].add(int(h[p]))
+    assert all(len(v) == 1 for v in same.values()) and len(set().union(*same.values())) == len(same)
+
+
+def jaccard_classes(rows, threshold=0.8):
+    sets = []
+    for i, t in rows:
+        w = folded_words(t.encode() if t else None)
+        n = min(5, len(w))
+        sets.append({tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if w else set())
+    links, root = [0] * len(rows), list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(len(rows)):
+            if a != b and sets[a] and sets[b] and len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b]):
+                links[a] += 1
+                old, new = max(root[a], root[b]), min(root[a], root[b])
+                root = [new if r == old else r for r in root]
+    return links, root
+
+
+@pytest.mark.parametrize("block", [256, 2])
+def test_ngram_join_equals_brute_force(spark, rows, block):
+    links, root = jaccard_classes(rows)
+    members = defaultdict(list)
+    for (i, _), r in zip(rows, root):
+        members[r].append(i)
+    expected = [(i, min((x for x in members[r] if x is not None), default=None), n) for (i, _), r, n in zip(rows, root, links)]
+    got = ngram_join.near_duplicate_classes(frame(spark, rows), block=block).collect()
+    assert sorted(map(repr, expected)) == sorted(repr((r.doc_id, r.class_id, r.n_links)) for r in got)
+
+
+def test_keep_one_of_each(spark, rows):
+    got = [r.doc_id for r in ngram_join.keep_one_of_each(frame(spark, rows)).collect()]
+    assert sorted(x for x in got if x is not None and x >= 20) == [20, 30, 31, 40, 50, 51, 52, 53, 60, 61] and got.count(None) == 1
+
+
+def test_near_duplicates_of_planted_copies_are_found(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for k in range(60):
+        words = list(rng.choice(WORDS, 150))
+        rows.append((10 * k, " ".join(words)))
+        for j in range(3):
+            near = list(words)
+            near[int(rng.integers(0, 150))] = "changed"
+            rows.append((10 * k + 1 + j, " ".join(near)))
+    got = {r.doc_id: r.class_id for r in ngram_join.near_duplicate_classes(frame(spark, rows)).collect()}
+    assert all(got[i] == i // 10 * 10 for i, _ in rows)
+
+
+def test_connected_components(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (9, 9), (5, 4), (4, 6), (6, 7), (7, 8), (None, 3)], "u long, v long")
+    got = {r.node: r.component for r in components.connected_components(edges).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 9: 9, 4: 4, 5: 4, 6: 4, 7: 4, 8: 4}
+
+
+def test_decontamination_equals_brute_force(spark, rows):
+    items = [(1, " ".join(prose(100, 60).split()[5:30])), (2, "W-AK, one TWO"), (3, "one two"), (4, None), (4, ""), (5, prose(5, 90)), (12, "one two"), (None, "one two")]
+    windows = defaultdict(set)
+    for i, t in items:
+        w = folded_words(t.encode() if t else None)
+        n = min(10, len(w))
+        for k in range(len(w) - n + 1 if n else 0):
+            windows[tuple(w[k : k + n])].add(i)
+    expected = []
+    for i, t in rows:
+        w = folded_words(t.encode() if t else None)
+        hit, found = set(), set()
+        for n in {len(x) for x in windows}:
+            for k in range(len(w) - n + 1):
+                own = windows.get(tuple(w[k : k + n]))
+                if own:
+                    hit |= set(range(k, k + n))
+                    found |= own
+        ids = sorted(str(x) for x in found if x is not None)
+        expected.append((i, len(w), len(hit), len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), bool(hit)))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = frame(spark, rows)
+    got = decontaminate.contamination(docs, bench).collect()
+    assert sorted(map(repr, expected)) == sorted(repr((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated)) for r in got)
+    kept = decontaminate.without_contaminated(docs, bench)
+    assert kept.columns == docs.columns and kept.count() == sum(not e[-1] for e in expected)
+    assert decontaminate.contamination(docs, bench.limit(0)).filter("contaminated").count() == 0
+
+
+def within_one(a, b):
+    if abs(len(a) - len(b)) > 1:
+        return False
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b)) <= 1
+    a, b = sorted((a, b), key=len)
+    return any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+
+def test_line_dedup_equals_brute_force(spark):
+    base = "the quick brown fox jumps over the lazy dog"
+    texts = [base, base.replace("q", "k"), base + "s", "x" + base, base.replace("fox", "foxx") + "\nkept line of its own", base[:20] + "\n" + base[:21], "short\nshort\nshore", None, "", " \n" + base + "  ", "é" * 30 + "\n" + "é" * 31, "unrelated text that is long enough here"]
+    rows = [(None, texts[0])] + list(enumerate(texts)) + [(3, texts[3])]
+    order, near = [], set()
+    for i, t in sorted(set(rows), key=lambda x: (x[0] is not None, x[0] or 0)):
+        order += [(line.strip(" "), (i, t, k)) for k, line in enumerate((t or "").split("\n")) if line.strip(" ")]
+    first = {}
+    for line, pos in order:
+        first.setdefault(line, pos)
+    seen = list(first)
+    for k, line in enumerate(seen):
+        if len(line) >= 16 and any(len(other) >= 16 and within_one(other, line) for other in seen[:k]):
+            near.add(line)
+    expected = []
+    for i, t in rows:
+        if t is None:
+            expected.append((i, None, None))
+            continue
+        kept = [x for k, x in enumerate(t.split("\n")) if not x.strip(" ") or (first[x.strip(" ")] == (i, t, k) and x.strip(" ") not in near)]
+        expected.append((i, "\n".join(kept), sum(1 for x in t.split("\n") if x.strip(" ")) - sum(1 for x in kept if x.strip(" "))))
+    docs = frame(spark, rows)
+    got = line_dedup.deduplicated(docs)
+    assert sorted(map(repr, expected)) == sorted(repr((r.doc_id, r.text, r.n_removed)) for r in got.collect())
+    assert "Python" not in got._jdf.queryExecution().executedPlan().toString() and "Arrow" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.text(alphabet="ab\n", max_size=30), min_size=2, max_size=4))
+def test_fingerprints_ignore_order_and_follow_edits(parts):
+    one = fingerprints.fingerprint("\n".join(parts).encode())
+    other = fingerprints.fingerprint("\n".join("\n".join(parts).split("\n")[::-1]).encode())
+    assert fingerprints.written(one) == fingerprints.written(other)
+    more = fingerprints.inserted(one, b"new paragraph")
+    assert fingerprints.written(more) == fingerprints.written(fingerprints.fingerprint(("\n".join(parts) + "\nnew paragraph").encode()))
+    assert fingerprints.written(fingerprints.deleted(more, b"new paragraph")) == fingerprints.written(one)
+
+
+@pytest.mark.parametrize("bucket", [4096, 3])
+def test_fingerprint_table(spark, rows, bucket):
+    got = fingerprints.fingerprinted(frame(spark, rows), bucket).collect()
+    order = sorted(rows, key=lambda x: (x[0] is None, -(x[0] or 0), x[1] is not None, x[1] or ""))
+    expected = []
+    for k, (i, t) in enumerate(order):
+        new = fingerprints.edited(t or "", order[(k + 1) % len(order)][1] or "")
+        expected.append((i, len(t or ""), hashlib.sha256(new.encode()).hexdigest(), fingerprints.written(fingerprints.fingerprint((t or "").encode())), fingerprints.written(fingerprints.fingerprint(new.encode()))))
+    assert sorted(map(repr, expected)) == sorted(repr((r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint)) for r in got)
+    assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
+
+
+def test_license_scan(spark):
+    rows = [(1, "Released under the M.I.T. license"), (2, "Released UNDER THE MIT LICENSE. under the mit license"), (3, "licensd under teh apache license, version 2.0"), (4, None), (5, "all right reserved"), (6, "permit nothing"), (7, "CC BY-NC 4.0")]
+    got = {r.doc_id: r for r in license_scan.license_digest(frame(spark, rows)).collect()}
+    assert (got[2].n_base, got[2].first_word, got[2].last_word, got[2].base_labels) == (2, 1, 5, "mit")
+    assert got[3].base_labels == "apache-2" and got[5].labels == "all-rights-reserved" and 0.9 < got[5].score < 1
+    assert got[4].n_words == 0 and got[4].labels == "" and got[6].labels == "" and got[7].base_labels == "cc-by-nc"
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, len(license_scan.NOTICES) - 1), st.integers(0, 1 << 30))
+def test_fuzzy_notices_are_found_with_errors_up_to_the_bound(which, seed):
+    notice, label = list(license_scan.NOTICES.items())[which]
+    rng = np.random.default_rng(seed)
+    damaged = list(notice)
+    for i in rng.choice(len(notice), int(rng.integers(0, len(notice) // 10 + 1)), replace=False):
+        damaged[i] = "#"
+    assert label in {s[0] for s in license_scan.fuzzy_spans("before " + "".join(damaged) + " after")}
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(1, 49), min_size=1, max_size=120))
+def test_best_fit_is_the_tightest(lengths):
+    bins, offsets = packing.best_fit_decreasing(np.array(lengths), 50)
+    left, expected = [], 0
+    for size in sorted(lengths, reverse=True):
+        fit = min((x for x in left if x >= size), default=None)
+        if fit is None:
+            expected += 1
+            left.append(50 - size)
+        else:
+            left[left.index(fit)] -= size
+    assert len(set(bins.tolist())) == expected
+    for b in set(bins.tolist()):
+        own = sorted((offsets[i], lengths[i]) for i in range(len(lengths)) if bins[i] == b)
+        assert all(o == sum(n for _, n in own[:k]) for k, (o, _) in enumerate(own)) and sum(n for _, n in own) <= 50
+
+
+def test_packing_keeps_every_token(spark, rows):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain_tokenizer = Tokenizer.from_file(path)
+    more = rows + [(70, "It's DON'T <|endoftext|> ΣΑΣ é ́x\t\x0b!!a.b,, «ñ» İı ŉ K"), (71, "a b " * 9000)]
+    got = packing.packed(frame(spark, more), path, lot=7).collect()
+    expected = Counter()
+    for i, t in more:
+        ids = np.array(plain_tokenizer.encode(t or "", add_special_tokens=False).ids + [1], dtype="<u4")
+        for k in range(0, len(ids), 4096):
+            expected[(i, k // 4096, k, len(ids[k : k + 4096]), zlib.crc32(ids[k : k + 4096].tobytes()))] += 1
+    assert expected == Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got)
+    bins = defaultdict(list)
+    for r in got:
+        bins[r.sequence_id].append((r.offset, r.length))
+    for own in bins.values():
+        own.sort()
+        assert all(o == sum(n for _, n in own[:k]) for k, (o, _) in enumerate(own)) and sum(n for _, n in own) <= 4096
+
+
+def labelled_texts():
+    rng = np.random.default_rng(0)
+    kinds = {"xx": "thandere", "yy": "ñóíacol", "zz": "äöüßgh"}
+    return [(i, " ".join("".join(rng.choice(list(a), 6)) for _ in range(40)), lang) for i in range(300) for lang, a in [list(kinds.items())[i % 3]]]
+
+
+def test_language_id_held_out(spark):
+    prepare(spark)
+    rows = labelled_texts() + [(1000, None, "xx"), (1001, "123 !!", "xx"), (1002, "", None), (None, "thandere thandere", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in language_id.language_predictions(docs).collect()}
+    held = [(i, lang) for i, _, lang in rows[:300] if got[i].held_out]
+    assert all(got[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2) for i, *_ in rows[:300])
+    assert len(held) > 30 and sum(got[i].lang_pred == lang for i, lang in held) >= 0.97 * len(held)
+    assert [got[i].lang_pred for i in (1000, 1001, 1002)] == ["und"] * 3 and got[None].lang_pred == "xx"
+    kept = language_id.in_a_known_language(docs)
+    assert kept.columns == docs.columns and kept.filter("doc_id >= 1000").count() == 0 and kept.count() >= 290
+    assert language_id.language_predictions(docs.limit(0)).count() == 0
+
+
+def test_toxicity_held_out_and_disguised(spark):
+    prepare(spark)
+    rng = np.random.default_rng(1)
+    bad = ["scoundrel", "numpty", "blockhead"]
+    rows, labels = [], []
+    for i in range(900):
+        words = list(rng.choice(WORDS, 60))
+        toxic = int(i % 3 == 0)
+        if toxic:
+            words[int(rng.integers(60))] = bad[int(rng.integers(3))]
+        rows.append((i, " ".join(words)))
+        labels.append((i, 1, toxic))
+    disguised = ["you num-pty", "a scounxdrel", "b l o c k h e a d here", "n.u.m.p.t.y", None, "", "wak wbl"]
+    rows += [(5000 + k, t) for k, t in enumerate(disguised)]
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels + [(None, 1, 1), (7000, 1, None)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in toxicity.toxicity_scores(docs, known).collect()}
+    held = [(i, y) for i, _, y in labels if got[i].held_out]
+    assert sum(got[i].predicted == y for i, y in held) >= 0.98 * len(held)
+    assert [got[5000 + k].predicted for k in range(7)] == [1, 1, 1, 1, 0, 0, 0]
+    assert toxicity.toxicity_scores(docs, known.limit(0)).filter("predicted = 1").count() == 0
+
+
+def test_importance_resampling(spark):
+    prepare(spark)
+    rng = np.random.default_rng(2)
+    rows = [(i, prose(i, 80) if i % 4 else "".join(rng.choice(list("!#%&$"), 300))) for i in range(400)] + [(None, None), (900, "")]
+    labels = spark.createDataFrame([(i, int(i % 4 > 0), 0) for i in range(0, 400, 2)], "doc_id long, quality int, toxic int")
+    got = quality.resampled(spark.createDataFrame(rows, "doc_id long, text string"), labels, share=0.7).collect()
+    chosen = [r for r in got if r.selected]
+    assert len(got) == len(rows) and len(chosen) == int(np.ceil(0.7 * len(rows)))
+    assert all(r.doc_id is None or r.doc_id % 4 or r.doc_id >= 400 for r in chosen)
+    values = spark.range(50_000).select((F.pmod(F.xxhash64("id"), F.lit(999)) / 3.0).alias("noisy"))
+    want = sorted((r.noisy for r in values.collect()), reverse=True)
+    for k in (1, 777, 25_000, 50_000):
+        assert quality.kth_largest(values, k, few=500) == want[k - 1]
+
+
+def test_empty_tables(spark, rows):
+    none = frame(spark, rows).limit(0)
+    assert fingerprints.fingerprinted(none).count() == 0 and line_dedup.deduplicated(none).count() == 0 and ngram_join.near_duplicate_classes(none).count() == 0
+    assert packing.packed(none, public_tokenizers.path("word_bpe_49k.json")).count() == 0 and substring_dedup.without_repeats(none).count() == 0 and license_scan.license_digest(none).count() == 0
+
+
+def test_pipeline_stages(spark, tmp_path):
+    en = [(i, prose(i, 80), "en", "s", 1) for i in range(40)]
+    rows = en + [(100, en[0][1], "en", "s", 1), (101, en[1][1] + " more", "en", "s", 1), (102, "12345", "en", "s", 1), (103, "z " + prose(500, 30), "en", "s", 1), (104, None, None, None, None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, prose(500, 30))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    seen = []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        seen.append({r.doc_id for r in docs.collect()})
+    assert seen[0] == set(range(40)) | {100, 101, 103} and seen[1] == seen[0] - {100} and seen[2] == seen[1] - {101} and seen[3] == seen[2] - {103}
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in packed} == seen[3]
