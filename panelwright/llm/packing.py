@@ -32,7 +32,9 @@ _PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0132-\u024
 
 
 class WordTokens(dict):
-    """Token ids, as little-endian bytes, of the pieces of a text between spaces and line ends; bounded.
+    """Token ids, as little-endian bytes, of the pieces of a text between spaces and line ends.
+
+    Bounded: when a generation of `LIMIT` pieces is full it becomes the old one, and what is looked up again moves to the new.
 
     The tokenizer drops white space and never merges across it, so a text's ids are those of its pieces in order. New plain
     words are encoded together, and their ids parted after each token that ends a word.
@@ -49,6 +51,8 @@ class WordTokens(dict):
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for token, i in vocabulary.items() if suffix and token.endswith(suffix)]] = True
         self.cores: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.old_cores: dict[str, bytes] = {}
 
     def encode(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
@@ -70,10 +74,14 @@ class WordTokens(dict):
     def learn(self, wanted: set[str]) -> None:
         new = [piece for piece in wanted if piece not in self]
         if len(self) + len(new) > self.LIMIT:
+            self.old = dict(self)
             self.clear()
             new = wanted
         if len(self.cores) > self.LIMIT:
-            self.cores.clear()
+            self.old_cores, self.cores = self.cores, {}
+        again = {piece: self.old[piece] for piece in new if piece in self.old}
+        self.update(again)
+        new = [piece for piece in new if piece not in again]
         plain, odd = [], []
         for piece in new:
             found = _PLAIN.fullmatch(piece)
@@ -83,6 +91,9 @@ class WordTokens(dict):
                 odd.append(piece)
         for words, encode in (({c for _, c, _ in plain}, self.encode_plain), ({s for *_, s in plain}, self.encode)):
             words = [word for word in words if word not in self.cores]
+            again = {word: self.old_cores[word] for word in words if word in self.old_cores}
+            self.cores.update(again)
+            words = [word for word in words if word not in again]
             self.cores.update(zip(words, encode(words)))
         self.update((piece, self.cores[core] + self.cores[signs]) for piece, core, signs in plain)
         self.update(zip(odd, self.encode(odd)))
