@@ -125,8 +125,8 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return first.select("a", "b", "pos").join(near, ["a", "b"], "left").select("a", "b", "pos", F.coalesce("near", F.lit(False)).alias("near"))
 
 
-def deduplicated(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """docs with repeated lines out of text, and n_lines (not blank), n_removed (null where text is null)."""
+def _judged(docs: DataFrame, min_chars: int) -> DataFrame:
+    """docs with repeated lines out of text, and __lines (not blank) and __removed (both null where text is null)."""
     kept = repeated_lines(docs, min_chars).filter("not near").groupBy(F.col("pos.r").alias("__r")).agg(F.collect_set("pos.no").alias("__kept"))
     both = docs.withColumn("__r", row_key()).join(kept, "__r", "left")
     parts = F.split("text", "\n")
@@ -134,14 +134,20 @@ def deduplicated(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     stays = F.filter(parts, lambda x, i: blank(x) | F.coalesce(F.array_contains("__kept", i), F.lit(False)))
     real = lambda x: F.size(F.filter(x, lambda y: ~blank(y))).cast("long")
     out = both.withColumn("__parts", parts).withColumn("__stays", stays)
-    counts = {"n_lines": real(F.col("__parts")), "n_removed": real(F.col("__parts")) - real(F.col("__stays"))}
+    counts = {"__lines": real(F.col("__parts")), "__removed": real(F.col("__parts")) - real(F.col("__stays"))}
     known = {name: F.when(F.col("text").isNotNull(), value) for name, value in counts.items()}
     text = F.when(F.col("text").isNotNull(), F.array_join("__stays", "\n"))
-    return out.withColumns(known).withColumn("text", text).select(*docs.columns, "n_lines", "n_removed")
+    return out.withColumns(known).withColumn("text", text).select(*docs.columns, *counts)
+
+
+def deduplicated(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """docs with repeated lines out of text, and n_lines (not blank), n_removed; columns of docs by these names are replaced."""
+    own = docs.drop("n_lines", "n_removed")
+    return _judged(own, min_chars).withColumnsRenamed({"__lines": "n_lines", "__removed": "n_removed"})
 
 
 def without_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """docs with repeated lines taken out, n_chars brought up to date, and documents of which nothing is left gone."""
-    out = deduplicated(docs.drop("n_lines", "n_removed"), min_chars)
-    emptied = F.coalesce((F.col("n_removed") > 0) & (F.col("n_removed") == F.col("n_lines")), F.lit(False))
+    out = _judged(docs, min_chars)
+    emptied = F.coalesce((F.col("__removed") > 0) & (F.col("__removed") == F.col("__lines")), F.lit(False))
     return out.filter(~emptied).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
