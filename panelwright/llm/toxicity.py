@@ -13,7 +13,7 @@ there by chance. Words of other texts are the negatives, drawn at random and the
 worst; both kinds are also shown with a character put in. A logistic curve fitted to the sampled texts turns the worst word into a score.
 
 Training reads at most `MOST_TOXIC` and `MOST_OTHER` labelled texts, chosen by a hash of doc_id, none held out: a bounded sample by design.
-Texts that look alike (one least sentence hash) count once there. Scores use text alone.
+Texts that look alike (the same `LOOK` least hashes of their sentences, blank ones left out) count once there, by the least doc_id. Scores use text alone.
 
 Null and empty texts score like a text without an insult; so does every text if the labels have only one kind. Null labels and
 null doc_ids are not learned from. Repeated rows are scored alike. An empty table gives an empty result.
@@ -36,6 +36,8 @@ LENGTH, REACH, DECAY = 3, 7, 0.7
 MOST_TOXIC, MOST_OTHER, MOST_WORDS, LANDMARKS = 1500, 3000, 8_000, 48
 STEM, CHANCE, ALPHABET, LONGEST = 4, 0.01, 1024, 24
 THRESHOLD = 0.7
+#: So many least sentence hashes must agree for two labelled texts to count as one.
+LOOK = 4
 _APART = re.compile(r"(?<!\S)\S(?:[ \t]+\S){2,}(?!\S)")
 
 
@@ -249,8 +251,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_T
     pick = lambda kind, n: known.filter(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     chosen = pick(1, most_toxic).union(pick(0, most_other))
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").filter("text is not null")
-    sentences = F.transform(F.split(F.lower("text"), r"[.\n]"), lambda part: F.xxhash64(part))
-    return saved(rows.withColumn("look", F.array_min(sentences)).dropDuplicates(["look", "toxic"]).drop("look"), "labelled")
+    parts = F.filter(F.transform(F.split(F.lower("text"), r"[.\n]"), F.trim), lambda part: part != "")
+    look = F.slice(F.array_sort(F.array_distinct(F.transform(parts, lambda part: F.xxhash64(part)))), 1, LOOK)
+    first = F.min(F.struct("doc_id", "text")).alias("first")
+    return saved(rows.groupBy(look.alias("look"), "toxic").agg(first).select("first.doc_id", "first.text", "toxic"), "labelled")
 
 
 def fitted(docs: DataFrame, labels: DataFrame) -> WordMachine | None:

@@ -314,6 +314,17 @@ def test_toxicity_held_out_and_disguised(spark):
     assert toxicity.toxicity_scores(docs, known.limit(0)).filter("predicted = 1").count() == 0
 
 
+def test_labelled_sample_keeps_unlike_texts(spark):
+    prepare(spark)
+    rows = [(i, f"{prose(3000 + i, 12)}. {prose(4000 + i, 12)}.\n\n{prose(5000 + i, 12)}.") for i in range(60)]
+    rows += [(100 + i, text + "\n") for i, text in rows[:20]]  # copies but for a blank line
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    known = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    trained_on = {i for i, _ in rows if zlib.crc32(str(i).encode()) % 3 != 1}
+    got = sorted(r.doc_id for r in toxicity.labelled_sample(docs, known).collect())
+    assert got == sorted(i for i in trained_on if i < 100 or i - 100 not in trained_on)
+
+
 def test_importance_resampling(spark):
     prepare(spark)
     rng = np.random.default_rng(2)
