@@ -6,11 +6,13 @@ itself. A word is seen through its kernel values with some landmark words, white
 linear machine with hinge loss is trained on that. As kernel values are sums over subsequences, the trained machine is one weight
 for each subsequence that a landmark has, and a word costs a few look-ups.
 
-A sentence, and so a text, is scored by its worst word; letters written apart ("a b c") count as one word too. Labels are
-given for whole texts, so training first finds the words and word beginnings that only toxic texts have (multiple-instance learning): they
-must be in so many of the sampled toxic texts, and in next to none of the others, that fewer than `CHANCE` of all words would be
-there by chance. Words of other texts are the negatives, drawn at random and then once more from those that a first machine finds
-worst; both kinds are also shown with a character put in. A logistic curve fitted to the sampled texts turns the worst word into a score.
+A text is scored by its worst window: a word, two or three successive words of a sentence joined (so insults of several words and words
+broken into pieces are seen whole), or letters written apart ("a b c"). Labels are given for whole texts, so training first finds the windows
+and word beginnings that only toxic texts have (multiple-instance learning): they must be in so many sampled toxic texts, and in next to none
+of the others, that fewer than `CHANCE` of all would be there by chance, in the whole sample or in one of its clusters. Clusters are found from pairs of
+characters, so a language with few texts has a support of its own. Windows of other texts are the negatives, drawn at random and then once more from those that a first machine finds
+worst; both kinds are also shown with a character put in. A logistic curve fitted to the sampled texts turns the worst window into a score.
+Windows of over `LONGEST` letters are not learned whole, and are scored through overlapping parts.
 
 Training reads at most `MOST_TOXIC` and `MOST_OTHER` labelled texts, chosen by a hash of doc_id, none held out: a bounded sample by design.
 Texts that look alike (the same `LOOK` least hashes of their sentences, blank ones left out) count once there, by the least doc_id. Scores use text alone.
@@ -21,7 +23,7 @@ null doc_ids are not learned from. Repeated rows are scored alike. An empty tabl
 
 from __future__ import annotations
 
-import re
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -38,23 +40,68 @@ STEM, CHANCE, ALPHABET, LONGEST = 4, 0.01, 1024, 24
 THRESHOLD = 0.7
 #: So many least sentence hashes must agree for two labelled texts to count as one.
 LOOK = 4
-_APART = re.compile(r"(?<!\S)\S(?:[ \t]+\S){2,}(?!\S)")
-
-
-def letters(chunk: str) -> str:
-    return "".join(c for c in chunk if c.isalpha())
-
-
-def chunks(text: str | None) -> set[str]:
-    """The distinct chunks between white space, case folded, and letters written apart as one chunk more."""
-    if not text:
-        return set()
-    text = text.lower()
-    out = set(text.split())
-    out.update("".join(m.group().split()) for m in _APART.finditer(text))
-    return out
-
-
+#: Successive words that a window may join, letters scored at a time, and letter kinds up to which weights stand in one table.
+SPAN, PIECE, MOST_LETTERS = 3, 400_000, 160
+#: Kinds of texts found in the sample, for the support of words.
+CLUSTERS, PROFILE = 8, 256
+
+
+@lru_cache(maxsize=None)
+def _kinds() -> np.ndarray:
+    """1 for each letter, 2 for each white space, by code point."""
+    return np.fromiter((1 if chr(i).isalpha() else 2 if chr(i).isspace() else 0 for i in range(0x110000)), np.uint8, 0x110000)
+
+
+def pieces(texts: list[str | None]):
+    """(owner, text) with texts of over `PIECE` characters cut at white space, the last words before a cut given to both sides."""
+    for k, text in enumerate(texts):
+        text = (text or "").lower()
+        while len(text) > PIECE:
+            cut = max(text.rfind(" ", PIECE // 2, PIECE), text.rfind("\n", PIECE // 2, PIECE))
+            cut = cut if cut > 0 else PIECE
+            yield k, text[:cut]
+            back = cut - 200 + text[cut - 200 : cut].find(" ")
+            text = text[back if back >= cut - 200 else cut - LONGEST :]
+        yield k, text
+
+
+def windows(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The letters of lower-case texts in one string and as code points, and start, end, owner and number of words of each window.
+
+    A window is one word, two or three successive words of a sentence, or three or more characters written apart on one line.
+    """
+    text = "\n".join(texts) + "\n"
+    chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    kind = _kinds()[chars]
+    alpha = kind == 1
+    before = np.concatenate([[0], np.cumsum(alpha)])
+    edge = np.flatnonzero(np.diff(np.concatenate([[1], (kind == 2).astype(np.int8), [1]])))
+    first, last = edge[0::2], edge[1::2]
+    line = np.cumsum(chars == 10)[first] if len(first) else first
+    ends = np.isin(chars[last - 1], [ord(c) for c in ".!?"]) if len(first) else first
+    fresh = np.concatenate([[0], (line[1:] != line[:-1]) | ends[:-1]]) if len(first) else first
+    sentence = np.cumsum(fresh)
+    owner = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), first, side="right")
+    out = []
+    for m in range(1, SPAN + 1):
+        n = max(0, len(first) - m + 1)
+        at = np.flatnonzero(sentence[:n] == sentence[m - 1 : m - 1 + n])
+        out.append((first[at], last[at + m - 1], owner[at], np.full(len(at), m)))
+    single = np.concatenate([[0], last - first == 1, [0]])
+    joined = np.concatenate([[0], (line[1:] == line[:-1]) & (single[1:-2] * single[2:-1] > 0), [0]]) if len(first) else np.zeros(2, int)
+    turn = np.diff(joined.astype(np.int8))  # +1 where a chunk is joined to the one after it for the first time, -1 at the last one
+    starts, stops = np.flatnonzero(turn == 1), np.flatnonzero(turn == -1)
+    long = stops - starts >= 2
+    starts, stops = starts[long], stops[long]
+    out.append((first[starts], last[stops], owner[starts], np.ones(len(starts), np.int64)))
+    a, b, own, words = (np.concatenate(x).astype(np.int64) for x in zip(*out))
+    a, b = before[a], before[b]
+    some = b - a >= LENGTH
+    codes = chars[alpha].astype(np.int64)
+    return codes.astype(np.uint32).tobytes().decode("utf-32-le", "surrogatepass"), codes, a[some], b[some], own[some], words[some]
+
+
+@lru_cache(maxsize=None)
 def _offsets(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions of all subsequences within reach in a word of n letters, and their weights."""
     rest = [(0, *x) for x in combinations(range(1, REACH), LENGTH - 1)]
@@ -62,15 +109,9 @@ def _offsets(n: int) -> tuple[np.ndarray, np.ndarray]:
     return at, DECAY ** (at[:, -1] - at[:, 0] + 1.0)
 
 
-_OFFSETS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
 def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Ids of the subsequences of words of one length (a row for each word), and the weights of the columns."""
-    n = len(words[0])
-    if n not in _OFFSETS:
-        _OFFSETS[n] = _offsets(n)
-    at, weights = _OFFSETS[n]
+    at, weights = _offsets(len(words[0]))
     codes = np.array([[ord(c) % ALPHABET for c in w] for w in words], dtype=np.int64)
     ids = codes[:, at[:, 0]]
     for k in range(1, LENGTH):
@@ -131,6 +172,7 @@ class WordMachine:
 
     def __init__(self, known: np.ndarray, weight: np.ndarray, bias: float, slope: float = 4.0, shift: float = 0.0):
         self.known, self.weight, self.bias, self.slope, self.shift = known, np.append(weight, 0.0), bias, slope, shift
+        self.index, self.table = None, None
 
     def margins(self, words: list[str]) -> np.ndarray:
         """Signed distance of each word (letters only); words under three letters have no subsequence."""
@@ -145,6 +187,70 @@ class WordMachine:
                 out[np.array(fit)[rows[some]]] += total[some] / norms(ids[some], weights)
         return out
 
+    def weights_of(self, codes: np.ndarray):
+        """A function of three positions in codes that gives the weights of these subsequences."""
+        letters = np.unique(np.concatenate([self.known // ALPHABET**2, self.known // ALPHABET % ALPHABET, self.known % ALPHABET]))
+        n, codes = len(letters) + 1, codes % ALPHABET
+        if n > MOST_LETTERS:
+
+            def look(x, y, z):
+                ids = (codes[x] * ALPHABET + codes[y]) * ALPHABET + codes[z]
+                at = np.minimum(np.searchsorted(self.known, ids), len(self.known) - 1)
+                return self.weight[np.where(self.known[at] == ids, at, len(self.known))]
+
+            return look
+        if self.table is None:
+            self.index = np.zeros(ALPHABET, np.int32)
+            self.index[letters] = np.arange(1, n)
+            self.table = np.zeros(n**3)
+            self.table[(self.index[self.known // ALPHABET**2] * n + self.index[self.known // ALPHABET % ALPHABET]) * n + self.index[self.known % ALPHABET]] = self.weight[:-1]
+        own = self.index[codes]
+        return lambda x, y, z: self.table[(own[x] * n + own[y]) * n + own[z]]
+
+    def worst(self, texts: list[str]) -> np.ndarray:
+        """The highest margin of a window of each lower-case text, the bias if none has more.
+
+        The weights of all subsequences are summed up once along the letters, so a window costs a few differences of sums; the exact
+        norm is taken only where the least norm of a word of that length leaves a chance to be the worst.
+        """
+        out = np.zeros(len(texts))
+        _, codes, a, b, owner, _ = windows(texts)
+        if not len(a):
+            return out + self.bias
+        many = np.maximum(1, -(-(b - a - LONGEST // 2) // (LONGEST // 2)))  # long ones are seen through overlapping windows
+        step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        a, b, owner = np.repeat(a, many) + step * (LONGEST // 2), np.repeat(b, many), np.repeat(owner, many)
+        b = np.minimum(b, a + LONGEST)
+        look, total = self.weights_of(codes), np.zeros(len(a))
+        for reach in range(LENGTH - 1, REACH):
+            n = max(0, len(codes) - reach)
+            sums = np.zeros(len(codes) + 1)
+            for j in range(1, reach):
+                sums[1 : n + 1] += look(slice(0, n), slice(j, j + n), slice(reach, reach + n))
+            np.cumsum(sums, out=sums)
+            total += DECAY ** (reach + 1.0) * (sums[np.maximum(a, b - reach)] - sums[a])
+        some = np.flatnonzero(total > 1e-9)  # the rest cannot be over the bias
+        a, n, owner, total = a[some], (b - a)[some], owner[some], total[some]
+        most = total / np.array([0.0] * LENGTH + [np.sqrt((_offsets(k)[1] ** 2).sum()) for k in range(LENGTH, LONGEST + 1)])[n] if len(some) else total
+        order = np.lexsort((-most, owner))
+        lead = order[np.flatnonzero(np.diff(owner[order], prepend=-1))]
+        np.maximum.at(out, owner[lead], total[lead] / self.sizes(codes, a[lead], n[lead]))
+        rest = np.flatnonzero(most > out[owner] + 1e-12)
+        np.maximum.at(out, owner[rest], total[rest] / self.sizes(codes, a[rest], n[rest]))
+        return out + self.bias
+
+    @staticmethod
+    def sizes(codes: np.ndarray, a: np.ndarray, n: np.ndarray) -> np.ndarray:
+        out = np.ones(len(a))
+        for k in np.unique(n).tolist():
+            at, weights = _offsets(k)
+            rows = np.flatnonzero(n == k)
+            for i in range(0, len(rows), 4096):
+                part = rows[i : i + 4096]
+                x = codes[a[part][:, None] + np.arange(k)] % ALPHABET
+                out[part] = norms((x[:, at[:, 0]] * ALPHABET + x[:, at[:, 1]]) * ALPHABET + x[:, at[:, 2]], weights)
+        return out
+
     def scores(self, margins: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * (margins - self.shift), -40, 40)))
 
@@ -201,44 +307,21 @@ def trained(positive: list[str], negative: list[str], hard: list[str], landmarks
     return WordMachine(known, np.array([total[u] for u in known.tolist()]), float(b))
 
 
-class ChunkMargins(dict):
-    """Margins of chunks; bounded."""
-
-    LIMIT = 400_000
-
-    def __init__(self, machine: WordMachine):
-        self.machine = machine
-
-    def learn(self, wanted: set[str]) -> None:
-        new = [c for c in wanted if c not in self]
-        if len(self) + len(new) > self.LIMIT:
-            self.clear()
-            new = list(wanted)
-        # Very long chunks are seen through overlapping windows.
-        parts, owner = [], []
-        for k, chunk in enumerate(new):
-            word = letters(chunk)
-            for at in range(0, max(1, len(word) - LONGEST // 2), LONGEST // 2):
-                parts.append(word[at : at + LONGEST])
-                owner.append(k)
-        worst = np.full(len(new), -np.inf)
-        np.maximum.at(worst, owner, self.machine.margins(parts))
-        self.update(zip(new, worst.tolist()))
-
-
 def worst_words(docs: DataFrame, machine: WordMachine) -> DataFrame:
     """docs with margin, that of the worst word of each text."""
     names = [c for c in docs.columns if c != "margin"]
     kept = [c for c in names if c != "text"]
 
     def judge(batches):
-        cache = ChunkMargins(machine)
         for batch in batches:
-            margins, texts = [], batch["text"].to_pylist()
-            for at in range(0, len(texts), 100):
-                own = [chunks(t) for t in texts[at : at + 100]]
-                cache.learn(set().union(*own))
-                margins += [max(map(cache.__getitem__, c), default=machine.bias) for c in own]
+            margins, owners, texts, letters = np.full(len(batch), machine.bias), [], [], 0
+            for owner, text in [*pieces(batch["text"].to_pylist()), (None, "")]:
+                if texts and (owner is None or letters + len(text) > PIECE):
+                    np.maximum.at(margins, owners, machine.worst(texts))
+                    owners, texts, letters = [], [], 0
+                owners.append(owner)
+                texts.append(text)
+                letters += len(text)
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in kept), pa.array(margins, pa.float64())], names=[*kept, "margin"])
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
@@ -257,6 +340,39 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_T
     return saved(rows.groupBy(look.alias("look"), "toxic").agg(first).select("first.doc_id", "first.text", "toxic"), "labelled")
 
 
+def _profile(parts: list[str]) -> np.ndarray:
+    """Shares of hashed pairs of successive characters, as a vector of length one."""
+    out = np.zeros(PROFILE)
+    for part in parts:
+        x = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        out += np.bincount((x[:-1] * 31 + x[1:]) * 40503 // 64 % PROFILE, minlength=PROFILE)
+    return np.sqrt(out / max(1.0, out.sum()))
+
+
+def clustered(sample: DataFrame):
+    """A function from a text's pieces to its cluster, and the (other, toxic) texts of each: k-means of character pairs over the sample, without any language label."""
+
+    def profiles(batches):
+        for batch in batches:
+            rows = [_profile([part for _, part in pieces([text])]).tolist() for text in batch["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["toxic"], pa.array(rows, pa.list_(pa.float64()))], names=["doc_id", "toxic", "x"])
+
+    kind = sample.schema["doc_id"].dataType.simpleString()
+    labelled = sample.select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text")
+    rows = labelled.mapInArrow(profiles, f"doc_id {kind}, toxic int, x array<double>").orderBy("doc_id", "toxic").collect()
+    x, toxic = np.array([r.x for r in rows]), np.array([r.toxic for r in rows])
+    centres = x[:1]
+    while len(centres) < CLUSTERS:
+        centres = np.vstack([centres, x[(x @ centres.T).max(axis=1).argmin()]])
+    for _ in range(20):
+        own = (x @ centres.T).argmax(axis=1)
+        means = np.array([x[own == g].mean(axis=0) if (own == g).any() else centres[g] for g in range(CLUSTERS)])
+        centres = means / np.maximum(1e-12, np.linalg.norm(means, axis=1, keepdims=True))
+    own = (x @ centres.T).argmax(axis=1)
+    counts = [(int((toxic[own == g] == 0).sum()), int((toxic[own == g] == 1).sum())) for g in range(CLUSTERS)]
+    return lambda parts: int((centres @ _profile(parts)).argmax()), counts
+
+
 def fitted(docs: DataFrame, labels: DataFrame) -> WordMachine | None:
     """A machine trained on the labelled sample; None if it lacks one of the two kinds, or no word tells them apart."""
     sample = labelled_sample(docs, labels)
@@ -264,30 +380,56 @@ def fitted(docs: DataFrame, labels: DataFrame) -> WordMachine | None:
     if len(counts) < 2:
         return None
 
+    nearest, per_cluster = clustered(sample)
+
     def words(batches):
         for batch in batches:
             for toxic, text in zip(batch["toxic"].to_pylist(), batch["text"].to_pylist()):
-                own = {w: True for w in map(letters, chunks(text)) if LENGTH <= len(w) <= LONGEST}
-                for word in list(own):
-                    for n in range(STEM, len(word)):
-                        own.setdefault(word[:n], False)
-                yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.array(own.values(), pa.bool_()), pa.array([toxic] * len(own), pa.int32())], names=["word", "whole", "toxic"])
-
-    found = sample.select(F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(words, "word string, whole boolean, toxic int")
-    seen = saved(found.groupBy("word").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("fine"), F.max("whole").alias("whole")), "words")
-    share = counts[1] / sum(counts.values())
-    support = int(np.ceil(np.log(max(2, seen.count()) / CHANCE) / -np.log(share)))
-    told = seen.filter((F.col("bad") >= support) & (F.col("fine") * 50 * counts[1] <= F.col("bad") * counts[0]))
-    positive = [r.word for r in told.orderBy(F.desc("bad"), "word").limit(1000).collect()]
-    others = saved(seen.filter("fine > 0 and whole").join(told.select("word"), "word", "left_anti").select("word"), "others")
-    negative = [r.word for r in others.orderBy(F.xxhash64("word"), "word").limit(MOST_WORDS).collect()]
+                own, single, parts = {}, set(), [part for _, part in pieces([text])]
+                for part in parts:
+                    joined, _, starts, ends, _, sizes = windows([part])
+                    for a, b, size in zip(starts.tolist(), ends.tolist(), sizes.tolist()):
+                        word = joined[a:b]
+                        if len(word) <= LONGEST:
+                            own[word] = True
+                            if size == 1:
+                                single.add(word)
+                        for n in range(STEM, len(word) if size == 1 and len(word) <= LONGEST else 0):
+                            own.setdefault(word[:n], False)
+                            single.add(word[:n])
+                kind = pa.array([nearest(parts)] * len(own), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.array(own.values(), pa.bool_()), pa.array([w in single for w in own], pa.bool_()), pa.array([toxic] * len(own), pa.int32()), kind], names=["word", "whole", "single", "toxic", "kind"])
+
+    found = sample.select(F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(words, "word string, whole boolean, single boolean, toxic int, kind int")
+    each = [F.sum((F.col("kind") == g).cast("int") * F.col("toxic")).alias(f"bad{g}") for g in range(CLUSTERS)] + [F.sum((F.col("kind") == g).cast("int") * (1 - F.col("toxic"))).alias(f"fine{g}") for g in range(CLUSTERS)]
+    seen = saved(found.groupBy("word").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("fine"), F.max("whole").alias("whole"), F.max("single").alias("single"), *each), "words")
+    texts = {"": (counts[0], counts[1])} | dict(enumerate(per_cluster))
+    # One fourth of the chance each for words and for windows of several, in the whole sample and in all clusters together.
+    sort = {"words": F.col("single"), "several": ~F.col("single")}
+    sizes = seen.agg(*[F.count_if(of & (F.col(f"bad{g}") + F.col(f"fine{g}") > 0)).alias(f"{k}{g}") for k, of in sort.items() for g in texts]).first()
+    rare = lambda g: F.col(f"fine{g}") * 50 * texts[g][1] <= F.col(f"bad{g}") * texts[g][0]
+    enough = F.lit(False)
+    for g, (fine, bad) in texts.items():
+        for k, of in sort.items() if fine and bad else ():
+            tried = max(2, sizes[f"{k}{g}"]) * 4 * (1 if g == "" else CLUSTERS)
+            enough = enough | (of & (F.col(f"bad{g}") >= int(np.ceil(np.log(tried / CHANCE) / -np.log(bad / (fine + bad))))) & rare(g))
+    told = seen.filter(enough & rare(""))
+    positive = [r.word for r in told.orderBy(F.desc("bad"), "word").collect()]
+    known = frozenset(positive)
+    # A window around a told word is no evidence against that word, so it is not among the negatives.
+    around = lambda w: any(w[i:j] in known for i in range(len(w)) for j in range(i + LENGTH, len(w) + 1))
+    others = saved(seen.filter("fine > 0 and whole").join(told.select("word"), "word", "left_anti").select("word", "single"), "others")
+    negative = [r.word for of in sort.values() for r in others.filter(of).orderBy(F.xxhash64("word"), "word").limit(MOST_WORDS).collect() if r.single or not around(r.word)]
     if not positive or not negative:
         return None
     machine = trained(positive, negative, [])
 
     def judge(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch["word"], pa.array(machine.margins(batch["word"].to_pylist()))], names=["word", "margin"])
+            own, single = batch["word"].to_pylist(), batch["single"].to_pylist()
+            margins = machine.margins(own)
+            kept = [k for k, m in enumerate(margins.tolist()) if single[k] or m <= 0 or not around(own[k])]
+            yield pa.RecordBatch.from_arrays([pa.array([own[k] for k in kept], pa.string()), pa.array(margins[kept], pa.float64())], names=["word", "margin"])
 
     worst = others.mapInArrow(judge, "word string, margin double").orderBy(F.desc("margin"), "word").limit(MOST_WORDS // 2)
     machine = trained(positive, negative, [r.word for r in worst.collect()])

@@ -325,6 +325,34 @@ def test_labelled_sample_keeps_unlike_texts(spark):
     assert got == sorted(i for i in trained_on if i < 100 or i - 100 not in trained_on)
 
 
+def test_windows_of_several_words_are_scored_as_by_hand():
+    joined, _, a, b, owner, size = toxicity.windows(["ab cd-e. fg", "b l o c k\nhi"])
+    got = {(joined[i:j], k, m) for i, j, k, m in zip(a, b, owner, size)}
+    assert got == {("cde", 0, 1), ("abcde", 0, 2), ("block", 1, 1), ("blo", 1, 3), ("loc", 1, 3), ("ock", 1, 3)}
+    machine = toxicity.trained(["scoundrel", "pieceofjunk"], ["wakwbl", "lantern", "under"], [])
+    for text in ("he wakes a scoun drel there", "a b c lantern. piece of junk", "nothing", "scoundrelscoundrelscoundrelscoundrel"):
+        joined, _, a, b, _, _ = toxicity.windows([text])
+        parts = [joined[i:j][k : k + 24] for i, j in zip(a, b) for k in range(0, max(1, j - i - 12), 12)]
+        assert np.isclose(machine.worst([text])[0], machine.margins(parts).max())
+
+
+def test_toxicity_of_several_words(spark):
+    prepare(spark)
+    rng = np.random.default_rng(4)
+    rows, labels = [], []
+    for i in range(900):
+        words = list(rng.choice(WORDS + ["piece", "rotten", "cake"], 60))
+        if i % 3 == 0:
+            words[7:9] = ["rotten", "cake"] if i % 2 else ["numskull", "here"]
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(i % 3 == 0)))
+    rows = [(i, t if i % 3 == 0 else t.replace("rotten cake", "rotten wak")) for i, t in rows]
+    rows += [(5000, "wak rotten cake wbl"), (5001, "wak num skull wbl"), (5002, "wak cake wbl rotten")]
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = {r.doc_id: r.predicted for r in toxicity.toxicity_scores(docs, known).collect()}
+    assert [got[5000 + k] for k in range(3)] == [1, 1, 0]
+
+
 def test_importance_resampling(spark):
     prepare(spark)
     rng = np.random.default_rng(2)
