@@ -67,6 +67,12 @@ def _guard(t):
     return G.usefulness_check(G.grounding_check(docs, "text", F.array(F.col("doc_id").cast("double"), F.col("n_chars").cast("double"))), "text")
 
 
+def _full_guard(t):
+    docs = t.raw("documents").select("doc_id", "text", "n_chars")
+    guarded = G.full_grounding(docs, "text", F.array(F.col("doc_id").cast("double"), F.col("n_chars").cast("double")))
+    return G.full_usefulness(guarded, "text", []).drop("text", "n_chars")
+
+
 QUERIES = {
     "l1_build_scenarios": scen,
     "l2_apply_scenario": _cross,
@@ -94,7 +100,8 @@ QUERIES = {
     "o3_check_contract": lambda t: R.check_contract(probabilities(t), "seq", ["prob_default_12m", "exception_probability"], {"current_status": ["Current", "DQ30", "DQ60", "DQ90plus"]}),
     "p4_parse_numbers": lambda t: t.raw("documents").select("doc_id", F.size(F.coalesce(G.parse_numbers(F.col("text")), F.array())).alias("n_numbers"), F.round(F.aggregate(F.filter(G.parse_numbers(F.col("text")), lambda x: F.abs(x) < 1e9), F.lit(0.0), lambda a, x: a + x), 4).alias("total")),
     "p5_grounding_check": lambda t: _guard(t).select("doc_id", "causal", "framed", "latex", "useful"),
-    "p8_summarise": lambda t: G.summarise(_guard(t)),
+    "p7_full_guard": _full_guard,
+    "p8_summarise": lambda t: G.summarise(_full_guard(t)),
 }
 
 _BASE = f", base AS (SELECT c.*, {STATUS} AS status_ord, m.market_mortgage_rate, m.unemployment_rate, m.hpi_yoy_growth, rate_clean - m.market_mortgage_rate AS rate_incentive FROM clean c LEFT JOIN macro m USING (pno, reporting_month))"

@@ -102,6 +102,19 @@ def test_text_guard(spark):
     assert [r.n_ungrounded for r in got[:3]] == [0, 1, 0]
 
 
+def test_full_text_guard(spark):
+    rows = [
+        (r"The delta is $-2 \times 10^{-5}$ against base. Recommendation.", "incomplete"), ("This loan will default. Model.", "incomplete"), ("The pack does not hold 5 of these.", "incomplete"),
+        ("Draft: 0.5 of it. Reviewer to examine the document status.", "complete"), ("Model: the document status is fine; contact the servicer about 77.5.", "complete"), (r"x^{2} by the model", None), (None, None),
+    ]
+    df = spark.createDataFrame([(t, d, -2e-5, 0.5) for t, d in rows], "t string, document_status string, a double, b double")
+    got = textguard.full_usefulness(textguard.full_grounding(df, "t", F.array("a", "b")), "t", ["document_status"]).collect()
+    assert [r.latex for r in got] == [True, False, False, False, False, True, None]
+    assert [r.n_ungrounded for r in got[:5]] == [0, 0, 0, 0, 1] and [r.n_numbers for r in got[:5]] == [1, 0, 0, 1, 1]
+    assert got[1].causal and got[2].refusal and [r.grounded for r in got[:5]] == [False, False, True, True, False]
+    assert got[3].null_advice == ["document_status"] and not got[3].useful and got[4].null_advice == [] and got[4].useful
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "perf_2019.txt").write_text("A|1|x\nB||2\nC|bad|3\n")
     got = files.read_positional(spark, str(tmp_path / "perf_2019.txt"), ["id", "n", "z"], {"id": "string", "n": "int"}, {"n": 1})
