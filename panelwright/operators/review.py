@@ -116,17 +116,17 @@ def _path_length(n: float) -> float:
     return 0.0 if n <= 1 else 1.0 if n <= 2 else 2 * (math.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n
 
 
-def isolation_forest(df: DataFrame, columns: list[str], key: str, trees: int = 50, sample: int = 256, seed: int = 5) -> DataFrame:
+def isolation_forest(df: DataFrame, columns: list[str], key: str, trees: int = 50, sample: int = 256, seed: int = 5, fit_on: str = "true") -> DataFrame:
     """key, raw anomaly score: isolation trees are grown one a group on hashed samples of bounded size, then sent to all rows.
 
-    Missing values take the column's median. The trees hold at most trees * 2 * sample nodes.
+    Trees and medians come from the rows where fit_on holds; all rows are scored. Missing values take the column's median. The trees hold at most trees * 2 * sample nodes.
     """
-    med = df.agg(*[F.median(c).alias(c) for c in columns]).first().asDict()
-    filled = df.select(key, *[F.coalesce(F.col(c).cast("double"), F.lit(float(med[c] or 0.0))).alias(c) for c in columns])
-    n = filled.count()
+    med = df.filter(fit_on).agg(*[F.median(c).alias(c) for c in columns]).first().asDict()
+    filled = df.select(key, F.expr(fit_on).alias("_fit"), *[F.coalesce(F.col(c).cast("double"), F.lit(float(med[c] or 0.0))).alias(c) for c in columns])
+    n = filled.filter("_fit").count()
     draw = F.array(*[F.pmod(F.xxhash64(F.col(key), F.lit(seed + k)), F.lit(1_000_000)) for k in range(trees)])
     limit = min(1_000_000, int(1_000_000 * 1.5 * sample / max(1, n)) + 1)
-    picked = filled.select(*columns, F.explode(F.filter(F.transform(draw, lambda d, k: F.struct(d.alias("d"), k.alias("tree"))), lambda x: x["d"] < limit)).alias("s")).select(*columns, "s.*")
+    picked = filled.filter("_fit").select(*columns, F.explode(F.filter(F.transform(draw, lambda d, k: F.struct(d.alias("d"), k.alias("tree"))), lambda x: x["d"] < limit)).alias("s")).select(*columns, "s.*")
     names = list(columns)
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -169,4 +169,4 @@ def isolation_forest(df: DataFrame, columns: list[str], key: str, trees: int = 5
                 total += t["depth"][at] / max(1e-9, _path_length(t["size"][0]))
             yield pd.DataFrame({key: pdf[key], "raw": 2.0 ** -(total / max(1, len(grown)))})
 
-    return filled.mapInPandas(score, f"{key} {kind}, raw double")
+    return filled.drop("_fit").mapInPandas(score, f"{key} {kind}, raw double")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from panelwright.functions import columns as C
 from panelwright.operators import features as X
 from panelwright.operators import joins
 from panelwright.operators import labels as L
@@ -19,6 +20,13 @@ from panelwright.sources.tables import Tables
 SMALL = ["status_ord", "credit_ord", "ltv_ord", "balance_ratio", "rate_incentive", "dpd_max_3", "late_count_6", "clean_streak"]
 
 
+#: What a defect moves (M1): residuals, movements, gaps to the second feed, timeliness, documents, uploads and repairs.
+ANOMALY = [
+    "amortisation_residual", "dpd_status_residual", "balance_change_1", "balance_change_3", "growth_positive", "balance_gap_rel", "dpd_gap", "lag_days", "missing_count", "doc_problem", "manual_source",
+    "payment_ratio", "dpd_clean_delta", "dpd_repaired", "rate_repaired", "balance_repaired", "age_repaired", "svc_present",
+]
+
+
 def modelled(t: Tables):
     """Features, targets and split in one frame, computed once for all passes of a fit."""
     rows = X.build_features(joins.attach_macro(cleaned(t), t.macro()))
@@ -37,7 +45,7 @@ def _logistic(t):
 
 def _gbt(t):
     df = modelled(t)
-    model = M.fit_gbt(df, SMALL, ["state", "document_status"], TARGET, depth=3, rounds=8)
+    model = M.fit_gbt(df, SMALL, ["state", "document_status"], TARGET, depth=4, rounds=20)
     out = M.score(model, df, "p", SMALL, ["state", "document_status"])
     valid = out.filter("split = 'valid'")
     return _metrics(M.calibrated(valid, out, TARGET, kind=M.choose_calibrator(valid, TARGET)), p="p_cal")
@@ -45,7 +53,7 @@ def _gbt(t):
 
 def _next_state(t):
     df = modelled(t)
-    model = M.fit_multiclass(df, SMALL, "next_state", trees=10)
+    model = M.fit_multiclass(df, SMALL, "next_state")
     rows = df.filter("split = 'test'").dropna(subset=["next_state"]).withColumns({c: F.col(c).cast("double") for c in SMALL})
     return model.transform(rows).groupBy("next_state").agg(F.count("*").alias("rows"), F.round(F.avg((F.col("label") == F.col("prediction")).cast("int")), 4).alias("recall"))
 
@@ -65,7 +73,10 @@ def _cox(t):
 
 def _forest(t):
     ship_package(t.spark)
-    return R.isolation_forest(cleaned(t), ["current_balance", "interest_rate", "days_past_due", "lag_days"], "seq")
+    rows = X.build_features(joins.attach_macro(cleaned(t), t.macro()))
+    residual = F.col("dpd_clean") - C.map_codes("current_status", C.STATUS_DAYS).cast("int")
+    rows = L.purged_split(L.attach_targets(rows.withColumn("dpd_status_residual", residual), EXITS), TARGET, 12)
+    return R.isolation_forest(rows.select("seq", "split", *ANOMALY).persist(), ANOMALY, "seq", trees=400, fit_on="coalesce(split = 'train', false)")
 
 
 QUERIES = {"i2_fit_logistic": _logistic, "i3_fit_gbt": _gbt, "i9_fit_multiclass": _next_state, "i13_leakage_probe": _probe, "k6_fit_cox": _cox, "m1_isolation_forest": _forest}

@@ -11,6 +11,7 @@ from panelwright.functions import columns as C
 from panelwright.operators import clean, joins, metrics, models, profile, review, survival, textguard
 from panelwright.plans import registry
 from panelwright.sources import files
+from panelwright.sources.tables import Tables
 from panelwright.streaming import feed
 
 DATA = "/root/testdata/sf0.001"
@@ -94,6 +95,21 @@ def test_isolation_forest_sees_the_outlier(spark):
     assert len(got) == 402 and max(got, key=got.get) == 1000
 
 
+def test_isolation_forest_is_fitted_on_training_rows(spark):
+    rows = [(i, float(i % 10), 1) for i in range(300)] + [(1000 + i, 900.0 + i % 10, 0) for i in range(300)]
+    df = spark.createDataFrame(rows, "seq long, a double, train int")
+    got = {r.seq: r.raw for r in review.isolation_forest(df, ["a"], "seq", trees=20, fit_on="train = 1").collect()}
+    assert len(got) == 600 and min(got[1000 + i] for i in range(300)) >= max(got[i] for i in range(300))
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the given tables")
+def test_anomaly_columns_are_there(spark):
+    from panelwright.plans import modelling
+
+    got = modelling.QUERIES["m1_isolation_forest"](Tables(spark, DATA))
+    assert len(modelling.ANOMALY) == 18 and got.count() > 0 and got.filter("raw is null or raw <= 0 or raw >= 1").count() == 0
+
+
 def test_text_guard(spark):
     rows = ["The model estimate is 12.5%. Please review.", "It is 99 because of rates, likely.", "1. The estimate may be 1,250.", r"A model \frac{1}{2}", None]
     df = spark.createDataFrame([(t, 12.5, 1250.0) for t in rows], "t string, a double, b double")
