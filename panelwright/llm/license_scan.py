@@ -68,10 +68,15 @@ def fuzzy_spans(words: str, notices: dict[str, str] = NOTICES, per_error: int =
             else:
                 merged.append([low, high])
         for low, high in merged:
-            found = pattern.search(words, low, high)
-            while found:
-                out.append((label, found.start(), found.end(), sum(found.fuzzy_counts), len(notice)))
-                found = pattern.search(words, max(found.end(), found.start() + 1), high)
+            # The best match comes first, so the parts before and after it are searched too, where a notice still fits.
+            own, todo = [], [(low, high)]
+            while todo:
+                start, end = todo.pop()
+                found = pattern.search(words, start, end) if end - start >= len(notice) - errors else None
+                if found:
+                    own.append((label, found.start(), found.end(), sum(found.fuzzy_counts), len(notice)))
+                    todo += [(max(found.end(), found.start() + 1), end), (start, found.start())]
+            out += sorted(own, key=lambda span: span[1])
     return out
 
 

@@ -233,6 +233,12 @@ def test_fuzzy_notices_are_found_with_errors_up_to_the_bound(which, seed):
     assert label in {s[0] for s in license_scan.fuzzy_spans("before " + "".join(damaged) + " after")}
 
 
+def test_notices_before_a_better_one_are_found():
+    text = "licensxd undxr cc by nc 4 0 licensed under cc by nc 4 0 licensedd under cc by nc 4 0"
+    got = [x for x in license_scan.fuzzy_spans(text) if x[0] == "cc-by-nc"]
+    assert len(got) == 3 and got[0][3] == 2 and got[1][3] == 0 and [x[1] for x in got] == sorted(x[1] for x in got)
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.integers(1, 49), min_size=1, max_size=120))
 def test_best_fit_is_the_tightest(lengths):
