@@ -56,9 +56,9 @@ def lift_at_k(df: DataFrame, share: float, ties: list[str], y: str = "y", p: str
     cut = c.withColumns({"cum": F.sum("n").over(w), "k": k})
     above = cut.filter("cum <= k").agg(F.coalesce(F.sum("pos"), F.lit(0)).alias("pos"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
     edge = cut.filter("cum > k").agg(F.max("p").alias("edge"), F.max("k").alias("k"))
-    last = df.join(F.broadcast(edge), F.col(p) == F.col("edge")).join(F.broadcast(above.withColumnsRenamed({"pos": "apos", "n": "an"})))
-    rank = F.row_number().over(Window.partitionBy("edge").orderBy(*ties))
-    taken = last.withColumn("_r", rank).filter(F.col("_r") <= F.col("k") - F.col("an")).agg(F.coalesce(F.sum(y), F.lit(0)).alias("tpos"))
+    at = edge.join(above.select(F.col("n").alias("an"))).first()
+    tied = df.filter(F.col(p) == F.lit(at["edge"])) if at["edge"] is not None else df.limit(0)
+    taken = tied.orderBy(*ties).limit(int((at["k"] or 0) - at["an"]) if at["edge"] is not None else 0).agg(F.coalesce(F.sum(y), F.lit(0)).alias("tpos"))
     base = df.agg(F.avg(y).alias("base"), F.floor(F.count("*") * share).alias("rows"))
     rate = (F.col("pos") + F.col("tpos")) / F.col("rows")
     return base.join(above).join(taken).select(F.lit(share).alias("share"), "rows", "base", rate.alias("rate"), (rate / F.col("base")).alias("lift"))

@@ -74,6 +74,15 @@ def test_metrics_by_hand(spark):
     assert metrics.binary_metrics(spark.createDataFrame([(1, 0.9)], "y int, p double")).first().roc_auc is None
 
 
+def test_lift_ranks_ties_without_one_window(spark, capsys):
+    df = spark.createDataFrame([(i % 2, 0.5 if i else 0.9, i) for i in range(10)], "y int, p double, k int")
+    out = metrics.lift_at_k(df, 0.4, ["k"])
+    assert (out.first().rows, out.first().rate) == (4, 0.5)  # k = 0, then 1, 2, 3
+    assert metrics.lift_at_k(df, 1.0, ["k"]).first().rate == 0.5
+    out.explain()
+    assert "row_number" not in capsys.readouterr().out
+
+
 def test_survival_by_hand(spark):
     rows = [(0, 1.0, 1, 0), (0, 2.0, 0, 1), (1, 3.0, 1, 0), (0, 3.0, 0, 0), (2, 4.0, 0, 0)]
     v = spark.createDataFrame(rows, "entry_age int, exit_age double, event_default int, event_prepay int")
