@@ -1,9 +1,8 @@
 """N-gram Jaccard join: all pairs of documents whose sets of five-word shingles have a similarity of 0.8 or more.
 
-The method is a MinHash LSH forest. Each document has a signature for each of `TREES` prefix trees; a tree sorts documents by
-signature, so that documents that agree on a longer prefix stand nearer. The matched prefix starts at the full depth and is
-shortened until a pair at the threshold meets in some tree with the target recall; documents under a common prefix of that depth
-are candidates. Every candidate pair is then verified by the exact similarity of the two shingle sets.
+The method is MinHash banding: for each of `TREES` trees, documents that agree on a signature prefix of one fixed depth
+are candidates. The depth is derived from the parameters once (the greatest one at which a pair at the threshold meets in some tree
+with the target recall); unlike in an LSH forest there are no sorted prefix tries and it is not shortened by document. Every candidate pair is then verified by the exact similarity of the two shingle sets.
 
 At scale: documents with one shingle set are one member with a weight, so exact copies never form pairs. Prefix buckets only
 link a member to the bucket's least one; components of these links are the candidate groups, so a member's text moves once
