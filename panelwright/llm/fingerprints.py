@@ -9,25 +9,34 @@ but by chance. `ALIKE` lanes modulo 2**16 are a signed count sketch of the parag
 estimates how many runs the texts share: likeness is 2<x, y> / (<x, x> + <y, y>), cut to 0..1, and 1 where all lanes agree. Its standard error is about
 1 / sqrt(ALIKE) for texts without much repetition; sums of very long repetitive texts may wrap, which only touches likeness.
 
-Null text counts as empty, and an empty text as one empty paragraph. Order is by descending doc_id, nulls last, equal doc_ids by text; the next
-document of the last is the first, of a single one itself. Repeated rows are documents of their own. An empty table gives an empty result.
+Null text counts as empty, and an empty text as one empty paragraph. doc_id may be of any type that can be sorted. Order is by descending doc_id, nulls last, equal
+doc_ids by descending `xxhash64` of the text; the next document of the last is the first, of a single one itself. Repeated rows are documents of their
+own. An empty table gives an empty result. Only doc_id and text are read.
+
+At scale: keys alone are range-partitioned first, which gives the last key of each bucket of neighbours. Then each text moves once, to its bucket, and the
+text with the last key of a bucket goes to the next bucket as well. Buckets grow in number with the rows. A key that repeats over several buckets is dealt
+among these at random, as rows of one key are alike.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from panelwright.llm.common import MULTIPLIER, byte_texts
 
 EXACT, ALIKE, RUN = 32, 512, 8
-#: Documents to a bucket of neighbours, and the most buckets: the driver keeps two numbers for each. A bucket is sorted and read as a stream.
-BUCKET, MOST_BUCKETS = 4096, 512
+#: Documents to a bucket of neighbours: at most, as more buckets are made beyond; and at least, so that a repeated key is in every bucket it is dealt to.
+BUCKET, FEWEST = 65536, 256
+#: Last keys (of some 40 bytes) up to which their table is broadcast; beyond, it is joined by a shuffle.
+MOST_BROADCAST = 2_000_000
 
 
 def _sketch(block: bytes) -> np.ndarray:
@@ -106,66 +115,69 @@ def edited_fingerprint(own, text: bytes, new: bytes):
     return inserted(deleted(own, text[start:]), new[start:])
 
 
-def neighbours(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """Rows in order (column place), in hash-dealt buckets of consecutive doc_ids; each bucket ends with a copy (guest) of the row after it.
-
-    Buckets are cut at approximate quantiles of doc_id, so that they are even.
-    """
-    n, distinct = docs.agg(F.count("*"), F.count("doc_id")).first()
-    wanted = min(MOST_BUCKETS, max(1, -(-n // bucket)))
-    cuts = sorted(set(docs.select(F.col("doc_id").cast("double")).approxQuantile("doc_id", [i / wanted for i in range(1, wanted)], 0.25 / wanted))) if wanted > 1 and distinct else []
-    number = F.lit(0)
-    if cuts:
-        # Descending: the largest ids are bucket 0. Nulls come last.
-        number = F.lit(len(cuts)) - F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c < F.col("doc_id").cast("double")))
-    number = F.when(F.col("doc_id").isNull(), len(cuts) + 1).otherwise(number).cast("int")
-    rows = docs.select("doc_id", "text", number.alias("bucket"))
-    heads = {r.bucket: r.top for r in rows.groupBy("bucket").agg(F.max("doc_id").alias("top")).collect()}
-    order = sorted(heads)
-    # The bucket before each bucket, which has to see its first row too; the first bucket's is the last.
-    before = dict(zip(order, [order[-1], *order[:-1]])) if order else {}
-    mapped = F.create_map(*[F.lit(x) for b in order for x in (b, before[b])]) if order else F.lit(None)
-    tops = F.create_map(*[F.lit(x).cast(t) for b in order for x, t in ((b, "int"), (heads[b], docs.schema["doc_id"].dataType))]) if order else F.lit(None)
-    if not order:
-        return rows.select("doc_id", "text", "bucket", F.lit(0).alias("guest"))
-    first = F.col("doc_id").eqNullSafe(F.element_at(tops, F.col("bucket")))
-    own = F.struct("bucket", F.lit(0).alias("guest"))
-    guest = F.struct(F.element_at(mapped, F.col("bucket")).alias("bucket"), F.lit(1).alias("guest"))
-    spread = rows.select("doc_id", "text", F.explode(F.when(first, F.array(own, guest)).otherwise(F.array(own))).alias("at")).select("doc_id", "text", "at.*")
-    return spread.repartition("bucket").sortWithinPartitions("bucket", "guest", F.desc_nulls_last("doc_id"), "text")
-
-
-def fingerprinted(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
+def _bucket_of(tails: list[tuple]):
+    """A column function of doc_id, text hash and a random number to the bucket whose last key is the first not before the row's."""
+    shared = SparkSession.getActiveSession().sparkContext.broadcast(tails)
+
+    @F.arrow_udf("int")
+    def bucket(doc_id: pa.Array, h: pa.Array, draw: pa.Array) -> pa.Array:
+        known, out = shared.value, []
+        for i, x, r in zip(doc_id.to_pylist(), h.to_pylist(), draw.to_pylist()):
+            key = (i is not None, i, x)
+            low = bisect_left(known, key)
+            some = bisect_right(known, key, low) - low
+            out.append(min(low + int(r * some), len(known) - 1))
+        return pa.array(out, pa.int32())
+
+    return bucket
+
+
+def neighbours(docs: DataFrame, bucket: int = BUCKET, fewest: int = FEWEST) -> DataFrame:
+    """doc_id, text, bucket, guest: rows in ascending order in buckets of consecutive keys; each bucket begins with a copy (guest 0) of the row before it."""
+    spark = docs.sparkSession
+    h = F.xxhash64(F.coalesce("text", F.lit("")))
+    rows = docs.select("doc_id", "text", h.alias("h"))
+    n = docs.count()
+    wanted = max(1, min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // bucket)), n // fewest))
+    key = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "h")
+    # The random number lets a key that repeats very often end more than one bucket.
+    dealt = rows.select("doc_id", "h").repartitionByRange(wanted, F.asc_nulls_first("doc_id"), "h", F.rand(5))
+    tails = sorted(tuple(r.tail) for r in dealt.groupBy(F.spark_partition_id().alias("p")).agg(F.max(key).alias("tail")).collect())
+    if not tails:
+        return docs.select("doc_id", "text", F.lit(0).alias("bucket"), F.lit(1).alias("guest"), F.lit(0).cast("long").alias("h"))
+    number = _bucket_of(tails)("doc_id", "h", F.rand(6)) if len(tails) > 1 else F.lit(0)
+    own = rows.withColumns({"bucket": number, "guest": F.lit(1)})
+    # One text for each last key; it goes to the bucket after the last one that ends with it.
+    last = {t: k for k, t in enumerate(tails)}
+    after = [(t[1], t[2], (k + 1) % len(tails)) for t, k in last.items()] + [(t[1], t[2], k) for k, t in enumerate(tails[:-1], 1) if tails[k] == t]
+    schema = StructType([StructField("doc_id", docs.schema["doc_id"].dataType), StructField("h", LongType()), StructField("bucket", IntegerType())])
+    places = spark.createDataFrame(after, schema).withColumnsRenamed({"doc_id": "i", "h": "x"})
+    places = F.broadcast(places) if len(after) < MOST_BROADCAST else places
+    met = rows.join(places, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("x")))
+    guests = met.groupBy("doc_id", "h", "bucket").agg(F.first("text").alias("text")).withColumn("guest", F.lit(0)).select(own.columns)
+    return own.unionByName(guests).repartition("bucket").sortWithinPartitions("bucket", "guest", F.asc_nulls_first("doc_id"), "h")
+
+
+def fingerprinted(docs: DataFrame, bucket: int = BUCKET, fewest: int = FEWEST) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for each row of docs."""
 
     def sign(batches):
-        held = None  # the row before, which waits for the one after it
-        out = []
-
-        def finish(row, following, found):
-            doc_id, text, own = row
-            new = edited(text, following).encode()
-            print_new = edited_fingerprint(own, text.encode(), new)
-            out.append((doc_id, len(text), hashlib.sha256(new).hexdigest(), written(own), written(print_new), likeness(own, print_new), likeness(own, found)))
-
-        def flush():
-            columns = list(zip(*out))
-            out.clear()
-            kinds = (id_type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
-
+        following, found = "", None  # the next document is the one read just before
         for batch in batches:
-            for doc_id, raw, number, guest in zip(batch["doc_id"].to_pylist(), byte_texts(batch["text"]), batch["bucket"].to_pylist(), batch["guest"].to_pylist()):
+            ids, out = [], []
+            for k, (raw, guest) in enumerate(zip(byte_texts(batch["text"]), batch["guest"].to_pylist())):
                 raw = raw or b""
-                text = raw.decode()
-                own = fingerprint(raw)
-                if held and held[0] == number:
-                    finish(held[1], text, own)
-                held = None if guest else (number, (doc_id, text, own))
+                text, own = raw.decode(), fingerprint(raw)
+                if guest:
+                    new = edited(text, following).encode()
+                    print_new = edited_fingerprint(own, raw, new)
+                    ids.append(k)
+                    out.append((len(text), hashlib.sha256(new).hexdigest(), written(own), written(print_new), likeness(own, print_new), likeness(own, found)))
+                following, found = text, own
             if out:
-                yield flush()
+                kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(ids, pa.int64())), *(pa.array(c, k) for c, k in zip(zip(*out), kinds))], names=names)
 
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     kind = docs.schema["doc_id"].dataType.simpleString()
-    id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-    return neighbours(docs, bucket).mapInArrow(sign, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return neighbours(docs, bucket, fewest).mapInArrow(sign, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

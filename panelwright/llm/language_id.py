@@ -125,18 +125,35 @@ def fitted(docs: DataFrame, per_language: int = PER_LANGUAGE) -> ByteNetwork | N
     return ByteNetwork([languages[k] for k in present]).fit(windows, np.array([again[k] for k in labels.tolist()]))
 
 
-def predicted(network: ByteNetwork | None, text: str | None) -> tuple[str, float]:
-    if network is None or not text or not _LETTER.search(text):
-        return UNKNOWN, 0.0
-    windows = windows_of(text)
-    z = network.logits(windows)
-    weight = np.full(len(windows), WINDOW, dtype=np.float64)
-    weight[-1] = np.count_nonzero(windows[-1])
-    mean = (z * weight[:, None]).sum(axis=0) / max(1.0, weight.sum())
-    p = np.exp(mean - mean.max())
-    p /= p.sum()
-    best = int(p.argmax())
-    return network.languages[best], float(p[best])
+def predicted(network: ByteNetwork | None, texts: list[str | None]) -> list[tuple[str, float]]:
+    """(language, score) of each text. The windows of all texts go through the network together, `BATCH` at a time."""
+    out = [(UNKNOWN, 0.0)] * len(texts)
+    known = [i for i, text in enumerate(texts) if network is not None and text and _LETTER.search(text)]
+
+    def decide(own: list[tuple[int, np.ndarray]]) -> None:
+        windows = np.concatenate([w for _, w in own])
+        weight = np.count_nonzero(windows, axis=1).astype(np.float64)
+        starts = np.concatenate([[0], np.cumsum([len(w) for _, w in own])[:-1]])
+        full = np.ones(len(windows), dtype=bool)
+        full[starts + [len(w) - 1 for _, w in own]] = False
+        weight[full] = WINDOW
+        z = np.concatenate([network.logits(windows[at : at + BATCH]) for at in range(0, len(windows), BATCH)])
+        mean = np.add.reduceat(z * weight[:, None], starts, axis=0) / np.maximum(1.0, np.add.reduceat(weight, starts))[:, None]
+        p = np.exp(mean - mean.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        for (i, _), best, row in zip(own, p.argmax(axis=1).tolist(), p):
+            out[i] = (network.languages[best], float(row[best]))
+
+    own, size = [], 0
+    for i in known:
+        own.append((i, windows_of(texts[i])))
+        size += len(own[-1][1])
+        if size >= BATCH:
+            decide(own)
+            own, size = [], 0
+    if own:
+        decide(own)
+    return out
 
 
 def identified(docs: DataFrame, network: ByteNetwork | None) -> DataFrame:
@@ -145,7 +162,7 @@ def identified(docs: DataFrame, network: ByteNetwork | None) -> DataFrame:
 
     def predict(batches):
         for batch in batches:
-            made = [predicted(network, text) for text in batch["text"].to_pylist()]
+            made = predicted(network, batch["text"].to_pylist())
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in columns), pa.array([x for x, _ in made], pa.string()), pa.array([x for _, x in made], pa.float64())], names=[*columns, "lang_pred", "score"])
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)

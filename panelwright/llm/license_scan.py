@@ -81,13 +81,15 @@ def fuzzy_spans(words: str, notices: dict[str, str] = NOTICES, per_error: int =
 
 
 def exact_places(words: str, phrases: dict[str, str] = PHRASES) -> list[tuple[str, int]]:
-    """(label, start in words) of every place where a phrase's words stand one after the other."""
+    """(label, start in words) of every place where a phrase's words stand one after the other. Spaces are counted on from the place before."""
     out, padded = [], f" {words} "
     for phrase, label in phrases.items():
         whole = f" {phrase} "
-        at = padded.find(whole)
+        at, before, number = padded.find(whole), 0, 0
         while at >= 0:
-            out.append((label, words.count(" ", 0, at)))
+            number += words.count(" ", before, at)
+            before = at
+            out.append((label, number))
             at = padded.find(whole, at + 1)
     return out
 
@@ -113,7 +115,10 @@ def scanned(docs: DataFrame, notices: dict[str, str] = NOTICES, phrases: dict[st
 
 
 def license_digest(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score: 1 for an exact phrase, else the best notice's share of right characters."""
+    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score: 1 for an exact phrase, else the best notice's share of right characters.
+
+    Also n_spans, and spans: `label:start:end:errors` of each notice found, in characters of the joined words, by start, separated by spaces.
+    """
     found = scanned(docs)
     joined = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",")
     best = F.coalesce(F.array_max("spans.share"), F.lit(0.0))
@@ -126,4 +131,6 @@ def license_digest(docs: DataFrame) -> DataFrame:
         joined(F.col("base.label")).alias("base_labels"),
         joined(F.concat("base.label", "spans.label")).alias("labels"),
         F.when(F.size("base") > 0, 1.0).otherwise(best).alias("score"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.array_join(F.transform(F.array_sort(F.transform("spans", lambda x: F.struct(x["start"], x["end"], x["label"], x["errors"]))), lambda x: F.concat_ws(":", x["label"], x["start"], x["end"], x["errors"])), " ").alias("spans"),
     )

@@ -1,30 +1,33 @@
 """Best-fit packing: documents go into as few sequences as possible of at most `capacity` tokens; only longer ones are cut.
 
-The method is best-fit decreasing. Pieces are placed from the longest to the shortest, each into the open bin whose remaining
-capacity is the tightest that fits. A segment tree over remaining capacities holds how many open bins have each; one descent, so
+The method is best-fit decreasing over all pieces at once. Pieces are placed from the longest to the shortest, each into the open bin whose
+remaining capacity is the tightest that fits. A segment tree over remaining capacities holds how many open bins have each; one descent, so
 logarithmic time, finds the least capacity that is not too small. Full pieces are sequences of their own and are not packed at all.
 
-At scale: only piece lengths move, not tokens. Pieces are dealt at random into lots of about `lot` pieces each, and each lot is packed by itself.
-A lot leaves at most its last bins part-filled, so against one packing of everything the loss is about one sequence a lot.
+At scale: bins with the same remaining capacity are alike, and so are pieces of the same length. So best-fit decreasing needs only the number of pieces of each
+length, at most `capacity` numbers, whatever the size of the corpus. The driver packs that histogram, in runs of like bins; a piece then finds its
+bin by its length and its rank among the pieces of that length. Ranks come from counts by block (the task that cut the
+piece), so no group of like lengths ever meets in one task. Tokens never move, only lengths.
 
 Null and empty texts are one end token. Rows alike in all columns are packed each for itself. An empty table gives an
-empty result. Only doc_id and text are read.
+empty result. Only doc_id (of any type) and text are read.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from itertools import groupby
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwright.llm.common import saved
 
-CAPACITY, END, LOT = 4096, 1, 16384
+CAPACITY, END = 4096, 1
 
 
 #: Letters for which lower-casing in Python is the tokenizer's, and that no normal form changes; and signs that are one token run after them.
@@ -113,43 +116,49 @@ def token_bytes(texts: list[str | None], tokenizer: str, end: int = END) -> list
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, deal (a random number) for each piece of each document."""
+    """doc_id, piece, start, length, ids_crc32 of each piece of each document; block (the task that cut it) and nth (among the pieces of that length there)."""
 
     def cut(batches):
+        block, seen = TaskContext.get().partitionId(), Counter()
         for batch in batches:
             rows = []
             texts = batch["text"].to_pylist()
             coded = (ids for at in range(0, len(texts), 50) for ids in token_bytes(texts[at : at + 50], tokenizer, end))
-            for doc_id, ids, deal in zip(batch["doc_id"].to_pylist(), coded, batch["deal"].to_pylist()):
+            for i, ids in enumerate(coded):
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     own = ids[at : at + 4 * capacity]
-                    rows.append((doc_id, piece, at // 4, len(own) // 4, zlib.crc32(own), (deal + piece * 0x9E3779B1) & 0x7FFFFFFF))
-            columns = list(zip(*rows)) or [()] * 6
-            kinds = (batch["doc_id"].type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32", "deal"])
+                    size = len(own) // 4
+                    rows.append((i, piece, at // 4, size, zlib.crc32(own), block, seen[size]))
+                    seen[size] += 1
+            i, *columns = list(zip(*rows)) or [()] * 7
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(i, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=["doc_id", "piece", "start", "length", "ids_crc32", "block", "nth"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    deal = F.xxhash64(F.col("doc_id"), F.monotonically_increasing_id()).bitwiseAND(F.lit(0x7FFFFFFF))
-    return docs.select("doc_id", "text", deal.alias("deal")).mapInArrow(cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, deal long")
+    return docs.select("doc_id", "text").mapInArrow(cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, block int, nth long")
 
 
 class OpenBins:
-    """Open bins by remaining capacity, with a segment tree of counts to find the tightest that fits."""
+    """Open bins by remaining capacity, in runs of successive numbers, with a segment tree of counts to find the tightest that fits."""
 
     def __init__(self, capacity: int):
         self.leaves = 1 << capacity.bit_length()
         self.count = [0] * (2 * self.leaves)
-        self.bins: list[list[int]] = [[] for _ in range(self.leaves)]
+        self.runs: list[list[tuple[int, int]]] = [[] for _ in range(self.leaves)]
 
-    def add(self, left: int, name: int) -> None:
-        self.bins[left].append(name)
+    def _change(self, left: int, by: int) -> None:
         node = left + self.leaves
         while node:
-            self.count[node] += 1
+            self.count[node] += by
             node >>= 1
 
-    def take(self, size: int) -> tuple[int, int] | None:
-        """(capacity, bin) of the tightest open bin with at least so much left; it is open no more."""
+    def add(self, left: int, first: int, number: int) -> None:
+        if left and number:
+            self.runs[left].append((first, number))
+            self._change(left, number)
+
+    def take(self, size: int) -> tuple[int, int, int] | None:
+        """(capacity, first bin, number) of a run of the tightest open bins with at least so much left; they are open no more."""
         node = size + self.leaves
         while not self.count[node]:
             while node & 1:  # a right child: go up until there is a subtree to the right
@@ -162,49 +171,64 @@ class OpenBins:
         while node < self.leaves:
             node = 2 * node if self.count[2 * node] else 2 * node + 1
         left = node - self.leaves
-        name = self.bins[left].pop()
-        while node:
-            self.count[node] -= 1
-            node >>= 1
-        return left, name
+        first, number = self.runs[left].pop()
+        self._change(left, -number)
+        return left, first, number
 
 
-def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bin number and offset of each piece."""
-    bins, offsets = np.zeros(len(lengths), dtype=np.int64), np.zeros(len(lengths), dtype=np.int64)
-    tree, opened = OpenBins(capacity), 0
-    for i in np.argsort(-lengths, kind="stable").tolist():
-        size = int(lengths[i])
-        found = tree.take(size)
-        left, name = found or (capacity, opened)
-        opened += found is None
-        bins[i], offsets[i] = name, capacity - left
-        if left > size:
-            tree.add(left - size, name)
-    return bins, offsets
+def best_fit_decreasing(counts: dict[int, int], capacity: int) -> np.ndarray:
+    """Rows (length, rank, bin, each, offset), sorted: from that rank on, pieces of that length go `each` to a bin, from that bin and offset on.
 
-
-def packed(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END, lot: int = LOT) -> DataFrame:
+    counts has the number of pieces of each length. A piece put into the tightest bin leaves it tighter still, so a bin takes as many pieces of
+    one length as fit before the next bin has its turn: whole runs of like bins are filled at once, just as one by one.
+    """
+    bins, opened, out = OpenBins(capacity), 0, []
+    for size in sorted(counts, reverse=True):
+        rank, left = 0, counts[size]
+        while left:
+            found = bins.take(size)
+            if found is None:
+                number = -(-left // (capacity // size))
+                found, opened = (capacity, opened, number), opened + number
+            room, first, number = found
+            each = room // size
+            filled = min(number, left // each)
+            out.append((size, rank, first, each, capacity - room))
+            bins.add(room - each * size, first, filled)
+            rank, left = rank + filled * each, left - filled * each
+            if filled < number and left:  # the last bin takes what is left, fewer than fit
+                bins.add(room - left * size, first + filled, 1)
+                rank, left, filled = rank + left, 0, filled + 1
+            bins.add(room, first + filled, number - filled)
+    return np.array(sorted(out), dtype=np.int64).reshape(-1, 5)
+
+
+def packed(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row for each piece of each document."""
     cut = saved(pieces(docs, tokenizer, capacity, end), "pieces")
     part = cut.filter(F.col("length") < capacity)
-    lots = max(1, -(-part.count() // lot))
-    dealt = part.withColumn("lot", F.pmod(F.col("deal"), F.lit(lots)))
-
-    def pack(batches):
-        rows = (row for batch in batches for row in zip(*(batch[c].to_pylist() for c in ("lot", "doc_id", "piece", "start", "length", "ids_crc32"))))
-        for number, own in groupby(rows, key=lambda row: row[0]):
-            _, *columns = zip(*own)
-            bins, offsets = best_fit_decreasing(np.array(columns[3], dtype=np.int64), capacity)
-            kinds = (doc_type, pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            made = [pa.array(c, k) for c, k in zip(columns, kinds)]
-            # Sequences of lot n are n, n + lots, ... in even numbers; full pieces have the odd ones.
-            yield pa.RecordBatch.from_arrays([*made, pa.array(2 * (bins * lots + number)), pa.array(offsets)], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+    tallies = part.groupBy("length", "block").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy("length").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    bases = saved(tallies.withColumn("base", F.coalesce(F.sum("n").over(earlier), F.lit(0))), "bases")
+    counts = {r["length"]: r["n"] for r in bases.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    plan = docs.sparkSession.sparkContext.broadcast(best_fit_decreasing(counts, capacity))
+
+    def place(batches):
+        sizes, ranks, firsts, each, offsets = plan.value.T
+        wide = 1 << 48  # ranks stay below
+        for batch in batches:
+            length, rank = (batch[c].to_numpy(zero_copy_only=False) for c in ("length", "rank"))
+            at = np.searchsorted(sizes * wide + ranks, length * wide + rank, side="right") - 1
+            own = rank - ranks[at]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch[c] for c in ("doc_id", "piece", "start", "length", "ids_crc32")), pa.array(2 * (firsts[at] + own // each[at])), pa.array(offsets[at] + own % each[at] * length)],
+                names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
+            )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    doc_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-    schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    fitted = dealt.repartition("lot").sortWithinPartitions("lot").select("lot", "doc_id", "piece", "start", "length", "ids_crc32").mapInArrow(pack, schema)
+    ranked = part.join(bases.select("length", "block", "base"), ["length", "block"]).withColumn("rank", F.col("base") + F.col("nth"))
+    fitted = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(place, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    # Packed sequences have even numbers, full pieces the odd ones.
     full = cut.filter(F.col("length") == capacity).select(
         "doc_id", "piece", "start", "length", "ids_crc32", (2 * F.monotonically_increasing_id() + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
     )

@@ -5,9 +5,12 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -202,10 +205,12 @@ def test_fingerprints_ignore_order_and_follow_edits(parts):
     assert fingerprints.written(fingerprints.deleted(more, b"new paragraph")) == fingerprints.written(one)
 
 
-@pytest.mark.parametrize("bucket", [4096, 3])
-def test_fingerprint_table(spark, rows, bucket):
-    got = fingerprints.fingerprinted(frame(spark, rows), bucket).collect()
-    order = sorted(rows, key=lambda x: (x[0] is None, -(x[0] or 0), x[1] is not None, x[1] or ""))
+@pytest.mark.parametrize("bucket, fewest", [(4096, 4096), (3, 5)])
+def test_fingerprint_table(spark, rows, bucket, fewest):
+    rows = rows + [(30, "tied")] * 3 + [(55, "the same text many times")] * 40
+    got = fingerprints.fingerprinted(frame(spark, rows), bucket, fewest).collect()
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    order = sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, signed(xxhash.xxh64_intdigest((x[1] or "").encode(), seed=42))), reverse=True)
     expected = []
     for k, (i, t) in enumerate(order):
         new = fingerprints.edited(t or "", order[(k + 1) % len(order)][1] or "")
@@ -222,6 +227,27 @@ def test_license_scan(spark):
     assert got[4].n_words == 0 and got[4].labels == "" and got[6].labels == "" and got[7].base_labels == "cc-by-nc"
 
 
+def test_close_notices_keep_their_own_spans(spark):
+    text = "x released undr te mit license released under the mit license y"
+    assert [x[1:4] for x in license_scan.fuzzy_spans(text) if x[0] == "mit"] == [(2, 30, 2), (31, 61, 0)]
+    one = license_scan.license_digest(frame(spark, [(1, text)])).first()
+    assert one.n_spans == 2 and one.spans == "mit:2:30:2 mit:31:61:0" and one.n_base == 1 and one.first_word == 7
+
+
+def test_exact_places_by_sql_and_in_long_texts(spark):
+    rng = np.random.default_rng(6)
+    words = ["Under", "the", "MIT", "license", "cc", "BY", "nc", "apache", "version", "2", "x"]
+    rows = [(i, " ".join(rng.choice(words, 200)) if i % 2 else "under the MIT license, cc by-nc " * i) for i in range(60)] + [(98, None), (99, "")]
+    assert [w for _, w in license_scan.exact_places(("cc by nc " * 60_000).strip())] == list(range(0, 180_000, 3))
+    got = sorted((r.doc_id, r.n_base, r.first_word, r.last_word, r.base_labels) for r in license_scan.license_digest(frame(spark, rows)).collect())
+    documents = pa.table({"doc_id": [i for i, _ in rows], "text": [t for _, t in rows]})  # noqa: F841
+    phrases = [(p.split(" "), label) for p, label in license_scan.PHRASES.items()]
+    hits = " UNION ALL ".join(f"SELECT doc_id, '{label}' AS label, unnest(list_filter(range(1, len(w) + 1), lambda i: w[i:i + {len(p) - 1}] = {p})) - 1 AS s FROM docs" for p, label in phrases)
+    sql = f"""WITH docs AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents)
+    SELECT doc_id, count(s), min(s), max(s), coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') FROM docs LEFT JOIN ({hits}) USING (doc_id) GROUP BY doc_id"""
+    assert got == sorted(duckdb.sql(sql).fetchall())
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(0, len(license_scan.NOTICES) - 1), st.integers(0, 1 << 30))
 def test_fuzzy_notices_are_found_with_errors_up_to_the_bound(which, seed):
@@ -242,7 +268,12 @@ def test_notices_before_a_better_one_are_found():
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.integers(1, 49), min_size=1, max_size=120))
 def test_best_fit_is_the_tightest(lengths):
-    bins, offsets = packing.best_fit_decreasing(np.array(lengths), 50)
+    plan, rank, bins, offsets = packing.best_fit_decreasing(Counter(lengths), 50).tolist(), Counter(), [], []
+    for n in lengths:
+        _, low, first, each, offset = max(row for row in plan if row[0] == n and row[1] <= rank[n])
+        bins.append(first + (rank[n] - low) // each)
+        offsets.append(offset + (rank[n] - low) % each * n)
+        rank[n] += 1
     left, expected = [], 0
     for size in sorted(lengths, reverse=True):
         fit = min((x for x in left if x >= size), default=None)
@@ -251,8 +282,8 @@ def test_best_fit_is_the_tightest(lengths):
             left.append(50 - size)
         else:
             left[left.index(fit)] -= size
-    assert len(set(bins.tolist())) == expected
-    for b in set(bins.tolist()):
+    assert len(set(bins)) == expected
+    for b in set(bins):
         own = sorted((offsets[i], lengths[i]) for i in range(len(lengths)) if bins[i] == b)
         assert all(o == sum(n for _, n in own[:k]) for k, (o, _) in enumerate(own)) and sum(n for _, n in own) <= 50
 
@@ -263,7 +294,7 @@ def test_packing_keeps_every_token(spark, rows):
     path = public_tokenizers.path("word_bpe_49k.json")
     plain_tokenizer = Tokenizer.from_file(path)
     more = rows + [(70, "It's DON'T <|endoftext|> ΣΑΣ é ́x\t\x0b!!a.b,, «ñ» İı ŉ K"), (71, "a b " * 9000)]
-    got = packing.packed(frame(spark, more), path, lot=7).collect()
+    got = packing.packed(frame(spark, more).repartition(5), path).collect()
     expected = Counter()
     for i, t in more:
         ids = np.array(plain_tokenizer.encode(t or "", add_special_tokens=False).ids + [1], dtype="<u4")
@@ -276,6 +307,25 @@ def test_packing_keeps_every_token(spark, rows):
     for own in bins.values():
         own.sort()
         assert all(o == sum(n for _, n in own[:k]) for k, (o, _) in enumerate(own)) and sum(n for _, n in own) <= 4096
+    left, whole = [], 0
+    for size in sorted((x[3] for x in expected.elements()), reverse=True):
+        fit = min((x for x in left if x >= size), default=None)
+        if fit is None:
+            left.append(4096 - size)
+            whole += 1
+        else:
+            left[left.index(fit)] -= size
+    assert len(bins) == whole
+
+
+@pytest.mark.parametrize("kind", ["string", "smallint", "decimal(20,0)", "date"])
+def test_any_type_of_id(spark, kind):
+    prepare(spark)
+    rows = [(None if i == 7 else i, prose(i, 40)) for i in range(20)]
+    docs = spark.createDataFrame(rows, "i int, text string")
+    docs = docs.select((F.date_add(F.lit("2020-01-01"), F.col("i")) if kind == "date" else F.col("i").cast(kind)).alias("doc_id"), "text")
+    assert packing.packed(docs, public_tokenizers.path("word_bpe_49k.json")).select("doc_id").distinct().count() == 20
+    assert fingerprints.fingerprinted(docs).select("doc_id", "n_chars").count() == 20
 
 
 def labelled_texts():
@@ -359,6 +409,29 @@ def test_toxicity_of_several_words(spark):
     assert [got[5000 + k] for k in range(3)] == [1, 1, 0]
 
 
+def signed_hash(doc_id, text):
+    """xxhash64 of the row key and the seed 0, as the noise takes it."""
+    key = 42
+    if doc_id is not None:
+        key = xxhash.xxh64_intdigest(doc_id.to_bytes(8, "little", signed=True), seed=key)
+    if text is not None:
+        key = xxhash.xxh64_intdigest(text.encode(), seed=key)
+    out = xxhash.xxh64_intdigest((0).to_bytes(4, "little"), seed=xxhash.xxh64_intdigest(key.to_bytes(8, "little"), seed=42))
+    return out - (1 << 64) if out >> 63 else out
+
+
+@pytest.mark.parametrize("share", [0.1, 0.3, 0.75])
+def test_importance_resampling_takes_exactly_k_of_tied_rows(spark, share):
+    prepare(spark)
+    rows = [(None, None)] * 50 + [(1, "a text")] * 20 + [(i, prose(i, 9)) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("r", "noisy", "place", "log_weight", "selected")})
+    labels = spark.createDataFrame([(1, 1, 0), (None, 1, 0), (2, None, 0)], "doc_id long, quality int, toxic int")
+    got = quality.resampled(docs, labels, share=share).collect()
+    assert len(got) == 100 and sum(r.selected for r in got) == int(np.ceil(share * 100))
+    assert min(r.noisy for r in got if r.selected) >= max(r.noisy for r in got if not r.selected)
+    assert quality.resampled(docs.limit(0), labels).count() == 0 and quality.resampled(docs, labels.limit(0)).filter("log_ratio <> 0").count() == 0
+
+
 def test_importance_resampling(spark):
     prepare(spark)
     rng = np.random.default_rng(2)
@@ -367,6 +440,19 @@ def test_importance_resampling(spark):
     got = quality.resampled(spark.createDataFrame(rows, "doc_id long, text string"), labels, share=0.7).collect()
     chosen = [r for r in got if r.selected]
     assert len(got) == len(rows) and len(chosen) == int(np.ceil(0.7 * len(rows)))
+    raw, target = np.ones(1 << 16), np.ones(1 << 16)
+    for i, t in rows:
+        np.add.at(raw, quality.gram_counts((t or "").encode()), 1)
+        if i is not None and i % 2 == 0 and i < 400 and i % 4:
+            np.add.at(target, quality.gram_counts(t.encode()), 1)
+    ratio = np.log(target / target.sum()) - np.log(raw / raw.sum())
+    for i, t in rows:
+        own = ratio[quality.gram_counts((t or "").encode())]
+        one = next(r for r in got if r.doc_id == i)
+        assert np.isclose(one.log_ratio, own.sum()) and np.isclose(one.log_weight, 20 * own.mean() if len(own) else 0.0)
+        u = (signed_hash(i, t) % (1 << 52) + 0.5) / (1 << 52)
+        assert np.isclose(one.noisy, one.log_weight - np.log(-np.log(u)))
+    assert {r.doc_id for r in chosen} == {r.doc_id for r in sorted(got, key=lambda r: -r.noisy)[: len(chosen)]}
     assert all(r.doc_id is None or r.doc_id % 4 or r.doc_id >= 400 for r in chosen)
     values = spark.range(50_000).select((F.pmod(F.xxhash64("id"), F.lit(999)) / 3.0).alias("noisy"))
     want = sorted((r.noisy for r in values.collect()), reverse=True)
