@@ -11,8 +11,8 @@ such lines have no partner, so nothing is lost.
 Meetings stay linear: all lines under one key with one deleted position are within one edit of each other, so each is compared with the
 earliest only; and a shorter line is compared with the longer ones that reduce to it, each of which reduces to it or does not.
 
-What counts as a line: the text between line feeds, trimmed. Blank lines are kept and never compared; lines under `min_chars` are
-compared for equality only. Order is by doc_id (nulls first), then row key, then line number. A line goes if an earlier
+What counts as a line: the text between line feeds, trimmed. Blank lines are kept and never compared; all others are, however short (so two
+lines of one character each are within one edit). Order is by doc_id (nulls first), then row key, then line number. A line goes if an earlier
 line, itself kept or not, is equal or within one edit. Null texts stay null; rows alike in doc_id and text are one
 document given twice and are treated alike; an empty table stays empty; other columns are carried along.
 """
@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 
 from panelwright.llm.common import row_key, saved
 
-MIN_CHARS = 16
 #: Slots of the filter that goes before the second reading of the lines: a table of at most 2 ** (SLOTS - 6) rows, and so safe to broadcast.
 SLOTS = 23
 
@@ -109,12 +108,12 @@ def near_lines(lines: DataFrame) -> DataFrame:
     return changed.union(dropped).distinct()
 
 
-def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def repeated_lines(docs: DataFrame) -> DataFrame:
     """a, b (key), pos (where it stands first), near (an earlier line is within one edit): one row for each distinct line."""
     lines = _halves(_lines(docs))
-    first = lines.groupBy("a", "b").agg(F.min("pos").alias("pos"), F.max(F.length("line")).alias("n"), *[F.max(F.col("halves")[k]).alias(f"h{k}") for k in range(4)])
+    first = lines.groupBy("a", "b").agg(F.min("pos").alias("pos"), *[F.max(F.col("halves")[k]).alias(f"h{k}") for k in range(4)])
     first = saved(first, "lines")
-    halves = first.filter(F.col("n") >= min_chars).select("a", "b", F.explode(F.array(*[f"h{k}" for k in range(4)])).alias("half"))
+    halves = first.select("a", "b", F.explode(F.array(*[f"h{k}" for k in range(4)])).alias("half"))
     some = _meeting(halves, ["a", "b"], "half")
     places = saved(first.join(some, ["a", "b"], "left_semi").select("a", "b", "pos"), "places")
     # The lines' words are read again only where a partner is possible; pos names one place of each.
@@ -125,13 +124,21 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return first.select("a", "b", "pos").join(near, ["a", "b"], "left").select("a", "b", "pos", F.coalesce("near", F.lit(False)).alias("near"))
 
 
-def _judged(docs: DataFrame, min_chars: int) -> DataFrame:
+def _kept_bits(kept: DataFrame) -> DataFrame:
+    """__r and __bits: a bit for each line number of the document that stays, 64 to a word, from line 0 on without a gap."""
+    no = F.col("pos.no")
+    words = kept.groupBy(F.col("pos.r").alias("__r"), F.floor(no / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, pos.no % 64)")).alias("bits"))
+    known = words.groupBy("__r").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("known"), F.max("word").alias("last"))
+    return known.select("__r", F.transform(F.sequence(F.lit(0), F.col("last")), lambda w: F.coalesce(F.col("known")[w], F.lit(0).cast("long"))).alias("__bits"))
+
+
+def _judged(docs: DataFrame) -> DataFrame:
     """docs with repeated lines out of text, and __lines (not blank) and __removed (both null where text is null)."""
-    kept = repeated_lines(docs, min_chars).filter("not near").groupBy(F.col("pos.r").alias("__r")).agg(F.collect_set("pos.no").alias("__kept"))
-    both = docs.withColumn("__r", row_key()).join(kept, "__r", "left")
+    both = docs.withColumn("__r", row_key()).join(_kept_bits(repeated_lines(docs).filter("not near")), "__r", "left")
     parts = F.split("text", "\n")
     blank = lambda x: F.trim(x) == ""
-    stays = F.filter(parts, lambda x, i: blank(x) | F.coalesce(F.array_contains("__kept", i), F.lit(False)))
+    bit = lambda i: F.getbit(F.get("__bits", F.floor(i / 64).cast("int")), i % 64) == 1
+    stays = F.filter(parts, lambda x, i: blank(x) | F.coalesce(bit(i), F.lit(False)))
     real = lambda x: F.size(F.filter(x, lambda y: ~blank(y))).cast("long")
     out = both.withColumn("__parts", parts).withColumn("__stays", stays)
     counts = {"__lines": real(F.col("__parts")), "__removed": real(F.col("__parts")) - real(F.col("__stays"))}
@@ -140,14 +147,14 @@ def _judged(docs: DataFrame, min_chars: int) -> DataFrame:
     return out.withColumns(known).withColumn("text", text).select(*docs.columns, *counts)
 
 
-def deduplicated(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def deduplicated(docs: DataFrame) -> DataFrame:
     """docs with repeated lines out of text, and n_lines (not blank), n_removed; columns of docs by these names are replaced."""
     own = docs.drop("n_lines", "n_removed")
-    return _judged(own, min_chars).withColumnsRenamed({"__lines": "n_lines", "__removed": "n_removed"})
+    return _judged(own).withColumnsRenamed({"__lines": "n_lines", "__removed": "n_removed"})
 
 
-def without_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def without_repeated_lines(docs: DataFrame) -> DataFrame:
     """docs with repeated lines taken out, n_chars brought up to date, and documents of which nothing is left gone."""
-    out = _judged(docs, min_chars)
+    out = _judged(docs)
     emptied = F.coalesce((F.col("__removed") > 0) & (F.col("__removed") == F.col("__lines")), F.lit(False))
     return out.filter(~emptied).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)

@@ -21,7 +21,7 @@ LINE_DEDUP = """
 WITH parts AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS raw, unnest(range(len(string_split(text, chr(10))))) AS no FROM documents),
 lines AS (SELECT doc_id, no, raw, trim(raw, ' ') AS line FROM parts),
 firsts AS (SELECT line, min({'doc_id': doc_id, 'no': no}) AS pos, length(line) AS n FROM lines WHERE line <> '' GROUP BY line),
-fit AS (SELECT *, unnest([n, n + 1]) AS t FROM firsts WHERE n >= 16),
+fit AS (SELECT *, unnest([n, n + 1]) AS t FROM firsts),
 keys AS (
   SELECT line, pos, t, 'l' AS side, substr(line, 1, t // 2) AS k FROM fit
   UNION ALL SELECT line, pos, t, 'r', right(line, t - t // 2) FROM fit

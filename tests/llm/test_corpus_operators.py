@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -169,7 +170,7 @@ def within_one(a, b):
 
 def test_line_dedup_equals_brute_force(spark):
     base = "the quick brown fox jumps over the lazy dog"
-    texts = [base, base.replace("q", "k"), base + "s", "x" + base, base.replace("fox", "foxx") + "\nkept line of its own", base[:20] + "\n" + base[:21], "short\nshort\nshore", None, "", " \n" + base + "  ", "é" * 30 + "\n" + "é" * 31, "unrelated text that is long enough here"]
+    texts = [base, base.replace("q", "k"), base + "s", "x" + base, base.replace("fox", "foxx") + "\nkept line of its own", base[:20] + "\n" + base[:21], "short\nshort\nshore", None, "", " \n" + base + "  ", "é" * 30 + "\n" + "é" * 31, "a\nb\n\nzz\nzy\nxyz\nqrs\nqrst\nlonger line 7\nlonger line 8\n" * 2 + "\n".join(f"{k * 7919 % 10007:05d}" * 3 for k in range(300)), "unrelated text that is long enough here"]
     rows = [(None, texts[0])] + list(enumerate(texts)) + [(3, texts[3])]
     order, near = [], set()
     for i, t in sorted(set(rows), key=lambda x: (x[0] is not None, x[0] or 0)):
@@ -179,7 +180,7 @@ def test_line_dedup_equals_brute_force(spark):
         first.setdefault(line, pos)
     seen = list(first)
     for k, line in enumerate(seen):
-        if len(line) >= 16 and any(len(other) >= 16 and within_one(other, line) for other in seen[:k]):
+        if any(within_one(other, line) for other in seen[:k]):
             near.add(line)
     expected = []
     for i, t in rows:
@@ -194,6 +195,13 @@ def test_line_dedup_equals_brute_force(spark):
     assert "Python" not in got._jdf.queryExecution().executedPlan().toString() and "Arrow" not in got._jdf.queryExecution().executedPlan().toString()
 
 
+def test_line_dedup_of_a_document_of_many_lines(spark):
+    text = "\n".join(f"{k % 30_000:07d} {k % 30_000 * 7919:012d} line" for k in range(60_000))
+    began = time.time()
+    one = line_dedup.deduplicated(frame(spark, [(1, text), (2, None)])).filter("doc_id = 1").first()
+    assert one.n_lines == 60_000 and one.n_removed >= 30_000 and time.time() - began < 90
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.text(alphabet="ab\n", max_size=30), min_size=2, max_size=4))
 def test_fingerprints_ignore_order_and_follow_edits(parts):
