@@ -28,7 +28,9 @@ keys AS (
 ),
 near AS (
   SELECT DISTINCT y.line FROM keys x JOIN keys y ON x.t = y.t AND x.side = y.side AND x.k = y.k AND x.pos < y.pos
-  WHERE abs(length(x.line) - length(y.line)) <= 1 AND levenshtein(x.line, y.line) = 1
+  -- levenshtein counts bytes here, up to four of a character; so the two lines are compared around each character
+  WHERE abs(length(x.line) - length(y.line)) <= 1 AND levenshtein(x.line, y.line) <= 4 AND len(list_filter(range(greatest(length(x.line), length(y.line))), lambda i:
+    left(x.line, i) = left(y.line, i) AND right(x.line, length(x.line) - i - CAST(length(x.line) >= length(y.line) AS INT)) = right(y.line, length(y.line) - i - CAST(length(y.line) >= length(x.line) AS INT)))) > 0
 ),
 judged AS (
   SELECT l.doc_id, l.no, l.raw, l.line <> '' AS solid, l.line = '' OR (f.pos = {'doc_id': l.doc_id, 'no': l.no} AND n.line IS NULL) AS stays
