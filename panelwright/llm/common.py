@@ -24,9 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new temporary one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; a new temporary one where it is unset and all runs in one process (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir is not set: on a cluster it has to name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -51,6 +53,18 @@ def row_key() -> Column:
     return F.xxhash64("doc_id", "text")
 
 
+#: Slots (as a power of two) of the bit map of `passing`, and the rows of 64 bits it so has at most: 2 MB, safe to broadcast.
+SLOTS = 23
+
+
+def passing(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows whose 64-bit key may be among the wanted: a bit map of fixed size, made and tested by joins on its words. Lets through some that are not wanted."""
+    slot = F.shiftrightunsigned(key, 64 - SLOTS)
+    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(`{key}`, {64 - SLOTS}) & 63 AS int))")
+    words = wanted.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
+    return rows.withColumn("word", F.shiftright(slot, 6)).join(F.broadcast(words), "word").filter(F.col("bits").bitwiseAND(bit) != 0).drop("word", "bits")
+
+
 def byte_texts(column: pa.Array) -> list:
     """UTF-8 bytes of each text, None for null."""
     return column.cast(pa.large_binary()).to_pylist()

@@ -22,10 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.llm.common import row_key, saved
-
-#: Slots of the filter that goes before the second reading of the lines: a table of at most 2 ** (SLOTS - 6) rows, and so safe to broadcast.
-SLOTS = 23
+from panelwright.llm.common import passing, row_key, saved
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -82,14 +79,6 @@ def _variants(blocks: DataFrame) -> DataFrame:
     return blocks.select("a", "b", "pos", "line", "own", F.explode(F.coalesce(inside, whole)).alias("v")).select("a", "b", "pos", "line", "own", "v.*")
 
 
-def _passing(lines: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The lines whose key may be among the wanted: a bit map of fixed size, made and tested by joins on its words."""
-    slot = F.shiftrightunsigned("a", 64 - SLOTS)
-    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(a, {64 - SLOTS}) & 63 AS int))")
-    words = wanted.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
-    return lines.withColumn("word", F.shiftright(slot, 6)).join(F.broadcast(words), "word").filter(F.col("bits").bitwiseAND(bit) != 0).drop("word", "bits")
-
-
 def near_lines(lines: DataFrame) -> DataFrame:
     """a, b of the lines (distinct: a, b, pos, line) that have an earlier line within one edit."""
     blocks = _blocks(lines)
@@ -117,7 +106,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     some = _meeting(halves, ["a", "b"], "half")
     places = saved(first.join(some, ["a", "b"], "left_semi").select("a", "b", "pos"), "places")
     # The lines' words are read again only where a partner is possible; pos names one place of each.
-    again = _passing(_lines(docs).select("a", "b", "line", "pos"), places)
+    again = passing(_lines(docs).select("a", "b", "line", "pos"), places, "a")
     # An inner join: a semi-join would be moved to before the filter, and all lines would be shuffled.
     texts = again.join(places, ["a", "b", "pos"]).dropDuplicates(["a", "b"])
     near = near_lines(saved(texts, "texts")).withColumn("near", F.lit(True))

@@ -105,6 +105,37 @@ def test_ngram_join_equals_brute_force(spark, rows, block):
     assert sorted(map(repr, expected)) == sorted(repr((r.doc_id, r.class_id, r.n_links)) for r in got)
 
 
+def test_prefixes_are_shortened_until_the_recall_is_reached():
+    assert ngram_join.shortest_depth() == 5 and ngram_join.met(0.8, 5) >= 0.9995 > ngram_join.met(0.8, 6)
+    assert ngram_join.next_depth({}, 10) == 9  # at 10 a pair at 0.8 would meet with 0.896 only
+    assert ngram_join.next_depth({19: 10}, 10) == 9 and ngram_join.next_depth({19: 10}, 9) is None
+    assert ngram_join.next_depth({19: 1000, 0: 1}, 10) == 5 and ngram_join.next_depth({0: 1}, 5) is None
+    assert ngram_join.next_depth({5: 3}, 9) == 7
+
+
+def test_recall_near_the_threshold(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for k in range(400):
+        words = [f"{k}x{i}" for i in range(200)]
+        rows.append((10 * k, " ".join(words)))
+        near = list(words)  # each change touches five shingles of 196
+        for at in rng.choice(np.arange(3, 38), 4, replace=False) * 5:
+            near[at] = f"new{at}"
+        rows.append((10 * k + 1, " ".join(near)))
+    links = jaccard_of_pairs(rows)
+    got = {r.doc_id: r.n_links for r in ngram_join.near_duplicate_classes(frame(spark, rows)).collect()}
+    wanted = [i for i, s in links.items() if 0.8 <= s < 0.85]
+    assert len(wanted) > 300 and sum(got[i] for i in wanted) >= 0.99 * len(wanted)
+    assert all(got[i] == 0 for i, s in links.items() if s < 0.8)
+
+
+def jaccard_of_pairs(rows):
+    """Similarity of each odd document with the one before it."""
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, t in rows for w in [folded_words(t.encode())]}
+    return {i: len(sets[i] & sets[i - 1]) / len(sets[i] | sets[i - 1]) for i in sets if i % 10 == 1}
+
+
 def test_keep_one_of_each(spark, rows):
     got = [r.doc_id for r in ngram_join.keep_one_of_each(frame(spark, rows)).collect()]
     assert sorted(x for x in got if x is not None and x >= 20) == [20, 30, 31, 40, 50, 51, 52, 53, 60, 61] and got.count(None) == 1
