@@ -226,7 +226,8 @@ def packed(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    ranked = part.join(bases.select("length", "block", "base"), ["length", "block"]).withColumn("rank", F.col("base") + F.col("nth"))
+    # Merged, not broadcast: this table has a row for each length of each block, so it grows with the data.
+    ranked = part.join(bases.select("length", "block", "base").hint("merge"), ["length", "block"]).withColumn("rank", F.col("base") + F.col("nth"))
     fitted = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(place, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
     # Packed sequences have even numbers, full pieces the odd ones.
     full = cut.filter(F.col("length") == capacity).select(
