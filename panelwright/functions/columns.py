@@ -11,9 +11,16 @@ from pyspark.sql import functions as F
 STATUS_DAYS = {"Current": 0, "DQ30": 30, "DQ60": 60, "DQ90plus": 90, "Default": 180, "Prepaid": 0, "PaidOff": 0}
 #: Severity order of statuses; ended accounts are below all (fixed values).
 STATUS_ORDER = {"Current": 0, "DQ30": 1, "DQ60": 2, "DQ90plus": 3, "Default": 4, "Prepaid": -1, "PaidOff": -1}
+#: Bands in their order, their upper edges and sentinels; code maps (fixed values).
 CREDIT_BANDS = ["<580", "580-619", "620-659", "660-699", "700-739", "740-779", "780+"]
 LTV_BANDS = ["<=60", "60-70", "70-80", "80-90", "90-95", ">95"]
 DTI_BANDS = ["<=20", "20-30", "30-36", "36-43", ">43"]
+LOSS_BANDS = ["0-10", "10-25", "25-40", "40-60", "60+"]
+CREDIT_EDGES, LTV_EDGES, DTI_EDGES, LOSS_EDGES = [580, 620, 660, 700, 740, 780], [60.001, 70, 80, 90, 95], [20.001, 30, 36, 43], [10, 25, 40, 60]
+CREDIT_SENTINELS, LTV_SENTINELS, DTI_SENTINELS = (9999.0,), (999.0,), (999.0,)
+OCCUPANCY = {"P": "primary", "S": "second_home", "I": "investment"}
+PURPOSE = {"P": "purchase", "N": "rate_term_refi", "C": "cash_out_refi"}
+PROPERTY = {"SF": "single_family", "PU": "pud", "CO": "condo", "MH": "manufactured", "CP": "condo"}
 
 
 def col(c: Column | str) -> Column:
@@ -29,6 +36,22 @@ def band(c: Column | str, edges: list[float], labels: list[str], closed: str = "
     return F.when(missing, F.lit(None).cast("string")).otherwise(steps.otherwise(labels[-1]))
 
 
+def credit_band(c: Column | str) -> Column:
+    return band(c, CREDIT_EDGES, CREDIT_BANDS, "left", CREDIT_SENTINELS)
+
+
+def ltv_band(c: Column | str) -> Column:
+    return band(c, LTV_EDGES, LTV_BANDS, "right", LTV_SENTINELS)
+
+
+def dti_band(c: Column | str) -> Column:
+    return band(c, DTI_EDGES, DTI_BANDS, "right", DTI_SENTINELS)
+
+
+def loss_band(c: Column | str) -> Column:
+    return band(c, LOSS_EDGES, LOSS_BANDS, "left")
+
+
 def map_codes(c: Column | str, mapping: dict, default=None) -> Column:
     """Look c up in a short table; what is not in it gets the default."""
     c, items = col(c), list(mapping.items())

@@ -64,9 +64,16 @@ def asof_backward(left: DataFrame, right: DataFrame, on: str, columns: list[str]
     return filled.filter("_left = 1").drop("_left")
 
 
-def cross_scenarios(snapshot: DataFrame, scenarios: DataFrame, horizon: int) -> DataFrame:
-    """Every scenario's row of the horizon applied to every snapshot row; the scenario side is a few rows."""
-    return snapshot.crossJoin(F.broadcast(scenarios.filter(F.col("horizon_month") == horizon)))
+def attach_recon(panel: DataFrame, feed: DataFrame, keys=("entity_id", "month_index")) -> DataFrame:
+    """panel with the feed's latest record under recon_ names, for labelling; recon_record_present is 1 where it has a balance."""
+    names = {"reported_balance": "recon_reported_balance", "reported_status": "recon_reported_status", "reported_dpd": "recon_reported_dpd", "received_at": "recon_received_at"}
+    out = panel.join(feed.select(*keys, *[F.col(a).alias(b) for a, b in names.items()]), list(keys), "left")
+    return out.withColumn("recon_record_present", F.col("recon_reported_balance").isNotNull().cast("int"))
+
+
+def attach_scores(df: DataFrame, scores: DataFrame, keys: list[str]) -> DataFrame:
+    """df with the scores of its rows, by key; a row without a score keeps nulls."""
+    return df.join(scores, keys, "left")
 
 
 def restrict_entities(df: DataFrame, entities: DataFrame, keep: bool = True) -> DataFrame:

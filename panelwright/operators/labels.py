@@ -44,16 +44,19 @@ def attach_targets(df: DataFrame, exits: dict[str, str], default_states=("DQ90pl
 def purged_split(df: DataFrame, target: str, horizon: int, n_test: int = 6, n_valid: int = 6, train_end: int | None = None) -> DataFrame:
     """split: the last observable months test, `horizon` months of embargo before them, then validation, then training; unlabelled or later rows excluded.
 
-    With `train_end`, training ends there and validation follows it; the test window stays.
+    With `train_end`, training ends there if that is earlier, never later; validation goes on from there to its old end, and the test window stays.
     """
     top = df.agg(F.max(MONTH).alias("_last"))
     test_from = F.col("_last") - horizon - n_test + 1
-    valid_to = F.lit(train_end + n_valid) if train_end is not None else test_from - horizon - 1
+    valid_to = test_from - horizon - 1
+    train_to = valid_to - n_valid
+    if train_end is not None:
+        train_to = F.least(train_to, F.lit(train_end))
     m = F.col(MONTH)
     split = (
         F.when(F.col(target).isNull() | (m > F.col("_last") - horizon), "excluded")
         .when(m >= test_from, "test")
-        .when(m <= valid_to - n_valid, "train")
+        .when(m <= train_to, "train")
         .when(m <= valid_to, "valid")
         .otherwise("embargo")
     )
@@ -79,7 +82,7 @@ def random_split(df: DataFrame, target: str, key: str = "seq", seed: int = 13) -
 
 
 def expanding_folds(df: DataFrame, target: str, horizon: int, n: int = 3, step: int = 6) -> list[DataFrame]:
-    """Splits whose training ends `step` months earlier each; all have one test window."""
+    """Splits whose training ends `step` months earlier each; all have one test window, and validation up to one month."""
     last = df.agg(F.max(MONTH)).first()[0]
     end = last - horizon - 6 - horizon - 6
     return [purged_split(df, target, horizon, train_end=end - step * k) for k in range(n)]

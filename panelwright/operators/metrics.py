@@ -1,10 +1,12 @@
-"""Evaluation as aggregations over (label, score): everything starts from counts of distinct scores, so windows run over few rows."""
+"""Evaluation as aggregations over (label, score): everything starts from counts of distinct scores, summed up in sorted parts."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelwright.operators.prefix import running_totals
+
 
 def _counts(df: DataFrame, y: str, p: str) -> DataFrame:
     known = df.select(F.col(y).cast("int").alias("y"), F.col(p).cast("double").alias("p")).dropna()
@@ -13,10 +15,9 @@ def _counts(df: DataFrame, y: str, p: str) -> DataFrame:
 
 def pr_curve(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
     """threshold, tp, fp, positives, precision, recall: one point for each distinct score."""
-    w = Window.orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
-    c = _counts(df, y, p)
+    c = running_totals(_counts(df, y, p), "p", {"tp": "pos", "fp": "neg"}, descending=True)
     totals = F.broadcast(c.agg(F.sum("pos").alias("positives"), F.sum("neg").alias("negatives")))
-    points = c.select(F.col("p").alias("threshold"), "pos", "neg", F.sum("pos").over(w).alias("tp"), F.sum("neg").over(w).alias("fp")).join(totals)
+    points = c.select(F.col("p").alias("threshold"), "pos", "neg", "tp", "fp").join(totals)
     return points.withColumns({"precision": F.col("tp") / (F.col("tp") + F.col("fp")), "recall": F.col("tp") / F.nullif(F.col("positives"), F.lit(0))})
 
 
@@ -51,9 +52,8 @@ def binary_metrics(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
 def lift_at_k(df: DataFrame, share: float, ties: list[str], y: str = "y", p: str = "p") -> DataFrame:
     """Rate of the int(n * share) highest scores relative to all: whole scores above the cut, then by the tie columns."""
     c = _counts(df, y, p).withColumn("n", F.col("pos") + F.col("neg"))
-    w = Window.orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
-    k = F.floor(F.sum("n").over(Window.partitionBy(F.lit(1))) * share)
-    cut = c.withColumns({"cum": F.sum("n").over(w), "k": k})
+    c = running_totals(c, "p", {"cum": "n"}, descending=True)
+    cut = c.join(F.broadcast(c.agg(F.floor(F.sum("n") * share).alias("k"))))
     above = cut.filter("cum <= k").agg(F.coalesce(F.sum("pos"), F.lit(0)).alias("pos"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
     edge = cut.filter("cum > k").agg(F.max("p").alias("edge"), F.max("k").alias("k"))
     at = edge.join(above.select(F.col("n").alias("an"))).first()

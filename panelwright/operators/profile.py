@@ -8,6 +8,9 @@ from itertools import combinations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelwright.operators.prefix import running_totals
+from panelwright.sources.session import saved
+
 
 def _long(df: DataFrame, columns: list[str], kind: str, keep: list[str] = ()) -> DataFrame:
     """One row for each value of each column: keep, column, value."""
@@ -148,18 +151,18 @@ def spearman(df: DataFrame, columns: list[str]) -> DataFrame:
         ranks = []
         for c in ("x", "y"):
             counts = both.groupBy(c).agg(F.count("*").alias("n"))
-            before = F.coalesce(F.sum("n").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-            ranks.append(counts.select(c, (before + (F.col("n") + 1) / 2).alias(f"r{c}")))
+            up_to = running_totals(counts, c, {"cum": "n"})
+            ranks.append(up_to.select(c, (F.col("cum") - F.col("n") + (F.col("n") + 1) / 2).alias(f"r{c}")))
         one = both.join(ranks[0], "x").join(ranks[1], "y").agg(F.corr("rx", "ry").alias("rho")).select(F.lit(a).alias("a"), F.lit(b).alias("b"), "rho")
         out = one if out is None else out.unionByName(one)
     return out
 
 
 def functional_dependencies(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    """For each determinant and dependent: groups, groups with several values, whether it holds, and the rate of violations."""
+    """For each determinant and dependent: groups with a known dependent, those with several values, whether it holds, and the rate of violations."""
     out = None
     for a, b in pairs:
-        one = df.dropna(subset=[a]).groupBy(a).agg(F.count_distinct(b).alias("k")).agg(F.count("*").alias("groups"), F.count_if(F.col("k") > 1).alias("violations"))
+        one = df.dropna(subset=[a, b]).groupBy(a).agg(F.count_distinct(b).alias("k")).agg(F.count("*").alias("groups"), F.count_if(F.col("k") > 1).alias("violations"))
         one = one.select(F.lit(a).alias("determinant"), F.lit(b).alias("dependent"), "groups", "violations", (F.col("violations") == 0).alias("holds"), (F.col("violations") / F.col("groups")).alias("rate"))
         out = one if out is None else out.unionByName(one)
     return out
@@ -207,26 +210,60 @@ def ks_two_sample(df: DataFrame, column: str, side: str) -> DataFrame:
     """Greatest gap of the two sides' distribution functions; null with 50 rows or fewer on a side."""
     known = _side(df, column, side)
     counts = known.groupBy("value").agg(F.sum(F.col("e").cast("int")).alias("e"), F.sum((~F.col("e")).cast("int")).alias("a"))
-    w = Window.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    steps = counts.select(F.sum("e").over(w).alias("ce"), F.sum("a").over(w).alias("ca")).join(F.broadcast(_sizes(known)))
+    steps = running_totals(counts, "value", {"ce": "e", "ca": "a"}).join(F.broadcast(_sizes(known)))
     gap = F.max(F.abs(F.col("ce") / F.col("ne") - F.col("ca") / F.col("na")))
     return steps.agg(F.when((F.min("ne") > 50) & (F.min("na") > 50), gap).alias("ks")).select(F.lit(column).alias("column"), "ks")
 
 
-def drift_report(df: DataFrame, period: str, boundary: str, numeric: list[str], categorical: list[str]) -> DataFrame:
-    """PSI, KS and missing rates of each column before and after a month; a null PSI counts as stable."""
-    sided = df.withColumn("_before", F.col(period) <= boundary)
-    rows = None
-    for c in [*numeric, *categorical]:
-        psi = psi_numeric(sided, c, "_before") if c in numeric else psi_categorical(sided, c, "_before")
-        ks = ks_two_sample(sided, c, "_before") if c in numeric else psi.select("column", F.lit(None).cast("double").alias("ks"))
-        one = psi.join(ks, "column")
-        rows = one if rows is None else rows.unionByName(one)
-    columns = [*numeric, *categorical]
-    gone = sided.groupBy("_before").agg(*[F.avg(F.col(c).isNull().cast("int")).alias(c) for c in columns]).unpivot("_before", columns, "column", "m")
-    sides = gone.groupBy("column").agg(F.max(F.when(F.col("_before"), F.col("m"))).alias("missing_before"), F.max(F.when(~F.col("_before"), F.col("m"))).alias("missing_after"))
+def drift(df: DataFrame, side: str, numeric: list[str], categorical: list[str], keys: list[str] = (), bins: int = 10) -> DataFrame:
+    """keys, column, psi, ks, missing_before, missing_after for each column, between rows where `side` is true (expected) and false; keys are few groups.
+
+    As psi_numeric, psi_categorical and ks_two_sample, for all columns and keys together: two aggregations, to counts of (keys, column, value), and
+    the rest from those counts. Null groups and sides are left out.
+    """
+    group, out = [*keys, "column"], None
+    known = df.dropna(subset=[side, *keys])
+    for columns, kind in ((numeric, "double"), (categorical, "string")):
+        if not columns:
+            continue
+        long = _long(known.withColumn("_e", F.col(side)), columns, kind, [*keys, "_e"])
+        counts = saved(long.groupBy(*group, "value").agg(F.count_if(F.col("_e")).alias("ce"), F.count_if(~F.col("_e")).alias("ca")), "counts")
+        real = counts.filter("value is not null")
+        sizes = counts.groupBy(*group).agg(*[F.sum(F.when(F.col("value").isNotNull(), F.col(c)).otherwise(0)).alias(n) for c, n in (("ce", "ne"), ("ca", "na"))], F.sum("ce").alias("te"), F.sum("ca").alias("ta"))
+        if kind == "double":
+            edges = real.filter("ce > 0").groupBy(*group).agg(F.array_distinct(F.percentile("value", F.array(*[F.lit(i / bins) for i in range(bins + 1)]), F.col("ce"))).alias("edges"))
+            at = F.least(F.size(F.filter("edges", lambda x: x <= F.col("value"))), F.size("edges") - 1)
+            inside = (F.col("value") >= F.col("edges")[0]) & (F.col("value") <= F.element_at("edges", -1))
+            binned = real.join(F.broadcast(edges), group).filter(inside).groupBy(*group, at.alias("bin")).agg(F.sum("ce").alias("ce"), F.sum("ca").alias("ca"))
+            every = edges.select(*group, F.explode(F.sequence(F.lit(1), F.greatest(F.size("edges") - 1, F.lit(1)))).alias("bin"), F.size("edges").alias("k"))
+            cells = every.join(binned, [*group, "bin"], "left").na.fill(0, ["ce", "ca"])
+            steps = running_totals(real, "value", {"se": "ce", "sa": "ca"}, group).join(F.broadcast(sizes), group)
+            gap = F.max(F.abs(F.col("se") / F.col("ne") - F.col("sa") / F.col("na")))
+            ks = steps.groupBy(*group).agg(F.when((F.min("ne") > 50) & (F.min("na") > 50), gap).alias("ks"))
+        else:
+            cells = real.filter("ce > 0").withColumn("k", F.lit(3))
+            ks = sizes.select(*group, F.lit(None).cast("double").alias("ks"))
+        floor = lambda c: F.greatest(c, F.lit(1e-6))
+        e, a = floor(F.col("ce") / F.col("ne")), floor(F.col("ca") / F.col("na"))
+        enough = (F.min("ne") >= 50) & (F.min("na") >= 50)
+        psi = cells.join(F.broadcast(sizes), group).groupBy(*group).agg(F.when(enough & (F.min("k") < 3), 0.0).when(enough, F.sum((a - e) * F.log(a / e))).alias("psi"))
+        rows = sizes.select(*group, (1 - F.col("ne") / F.nullif("te", F.lit(0))).alias("missing_before"), (1 - F.col("na") / F.nullif("ta", F.lit(0))).alias("missing_after"))
+        one = rows.join(psi, group, "left").join(ks, group, "left").select(*group, "psi", "ks", "missing_before", "missing_after")
+        out = one if out is None else out.unionByName(one)
     severity = F.when(F.col("psi") >= 0.25, "major").when(F.col("psi") >= 0.1, "moderate").otherwise("stable")
-    return rows.join(sides, "column").withColumn("severity", severity)
+    return out.withColumn("severity", severity)
+
+
+def drift_report(df: DataFrame, period: str, boundary: str, numeric: list[str], categorical: list[str]) -> DataFrame:
+    """PSI, KS and missing rates of each column up to a month and after it; a null PSI counts as stable."""
+    return drift(df.withColumn("_before", F.col(period) <= boundary), "_before", numeric, categorical)
+
+
+def drift_by_target(df: DataFrame, splits: dict[str, str], numeric: list[str], categorical: list[str]) -> DataFrame:
+    """As drift_report, between the training and the test rows of each target; splits has the split column of each target."""
+    side = lambda c: F.when(F.col(c) == "train", True).when(F.col(c) == "test", False)
+    sides = F.explode(F.array(*[F.struct(F.lit(t).alias("target"), side(c).alias("_train")) for t, c in splits.items()]))
+    return drift(df.select(*numeric, *categorical, sides.alias("s")).select(*numeric, *categorical, "s.*"), "_train", numeric, categorical, ["target"])
 
 
 def target_stability(df: DataFrame, target: str, period: str) -> DataFrame:

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelwright.sources.session import saved
+
 
 def rescale(df: DataFrame, raw: str, out: str, bounds: tuple[float, float] | None = None) -> DataFrame:
     """raw scaled to 0..1 between two percentiles; those of a fit, where given, make batches comparable."""
@@ -18,11 +20,15 @@ def rescale(df: DataFrame, raw: str, out: str, bounds: tuple[float, float] | Non
     return df.withColumn(out, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col(raw) - bounds[0]) / (bounds[1] - bounds[0]))))
 
 
-def robust_drivers(df: DataFrame, columns: list[str], k: int = 3) -> DataFrame:
-    """drivers: the k columns farthest from their median in units of the scaled median deviation, in one array; ties by name."""
-    med = df.agg(*[F.median(c).alias(f"m_{c}") for c in columns])
+def robust_drivers(df: DataFrame, columns: list[str], k: int = 3, fit_on: str = "true") -> DataFrame:
+    """drivers: the k columns farthest from their median in units of the scaled median deviation, in one array; ties by name.
+
+    Medians and deviations come from the rows where fit_on holds (training rows); without a deviation the sample deviation is the unit, without that 1.
+    """
+    df = saved(df, "driven")
+    med = df.filter(fit_on).agg(*[F.median(c).alias(f"m_{c}") for c in columns])
     with_med = df.join(F.broadcast(med))
-    spread = with_med.agg(*[F.median(F.abs(F.col(c) - F.col(f"m_{c}"))).alias(f"d_{c}") for c in columns], *[F.stddev_pop(c).alias(f"s_{c}") for c in columns])
+    spread = with_med.filter(fit_on).agg(*[F.median(F.abs(F.col(c) - F.col(f"m_{c}"))).alias(f"d_{c}") for c in columns], *[F.stddev_samp(c).alias(f"s_{c}") for c in columns])
 
     def z(c: str) -> Column:
         unit = F.when(F.col(f"d_{c}") > 0, 1.4826 * F.col(f"d_{c}")).when(F.col(f"s_{c}") > 0, F.col(f"s_{c}")).otherwise(1.0)
@@ -104,6 +110,17 @@ def action_rules(rules=ACTIONS) -> Column:
     return F.coalesce(*[F.when(F.col(c) >= t, name) for name, c, t in rules], F.lit("monitor_no_action"))
 
 
+#: Why an action is taken (our own words); none is a decision.
+REASONS = {
+    "raise_exception_for_review": "The record itself looks wrong.", "escalate_loss_mitigation": "Default within a year is likely.", "early_stage_collections_outreach": "Delinquency within three months is likely.",
+    "watchlist_monitor": "Delinquency within six months is possible.", "retention_review": "Prepayment within a year is likely.",
+}
+
+
+def action_reasons(rules=ACTIONS) -> Column:
+    return F.coalesce(*[F.when(F.col(c) >= t, REASONS[name]) for name, c, t in rules], F.lit("No score reaches a threshold."))
+
+
 def check_contract(df: DataFrame, key: str, probabilities: list[str], vocabulary: dict[str, list[str]]) -> DataFrame:
     """Violations: repeated keys, values outside 0..1, words outside the vocabulary."""
     checks = {f"range_{c}": F.count_if(~F.col(c).between(0, 1) | F.col(c).isNull()) for c in probabilities} | {f"words_{c}": F.count_if(~F.col(c).isin(v)) for c, v in vocabulary.items()}

@@ -13,6 +13,7 @@ from panelwright.operators.survival import STATES
 MACRO = ["market_mortgage_rate", "unemployment_rate", "hpi_yoy_growth"]
 #: Shock at the horizon for each macro value (fixed values).
 SHOCKS = {"base": (0.0, 0.0, 0.0), "adverse_credit": (0.0, 3.0, -0.10), "high_prepayment": (-1.0, 0.0, 0.0)}
+#: What counts as worse for each state (fixed values).
 WORSE = {"Current": ["DQ30", "DQ60", "DQ90plus", "Default"], "DQ30": ["DQ60", "DQ90plus", "Default"], "DQ60": ["DQ90plus", "Default"], "DQ90plus": ["Default"]}
 
 
@@ -25,6 +26,18 @@ def build_scenarios(macro: DataFrame, shocks: dict = SHOCKS, horizon: int = 12,
     return path.select("scenario_name", "horizon_month", *[F.round(F.col(c) + F.col(f"s{i}") * F.col("horizon_month") / horizon, digits[i]).alias(c) for i, c in enumerate(MACRO)])
 
 
+def fitted_scorer(slopes: dict[str, float], intercept: float, rest: dict[str, float]):
+    """A scorer from a fitted logistic model: slopes of incentive, unemployment and house prices, and of further columns of the snapshot."""
+
+    def scorer(rate: Column, unemployment: Column, hpi: Column) -> Column:
+        z = F.lit(intercept) + slopes["rate_incentive"] * (F.col("rate_clean") - rate) + slopes["unemployment_rate"] * unemployment + slopes["hpi_yoy_growth"] * hpi
+        for c, b in rest.items():
+            z = z + b * F.col(c).cast("double")
+        return 1 / (1 + F.exp(-z))
+
+    return scorer
+
+
 def linear_scorer(rate: Column, unemployment: Column, hpi: Column) -> Column:
     """A fixed logistic scorer over incentive, macro values and status; stands in for a model where a closed form is wanted."""
     z = -3.0 + 0.4 * (F.col("rate_clean") - rate) + 0.3 * unemployment - 5.0 * hpi + 0.8 * F.col("status_ord")
@@ -37,28 +50,28 @@ def apply_scenario(snapshot: DataFrame, scenarios: DataFrame, horizon: int) -> D
     return snapshot.crossJoin(F.broadcast(shocked))
 
 
-def score_scenarios(snapshot: DataFrame, scenarios: DataFrame, horizon: int = 12) -> DataFrame:
-    """Mean score of each scenario, and its distance from base."""
-    p = linear_scorer(*[F.col(f"scn_{c}") for c in MACRO])
+def score_scenarios(snapshot: DataFrame, scenarios: DataFrame, horizon: int = 12, scorer=linear_scorer) -> DataFrame:
+    """Mean score of each scenario, and its distance from base; scorer gives the probability from three columns of macro values."""
+    p = scorer(*[F.col(f"scn_{c}") for c in MACRO])
     means = apply_scenario(snapshot, scenarios, horizon).groupBy("scenario_name").agg(F.avg(p).alias("mean_score"))
     base = means.filter("scenario_name = 'base'").select(F.col("mean_score").alias("base_score"))
     out = means.join(F.broadcast(base))
     return out.select("scenario_name", "mean_score", (F.col("mean_score") - F.col("base_score")).alias("delta"), (F.col("mean_score") / F.col("base_score") - 1).alias("relative"))
 
 
-def segment_impacts(snapshot: DataFrame, scenarios: DataFrame, by: str, horizon: int = 12) -> DataFrame:
-    p = linear_scorer(*[F.col(f"scn_{c}") for c in MACRO])
+def segment_impacts(snapshot: DataFrame, scenarios: DataFrame, by: str, horizon: int = 12, scorer=linear_scorer) -> DataFrame:
+    p = scorer(*[F.col(f"scn_{c}") for c in MACRO])
     names = list(SHOCKS)
     wide = apply_scenario(snapshot, scenarios, horizon).dropna(subset=[by]).withColumn("p", p).groupBy(by).pivot("scenario_name", names).agg(F.avg("p"))
     return wide.withColumns({f"delta_{n}": F.col(n) - F.col("base") for n in names if n != "base"})
 
 
-def driver_decomposition(snapshot: DataFrame, scenarios: DataFrame, name: str, horizon: int = 12) -> DataFrame:
+def driver_decomposition(snapshot: DataFrame, scenarios: DataFrame, name: str, horizon: int = 12, scorer=linear_scorer) -> DataFrame:
     """What each macro value alone does to the mean score, the rest as interaction, and shares of the whole: one pass."""
     rows = apply_scenario(snapshot, scenarios.filter(F.col("scenario_name") == name), horizon)
     own, new = [F.col(c) for c in MACRO], [F.col(f"scn_{c}") for c in MACRO]
-    base, full = linear_scorer(*own), linear_scorer(*new)
-    alone = {c: linear_scorer(*[new[j] if j == i else own[j] for j in range(3)]) for i, c in enumerate(MACRO)}
+    base, full = scorer(*own), scorer(*new)
+    alone = {c: scorer(*[new[j] if j == i else own[j] for j in range(3)]) for i, c in enumerate(MACRO)}
     sums = rows.agg(F.avg(full - base).alias("total"), *[F.avg(p - base).alias(c) for c, p in alone.items()])
     sums = sums.withColumn("interaction", F.col("total") - reduce(lambda a, b: a + b, [F.col(c) for c in MACRO]))
     return sums.unpivot("total", [*MACRO, "interaction"], "driver", "effect").select("driver", "effect", (F.col("effect") / F.when(F.abs("total") > 1e-12, F.col("total"))).alias("share"))
@@ -70,6 +83,31 @@ def scenario_summary(scenarios: DataFrame, macro: DataFrame, horizon: int = 12,
     return end.select("scenario_name", *MACRO, *[(F.col(c) - F.col(f"last_{c}")).alias(f"shift_{c}") for c in MACRO])
 
 
+def compare_engines(scores: DataFrame, paths: DataFrame, horizon: int = 12) -> DataFrame:
+    """Two ways to see a scenario, side by side: scenario_name, engine_a_delta (of mean scores), and of the projected shares at the horizon the sums
+    defaulted, prepaid, delinquent and their distance from base. scores as of score_scenarios, paths: scenario_name, horizon_month, state, share."""
+    end = paths.filter(F.col("horizon_month") == horizon)
+    of = lambda *states: F.sum(F.when(F.col("state").isin(*states), F.col("share")).otherwise(0.0))
+    sums = end.groupBy("scenario_name").agg(of("Default").alias("defaulted"), of("Prepaid").alias("prepaid"), of("DQ30", "DQ60", "DQ90plus").alias("delinquent"))
+    names = ["defaulted", "prepaid", "delinquent"]
+    base = sums.filter("scenario_name = 'base'").select(*[F.col(c).alias(f"_{c}") for c in names])
+    out = sums.join(F.broadcast(base)).select("scenario_name", *names, *[(F.col(c) - F.col(f"_{c}")).alias(f"delta_{c}") for c in names])
+    return scores.select("scenario_name", F.col("delta").alias("engine_a_delta")).join(out, "scenario_name")
+
+
+def macro_design(rates: DataFrame, macro: DataFrame, on: str = "pno") -> DataFrame:
+    """Monthly rates beside the month's macro values, rows with an unknown one dropped."""
+    return rates.join(F.broadcast(macro.select(on, "unemployment_rate", "hpi_yoy_growth")), on).dropna()
+
+
+def fitted_shifts(fit: DataFrame, scenarios: DataFrame, macro: DataFrame, name: str, horizon: int = 12, on: str = "pno") -> dict[str, tuple[float, float]]:
+    """Shift of the log odds of getting worse and of prepaying for each state under a scenario: the fit's slopes times the macro values' distance from the last month. A few dozen numbers."""
+    x = scenario_summary(scenarios.filter(F.col("scenario_name") == name), macro, horizon, on).first()
+    d = {"unemployment_rate": x["shift_unemployment_rate"], "hpi_yoy_growth": x["shift_hpi_yoy_growth"], "rate_incentive": -x["shift_market_mortgage_rate"]}
+    shift = {(r["current_status"], r["kind"]): sum(r[c] * v for c, v in d.items()) for r in fit.collect()}
+    return {s: (shift.get((s, "deteriorate"), 0.0), shift.get((s, "prepay"), 0.0)) for s in {s for s, _ in shift}}
+
+
 def monthly_rates(df: DataFrame, least: int = 25) -> DataFrame:
     """Per state and month: rows, share that gets worse, share that prepays, mean incentive."""
     worse = reduce(lambda a, b: a | b, [(F.col("current_status") == s) & F.col("next_state").isin(t) for s, t in WORSE.items()])
@@ -81,7 +119,7 @@ def monthly_rates(df: DataFrame, least: int = 25) -> DataFrame:
 def macro_transition_fit(rates: DataFrame, macro: DataFrame, least_months: int = 12) -> DataFrame:
     """Weighted least squares of the log odds on unemployment, house prices and incentive, for each state and kind, from sums of products."""
     x = ["unemployment_rate", "hpi_yoy_growth", "rate_incentive"]
-    rows = rates.join(F.broadcast(macro.select("pno", *x[:2])), "pno").dropna()
+    rows = macro_design(rates, macro)
     kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.least(F.greatest(F.col(k), F.lit(1e-4)), F.lit(1 - 1e-4)).alias("p")) for k in ("deteriorate", "prepay")]))
     long = rows.select("current_status", "n", *x, kinds.alias("k")).select("current_status", "n", *x, "k.kind", F.log(F.col("k.p") / (1 - F.col("k.p"))).alias("y")).withColumn("one", F.lit(1.0))
     terms = ["one", *x, "y"]

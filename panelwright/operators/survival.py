@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -128,14 +129,15 @@ def transition_matrix(df: DataFrame, states: list[str] = STATES, smooth: float =
 
 
 def project_states(matrix: DataFrame, horizon: int) -> DataFrame:
-    """start_state, horizon_month, state, p: the matrix's powers."""
-    step = matrix.select(F.col("from_state").alias("_f"), F.col("to_state").alias("_t"), F.col("p").alias("_p"))
-    now = matrix.select(F.col("from_state").alias("start_state"), F.col("to_state").alias("state"), "p").withColumn("horizon_month", F.lit(1))
-    out = now
-    for k in range(2, horizon + 1):
-        now = now.join(F.broadcast(step), F.col("state") == F.col("_f")).groupBy("start_state", F.col("_t").alias("state")).agg(F.sum(F.col("p") * F.col("_p")).alias("p")).withColumn("horizon_month", F.lit(k))
-        out = out.unionByName(now)
-    return out
+    """start_state, horizon_month, state, p: the matrix's powers. The matrix is a few dozen cells, so the driver multiplies it."""
+    cells = {(r.from_state, r.to_state): r.p for r in matrix.select("from_state", "to_state", "p").collect()}
+    states = sorted({s for cell in cells for s in cell})
+    one = np.array([[cells.get((a, b), 0.0) for b in states] for a in states]).reshape(len(states), len(states))
+    rows, now = [], np.eye(len(states))
+    for k in range(1, horizon + 1):
+        now = now @ one
+        rows += [(a, k, b, float(now[i, j])) for i, a in enumerate(states) for j, b in enumerate(states)]
+    return matrix.sparkSession.createDataFrame(rows, "start_state string, horizon_month int, state string, p double")
 
 
 def projected_vs_observed(matrix: DataFrame, targeted: DataFrame, horizon: int = 12, least: int = 30) -> DataFrame:

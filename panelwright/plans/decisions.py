@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from panelwright.functions.columns import bucket
 from panelwright.operators import features as X
+from panelwright.operators import joins
 from panelwright.operators import labels as L
 from panelwright.operators import review as R
 from panelwright.operators import scenarios as Z
@@ -58,6 +59,17 @@ def probabilities(t: Tables):
     return deduped(t).select("seq", "current_status", *[((F.col("seq") * k % 97) / 97.0).alias(n) for n, k in (("exception_probability", 3), ("prob_default_12m", 5), ("prob_delinquency_3m", 7), ("prob_delinquency_6m", 11), ("prob_prepayment_12m", 13))])
 
 
+def _driven(t):
+    rows = scored(t).select("seq", "month_index", F.coalesce("dpd_clean", F.lit(0.0)).alias("dpd"), "lag_days", "penalty", "loan_age_months")
+    return R.robust_drivers(rows, ["dpd", "lag_days", "penalty", "loan_age_months"], fit_on="month_index < 50")
+
+
+def _attached(t):
+    card = scored(t).select("seq", "current_status", "violations", "dq_score")
+    drivers = _driven(t).select("seq", F.array_join("drivers", "|").alias("drivers"))
+    return joins.attach_scores(card, drivers, ["seq"])
+
+
 def _queue(t):
     return rounded(R.review_queue(ranked(t), 50).select("seq", "priority", "predicted_type"), "priority")
 
@@ -74,6 +86,7 @@ def _full_guard(t):
 
 
 QUERIES = {
+    "c12_attach_scores": _attached,
     "l1_build_scenarios": scen,
     "l2_apply_scenario": _cross,
     "l3_score_scenarios": lambda t: rounded(Z.score_scenarios(snap(t), scen(t)), "mean_score", "delta", "relative"),
@@ -85,11 +98,11 @@ QUERIES = {
     "l9_portfolio_projection": lambda t: rounded(Z.portfolio_projection(X.snapshot(deduped(t)), S.project_states(matrix(t), 12)), "share"),
     "l10_scenario_summary": lambda t: rounded(Z.scenario_summary(scen(t), t.macro()), *[f"shift_{c}" for c in Z.MACRO], digits=5),
     "m2_rescale": lambda t: rounded(ranked(t).select("seq", "score"), "score"),
-    "m3_robust_drivers": lambda t: R.robust_drivers(scored(t).withColumn("dpd", F.coalesce("dpd_clean", F.lit(0.0))), ["dpd", "lag_days", "penalty", "loan_age_months"]).select("seq", F.array_join("drivers", "|").alias("drivers")),
+    "m3_robust_drivers": lambda t: _driven(t).select("seq", F.array_join("drivers", "|").alias("drivers")),
     "m4_review_queue": _queue,
     "m5_anomaly_by": lambda t: rounded(R.anomaly_by(ranked(t), "servicer_name"), "mean_score", "share_high", "mean_probability"),
     "m6_gate_type": lambda t: ranked(t).groupBy(R.gate_type("predicted_type", "probability", 0.2).alias("gated")).agg(F.count("*").alias("rows")),
-    "m7_driver_frequency": lambda t: rounded(R.driver_frequency(R.robust_drivers(scored(t).withColumn("dpd", F.coalesce("dpd_clean", F.lit(0.0))), ["dpd", "lag_days", "penalty", "loan_age_months"])), "share"),
+    "m7_driver_frequency": lambda t: rounded(R.driver_frequency(_driven(t)), "share"),
     "n2_global_importance": lambda t: rounded(R.global_importance(attributed(t)), "mean_abs", "mean_signed", "corr", "share", digits=5),
     "n3_local_explanations": lambda t: rounded(R.local_explanations(attributed(t), "seq", 20, 2), "contribution", "total"),
     "n4_driver_strings": lambda t: R.driver_strings(attributed(t), ["seq"], 1).groupBy("drivers").agg(F.count("*").alias("rows")),
@@ -99,7 +112,7 @@ QUERIES = {
     "o2_action_rules": lambda t: probabilities(t).select("seq", R.action_rules().alias("action")),
     "o3_check_contract": lambda t: R.check_contract(probabilities(t), "seq", ["prob_default_12m", "exception_probability"], {"current_status": ["Current", "DQ30", "DQ60", "DQ90plus"]}),
     "p4_parse_numbers": lambda t: t.raw("documents").select("doc_id", F.size(F.coalesce(G.parse_numbers(F.col("text")), F.array())).alias("n_numbers"), F.round(F.aggregate(F.filter(G.parse_numbers(F.col("text")), lambda x: F.abs(x) < 1e9), F.lit(0.0), lambda a, x: a + x), 4).alias("total")),
-    "p5_grounding_check": lambda t: _guard(t).select("doc_id", "causal", "framed", "latex", "useful"),
+    "p5_grounding_check": lambda t: _guard(t).select("doc_id", "n_numbers", "n_ungrounded", "causal", "framed", "latex", "grounded", "useful"),
     "p7_full_guard": _full_guard,
     "p8_summarise": lambda t: G.summarise(_full_guard(t)),
 }
@@ -132,18 +145,25 @@ SELECT from_state, to_state, round(q / sum(q) OVER (PARTITION BY from_state), 6)
 _RANKED = ", qq AS (SELECT quantile_cont(penalty + seq % 7, 0.005e0) AS lo, quantile_cont(penalty + seq % 7, 0.995e0) AS hi FROM scored), ranked AS (SELECT *, greatest(0, least(1, (penalty + seq % 7 - lo) / nullif(hi - lo, 0))) AS score, violations / 17 AS probability, CASE WHEN seq % 3 = 0 THEN 'document_breach' WHEN seq % 3 = 1 THEN 'date_breach' ELSE 'dpd_breach' END AS predicted_type FROM scored, qq)"
 _COLS = ["dpd", "lag_days", "loan_age_months", "penalty"]
 _DEV = f"""
-, src AS (SELECT seq, coalesce(dpd_clean, 0) AS dpd, lag_days, penalty, loan_age_months FROM scored),
-meds AS (SELECT {', '.join(f'median({c}) AS m_{c}, stddev_pop({c}) AS s_{c}' for c in _COLS)} FROM src),
-devs AS (SELECT {', '.join(f'median(abs({c} - m_{c})) AS d_{c}' for c in _COLS)} FROM src, meds),
+, src AS (SELECT seq, month_index, coalesce(dpd_clean, 0) AS dpd, lag_days, penalty, loan_age_months FROM scored),
+meds AS (SELECT {', '.join(f'median({c}) AS m_{c}, stddev_samp({c}) AS s_{c}' for c in _COLS)} FROM src WHERE month_index < 50),
+devs AS (SELECT {', '.join(f'median(abs({c} - m_{c})) AS d_{c}' for c in _COLS)} FROM src, meds WHERE month_index < 50),
 zs AS ({' UNION ALL '.join(f"SELECT seq, '{c}' AS c, coalesce(abs({c} - m_{c}) / CASE WHEN d_{c} > 0 THEN 1.4826e0 * d_{c} WHEN s_{c} > 0 THEN s_{c} ELSE 1 END, 0) AS z FROM src, meds, devs" for c in _COLS)}),
 drv AS (SELECT seq, c, row_number() OVER (PARTITION BY seq ORDER BY z DESC, c) AS k FROM zs)
 """
 _ATTR = ", attr AS (" + " UNION ALL ".join(f"SELECT seq, '{c}' AS feature, CAST({c} AS DOUBLE) AS value, coalesce({b}e0 * ({c} - (SELECT avg({c}) FROM scored)), 0) AS contribution FROM scored" for c, b in COEFFICIENTS.items()) + ")"
 _PROBS = ", probs AS (SELECT seq, current_status, " + ", ".join(f"(seq * {k} % 97) / 97e0 AS {n}" for n, k in (("exception_probability", 3), ("prob_default_12m", 5), ("prob_delinquency_3m", 7), ("prob_delinquency_6m", 11), ("prob_prepayment_12m", 13))) + " FROM one)"
 _ANY = lambda words: " OR ".join(f"contains(lower(text), '{w}')" for w in words)
-_GUARD = f"SELECT doc_id, ({_ANY(G.CAUSAL)}) AS causal, ({_ANY(G.FRAMING)}) AS framed, (" + " OR ".join(f"regexp_matches(text, '{p}')" for p in G.LATEX) + f") AS latex, ({_ANY(G.ACTION)}) AS useful FROM documents"
+_NUMBERS = rf"list_transform(regexp_extract_all(regexp_replace(text, '(?m)^\s*\d+\.\s', '', 'g'), '{G.NUMBER}', 1), lambda x: TRY_CAST(regexp_replace(x, '[,%+]', '', 'g') AS DOUBLE))"
+_ALLOWED = "list_concat(list_distinct(flatten(list_transform([doc_id, doc_id * 100e0, doc_id / 100e0, n_chars, n_chars * 100e0, n_chars / 100e0], lambda x: [x, round(x, 0), round(x, 1), round(x, 2), round(x, 3)]))), [" + ", ".join(f"{x}e0" for x in G.SMALL) + "])"
+_GUARD = f"""WITH n AS (SELECT doc_id, text, {_NUMBERS} AS numbers, {_ALLOWED} AS allowed FROM documents),
+f AS (SELECT *, len(numbers) AS n_numbers, len(list_filter(numbers, lambda x: len(list_filter(allowed, lambda a: abs(x - a) <= greatest(0.005e0, abs(a) * 0.005e0))) = 0)) AS n_ungrounded, ({_ANY(G.CAUSAL)}) AS causal, ({_ANY(G.FRAMING)}) AS framed,
+  ({" OR ".join(f"contains(text, '{m}')" for m in G.LATEX_MARKERS)} OR regexp_matches(text, '[$][^$\\n]*\\d[^$\\n]*[$]')) AS latex, ({_ANY(G.ACTION)}) AS useful FROM n)
+SELECT doc_id, n_numbers, n_ungrounded, causal, framed, latex, n_ungrounded = 0 AND NOT causal AND framed AND NOT latex AS grounded, useful FROM f"""
+_PARSED = f"SELECT doc_id, coalesce(len(numbers), 0) AS n_numbers, round(list_reduce(list_prepend(0e0, list_filter(numbers, lambda x: abs(x) < 1e9)), lambda a, b: a + b), 4) AS total FROM (SELECT doc_id, {_NUMBERS} AS numbers FROM documents)"
 
 ORACLES = {
+    "c12_attach_scores": select(f"{_DEV} SELECT seq, current_status, violations, dq_score, drivers FROM scored LEFT JOIN (SELECT seq, string_agg(c, '|' ORDER BY k) AS drivers FROM drv WHERE k <= 3 GROUP BY 1) USING (seq)"),
     "l1_build_scenarios": select(f"{_SCEN} SELECT * FROM scen"),
     "l2_apply_scenario": select(f"{_LIN} SELECT seq, scenario_name, round(rate_clean - sm, 5) AS incentive, round(su - unemployment_rate, 5) AS unemployment_gap FROM x"),
     "l3_score_scenarios": select(f"{_LIN}, m AS (SELECT scenario_name, avg({_SCN}) AS s FROM x GROUP BY 1), b AS (SELECT s AS b FROM m WHERE scenario_name = 'base') SELECT scenario_name, round(s, 6) AS mean_score, round(s - b, 6) AS delta, round(s / b - 1, 6) AS relative FROM m, b"),
@@ -161,10 +181,12 @@ ORACLES = {
     "m7_driver_frequency": select(f"{_DEV} SELECT c AS driver, count(*) AS rows, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM drv WHERE k = 1 GROUP BY 1"),
     "n2_global_importance": select(f"{_ATTR}, g AS (SELECT feature, avg(abs(contribution)) AS ma, avg(contribution) AS ms, corr(value, contribution) AS co FROM attr GROUP BY 1) SELECT feature, round(ma, 5) AS mean_abs, round(ms, 5) AS mean_signed, round(co, 5) AS corr, round(ma / sum(ma) OVER (), 5) AS share, CASE WHEN co > 0.05 THEN 'up' WHEN co < -0.05 THEN 'down' ELSE 'mixed' END AS direction FROM g"),
     "n3_local_explanations": select(f"{_ATTR}, tt AS (SELECT seq, sum(contribution) AS total FROM attr GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20) SELECT seq, rank, feature, round(contribution, 6) AS contribution, round(total, 6) AS total FROM (SELECT a.*, total, row_number() OVER (PARTITION BY a.seq ORDER BY abs(contribution) DESC, feature) AS rank FROM attr a JOIN tt USING (seq)) WHERE rank <= 2"),
+    "n4_driver_strings": select(f"{_ATTR}, top AS (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY abs(contribution) DESC, feature) AS k FROM attr) SELECT concat(replace(feature, '_', ' '), ' (', CASE WHEN contribution >= 0 THEN '+' ELSE '-' END, printf('%.2f', round_even(abs(contribution), 2)), ')') AS drivers, count(*) AS rows FROM top WHERE k = 1 GROUP BY 1"),
     "n6_confidence_band": f"SELECT CASE WHEN least(p, 1 - p) + 3 * p / 20 < 0.1e0 THEN 'high' WHEN least(p, 1 - p) + 3 * p / 20 < 0.25e0 THEN 'medium' ELSE 'low' END AS band, count(*) AS rows FROM ({PAIRS_VIEW}) GROUP BY 1",
     "n8_describe": f"SELECT count(p) AS n, round(avg(p), 6) AS mean, round(stddev_samp(p), 6) AS std, min(p) AS min, round(quantile_cont(p, 0.25e0), 6) AS p25, round(median(p), 6) AS p50, round(quantile_cont(p, 0.75e0), 6) AS p75, max(p) AS max FROM ({PAIRS_VIEW})",
     "n9_linear_attributions": select(f"{_ATTR} SELECT seq, feature, round(contribution, 6) AS contribution FROM attr"),
     "o2_action_rules": select(f"{_PROBS} SELECT seq, CASE " + " ".join(f"WHEN {c} >= {t}e0 THEN '{n}'" for n, c, t in R.ACTIONS) + " ELSE 'monitor_no_action' END AS action FROM probs"),
-    "o3_check_contract": select(f"{_PROBS} SELECT 'repeated_keys' AS \"check\", count(*) - count(DISTINCT seq) AS violations FROM probs UNION ALL SELECT 'range_prob_default_12m', 0 UNION ALL SELECT 'range_exception_probability', 0 UNION ALL SELECT 'words_current_status', count(*) FROM probs WHERE current_status NOT IN ('Current', 'DQ30', 'DQ60', 'DQ90plus')"),
+    "o3_check_contract": select(f"{_PROBS} SELECT 'repeated_keys' AS \"check\", count(*) - count(DISTINCT seq) AS violations FROM probs UNION ALL SELECT 'range_prob_default_12m', count(*) FROM probs WHERE NOT coalesce(prob_default_12m BETWEEN 0 AND 1, false) UNION ALL SELECT 'range_exception_probability', count(*) FROM probs WHERE NOT coalesce(exception_probability BETWEEN 0 AND 1, false) UNION ALL SELECT 'words_current_status', count(*) FROM probs WHERE current_status NOT IN ('Current', 'DQ30', 'DQ60', 'DQ90plus')"),
+    "p4_parse_numbers": _PARSED,
     "p5_grounding_check": _GUARD,
 }

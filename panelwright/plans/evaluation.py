@@ -152,6 +152,7 @@ ORACLES = {
     "k8_transition_matrix": select(f"{_MATRIX} SELECT from_state, to_state, n, round(p, 6) AS p FROM matrix"),
     "k9_project_states": select(f"{_MATRIX} {_POWERS} SELECT start_state, state, round(p, 6) AS p, horizon_month FROM powers"),
     "k10_projected_vs_observed": select(f"{_MATRIX} {_POWERS} SELECT o.start_state, o.n, round(o.observed, 6) AS observed, round(p.p, 6) AS projected, round(abs(p.p - o.observed), 6) AS error FROM (SELECT current_status AS start_state, count(*) AS n, avg(next_12m_default_flag) AS observed FROM target WHERE next_12m_default_flag IS NOT NULL GROUP BY 1 HAVING count(*) >= 30) o JOIN powers p ON p.start_state = o.start_state AND p.horizon_month = 12 AND p.state = 'Default'"),
+    "k11_milestones": select(f"{_FRAME}, big AS (SELECT state FROM v GROUP BY 1 HAVING count(*) >= 40), risk AS (SELECT state, age, d, (SELECT count(*) FROM v w WHERE w.state = x.state AND entry_age < age AND exit_age >= age) AS at_risk FROM (SELECT state, exit_age AS age, sum(event_default) AS d FROM v JOIN big USING (state) GROUP BY 1, 2) x), km AS (SELECT state, age, CASE WHEN max(CASE WHEN d = at_risk THEN 1 ELSE 0 END) OVER w = 1 THEN 0 ELSE exp(sum(ln(CASE WHEN d = at_risk THEN 1 ELSE 1 - d / at_risk END)) OVER w) END AS s FROM risk WHERE at_risk > 0 WINDOW w AS (PARTITION BY state ORDER BY age)), seen AS (SELECT state, g, 1 - coalesce((SELECT arg_max(s, age) FROM km WHERE km.state = big.state AND age <= g), 1) AS c FROM big, (SELECT unnest([12, 24, 36, 48, 60]) AS g)) SELECT state, " + ", ".join(f'round(max(CASE WHEN g = {g} THEN c END), 6) AS \"{g}\"' for g in (12, 24, 36, 48, 60)) + " FROM seen GROUP BY 1"),
     "k12_censoring_summary": select(f"{_FRAME} SELECT event_type, count(*) AS n, median(duration) AS median_duration, sum(administratively_censored) AS administrative, sum(left_truncated) AS left_truncated FROM v GROUP BY 1"),
     "k13_pivot_path": select(f"{_MATRIX} {_POWERS} SELECT horizon_month, " + ", ".join(f"round(max(CASE WHEN start_state = '{s}' THEN p END), 6) AS \"{s}\"" for s in S.STATES) + " FROM powers WHERE state = 'Default' AND horizon_month <= 6 GROUP BY 1"),
 }

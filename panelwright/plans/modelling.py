@@ -1,4 +1,4 @@
-"""Queries that fit models or grow trees; SQL cannot express them, tests hold them against direct computation."""
+"""Queries that fit models or grow trees; SQL cannot express them. Fits, trees, forests and comparisons are held against direct computation in tests/test_models.py."""
 
 from __future__ import annotations
 
@@ -9,14 +9,21 @@ from panelwright.operators import features as X
 from panelwright.operators import joins
 from panelwright.operators import labels as L
 from panelwright.operators import models as M
+from panelwright.operators import packs as P
 from panelwright.operators import review as R
+from panelwright.operators import rules
+from panelwright.operators import scenarios as Z
+from panelwright.operators import scorecard as Q
+from panelwright.operators import survival as S
 from panelwright.operators.metrics import binary_metrics
-from panelwright.plans.evaluation import frame
-from panelwright.plans.panel import EXITS, TARGET
-from panelwright.plans.quality import cleaned, rounded
-from panelwright.sources.session import ship_package
+from panelwright.operators.trees import staged_spread, tree_attributions
+from panelwright.plans.evaluation import frame, matrix
+from panelwright.plans.panel import EXITS, TARGET, featured
+from panelwright.plans.quality import reconciled, rounded, scored
+from panelwright.sources.session import new_path, saved, ship_package
 from panelwright.sources.tables import Tables
 
+TARGETS = ["next_3m_delinquency_flag", "next_6m_delinquency_flag", "next_12m_default_flag", "next_12m_prepayment_flag"]
 SMALL = ["status_ord", "credit_ord", "ltv_ord", "balance_ratio", "rate_incentive", "dpd_max_3", "late_count_6", "clean_streak"]
 
 
@@ -27,11 +34,19 @@ ANOMALY = [
 ]
 
 
+def labelled(t: Tables):
+    """Features, targets, the exception type and the split of all rows in one frame."""
+    breaches = rules.resolve_priority(rules.breach_flags(reconciled(t))).select("seq", "exception_type", "exception_required")
+    rows = X.build_features(joins.attach_macro(scored(t), t.macro()))
+    residual = F.col("dpd_clean") - C.map_codes("current_status", C.STATUS_DAYS).cast("int")
+    out = L.purged_split(L.attach_targets(rows.withColumn("dpd_status_residual", residual), EXITS), TARGET, 12)
+    return joins.attach_scores(out, breaches, ["seq"])
+
+
 def modelled(t: Tables):
-    """Features, targets and split in one frame, computed once for all passes of a fit."""
-    rows = X.build_features(joins.attach_macro(cleaned(t), t.macro()))
-    out = L.purged_split(L.attach_targets(rows, EXITS), TARGET, 12)
-    return out.select("seq", "entity_id", "month_index", *SMALL, "state", "document_status", "next_state", TARGET, "split").persist()
+    """What the fits read, written once for all their passes."""
+    keep = dict.fromkeys(["seq", "entity_id", "month_index", "reporting_month", "servicer_name", "current_status", *SMALL, *ANOMALY, "state", "document_status", "next_state", "exception_type", "exception_required", *TARGETS, "split"])
+    return saved(labelled(t).select(*keep), "modelled")
 
 
 def _metrics(scored, y=TARGET, p="p"):
@@ -43,12 +58,125 @@ def _logistic(t):
     return _metrics(M.score(M.fit_logistic(df, SMALL, TARGET), df, "p", SMALL))
 
 
+CATEGORIES = ["state", "document_status"]
+
+
+def _boosted(df, y=TARGET, **sizes):
+    model = M.fit_gbt(df, SMALL, CATEGORIES, y, **sizes)
+    return model, M.score(model, df, "p", SMALL, CATEGORIES)
+
+
 def _gbt(t):
+    _, out = _boosted(modelled(t), depth=4, rounds=20)
+    return _metrics(out)
+
+
+def _grid(t):
     df = modelled(t)
-    model = M.fit_gbt(df, SMALL, ["state", "document_status"], TARGET, depth=4, rounds=20)
-    out = M.score(model, df, "p", SMALL, ["state", "document_status"])
-    valid = out.filter("split = 'valid'")
-    return _metrics(M.calibrated(valid, out, TARGET, kind=M.choose_calibrator(valid, TARGET)), p="p_cal")
+    grid = [{"depth": 3, "rounds": 10}, {"depth": 4, "rounds": 10}]
+    best, trace = M.grid_search(df, SMALL, CATEGORIES, TARGET, grid)
+    chosen = max(trace, key=lambda x: x["average_precision"] or 0)
+    return t.spark.createDataFrame([(x["depth"], x["rounds"], round(x["average_precision"] or 0.0, 4), x is chosen) for x in trace], "depth int, rounds int, average_precision double, chosen boolean")
+
+
+def _calibrated(t):
+    _, out = _boosted(modelled(t), depth=3, rounds=10)
+    out = saved(out, "scored")
+    valid, rows = out.filter("split = 'valid'"), None
+    chosen = M.choose_calibrator(valid, TARGET)
+    for kind in ("isotonic", "platt"):
+        one = _metrics(M.calibrated(valid, out, TARGET, kind=kind), p="p_cal").select(F.lit(kind).alias("kind"), F.lit(kind == chosen).alias("chosen"), "n", "roc_auc", "brier", "log_loss")
+        rows = one if rows is None else rows.unionByName(one)
+    return rows
+
+
+def _backtest(t):
+    df = modelled(t).drop("split")
+    return rounded(M.backtest(L.expanding_folds(df, TARGET, 12), SMALL, CATEGORIES, TARGET, 200, 50, depth=3, rounds=10), "roc_auc", "average_precision", "brier", digits=4)
+
+
+def _exception_type(t):
+    return rounded(M.exception_type_report(modelled(t), [*SMALL, *ANOMALY])[1], "accuracy", "macro_f1", "weighted_f1", digits=4)
+
+
+def _shaped(t, rounds=12):
+    df = modelled(t)
+    model = M.fit_gbt(df, SMALL, CATEGORIES, TARGET, depth=3, rounds=rounds)
+    return model.stages[0].transform(M.typed(df, SMALL, CATEGORIES)), model.stages[-1]
+
+
+def _attributions(t):
+    shaped, trees = _shaped(t)
+    return rounded(tree_attributions(shaped, trees, [*SMALL, *CATEGORIES], ["seq"]), "contribution", "expected")
+
+
+def _spread(t):
+    shaped, trees = _shaped(t)
+    return rounded(staged_spread(shaped, trees, ["seq"]), "staged_mean", "staged_std", "staged_p10", "staged_p90")
+
+
+def anomalies(df, trees=100):
+    """seq, raw, anomaly_score, drivers of every row, by a forest and medians of the training rows."""
+    ship_package(df.sparkSession)
+    fit_on = "coalesce(split = 'train', false)"
+    raw = R.isolation_forest(df.select("seq", "split", *ANOMALY), ANOMALY, "seq", trees=trees, fit_on=fit_on)
+    driven = R.robust_drivers(df.select("seq", "split", *[F.col(c).cast("double").alias(c) for c in ANOMALY]), ANOMALY, fit_on=fit_on).select("seq", "drivers")
+    return joins.attach_scores(R.rescale(saved(raw, "anomalies"), "raw", "anomaly_score"), driven, ["seq"])
+
+
+def scorecard(t: Tables):
+    """Each entity's last row with all fitted scores: five probabilities, next state, exception type, anomaly, drivers, confidence and action."""
+    df = modelled(t)
+    main = M.fit_gbt(df, SMALL, CATEGORIES, TARGET, depth=3, rounds=12)
+    binary = {"prob_default_12m": (main, SMALL, CATEGORIES)}
+    for name, y in (("prob_delinquency_3m", TARGETS[0]), ("prob_delinquency_6m", TARGETS[1]), ("prob_prepayment_12m", TARGETS[3]), ("exception_probability", "exception_required")):
+        columns = ANOMALY if y == "exception_required" else SMALL
+        binary[name] = (M.fit_logistic(df.dropna(subset=[y]), columns, y), columns, [])
+    columns = [*SMALL, *ANOMALY]
+    kinds = M.fit_multiclass(df.filter("exception_required = 1"), columns, "exception_type", balanced=True)
+    return Q.scorecard(X.snapshot(df), binary, M.fit_multiclass(df, columns, "next_state"), kinds, columns, anomalies(df))
+
+
+def _stressed_paths(t, df):
+    """Projected shares under each scenario, by transitions whose shifts come from the fit on macro values."""
+    rows = L.status_next(featured(t).drop("next_state"), EXITS)
+    macro, paths = t.macro(), None
+    fit, scen, snap = Z.macro_transition_fit(Z.monthly_rates(rows), macro), Z.build_scenarios(macro), X.snapshot(df)
+    for name in Z.SHOCKS:
+        shifts = Z.fitted_shifts(fit, scen, macro, name)
+        stressed = Z.stressed_matrix(matrix(t), shifts) if shifts else matrix(t).select("from_state", "to_state", "p")
+        one = Z.portfolio_projection(snap, S.project_states(stressed, 12)).withColumn("scenario_name", F.lit(name))
+        paths = one if paths is None else paths.unionByName(one)
+    return paths
+
+
+MACRO_X = ["rate_incentive", "unemployment_rate", "hpi_yoy_growth", "status_ord"]
+
+
+def _engines(t):
+    """Scores of a fitted logistic model under each scenario beside projections with fitted shifts."""
+    df = saved(L.purged_split(L.attach_targets(featured(t), EXITS), TARGET, 12), "featured")
+    model = M.fit_logistic(df, MACRO_X, TARGET)
+    lr, scale = model.stages[-1], model.stages[-2]
+    b = {c: float(w / s) if s else 0.0 for c, w, s in zip(MACRO_X, lr.coefficients, scale.std)}
+    intercept = float(lr.intercept - sum(b[c] * m for c, m in zip(MACRO_X, scale.mean)))
+    scorer = Z.fitted_scorer(b, intercept, {"status_ord": b["status_ord"]})
+    macro = t.macro()
+    scores = Z.score_scenarios(X.snapshot(df).filter("rate_clean is not null"), Z.build_scenarios(macro), scorer=scorer)
+    out = Z.compare_engines(scores, _stressed_paths(t, df))
+    return rounded(out, *[c for c in out.columns if c != "scenario_name"], digits=5)
+
+
+def _pack_rows(t):
+    card = scorecard(t)
+    facts = scored(t).select("seq", *[c for c in P.FACTS if c not in ("reporting_month", "servicer_name", "current_status")])
+    rows = joins.attach_scores(card, facts, ["seq"])
+    return P.build_pack(rows, ["prob_default_12m", "prob_prepayment_12m", "anomaly_score"], "top_drivers")
+
+
+def _packs(t):
+    rows = _pack_rows(t)
+    return rows.select("seq", F.to_json("pack").alias("pack"), F.size(P.pack_numbers(rows, "pack")).alias("n_numbers"))
 
 
 def _next_state(t):
@@ -73,11 +201,40 @@ def _cox(t):
 
 def _forest(t):
     ship_package(t.spark)
-    rows = X.build_features(joins.attach_macro(cleaned(t), t.macro()))
-    residual = F.col("dpd_clean") - C.map_codes("current_status", C.STATUS_DAYS).cast("int")
-    rows = L.purged_split(L.attach_targets(rows.withColumn("dpd_status_residual", residual), EXITS), TARGET, 12)
-    return R.isolation_forest(rows.select("seq", "split", *ANOMALY).persist(), ANOMALY, "seq", trees=400, fit_on="coalesce(split = 'train', false)")
-
-
-QUERIES = {"i2_fit_logistic": _logistic, "i3_fit_gbt": _gbt, "i9_fit_multiclass": _next_state, "i13_leakage_probe": _probe, "k6_fit_cox": _cox, "m1_isolation_forest": _forest}
+    df = modelled(t)
+    return R.isolation_forest(df.select("seq", "split", *ANOMALY), ANOMALY, "seq", trees=400, fit_on="coalesce(split = 'train', false)")
+
+
+def _queue(t):
+    """The review queue from fitted scores: anomaly, probability of an exception and its predicted type."""
+    card = scorecard(t).select("seq", F.col("anomaly_score").alias("score"), F.col("exception_probability").alias("probability"), F.col("predicted_exception_type").alias("predicted_type"))
+    return rounded(R.review_queue(saved(card, "card"), 50).select("seq", "priority", "predicted_type"), "priority")
+
+
+def _reloaded(t):
+    """Scores of a model that was saved and read again."""
+    df, path = modelled(t), new_path(t.spark, "model")
+    M.save_model(M.fit_logistic(df, SMALL, TARGET), path)
+    return rounded(M.score(M.load_model(path), df, "p", SMALL).select("seq", "p"), "p")
+
+
+QUERIES = {
+    "a13_model_persistence": _reloaded,
+    "i2_fit_logistic": _logistic,
+    "i3_fit_gbt": _gbt,
+    "i4_grid_search": _grid,
+    "i5_calibrated": _calibrated,
+    "i9_fit_multiclass": _next_state,
+    "i12_exception_type": _exception_type,
+    "i13_leakage_probe": _probe,
+    "i14_backtest": _backtest,
+    "k6_fit_cox": _cox,
+    "l11_compare_engines": _engines,
+    "m1_isolation_forest": _forest,
+    "m4_review_queue_fitted": _queue,
+    "n1_tree_attributions": _attributions,
+    "n5_staged_spread": _spread,
+    "o1_scorecard": scorecard,
+    "p1_build_pack": _packs,
+}
 ORACLES: dict[str, str] = {}

@@ -131,6 +131,12 @@ target AS (
 """
 
 
+def purged_sql(target: str, horizon: int, name: str = "split", source: str = "target") -> str:
+    """A table of rows with their split; twelve months of test and validation."""
+    test, valid = horizon + 5, 2 * horizon + 6
+    return f"{name} AS (SELECT *, CASE WHEN {target} IS NULL OR month_index > last - {horizon} THEN 'excluded' WHEN month_index >= last - {test} THEN 'test' WHEN month_index <= last - {valid + 6} THEN 'train' WHEN month_index <= last - {valid} THEN 'valid' ELSE 'embargo' END AS split FROM {source})"
+
+
 _PURGED = f"{targets_sql()}, split AS (SELECT *, CASE WHEN next_12m_default_flag IS NULL OR month_index > last - 12 THEN 'excluded' WHEN month_index >= last - 17 THEN 'test' WHEN month_index <= last - 36 THEN 'train' WHEN month_index <= last - 30 THEN 'valid' ELSE 'embargo' END AS split FROM target)"
 _HASH = "CAST(concat('0x', substr(md5(concat({0}, '|{1}')), 1, 8)) AS BIGINT) / 4294967296e0"
 
@@ -156,6 +162,6 @@ ORACLES = {
     "h1_purged_split": select(f"{_PURGED} SELECT seq, split FROM split"),
     "h2_entity_disjoint_split": select(f"{_PURGED} SELECT seq, CASE WHEN split = 'test' AND NOT x < 0.35e0 THEN 'excluded' WHEN split IN ('train', 'valid') AND x < 0.35e0 THEN 'excluded' ELSE split END AS split FROM (SELECT *, {_HASH.format('entity_id', 11)} AS x FROM split)"),
     "h3_random_split": select(f"{targets_sql()} SELECT seq, CASE WHEN next_12m_default_flag IS NULL THEN 'excluded' WHEN x < 0.7e0 THEN 'train' WHEN x < 0.85e0 THEN 'valid' ELSE 'test' END AS split FROM (SELECT *, {_HASH.format('seq', 13)} AS x FROM target)"),
-    "h4_expanding_folds": select(f"{targets_sql()} SELECT split, count(*) AS rows, min(month_index) AS first_month, max(month_index) AS last_month, fold FROM (SELECT *, CASE WHEN next_12m_default_flag IS NULL OR month_index > last - 12 THEN 'excluded' WHEN month_index >= last - 17 THEN 'test' WHEN month_index <= last - 36 - 6 * fold THEN 'train' WHEN month_index <= last - 30 - 6 * fold THEN 'valid' ELSE 'embargo' END AS split FROM target, (SELECT unnest([0, 1, 2]) AS fold)) GROUP BY split, fold"),
+    "h4_expanding_folds": select(f"{targets_sql()} SELECT split, count(*) AS rows, min(month_index) AS first_month, max(month_index) AS last_month, fold FROM (SELECT *, CASE WHEN next_12m_default_flag IS NULL OR month_index > last - 12 THEN 'excluded' WHEN month_index >= last - 17 THEN 'test' WHEN month_index <= last - 36 - 6 * fold THEN 'train' WHEN month_index <= last - 30 THEN 'valid' ELSE 'embargo' END AS split FROM target, (SELECT unnest([0, 1, 2]) AS fold)) GROUP BY split, fold"),
     "h5_split_summary": select(f"{_PURGED} SELECT split, count(*) AS rows, round(avg(next_12m_default_flag), 6) AS rate, count(DISTINCT entity_id) AS entities, min(month_index) AS first_month, max(month_index) AS last_month, count(DISTINCT CASE WHEN entity_id IN (SELECT entity_id FROM split WHERE split = 'train') THEN entity_id END) AS shared_with_train FROM split GROUP BY 1"),
 }

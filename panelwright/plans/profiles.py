@@ -6,8 +6,10 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
+from panelwright.operators import labels as L
 from panelwright.operators import profile as P
 from panelwright.plans.oracle import MACRO_VIEW, select
+from panelwright.plans.panel import purged_sql, targeted, targets_sql
 from panelwright.plans.quality import cleaned, deduped, reconciled, rounded
 from panelwright.sources.tables import Tables
 
@@ -27,6 +29,17 @@ def _rank_pairs(t):
     return rounded(P.spearman(cleaned(t), ["balance_clean", "dpd_clean", "age_clean"]), "rho")
 
 
+BY_TARGET = {"next_3m_delinquency_flag": 3, "next_12m_default_flag": 12}
+
+
+def _by_target(t):
+    rows = targeted(t)
+    for target, horizon in BY_TARGET.items():
+        rows = L.purged_split(rows, target, horizon).withColumnRenamed("split", f"split_{target}")
+    out = P.drift_by_target(rows, {target: f"split_{target}" for target in BY_TARGET}, ["current_balance", "days_past_due"], ["current_status"])
+    return rounded(out, "psi", "ks", "missing_before", "missing_after")
+
+
 def _sided(t):
     return deduped(t).withColumn("before", F.col("reporting_month") <= BOUNDARY)
 
@@ -51,6 +64,7 @@ QUERIES = {
     "e12_psi_categorical": lambda t: rounded(P.psi_categorical(_sided(t), "current_status", "before"), "psi"),
     "e13_ks_two_sample": lambda t: rounded(P.ks_two_sample(_sided(t), "current_balance", "before"), "ks"),
     "e14_drift_report": lambda t: rounded(P.drift_report(deduped(t), "reporting_month", BOUNDARY, ["current_balance", "days_past_due"], ["current_status", "credit_score_band"]), "psi", "ks", "missing_before", "missing_after"),
+    "e15_drift_by_target": _by_target,
     "e16_target_stability": lambda t: rounded(P.target_stability(deduped(t).withColumn("late", F.when(F.col("days_past_due").isNotNull(), (F.col("days_past_due") >= 30).cast("int"))), "late", "reporting_month"), "rate", "min_rate", "max_rate", "std_rate"),
     "e17_build_summary": lambda t: reconciled(t).groupBy("current_status").agg(F.count("*").alias("rows"), F.count_distinct("entity_id").alias("entities"), F.count_distinct("servicer_name").alias("servicers"), F.sum("svc_present").alias("with_feed")),
     "e18_resample_months": _months,
@@ -67,33 +81,33 @@ full_{k} AS (SELECT na, nb, coalesce(o, 0) AS o, (SELECT sum(o) FROM cells_{k})
 chi_{k} AS (SELECT n, r, c, sum(CASE WHEN r = 2 AND c = 2 THEN greatest(abs(o - na * nb / n) - least(0.5e0, abs(o - na * nb / n)), 0) ** 2 ELSE (o - na * nb / n) ** 2 END / (na * nb / n)) AS chi2 FROM full_{k} GROUP BY 1, 2, 3)"""
 _PAIRS = list(combinations(["credit_score_band", "ltv_band", "current_status"], 2))
 _RHO = "SELECT '{a}' AS a, '{b}' AS b, round(corr(ra, rb), 6) AS rho FROM (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2 AS ra, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2 AS rb FROM (SELECT {a} AS x, {b} AS y FROM clean WHERE {a} IS NOT NULL AND {b} IS NOT NULL))"
-_FD = "SELECT '{a}' AS determinant, '{b}' AS dependent, count(*) AS groups, sum(CASE WHEN k > 1 THEN 1 ELSE 0 END) AS violations, sum(CASE WHEN k > 1 THEN 1 ELSE 0 END) = 0 AS holds, round(sum(CASE WHEN k > 1 THEN 1 ELSE 0 END) / count(*), 6) AS rate FROM (SELECT {a}, count(DISTINCT {b}) AS k FROM one WHERE {a} IS NOT NULL GROUP BY 1)"
+_FD = "SELECT '{a}' AS determinant, '{b}' AS dependent, count(*) AS groups, sum(CASE WHEN k > 1 THEN 1 ELSE 0 END) AS violations, sum(CASE WHEN k > 1 THEN 1 ELSE 0 END) = 0 AS holds, round(sum(CASE WHEN k > 1 THEN 1 ELSE 0 END) / count(*), 6) AS rate FROM (SELECT {a}, count(DISTINCT {b}) AS k FROM one WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY 1)"
 _SIDE = f"(reporting_month <= '{BOUNDARY}')"
 
 
-def _psi_n(c: str) -> str:
+def _psi_n(c: str, one: str = "one", _SIDE: str = _SIDE) -> str:
     return f"""(SELECT sum((a - e) * ln(a / e)) FROM (
   SELECT greatest(coalesce(sum(CASE WHEN s THEN 1 END), 0) / ne, 1e-6) AS e, greatest(coalesce(sum(CASE WHEN NOT s THEN 1 END), 0) / na, 1e-6) AS a
-  FROM (SELECT list_distinct(quantile_cont({c}, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1])) AS raw_edges FROM one WHERE {_SIDE} AND {c} IS NOT NULL) q,
-    (SELECT sum(CASE WHEN {_SIDE} THEN 1 ELSE 0 END) AS ne, sum(CASE WHEN {_SIDE} THEN 0 ELSE 1 END) AS na FROM one WHERE {c} IS NOT NULL) n,
+  FROM (SELECT list_distinct(quantile_cont({c}, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1])) AS raw_edges FROM {one} WHERE {_SIDE} AND {c} IS NOT NULL) q,
+    (SELECT sum(CASE WHEN {_SIDE} THEN 1 ELSE 0 END) AS ne, sum(CASE WHEN {_SIDE} THEN 0 ELSE 1 END) AS na FROM {one} WHERE {c} IS NOT NULL) n,
     LATERAL (SELECT list_sort(raw_edges) AS edges) z, LATERAL (SELECT unnest(range(1, len(edges))) AS bin) u
-    LEFT JOIN (SELECT {c} AS v, {_SIDE} AS s FROM one WHERE {c} IS NOT NULL) d ON v >= edges[bin] AND (v < edges[bin + 1] OR bin = len(edges) - 1 AND v = edges[bin + 1])
+    LEFT JOIN (SELECT {c} AS v, {_SIDE} AS s FROM {one} WHERE {c} IS NOT NULL) d ON v >= edges[bin] AND (v < edges[bin + 1] OR bin = len(edges) - 1 AND v = edges[bin + 1])
   GROUP BY bin, ne, na))"""
 
 
-def _psi_c(c: str) -> str:
+def _psi_c(c: str, one: str = "one", _SIDE: str = _SIDE) -> str:
     return f"""(SELECT sum((a - e) * ln(a / e)) FROM (SELECT greatest(sum(CASE WHEN {_SIDE} THEN 1 ELSE 0 END) / max(ne), 1e-6) AS e, greatest(sum(CASE WHEN {_SIDE} THEN 0 ELSE 1 END) / max(na), 1e-6) AS a
-  FROM one, (SELECT sum(CASE WHEN {_SIDE} THEN 1 ELSE 0 END) AS ne, sum(CASE WHEN {_SIDE} THEN 0 ELSE 1 END) AS na FROM one WHERE {c} IS NOT NULL) WHERE {c} IS NOT NULL GROUP BY {c} HAVING sum(CASE WHEN {_SIDE} THEN 1 ELSE 0 END) > 0))"""
+  FROM {one}, (SELECT sum(CASE WHEN {_SIDE} THEN 1 ELSE 0 END) AS ne, sum(CASE WHEN {_SIDE} THEN 0 ELSE 1 END) AS na FROM {one} WHERE {c} IS NOT NULL) WHERE {c} IS NOT NULL GROUP BY {c} HAVING sum(CASE WHEN {_SIDE} THEN 1 ELSE 0 END) > 0))"""
 
 
-def _ks(c: str) -> str:
-    return f"(SELECT max(abs(e / ne - a / na)) FROM (SELECT sum(CASE WHEN {_SIDE} THEN 1 ELSE 0 END) OVER w AS e, sum(CASE WHEN {_SIDE} THEN 0 ELSE 1 END) OVER w AS a, sum(CASE WHEN {_SIDE} THEN 1 ELSE 0 END) OVER () AS ne, sum(CASE WHEN {_SIDE} THEN 0 ELSE 1 END) OVER () AS na FROM one WHERE {c} IS NOT NULL WINDOW w AS (ORDER BY {c} RANGE UNBOUNDED PRECEDING)))"
+def _ks(c: str, one: str = "one", _SIDE: str = _SIDE) -> str:
+    return f"(SELECT max(abs(e / ne - a / na)) FROM (SELECT sum(CASE WHEN {_SIDE} THEN 1 ELSE 0 END) OVER w AS e, sum(CASE WHEN {_SIDE} THEN 0 ELSE 1 END) OVER w AS a, sum(CASE WHEN {_SIDE} THEN 1 ELSE 0 END) OVER () AS ne, sum(CASE WHEN {_SIDE} THEN 0 ELSE 1 END) OVER () AS na FROM {one} WHERE {c} IS NOT NULL WINDOW w AS (ORDER BY {c} RANGE UNBOUNDED PRECEDING)))"
 
 
-def _drift(c: str, numeric: bool) -> str:
-    psi, ks = (_psi_n(c), _ks(c)) if numeric else (_psi_c(c), "NULL")
-    return f"""SELECT '{c}' AS "column", round(psi, 6) AS psi, round(CAST(ks AS DOUBLE), 6) AS ks, round(mb, 6) AS missing_before, round(ma, 6) AS missing_after, CASE WHEN psi >= 0.25 THEN 'major' WHEN psi >= 0.1 THEN 'moderate' ELSE 'stable' END AS severity
-  FROM (SELECT {psi} AS psi, {ks} AS ks, (SELECT avg(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END) FROM one WHERE {_SIDE}) AS mb, (SELECT avg(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END) FROM one WHERE NOT {_SIDE}) AS ma)"""
+def _drift(c: str, numeric: bool, one: str = "one", _SIDE: str = _SIDE, first: str = "") -> str:
+    psi, ks = (_psi_n(c, one, _SIDE), _ks(c, one, _SIDE)) if numeric else (_psi_c(c, one, _SIDE), "NULL")
+    return f"""SELECT {first}'{c}' AS "column", round(psi, 6) AS psi, round(CAST(ks AS DOUBLE), 6) AS ks, round(mb, 6) AS missing_before, round(ma, 6) AS missing_after, CASE WHEN psi >= 0.25 THEN 'major' WHEN psi >= 0.1 THEN 'moderate' ELSE 'stable' END AS severity
+  FROM (SELECT {psi} AS psi, {ks} AS ks, (SELECT avg(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END) FROM {one} WHERE {_SIDE}) AS mb, (SELECT avg(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END) FROM {one} WHERE NOT {_SIDE}) AS ma)"""
 
 
 _FACTS = "SELECT '{0}' AS \"column\", round(max(d), 6) AS max_change, round(min(d), 6) AS min_change, max(unemployment_rate) AS max, min(unemployment_rate) AS min, arg_max(unemployment_rate, pno) AS last FROM (SELECT *, unemployment_rate - lag(unemployment_rate, 12) OVER (ORDER BY pno) AS d FROM ({1}) {2})"
@@ -119,6 +133,7 @@ ORACLES = {
     "e12_psi_categorical": select(f"SELECT 'current_status' AS \"column\", round({_psi_c('current_status')}, 6) AS psi"),
     "e13_ks_two_sample": select(f"SELECT 'current_balance' AS \"column\", round({_ks('current_balance')}, 6) AS ks"),
     "e14_drift_report": select(" UNION ALL ".join(_drift(c, n) for c, n in (("current_balance", True), ("days_past_due", True), ("current_status", False), ("credit_score_band", False)))),
+    "e15_drift_by_target": select(targets_sql() + ", " + ", ".join(f"{purged_sql(t, h, f'split{h}')}, used{h} AS (SELECT * FROM split{h} WHERE split IN ('train', 'test'))" for t, h in BY_TARGET.items()) + " UNION ALL ".join(" " + _drift(c, n, f"used{h}", "(split = 'train')", f"'{t}' AS target, ") for t, h in BY_TARGET.items() for c, n in (("current_balance", True), ("days_past_due", True), ("current_status", False)))),
     "e16_target_stability": select("SELECT 'late' AS target, round((SELECT avg(CASE WHEN days_past_due >= 30 THEN 1 ELSE 0 END) FROM one WHERE days_past_due IS NOT NULL), 6) AS rate, (SELECT count(*) FROM one WHERE days_past_due IS NULL) AS censored, round(min(r), 6) AS min_rate, round(max(r), 6) AS max_rate, round(stddev_samp(r), 6) AS std_rate FROM (SELECT reporting_month, avg(CASE WHEN days_past_due >= 30 THEN 1 ELSE 0 END) AS r FROM one WHERE days_past_due IS NOT NULL GROUP BY 1)"),
     "e17_build_summary": select("SELECT current_status, count(*) AS rows, count(DISTINCT entity_id) AS entities, count(DISTINCT servicer_name) AS servicers, sum(svc_present) AS with_feed FROM recon GROUP BY 1"),
     "e18_resample_months": "WITH m AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, avg(o_totalprice) AS v FROM orders GROUP BY 1), s AS (SELECT CAST(unnest(generate_series(min(month), max(month), INTERVAL 1 MONTH)) AS DATE) AS month FROM m), f AS (SELECT month, last_value(v IGNORE NULLS) OVER (ORDER BY month) AS value FROM s LEFT JOIN m USING (month)) SELECT CAST(month AS VARCHAR) AS month, round(value, 4) AS value, round(value / lag(value, 12) OVER (ORDER BY month) - 1, 5) AS yoy FROM f",

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from panelwright.plans import decisions, evaluation, modelling, panel, profiles, quality
+from panelwright.plans import decisions, evaluation, modelling, panel, profiles, quality, storage
 from panelwright.sources.tables import Tables
 
-MODULES = [quality, profiles, panel, evaluation, decisions, modelling]
+MODULES = [quality, profiles, panel, evaluation, decisions, storage, modelling]
 
 
 def _over_tables(query):

@@ -18,6 +18,14 @@ def read_positional(spark: SparkSession, path: str, layout: list[str], types: di
     return raw.select(*out, F.regexp_extract(F.col("_metadata.file_name"), r"(\d{4})", 1).alias("vintage"))
 
 
+def scan_vintages(spark: SparkSession, path: str, layout: list[str], types: dict[str, str], entity: str, vintage: str = "vintage", sep: str = "|") -> DataFrame:
+    """vintage, rows, entities over a folder with one folder of positional files for each vintage, `<name>=<vintage>`."""
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in layout])
+    raw = spark.read.csv(f"{path}/*", sep=sep, schema=schema, quote="")
+    named = raw.withColumn("vintage", F.regexp_extract(F.col("_metadata.file_path"), rf"{vintage}=([^/]+)/", 1))
+    return named.groupBy("vintage").agg(F.count("*").alias("rows"), F.count_distinct(F.nullif(F.trim(entity), F.lit("")).try_cast(types[entity])).alias("entities"))
+
+
 def audit_layout(spark: SparkSession, path: str, expected: int, sep: str = "|") -> DataFrame:
     """file, lines, bad_lines: lines whose number of fields is not the expected one, over all lines."""
     fields = F.size(F.split("value", f"\\{sep}"))
