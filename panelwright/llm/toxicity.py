@@ -6,12 +6,16 @@ itself. A word is seen through its kernel values with some landmark words, white
 linear machine with hinge loss is trained on that. As kernel values are sums over subsequences, the trained machine is one weight
 for each subsequence that a landmark has, and a word costs a few look-ups.
 
-A text is scored by its worst window: a word, two or three successive words of a sentence joined (so insults of several words and words
+The windows of a sentence are what the machine sees: a word, two or three successive words joined (so insults of several words and words
 broken into pieces are seen whole), or letters written apart ("a b c"). Labels are given for whole texts, so training first finds the windows
-and word beginnings that only toxic texts have (multiple-instance learning): they must be in so many sampled toxic texts, and in next to none
-of the others, that fewer than `CHANCE` of all would be there by chance, in the whole sample or in one of its clusters. Clusters are found from pairs of
-characters, so a language with few texts has a support of its own. Windows of other texts are the negatives, drawn at random and then once more from those that a first machine finds
-worst; both kinds are also shown with a character put in. A logistic curve fitted to the sampled texts turns the worst window into a score.
+and word beginnings that toxic texts have more often (multiple-instance learning): at least `ODDS` times as often, and by Chernoff's bound so clearly
+that fewer than `CHANCE` of all would be there by chance, in the whole sample or in one of its clusters. Clusters are found from pairs of
+characters, so a language with few texts has a support of its own. The clearer the odds, the greater the margin that such a window has to reach: a word that clean
+texts have by chance now and then counts for less. Windows of other texts are the negatives, drawn at random and then once more from those that a first machine finds
+worst; both kinds are also shown with a character put in.
+
+A text is scored by its worst window, by the sum of its words' positive margins, and by its number of words: a logistic curve over these three
+is fitted to the sampled texts, with an offset and a slope of the sum for each cluster, drawn towards those of all.
 Windows of over `LONGEST` letters are not learned whole, and are scored through overlapping parts.
 
 Training reads at most `MOST_TOXIC` and `MOST_OTHER` labelled texts, chosen by a hash of doc_id, none held out: a bounded sample by design.
@@ -37,6 +41,8 @@ from panelwright.llm.language_id import held_out
 LENGTH, REACH, DECAY = 3, 7, 0.7
 MOST_TOXIC, MOST_OTHER, MOST_WORDS, LANDMARKS = 1500, 3000, 8_000, 48
 STEM, CHANCE, ALPHABET, LONGEST = 4, 0.01, 1024, 24
+#: Odds from which a window counts as toxic, and those at which it has to reach the whole margin.
+ODDS, CLEAR_ODDS = 5, 50
 THRESHOLD = 0.7
 #: So many least sentence hashes must agree for two labelled texts to count as one.
 LOOK = 4
@@ -44,6 +50,8 @@ LOOK = 4
 SPAN, PIECE, MOST_LETTERS = 3, 400_000, 160
 #: Kinds of texts found in the sample, for the support of words.
 CLUSTERS, PROFILE = 8, 256
+#: How strongly the curves of clusters are drawn to the common one.
+SHARED = 1e-3
 
 
 @lru_cache(maxsize=None)
@@ -168,10 +176,11 @@ def kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
 
 
 class WordMachine:
-    """The trained machine: known (sorted subsequence ids), weight of each, bias, and the logistic curve of texts."""
+    """The trained machine: known (sorted subsequence ids), weight of each, bias, the logistic curve of texts (see `_terms`), and the function that finds a text's cluster."""
 
-    def __init__(self, known: np.ndarray, weight: np.ndarray, bias: float, slope: float = 4.0, shift: float = 0.0):
-        self.known, self.weight, self.bias, self.slope, self.shift = known, np.append(weight, 0.0), bias, slope, shift
+    def __init__(self, known: np.ndarray, weight: np.ndarray, bias: float):
+        self.known, self.weight, self.bias = known, np.append(weight, 0.0), bias
+        self.curve, self.nearest = np.zeros(4 + 2 * CLUSTERS), None
         self.index, self.table = None, None
 
     def margins(self, words: list[str]) -> np.ndarray:
@@ -207,19 +216,20 @@ class WordMachine:
         own = self.index[codes]
         return lambda x, y, z: self.table[(own[x] * n + own[y]) * n + own[z]]
 
-    def worst(self, texts: list[str]) -> np.ndarray:
-        """The highest margin of a window of each lower-case text, the bias if none has more.
+    def evidence(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each lower-case text the highest margin of a window (the bias if none has more), the sum of positive margins of single words, and the number of words.
 
         The weights of all subsequences are summed up once along the letters, so a window costs a few differences of sums; the exact
         norm is taken only where the least norm of a word of that length leaves a chance to be the worst.
         """
-        out = np.zeros(len(texts))
-        _, codes, a, b, owner, _ = windows(texts)
+        out, sums_of = np.zeros(len(texts)), np.zeros(len(texts))
+        _, codes, a, b, owner, size = windows(texts)
+        words = np.bincount(owner[size == 1], minlength=len(texts)).astype(float)
         if not len(a):
-            return out + self.bias
+            return out + self.bias, sums_of, words
         many = np.maximum(1, -(-(b - a - LONGEST // 2) // (LONGEST // 2)))  # long ones are seen through overlapping windows
         step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        a, b, owner = np.repeat(a, many) + step * (LONGEST // 2), np.repeat(b, many), np.repeat(owner, many)
+        a, b, owner, size = np.repeat(a, many) + step * (LONGEST // 2), np.repeat(b, many), np.repeat(owner, many), np.repeat(size, many)
         b = np.minimum(b, a + LONGEST)
         look, total = self.weights_of(codes), np.zeros(len(a))
         for reach in range(LENGTH - 1, REACH):
@@ -230,14 +240,19 @@ class WordMachine:
             np.cumsum(sums, out=sums)
             total += DECAY ** (reach + 1.0) * (sums[np.maximum(a, b - reach)] - sums[a])
         some = np.flatnonzero(total > 1e-9)  # the rest cannot be over the bias
-        a, n, owner, total = a[some], (b - a)[some], owner[some], total[some]
+        a, n, owner, total, size = a[some], (b - a)[some], owner[some], total[some], size[some]
         most = total / np.array([0.0] * LENGTH + [np.sqrt((_offsets(k)[1] ** 2).sum()) for k in range(LENGTH, LONGEST + 1)])[n] if len(some) else total
         order = np.lexsort((-most, owner))
         lead = order[np.flatnonzero(np.diff(owner[order], prepend=-1))]
         np.maximum.at(out, owner[lead], total[lead] / self.sizes(codes, a[lead], n[lead]))
         rest = np.flatnonzero(most > out[owner] + 1e-12)
         np.maximum.at(out, owner[rest], total[rest] / self.sizes(codes, a[rest], n[rest]))
-        return out + self.bias
+        toxic = np.flatnonzero((size == 1) & (most > -self.bias))
+        np.add.at(sums_of, owner[toxic], np.maximum(0, total[toxic] / self.sizes(codes, a[toxic], n[toxic]) + self.bias))
+        return out + self.bias, sums_of, words
+
+    def worst(self, texts: list[str]) -> np.ndarray:
+        return self.evidence(texts)[0]
 
     @staticmethod
     def sizes(codes: np.ndarray, a: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -251,8 +266,11 @@ class WordMachine:
                 out[part] = norms((x[:, at[:, 0]] * ALPHABET + x[:, at[:, 1]]) * ALPHABET + x[:, at[:, 2]], weights)
         return out
 
-    def scores(self, margins: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * (margins - self.shift), -40, 40)))
+
+def _terms(margin, evidence, words, kind):
+    """What the logistic curve is over: worst margin, log evidence, log words, 1; and log evidence and 1 of the text's own cluster."""
+    own, strength = np.eye(CLUSTERS)[kind], np.log(evidence + 0.05)
+    return np.column_stack([margin, strength, np.log(words + 10.0), np.ones(len(margin)), own * strength[:, None], own])
 
 
 def _with_inserted(words: list[str], rng) -> list[str]:
@@ -275,8 +293,8 @@ def _spread_out(words: list[str], n: int) -> list[str]:
     return list(dict.fromkeys(chosen))
 
 
-def trained(positive: list[str], negative: list[str], hard: list[str], landmarks: int = LANDMARKS, seed: int = 3) -> WordMachine:
-    """Nyström features and a linear machine with squared hinge loss, classes weighted alike; hard negatives come worst first."""
+def trained(positive: list[str], negative: list[str], hard: list[str], landmarks: int = LANDMARKS, seed: int = 3, goals: list[float] | None = None) -> WordMachine:
+    """Nyström features and a linear machine with squared hinge loss, classes weighted alike; hard negatives come worst first. goals: the margin that each positive has to reach."""
     rng = np.random.default_rng(seed)
     marks = _spread_out(positive, landmarks) + [negative[i] for i in rng.choice(len(negative), min(landmarks, len(negative)), replace=False)]
     marks = list(dict.fromkeys(marks + hard[:landmarks]))
@@ -284,6 +302,9 @@ def trained(positive: list[str], negative: list[str], hard: list[str], landmarks
     words = positive + _with_inserted(positive, rng) + negative + _with_inserted(negative[: len(negative) // 4], rng)
     label = np.where(np.arange(len(words)) < 2 * len(positive), 1.0, -1.0)
     weight = np.where(label > 0, 0.5 / (label > 0).sum(), 0.5 / (label < 0).sum())
+    goal = np.ones(len(words))
+    if goals is not None:
+        goal[: 2 * len(positive)] = np.tile(goals, 2)
     inner = kernel(marks, marks)
     values, basis = np.linalg.eigh(inner)
     keep = values > 1e-6 * values.max()
@@ -292,7 +313,7 @@ def trained(positive: list[str], negative: list[str], hard: list[str], landmarks
     w, b = np.zeros(x.shape[1]), 0.0
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for step in range(1, 251):
-        slack = np.maximum(0, 1 - label * (x @ w + b))
+        slack = np.maximum(0, goal - label * (x @ w + b))
         pull = -2 * weight * label * slack
         g = np.append(x.T @ pull + 2e-4 * w, pull.sum())
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
@@ -308,24 +329,33 @@ def trained(positive: list[str], negative: list[str], hard: list[str], landmarks
 
 
 def worst_words(docs: DataFrame, machine: WordMachine) -> DataFrame:
-    """docs with margin, that of the worst word of each text."""
-    names = [c for c in docs.columns if c != "margin"]
+    """docs with margin (of the worst window), evidence (sum of positive margins), words and kind (cluster) of each text, and score."""
+    names = [c for c in docs.columns if c not in ("margin", "evidence", "words", "kind", "score")]
     kept = [c for c in names if c != "text"]
 
     def judge(batches):
         for batch in batches:
-            margins, owners, texts, letters = np.full(len(batch), machine.bias), [], [], 0
+            margins, sums, counts, owners, texts, letters = np.full(len(batch), machine.bias), np.zeros(len(batch)), np.zeros(len(batch)), [], [], 0
+            profiles = np.zeros((len(batch), PROFILE))
             for owner, text in [*pieces(batch["text"].to_pylist()), (None, "")]:
+                if owner is not None:
+                    profiles[owner] += _pairs(text)
                 if texts and (owner is None or letters + len(text) > PIECE):
-                    np.maximum.at(margins, owners, machine.worst(texts))
+                    worst, evidence, words = machine.evidence(texts)
+                    np.maximum.at(margins, owners, worst)
+                    np.add.at(sums, owners, evidence)
+                    np.add.at(counts, owners, words)
                     owners, texts, letters = [], [], 0
                 owners.append(owner)
                 texts.append(text)
                 letters += len(text)
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in kept), pa.array(margins, pa.float64())], names=[*kept, "margin"])
+            kinds = machine.nearest(profiles)
+            z = _terms(margins, sums, counts, kinds) @ machine.curve
+            made = [pa.array(margins, pa.float64()), pa.array(sums), pa.array(counts), pa.array(kinds, pa.int32()), pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40))), pa.float64())]
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in kept), *made], names=[*kept, "margin", "evidence", "words", "kind", "score"])
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
-    return docs.select(*names).mapInArrow(judge, f"{schema}, margin double")
+    return docs.select(*names).mapInArrow(judge, f"{schema}, margin double, evidence double, words double, kind int, score double")
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most_other: int = MOST_OTHER) -> DataFrame:
@@ -340,21 +370,23 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_T
     return saved(rows.groupBy(look.alias("look"), "toxic").agg(first).select("first.doc_id", "first.text", "toxic"), "labelled")
 
 
-def _profile(parts: list[str]) -> np.ndarray:
-    """Shares of hashed pairs of successive characters, as a vector of length one."""
-    out = np.zeros(PROFILE)
-    for part in parts:
-        x = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        out += np.bincount((x[:-1] * 31 + x[1:]) * 40503 // 64 % PROFILE, minlength=PROFILE)
-    return np.sqrt(out / max(1.0, out.sum()))
+def _pairs(text: str) -> np.ndarray:
+    """Counts of hashed pairs of successive characters."""
+    x = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    return np.bincount((x[:-1] * 31 + x[1:]) * 40503 // 64 % PROFILE, minlength=PROFILE).astype(float)
+
+
+def _profile(counts: np.ndarray) -> np.ndarray:
+    """Square roots of shares: rows of length one, or 0 without a pair."""
+    return np.sqrt(counts / np.maximum(1.0, counts.sum(axis=-1, keepdims=True)))
 
 
 def clustered(sample: DataFrame):
-    """A function from a text's pieces to its cluster, and the (other, toxic) texts of each: k-means of character pairs over the sample, without any language label."""
+    """A function from counts of pairs (rows) to clusters, and the (other, toxic) texts of each: k-means of character pairs over the sample, without any language label."""
 
     def profiles(batches):
         for batch in batches:
-            rows = [_profile([part for _, part in pieces([text])]).tolist() for text in batch["text"].to_pylist()]
+            rows = [_profile(sum(_pairs(part) for _, part in pieces([text]))).tolist() for text in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["toxic"], pa.array(rows, pa.list_(pa.float64()))], names=["doc_id", "toxic", "x"])
 
     kind = sample.schema["doc_id"].dataType.simpleString()
@@ -370,7 +402,7 @@ def clustered(sample: DataFrame):
         centres = means / np.maximum(1e-12, np.linalg.norm(means, axis=1, keepdims=True))
     own = (x @ centres.T).argmax(axis=1)
     counts = [(int((toxic[own == g] == 0).sum()), int((toxic[own == g] == 1).sum())) for g in range(CLUSTERS)]
-    return lambda parts: int((centres @ _profile(parts)).argmax()), counts
+    return lambda pairs: (_profile(pairs) @ centres.T).argmax(axis=-1), counts
 
 
 def fitted(docs: DataFrame, labels: DataFrame) -> WordMachine | None:
@@ -397,7 +429,7 @@ def fitted(docs: DataFrame, labels: DataFrame) -> WordMachine | None:
                         for n in range(STEM, len(word) if size == 1 and len(word) <= LONGEST else 0):
                             own.setdefault(word[:n], False)
                             single.add(word[:n])
-                kind = pa.array([nearest(parts)] * len(own), pa.int32())
+                kind = pa.array([int(nearest(sum(map(_pairs, parts))))] * len(own), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.array(own.values(), pa.bool_()), pa.array([w in single for w in own], pa.bool_()), pa.array([toxic] * len(own), pa.int32()), kind], names=["word", "whole", "single", "toxic", "kind"])
 
     found = sample.select(F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(words, "word string, whole boolean, single boolean, toxic int, kind int")
@@ -407,14 +439,18 @@ def fitted(docs: DataFrame, labels: DataFrame) -> WordMachine | None:
     # One fourth of the chance each for words and for windows of several, in the whole sample and in all clusters together.
     sort = {"words": F.col("single"), "several": ~F.col("single")}
     sizes = seen.agg(*[F.count_if(of & (F.col(f"bad{g}") + F.col(f"fine{g}") > 0)).alias(f"{k}{g}") for k, of in sort.items() for g in texts]).first()
-    rare = lambda g: F.col(f"fine{g}") * 50 * texts[g][1] <= F.col(f"bad{g}") * texts[g][0]
-    enough = F.lit(False)
+    told_by = F.lit(None).cast("double")  # the greatest odds of a group in which it is clear
     for g, (fine, bad) in texts.items():
         for k, of in sort.items() if fine and bad else ():
             tried = max(2, sizes[f"{k}{g}"]) * 4 * (1 if g == "" else CLUSTERS)
-            enough = enough | (of & (F.col(f"bad{g}") >= int(np.ceil(np.log(tried / CHANCE) / -np.log(bad / (fine + bad))))) & rare(g))
-    told = seen.filter(enough & rare(""))
-    positive = [r.word for r in told.orderBy(F.desc("bad"), "word").collect()]
+            n, share = F.col(f"bad{g}") + F.col(f"fine{g}"), bad / (fine + bad)
+            x = F.col(f"bad{g}") / F.nullif(n, F.lit(0))
+            apart = x * F.log(x / share) + F.when(x < 1, (1 - x) * F.log((1 - x) / (1 - share))).otherwise(0.0)
+            odds = ((F.col(f"bad{g}") + 0.5) / (bad + 1)) / ((F.col(f"fine{g}") + 0.5) / (fine + 1))
+            told_by = F.greatest(told_by, F.when(of & (x > share) & (n * apart >= float(np.log(tried / CHANCE))) & (odds >= ODDS), odds))
+    told = saved(seen.withColumn("odds", told_by).filter("odds is not null").select("word", "bad", "odds"), "told")
+    rows = told.orderBy(F.desc("bad"), "word").collect()
+    positive, goals = [r.word for r in rows], [float(np.clip(np.log(r.odds) / np.log(CLEAR_ODDS), 0.3, 1.0)) for r in rows]
     known = frozenset(positive)
     # A window around a told word is no evidence against that word, so it is not among the negatives.
     around = lambda w: any(w[i:j] in known for i in range(len(w)) for j in range(i + LENGTH, len(w) + 1))
@@ -422,7 +458,7 @@ def fitted(docs: DataFrame, labels: DataFrame) -> WordMachine | None:
     negative = [r.word for of in sort.values() for r in others.filter(of).orderBy(F.xxhash64("word"), "word").limit(MOST_WORDS).collect() if r.single or not around(r.word)]
     if not positive or not negative:
         return None
-    machine = trained(positive, negative, [])
+    machine = trained(positive, negative, [], goals=goals)
 
     def judge(batches):
         for batch in batches:
@@ -432,18 +468,20 @@ def fitted(docs: DataFrame, labels: DataFrame) -> WordMachine | None:
             yield pa.RecordBatch.from_arrays([pa.array([own[k] for k in kept], pa.string()), pa.array(margins[kept], pa.float64())], names=["word", "margin"])
 
     worst = others.mapInArrow(judge, "word string, margin double").orderBy(F.desc("margin"), "word").limit(MOST_WORDS // 2)
-    machine = trained(positive, negative, [r.word for r in worst.collect()])
-    rows = worst_words(sample, machine).select("toxic", "margin").collect()
-    y, z = np.array([r.toxic for r in rows], dtype=np.float64), np.array([r.margin for r in rows])
-    # Logistic curve on the worst words, by Newton's steps: kinds weighted alike, with a little ridge against endless slopes.
-    x, beta = np.column_stack([z, np.ones(len(z))]), np.array([1.0, 0.0])
-    weight, ridge = np.where(y > 0, 0.5 / y.sum(), 0.5 / (1 - y).sum()), np.diag([1e-5, 1e-9])
-    for _ in range(50):
+    machine = trained(positive, negative, [r.word for r in worst.collect()], goals=goals)
+    machine.nearest = nearest
+    rows = worst_words(sample, machine).select("doc_id", "toxic", "margin", "evidence", "words", "kind").orderBy("doc_id", "toxic").collect()
+    y = np.array([r.toxic for r in rows], dtype=np.float64)
+    # Logistic curve by Newton's steps: the rarer kind weighs the square root of what would make both alike; a ridge draws clusters to each other.
+    x = _terms(*(np.array([r[c] for r in rows]) for c in ("margin", "evidence", "words", "kind")))
+    beta = np.zeros(x.shape[1])
+    weight = np.where(y > 0, np.sqrt((1 - y).sum() / y.sum()), 1.0)
+    weight, ridge = weight / weight.sum(), np.diag([1e-4, 1e-4, 1e-4, 1e-9] + [SHARED] * (2 * CLUSTERS))
+    for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
         curve = (x * (weight * p * (1 - p))[:, None]).T @ x + ridge
         beta = beta - np.linalg.solve(curve, x.T @ (weight * (p - y)) + ridge @ beta)
-    a, c = beta
-    machine.slope, machine.shift = float(max(a, 0.1)), float(-c / max(a, 0.1))
+    machine.curve = beta
     return machine
 
 
@@ -454,6 +492,5 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRES
     if machine is None:
         out = rows.withColumn("score", F.lit(0.0))
     else:
-        curve = 1 / (1 + F.exp(-F.greatest(F.least(F.lit(machine.slope) * (F.col("margin") - machine.shift), F.lit(40.0)), F.lit(-40.0))))
-        out = worst_words(rows, machine).withColumn("score", curve)
+        out = worst_words(rows, machine)
     return out.select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
