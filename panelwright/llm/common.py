@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from panelwright.sources.session import ship_package
+from panelwright.sources.session import saved, ship_package  # noqa: F401
 
 #: Bytes that stand in words of `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` after lower-casing A-Z: digits, a-z and all of UTF-8 above ASCII.
 _WORD_TABLE = bytes((b + 32 if 65 <= b <= 90 else b) if (48 <= b <= 57 or 97 <= b <= 122 or 65 <= b <= 90 or b >= 128) else 32 for b in range(256))
@@ -23,25 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a new temporary one where it is unset and all runs in one process (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("spark.checkpoint.dir is not set: on a cluster it has to name a folder that driver and executors share")
-        folder = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """df written once to the shared folder and read again: later jobs neither recompute it nor depend on an executor."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/panelwright/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def prepare(spark: SparkSession, rows: int = 1000) -> None:
     """Arrow batches of at most so many rows, since one row can hold a whole book; and workers that know this package."""
     ship_package(spark)
