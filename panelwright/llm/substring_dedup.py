@@ -188,9 +188,10 @@ def factors(docs: DataFrame, span: int = SPAN, most_bytes: int = MOST_BYTES) ->
     """For each document that has any (row key r): an array of (start, windows, shift to the source) for every entry that recurs."""
     wanted = saved(wanted_keys(saved(counted_runs(docs, span), "runs")), "wanted")
     index = saved(index_entries(docs, wanted, span, most_bytes), "index")
-    # A place is one number: the upper 40 bits of the row key and 24 bits of the word position.
-    place = F.col("r").bitwiseAND(F.lit(-(1 << 24))).bitwiseOR(F.col("s").cast("long"))
-    recurring = index.groupBy("h", "c").agg(F.count("*").alias("k"), F.min(place).alias("low"), F.max(place).alias("high")).filter("k > 1").drop("k")
+    # A place is one number: the upper 33 bits of the row key and 31 bits of the word position.
+    place = F.col("r").bitwiseAND(F.lit(-(1 << 31))).bitwiseOR(F.col("s").cast("long"))
+    # Written before the join: then both of its sides are shuffled by it, and a hash that very many places have can be split between tasks.
+    recurring = saved(index.groupBy("h", "c").agg(F.count("*").alias("k"), F.min(place).alias("low"), F.max(place).alias("high")).filter("k > 1").drop("k"), "recurring")
     source = F.when(F.col("low") == place, F.col("high")).otherwise(F.col("low"))
     parsed = index.filter("n > 0").join(recurring, ["h", "c"]).select("r", F.struct("s", "n", (source - F.col("s")).alias("shift")).alias("f"))
     return parsed.groupBy("r").agg(F.array_sort(F.collect_set("f")).alias("factors"))
