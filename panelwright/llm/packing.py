@@ -43,7 +43,7 @@ class WordTokens(dict):
     words are encoded together, and their ids parted after each token that ends a word.
     """
 
-    LIMIT = 500_000
+    LIMIT = 250_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
