@@ -33,9 +33,9 @@ def build_list_pack(parts: dict[str, DataFrame], orders: dict[str, list], k: int
     """One row: an array column for each part, of its first k rows in order, as structs. Top-k is taken before rows meet."""
     out = None
     for name, df in parts.items():
-        top = df.orderBy(*orders[name]).limit(k)
-        ranked = F.array_sort(F.collect_list(F.struct(F.monotonically_increasing_id().alias("_at"), F.struct(*df.columns).alias("row"))))
-        one = top.coalesce(1).agg(F.transform(ranked, lambda x: x["row"]).alias(name))
+        top = df.orderBy(*orders[name]).limit(k).withColumn("_at", F.monotonically_increasing_id())
+        ranked = F.array_sort(F.collect_list(F.struct("_at", F.struct(*df.columns).alias("row"))))
+        one = top.agg(F.transform(ranked, lambda x: x["row"]).alias(name))
         out = one if out is None else out.join(F.broadcast(one))
     return out
 
