@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelwright.functions.columns import CREDIT_BANDS, DTI_BANDS, LTV_BANDS, STATUS_ORDER, annuity, bucket, map_codes, ordinal, positive_or_null
+from panelwright.functions.columns import CREDIT_BANDS, DTI_BANDS, LTV_BANDS, STATUS_DAYS, STATUS_ORDER, annuity, bucket, map_codes, ordinal, positive_or_null
 from panelwright.operators.clean import assert_no_leakage
 
 ENTITY, MONTH = "entity_id", "month_index"
@@ -100,7 +100,11 @@ def build_features(df: DataFrame) -> DataFrame:
             "doc_problem": F.coalesce((c("document_status") != "complete").cast("int"), F.lit(0)),
             "manual_source": F.coalesce((c("source_system") == "manual_upload").cast("int"), F.lit(0)),
             "gap_filled": F.coalesce("balance_gap_rel", F.lit(0.0)),
+            "dpd_gap_filled": F.coalesce("dpd_gap", F.lit(0.0)),
+            "dpd_status_residual": c("dpd_clean") - map_codes("current_status", STATUS_DAYS),
+            "scheduled_payment": payment,
         }
+        | {f"{name}_missing": c(name).isNull().cast("int") for name in ("property_type", "occupancy_type", "rate_clean", "dpd_clean")}
         | missing_indicators(["interest_rate", "credit_score_band", "ltv_band", "dti_band", "days_past_due"])
     )
 

@@ -50,7 +50,7 @@ def attach_static(panel: DataFrame, entity: str, value: str, order: str, out: st
 def attach_macro(panel: DataFrame, macro: DataFrame, on: str = "pno", lag: int = 12) -> DataFrame:
     """The month's macro values and their change over `lag` rows, computed on the short monthly table."""
     w = Window.orderBy(on)
-    diffs = {f"{c}_chg": F.col(c) - F.lag(c, lag).over(w) for c in ("unemployment_rate", "hpi_yoy_growth")}
+    diffs = {f"{c}_chg": F.col(c) - F.lag(c, lag).over(w) for c in ("market_mortgage_rate", "unemployment_rate", "hpi_yoy_growth")}
     return panel.join(F.broadcast(macro.drop("reporting_month").withColumns(diffs)), on, "left")
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelwright.functions import columns as C
 from panelwright.operators import features as X
 from panelwright.operators import joins
 from panelwright.operators import labels as L
@@ -38,8 +37,7 @@ def labelled(t: Tables):
     """Features, targets, the exception type and the split of all rows in one frame."""
     breaches = rules.resolve_priority(rules.breach_flags(reconciled(t))).select("seq", "exception_type", "exception_required")
     rows = X.build_features(joins.attach_macro(scored(t), t.macro()))
-    residual = F.col("dpd_clean") - C.map_codes("current_status", C.STATUS_DAYS).cast("int")
-    out = L.purged_split(L.attach_targets(rows.withColumn("dpd_status_residual", residual), EXITS), TARGET, 12)
+    out = L.purged_split(L.attach_targets(rows, EXITS), TARGET, 12)
     return joins.attach_scores(out, breaches, ["seq"])
 
 
@@ -211,6 +209,17 @@ def _queue(t):
     return rounded(R.review_queue(saved(card, "card"), 50).select("seq", "priority", "predicted_type"), "priority")
 
 
+def _rule_pack(t):
+    """The best-known facts on rules and batches in one row of nested rows, as JSON, and the numbers in it."""
+    found = scored(t)
+    named = rules.default_rules()
+    rates = found.agg(*[F.avg(r.flag).alias(r.name) for r in named]).unpivot([], [r.name for r in named], "rule", "rate")
+    batches = rules.score_batches(found, ["month_index", "servicer_name"], named).select("month_index", "servicer_name", "mean_score", "grade")
+    pack = P.build_list_pack({"rates": rounded(rates, "rate", digits=5), "worst_batches": rounded(batches, "mean_score", digits=5)}, {"rates": [F.desc("rate"), "rule"], "worst_batches": ["mean_score", "month_index", "servicer_name"]})
+    row = saved(pack.select(F.struct(*pack.columns).alias("pack")), "pack")
+    return row.select(F.to_json("pack").alias("pack"), F.size(P.pack_numbers(row, "pack")).alias("n_numbers"))
+
+
 def _reloaded(t):
     """Scores of a model that was saved and read again."""
     df, path = modelled(t), new_path(t.spark, "model")
@@ -236,5 +245,6 @@ QUERIES = {
     "n5_staged_spread": _spread,
     "o1_scorecard": scorecard,
     "p1_build_pack": _packs,
+    "p2_build_list_pack": _rule_pack,
 }
 ORACLES: dict[str, str] = {}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from panelwright.operators import features as X
 from panelwright.operators import joins
 from panelwright.operators import labels as L
-from panelwright.plans.oracle import STATUS, select
+from panelwright.plans.oracle import DAYS, STATUS, select
 from panelwright.plans.quality import cleaned, deduped, rounded
 from panelwright.sources.tables import Tables
 
@@ -17,7 +17,8 @@ FEATURES = [
     "dpd_clean_lag1", "status_ord_delta", "dpd_clean_delta", "dpd_max_3", "dpd_max_6", "dpd_max_12", "late_count_3", "late_count_12", "ever_late", "worst_status", "clean_streak", "balance_change_1", "balance_change_3",
     "balance_flat", "amortisation", "amortisation_residual", "payment_ratio", "seasoning", "growth_positive", "doc_problem", "manual_source", "gap_filled", "missing_count",
 ]
-_ROUND = ["balance_ratio", "term_progress", "rate_incentive", "incentive_positive", "log_original_balance", "log_balance", "balance_change_1", "balance_change_3", "amortisation", "amortisation_residual", "payment_ratio", "growth_positive", "gap_filled"]
+MORE = ["dpd_status_residual", "dpd_gap_filled", "scheduled_payment", "dti_ord", "property_type_missing", "occupancy_type_missing", "rate_clean_missing", "dpd_clean_missing"]
+_ROUND = ["scheduled_payment", "dpd_gap_filled", "balance_ratio", "term_progress", "rate_incentive", "incentive_positive", "log_original_balance", "log_balance", "balance_change_1", "balance_change_3", "amortisation", "amortisation_residual", "payment_ratio", "growth_positive", "gap_filled"]
 
 
 def featured(t: Tables):
@@ -58,6 +59,7 @@ QUERIES = {
     "f12_incentive": part("rate_incentive", "incentive_positive"),
     "f13_annuity": part("payment_ratio"),
     "f14_missing_indicators": part("missing_count", "gap_filled"),
+    "f17_gaps_and_payments": part(*MORE),
     "f16_residuals": part("amortisation_residual", "doc_problem", "manual_source"),
     "f18_bucket": part("seasoning", "calendar_month", "vintage_year"),
     "f20_build_features": part(*FEATURES),
@@ -100,7 +102,9 @@ feat AS (
     round(CASE WHEN pow(1 + rate_clean / 1200, greatest(age_clean + remaining_term_months, 1)) <> 1 THEN original_balance * (rate_clean / 1200) * pow(1 + rate_clean / 1200, greatest(age_clean + remaining_term_months, 1)) / (pow(1 + rate_clean / 1200, greatest(age_clean + remaining_term_months, 1)) - 1) END / nullif(balance_clean, 0), 5) AS payment_ratio,
     CASE WHEN age_clean <= -1 OR age_clean > 1000 THEN NULL WHEN age_clean <= 6 THEN 0 WHEN age_clean <= 12 THEN 1 WHEN age_clean <= 24 THEN 2 WHEN age_clean <= 36 THEN 3 WHEN age_clean <= 60 THEN 4 WHEN age_clean <= 120 THEN 5 WHEN age_clean <= 1000 THEN 6 END AS seasoning,
     round(CASE WHEN balance_change_1 IS NOT NULL THEN greatest(balance_change_1, 0) END, 5) AS growth_positive, CASE WHEN document_status <> 'complete' THEN 1 ELSE 0 END AS doc_problem, CASE WHEN source_system = 'manual_upload' THEN 1 ELSE 0 END AS manual_source,
-    round(coalesce(balance_gap_rel, 0), 5) AS gap_filled,
+    round(coalesce(balance_gap_rel, 0), 5) AS gap_filled, round(coalesce(dpd_gap, 0), 5) AS dpd_gap_filled, dpd_clean - {DAYS} AS dpd_status_residual, CASE dti_band WHEN '<=20' THEN 0 WHEN '20-30' THEN 1 WHEN '30-36' THEN 2 WHEN '36-43' THEN 3 WHEN '>43' THEN 4 END AS dti_ord,
+    round(CASE WHEN pow(1 + rate_clean / 1200, greatest(age_clean + remaining_term_months, 1)) <> 1 THEN original_balance * (rate_clean / 1200) * pow(1 + rate_clean / 1200, greatest(age_clean + remaining_term_months, 1)) / (pow(1 + rate_clean / 1200, greatest(age_clean + remaining_term_months, 1)) - 1) END, 5) AS scheduled_payment,
+    CASE WHEN property_type IS NULL THEN 1 ELSE 0 END AS property_type_missing, CASE WHEN occupancy_type IS NULL THEN 1 ELSE 0 END AS occupancy_type_missing, CASE WHEN rate_clean IS NULL THEN 1 ELSE 0 END AS rate_clean_missing, CASE WHEN dpd_clean IS NULL THEN 1 ELSE 0 END AS dpd_clean_missing,
     CASE WHEN interest_rate IS NULL THEN 1 ELSE 0 END + CASE WHEN credit_score_band IS NULL THEN 1 ELSE 0 END + CASE WHEN ltv_band IS NULL THEN 1 ELSE 0 END + CASE WHEN dti_band IS NULL THEN 1 ELSE 0 END + CASE WHEN days_past_due IS NULL THEN 1 ELSE 0 END AS missing_count
   FROM wide
 )
@@ -151,6 +155,7 @@ ORACLES = {
     "f12_incentive": _feat("rate_incentive", "incentive_positive"),
     "f13_annuity": _feat("payment_ratio"),
     "f14_missing_indicators": _feat("missing_count", "gap_filled"),
+    "f17_gaps_and_payments": _feat(*MORE),
     "f16_residuals": _feat("amortisation_residual", "doc_problem", "manual_source"),
     "f18_bucket": _feat("seasoning", "calendar_month", "vintage_year"),
     "f20_build_features": _feat(*FEATURES),

@@ -15,7 +15,7 @@ from panelwright.sources.tables import Tables
 from panelwright.streaming import feed
 
 DATA = "/root/testdata/sf0.001"
-CHECKED = ["a5_sample_entities", "b14_repair_age", "b22_patch_table", "c3_find_orphans", "c8_asof_backward", "d20_rule_summary", "d23_top_failing_rule", "d28_resolve_priority", "e2_profile_categorical", "e6_missingness_tests", "f7_streak", "g3_attach_targets", "h1_purged_split", "j3_best_f1", "j8_lift_at_k", "k4_cumulative_incidence", "k7_concordance", "l8_stressed_matrix", "m4_review_queue", "o2_action_rules"]
+CHECKED = sorted(registry.oracle_sql())
 
 
 def tidy(value):
