@@ -56,7 +56,7 @@ def folded_words(text: bytes | None) -> list[bytes]:
 class WordHashes(dict):
     """64-bit hashes of words, computed once each; bounded, so that a long-lived worker stays small."""
 
-    LIMIT = 400_000
+    LIMIT = 200_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
