@@ -18,30 +18,39 @@ from panelwright.llm.packing import packed
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the byte network knows; others go."""
+    """Documents in a language that the byte network knows, with a score of a half or more; others go, null, empty and letterless texts among them.
+
+    Rows with null doc_ids and repeated rows are judged like others. Without a labelled row nothing is known, so all go; an empty table stays empty.
+    """
     prepare(spark)
     return in_a_known_language(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that repeat an earlier one; those of which nothing is left go."""
+    """Documents without lines that repeat an earlier one; those of which nothing is left go.
+
+    Earlier is by doc_id (nulls first), then row key, then line number. Null and empty texts stay as they are; rows alike in doc_id and text are treated alike.
+    """
     return without_repeated_lines(docs)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class."""
+    """One document of each near-duplicate class: the one with the least doc_id (nulls last), of its repeated rows one.
+
+    Null, empty and wordless texts are in no class but with rows alike in doc_id and text. An empty table stays empty.
+    """
     prepare(spark)
     return keep_one_of_each(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of a benchmark item."""
+    """Documents that hold no window of a benchmark item; null and empty texts hold none, and an empty benchmark takes nothing out. Repeated rows are judged alike."""
     prepare(spark)
     return without_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, packed into sequences."""
+    """The pieces of all documents, packed into sequences; null and empty texts are one end token, repeated rows are packed each for itself, an empty table gives no piece."""
     prepare(spark)
     return packed(docs, public_tokenizers.path("word_bpe_49k.json"))
 
