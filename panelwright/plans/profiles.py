@@ -86,8 +86,8 @@ _SIDE = f"(reporting_month <= '{BOUNDARY}')"
 
 
 def _psi_n(c: str, one: str = "one", _SIDE: str = _SIDE) -> str:
-    return f"""(SELECT sum((a - e) * ln(a / e)) FROM (
-  SELECT greatest(coalesce(sum(CASE WHEN s THEN 1 END), 0) / ne, 1e-6) AS e, greatest(coalesce(sum(CASE WHEN NOT s THEN 1 END), 0) / na, 1e-6) AS a
+    return f"""(SELECT CASE WHEN min(ne) >= 50 AND min(na) >= 50 THEN sum((a - e) * ln(a / e)) END FROM (
+  SELECT ne, na, greatest(coalesce(sum(CASE WHEN s THEN 1 END), 0) / ne, 1e-6) AS e, greatest(coalesce(sum(CASE WHEN NOT s THEN 1 END), 0) / na, 1e-6) AS a
   FROM (SELECT list_distinct(quantile_cont({c}, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1])) AS raw_edges FROM {one} WHERE {_SIDE} AND {c} IS NOT NULL) q,
     (SELECT sum(CASE WHEN {_SIDE} THEN 1 ELSE 0 END) AS ne, sum(CASE WHEN {_SIDE} THEN 0 ELSE 1 END) AS na FROM {one} WHERE {c} IS NOT NULL) n,
     LATERAL (SELECT list_sort(raw_edges) AS edges) z, LATERAL (SELECT unnest(range(1, len(edges))) AS bin) u
@@ -96,12 +96,12 @@ def _psi_n(c: str, one: str = "one", _SIDE: str = _SIDE) -> str:
 
 
 def _psi_c(c: str, one: str = "one", _SIDE: str = _SIDE) -> str:
-    return f"""(SELECT sum((a - e) * ln(a / e)) FROM (SELECT greatest(sum(CASE WHEN {_SIDE} THEN 1 ELSE 0 END) / max(ne), 1e-6) AS e, greatest(sum(CASE WHEN {_SIDE} THEN 0 ELSE 1 END) / max(na), 1e-6) AS a
+    return f"""(SELECT CASE WHEN min(ne) >= 50 AND min(na) >= 50 THEN sum((a - e) * ln(a / e)) END FROM (SELECT max(ne) AS ne, max(na) AS na, greatest(sum(CASE WHEN {_SIDE} THEN 1 ELSE 0 END) / max(ne), 1e-6) AS e, greatest(sum(CASE WHEN {_SIDE} THEN 0 ELSE 1 END) / max(na), 1e-6) AS a
   FROM {one}, (SELECT sum(CASE WHEN {_SIDE} THEN 1 ELSE 0 END) AS ne, sum(CASE WHEN {_SIDE} THEN 0 ELSE 1 END) AS na FROM {one} WHERE {c} IS NOT NULL) WHERE {c} IS NOT NULL GROUP BY {c} HAVING sum(CASE WHEN {_SIDE} THEN 1 ELSE 0 END) > 0))"""
 
 
 def _ks(c: str, one: str = "one", _SIDE: str = _SIDE) -> str:
-    return f"(SELECT max(abs(e / ne - a / na)) FROM (SELECT sum(CASE WHEN {_SIDE} THEN 1 ELSE 0 END) OVER w AS e, sum(CASE WHEN {_SIDE} THEN 0 ELSE 1 END) OVER w AS a, sum(CASE WHEN {_SIDE} THEN 1 ELSE 0 END) OVER () AS ne, sum(CASE WHEN {_SIDE} THEN 0 ELSE 1 END) OVER () AS na FROM {one} WHERE {c} IS NOT NULL WINDOW w AS (ORDER BY {c} RANGE UNBOUNDED PRECEDING)))"
+    return f"(SELECT CASE WHEN max(ne) > 50 AND max(na) > 50 THEN max(abs(e / ne - a / na)) END FROM (SELECT sum(CASE WHEN {_SIDE} THEN 1 ELSE 0 END) OVER w AS e, sum(CASE WHEN {_SIDE} THEN 0 ELSE 1 END) OVER w AS a, sum(CASE WHEN {_SIDE} THEN 1 ELSE 0 END) OVER () AS ne, sum(CASE WHEN {_SIDE} THEN 0 ELSE 1 END) OVER () AS na FROM {one} WHERE {c} IS NOT NULL WINDOW w AS (ORDER BY {c} RANGE UNBOUNDED PRECEDING)))"
 
 
 def _drift(c: str, numeric: bool, one: str = "one", _SIDE: str = _SIDE, first: str = "") -> str:
