@@ -78,6 +78,11 @@ def assert_no_leakage(columns: list[str]) -> list[str]:
     return columns
 
 
+def lookup(df: DataFrame, column: str, values: list, columns: list[str]) -> DataFrame:
+    """The given columns of the rows whose `column` is one of a few values: a filter that reaches the scan."""
+    return df.filter(F.col(column).isin(*values)).select(*columns)
+
+
 def project_contract(df: DataFrame, columns: list[str]) -> DataFrame:
     """The contract's columns that are there, in its order."""
     return df.select(*[c for c in columns if c in df.columns])

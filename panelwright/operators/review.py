@@ -90,8 +90,20 @@ def local_explanations(attr: DataFrame, key: str, n: int, k: int) -> DataFrame:
     return attr.join(F.broadcast(top), key).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(key, "rank", "feature", "contribution", "total")
 
 
-def friendly(c: Column | str) -> Column:
-    return F.replace(F.col(c) if isinstance(c, str) else c, F.lit("_"), F.lit(" "))
+#: Names of features as people say them (our own words); others are shown with spaces for underscores.
+LABELS = {
+    "amortisation_residual": "balance off its schedule", "dpd_status_residual": "days past due against status", "balance_change_1": "balance change in a month", "balance_change_3": "balance change in three months",
+    "growth_positive": "balance growth", "balance_gap_rel": "balance gap to the feed", "dpd_gap": "days past due gap to the feed", "lag_days": "reporting lag", "missing_count": "missing fields",
+    "doc_problem": "document problem", "manual_source": "manual upload", "payment_ratio": "payment to balance", "dpd_repaired": "repaired days past due", "rate_repaired": "repaired rate",
+    "balance_repaired": "repaired balance", "age_repaired": "repaired age", "svc_present": "record in the feed", "status_ord": "current status", "credit_ord": "credit band", "ltv_ord": "loan to value band",
+    "late_count_6": "late months in six", "dpd_max_3": "worst days past due in three months", "clean_streak": "months since late",
+}
+
+
+def friendly(c: Column | str, labels: dict[str, str] = LABELS) -> Column:
+    """The label of a feature's name; without one, the name with spaces for underscores."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.coalesce(*[F.when(c == name, label) for name, label in labels.items()], F.replace(c, F.lit("_"), F.lit(" ")))
 
 
 def confidence_band(p: str, spread: str) -> Column:

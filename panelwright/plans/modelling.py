@@ -138,11 +138,11 @@ def scorecard(t: Tables):
 def _stressed_paths(t, df):
     """Projected shares under each scenario, by transitions whose shifts come from the fit on macro values."""
     rows = L.status_next(featured(t).drop("next_state"), EXITS)
-    macro, paths = t.macro(), None
+    macro, paths, own = t.macro(), None, saved(matrix(t).select("from_state", "to_state", "p"), "matrix")
     fit, scen, snap = Z.macro_transition_fit(Z.monthly_rates(rows), macro), Z.build_scenarios(macro), X.snapshot(df)
     for name in Z.SHOCKS:
         shifts = Z.fitted_shifts(fit, scen, macro, name)
-        stressed = Z.stressed_matrix(matrix(t), shifts) if shifts else matrix(t).select("from_state", "to_state", "p")
+        stressed = Z.stressed_matrix(own, shifts) if shifts else own
         one = Z.portfolio_projection(snap, S.project_states(stressed, 12)).withColumn("scenario_name", F.lit(name))
         paths = one if paths is None else paths.unionByName(one)
     return paths
@@ -151,14 +151,39 @@ def _stressed_paths(t, df):
 MACRO_X = ["rate_incentive", "unemployment_rate", "hpi_yoy_growth", "status_ord"]
 
 
-def _engines(t):
-    """Scores of a fitted logistic model under each scenario beside projections with fitted shifts."""
+def _fitted_scorer(t):
+    """Featured rows with their split, and a scorer from a logistic model fitted on them."""
     df = saved(L.purged_split(L.attach_targets(featured(t), EXITS), TARGET, 12), "featured")
     model = M.fit_logistic(df, MACRO_X, TARGET)
     lr, scale = model.stages[-1], model.stages[-2]
     b = {c: float(w / s) if s else 0.0 for c, w, s in zip(MACRO_X, lr.coefficients, scale.std)}
     intercept = float(lr.intercept - sum(b[c] * m for c, m in zip(MACRO_X, scale.mean)))
-    scorer = Z.fitted_scorer(b, intercept, {"status_ord": b["status_ord"]})
+    return df, Z.fitted_scorer(b, intercept, {"status_ord": b["status_ord"]})
+
+
+def _repriced(t):
+    df, scorer = _fitted_scorer(t)
+    return X.snapshot(df).filter("rate_clean is not null"), Z.build_scenarios(t.macro()), scorer
+
+
+def _scores(t):
+    snap, scen, scorer = _repriced(t)
+    return rounded(Z.score_scenarios(snap, scen, scorer=scorer), "mean_score", "delta", "relative")
+
+
+def _segments(t):
+    snap, scen, scorer = _repriced(t)
+    return rounded(Z.segment_impacts(snap, scen, "state", scorer=scorer), *Z.SHOCKS, "delta_adverse_credit", "delta_high_prepayment")
+
+
+def _drivers(t):
+    snap, scen, scorer = _repriced(t)
+    return rounded(Z.driver_decomposition(snap, scen, "adverse_credit", scorer=scorer), "effect", "share", digits=5)
+
+
+def _engines(t):
+    """Scores of a fitted logistic model under each scenario beside projections with fitted shifts."""
+    df, scorer = _fitted_scorer(t)
     macro = t.macro()
     scores = Z.score_scenarios(X.snapshot(df).filter("rate_clean is not null"), Z.build_scenarios(macro), scorer=scorer)
     out = Z.compare_engines(scores, _stressed_paths(t, df))
@@ -238,6 +263,10 @@ QUERIES = {
     "i13_leakage_probe": _probe,
     "i14_backtest": _backtest,
     "k6_fit_cox": _cox,
+    "l3_score_scenarios_fitted": _scores,
+    "l4_segment_impacts_fitted": _segments,
+    "l6_driver_decomposition_fitted": _drivers,
+    "l8_stressed_paths_fitted": lambda t: rounded(_stressed_paths(t, modelled(t)), "share"),
     "l11_compare_engines": _engines,
     "m1_isolation_forest": _forest,
     "m4_review_queue_fitted": _queue,

@@ -97,7 +97,7 @@ QUERIES = {
     "b16_dedupe_keys": lambda t: deduped(t).select("entity_id", "month_index", "seq"),
     "b17_mask_ids": lambda t: t.raw("customer").select("c_custkey", C.masked_id("c_custkey").alias("masked")),
     "b18_ordinal": _ordinals,
-    "b19_lookup": lambda t: t.raw("customer").filter(F.col("c_mktsegment").isin("BUILDING", "MACHINERY")).select("c_custkey", "c_mktsegment"),
+    "b19_lookup": lambda t: clean.lookup(t.raw("customer"), "c_mktsegment", ["BUILDING", "MACHINERY"], ["c_custkey", "c_mktsegment"]),
     "b21_project_contract": lambda t: clean.project_contract(deduped(t), ["entity_id", "month_index", "not_there", "seq", "current_status"]),
     "b22_patch_table": _patched,
     "c1_latest_wins": lambda t: latest_feed(t).select(*KEYS, "reported_balance", "reported_status", "l_orderkey", "l_linenumber"),
