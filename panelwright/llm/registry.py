@@ -8,6 +8,7 @@ import corpus_pipeline
 
 from panelwright.llm import oracles
 from panelwright.llm.common import prepare, table
+from panelwright.llm.conversation_trie import prefix_trie
 from panelwright.llm.decontaminate import contamination
 from panelwright.llm.fingerprints import fingerprinted
 from panelwright.llm.language_id import language_predictions
@@ -70,6 +71,11 @@ def op10_substring_dedup(spark, sf_dir):
     return without_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def op13_conversation_prefix_trie(spark, sf_dir):
+    prepare(spark)
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def queries():
     return {
         "pipeline": corpus_pipeline.run,
@@ -83,6 +89,7 @@ def queries():
         "op8_license_scans": op8_license_scans,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_substring_dedup": op10_substring_dedup,
+        "op13_conversation_prefix_trie": op13_conversation_prefix_trie,
     }
 
 
@@ -90,4 +97,5 @@ def oracle_sql():
     return {
         "op2_line_dedup": oracles.LINE_DEDUP,
         "op4_benchmark_decontamination": oracles.DECONTAMINATION,
+        "op13_conversation_prefix_trie": oracles.PREFIX_TRIE,
     }
