@@ -19,6 +19,7 @@ from panelwright.llm.packing import packed
 from panelwright.llm.quality import resampled
 from panelwright.llm.substring_dedup import without_repeats
 from panelwright.llm.toxicity import toxicity_scores
+from panelwright.llm.whitening import whitened
 
 
 def op1_document_fingerprints(spark, sf_dir):
@@ -71,6 +72,11 @@ def op10_substring_dedup(spark, sf_dir):
     return without_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def op12_embedding_whitening(spark, sf_dir):
+    prepare(spark)
+    return whitened(table(spark, sf_dir, "embeddings"))
+
+
 def op13_conversation_prefix_trie(spark, sf_dir):
     prepare(spark)
     return prefix_trie(table(spark, sf_dir, "conversations"))
@@ -89,6 +95,7 @@ def queries():
         "op8_license_scans": op8_license_scans,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_substring_dedup": op10_substring_dedup,
+        "op12_embedding_whitening": op12_embedding_whitening,
         "op13_conversation_prefix_trie": op13_conversation_prefix_trie,
     }
 
