@@ -17,6 +17,7 @@ from panelwright.llm.line_dedup import deduplicated
 from panelwright.llm.ngram_join import near_duplicate_classes
 from panelwright.llm.packing import packed
 from panelwright.llm.quality import resampled
+from panelwright.llm.quality_rules import quality_verdicts
 from panelwright.llm.substring_dedup import without_repeats
 from panelwright.llm.toxicity import toxicity_scores
 from panelwright.llm.whitening import whitened
@@ -72,6 +73,10 @@ def op10_substring_dedup(spark, sf_dir):
     return without_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def op11_quality_rules(spark, sf_dir):
+    return quality_verdicts(table(spark, sf_dir, "documents")).drop("lang", "source")
+
+
 def op12_embedding_whitening(spark, sf_dir):
     prepare(spark)
     return whitened(table(spark, sf_dir, "embeddings"))
@@ -95,6 +100,7 @@ def queries():
         "op8_license_scans": op8_license_scans,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_substring_dedup": op10_substring_dedup,
+        "op11_quality_rules": op11_quality_rules,
         "op12_embedding_whitening": op12_embedding_whitening,
         "op13_conversation_prefix_trie": op13_conversation_prefix_trie,
     }
