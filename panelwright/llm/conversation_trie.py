@@ -5,7 +5,7 @@ neighbouring ones. Within a shard they are rows of a padded matrix of turn ids,
 column has, a node starts, so the OR-accumulated change masks mark all node starts of all depths, and reduceat aggregates each depth. The matrix is
 made a block of columns at a time, from rows that are long enough, so one long conversation among short ones costs little.
 
-A node can lie in several shards only if it is on the path of a shard's first or last conversation (beyond `KEY_DEPTH` turns: below it). Such boundary nodes are
+A node can lie in several shards only if it is on the path of a shard's first or last conversation (beyond `key_depth` turns: below it). Such boundary nodes are
 few; their counts are summed by key, each is given a home shard that counts its own leaf and savings, and a second pass over the shards adds up subtrees. So no task
 sees more than its shard, however many conversations are alike; only a digest of the ends of a boundary node is, as SHA-256 has to be, one
 stream of sorted pieces, of which a batch is held at a time.
@@ -53,7 +53,8 @@ def rebuilt(turns: DataFrame, every: int = 100, head: int = HEAD) -> DataFrame:
 class Trie:
     """Nodes of the conversations of one shard, by depth and then by path; the root is node 0."""
 
-    def __init__(self, rows: pa.Table):
+    def __init__(self, rows: pa.Table, key_depth: int = KEY_DEPTH, cells: int = CELLS):
+        self.key_depth, self.cells = key_depth, cells
         rows = rows.sort_by("conv_id")
         self.conv = rows["conv_id"].to_numpy()
         lists = rows["ids"].combine_chunks()
@@ -85,7 +86,7 @@ class Trie:
     def _ends_of_range(self) -> tuple[np.ndarray, np.ndarray]:
         """The first ids of the first and of the last conversation in the order of the range."""
         everyone = np.arange(len(self.conv))
-        width = int(min(KEY_DEPTH, self.length.max()))
+        width = int(min(self.key_depth, self.length.max()))
         keys = self._matrix(self.flat, everyone, 0, width, np.iinfo(np.int64).min)
         order = np.lexsort((np.minimum(self.length, width), *keys.T[::-1]))
         cut = lambda row: self.flat[self.start[row] : self.start[row] + min(width, self.length[row])]
@@ -96,7 +97,7 @@ class Trie:
         group = np.zeros(len(self.conv), dtype=np.int64)
         active, at = np.flatnonzero(self.length > 0), 0
         while len(active):
-            width = int(min(max(8, CELLS // len(active)), self.length[active].max() - at))
+            width = int(min(max(8, self.cells // len(active)), self.length[active].max() - at))
             matrix = self._matrix(dense, active, at, width, 0)
             order = np.lexsort((*matrix.T[::-1], group[active]))
             rows, matrix = active[order], matrix[order]
@@ -124,7 +125,7 @@ class Trie:
         self.least[new] = np.minimum.reduceat(self.conv[rows], starts)[node]
         self.path[new] = mixed(self.path[up] * MULTIPLIER + self.flat[turn].view(np.uint64) + np.uint64(before + 1))
         for side, ids in ((self.low, low), (self.high, high)):
-            side[new] = side[up] & (self.flat[turn] == ids[before] if before < len(ids) else before >= KEY_DEPTH)
+            side[new] = side[up] & (self.flat[turn] == ids[before] if before < len(ids) else before >= self.key_depth)
         self.end[rows[real]] = np.repeat(numbers, np.diff(np.append(starts, len(rows))))[real]
         self.levels.append(new.stop)
 
@@ -151,18 +152,14 @@ _EDGES = "shard int, node long, depth long, path long, last long, n long, least
 _NODES = "conv_id long, depth long, parent_conv_id long, n_convs long, n_children long, n_leaves long, saved_tokens long, ends_sha256 string, shard int, path long, last long, pieces array<string>"
 
 
-def _edges(rows: pa.Table) -> pa.Table:
+def _edges(trie: Trie, shard: int) -> pa.Table:
     """The boundary nodes of a shard."""
-    trie = Trie(rows)
     at = np.flatnonzero(trie.edge)
-    shard = np.full(len(at), rows["shard"][0].as_py(), dtype=np.int32)
-    return pa.table({"shard": shard, "node": at, "depth": trie.depth[at], "path": trie.path[at].view(np.int64), "last": trie.last[at], "n": trie.n[at], "least": trie.least[at], "inner": trie.inner[at]})
+    return pa.table({"shard": np.full(len(at), shard, dtype=np.int32), "node": at, "depth": trie.depth[at], "path": trie.path[at].view(np.int64), "last": trie.last[at], "n": trie.n[at], "least": trie.least[at], "inner": trie.inner[at]})
 
 
-def _nodes(rows: pa.Table, edges: pa.Table) -> pa.Table:
+def _nodes(trie: Trie, shard: int, edges: pa.Table, piece: int) -> pa.Table:
     """All nodes of a shard; boundary nodes with their key, this shard's part of their sums and the pieces of their ends."""
-    trie = Trie(rows)
-    shard = rows["shard"][0].as_py()
     at = edges["node"].to_numpy()
     home, n, least, inner = np.ones(trie.count, dtype=bool), trie.n, trie.least, trie.inner
     home[at], n[at], least[at], inner[at] = edges["home"].to_numpy() == shard, edges["n"].to_numpy(), edges["least"].to_numpy(), edges["inner"].to_numpy(zero_copy_only=False)
@@ -175,7 +172,7 @@ def _nodes(rows: pa.Table, edges: pa.Table) -> pa.Table:
         digests[node], pieces[node] = None, []
     for node, ids in trie.ends():
         if trie.edge[node]:
-            pieces[node] = [",".join(ids[k : k + PIECE]) for k in range(0, len(ids), PIECE)]
+            pieces[node] = [",".join(ids[k : k + piece]) for k in range(0, len(ids), piece)]
         else:
             digests[node] = hashlib.sha256(",".join(ids).encode()).hexdigest()
     keyed = lambda x: pa.array(x, pa.int64(), mask=~trie.edge)
@@ -205,18 +202,25 @@ def _digests(batches):
         yield done()
 
 
-def prefix_trie(conversations: DataFrame) -> DataFrame:
+def prefix_trie(conversations: DataFrame, shard_turns: int = SHARD_TURNS, key_depth: int = KEY_DEPTH, piece: int = PIECE, cells: int = CELLS) -> DataFrame:
     """One row for each node: conv_id (least member), depth, parent_conv_id (null for the root), n_convs, n_children, n_leaves, saved_tokens, ends_sha256."""
     spark = conversations.sparkSession
     rows = saved(rebuilt(conversations), "rebuilt")
     turns = rows.agg(F.coalesce(F.sum(F.size("ids") + 1), F.lit(0))).first()[0]
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(turns / SHARD_TURNS))
-    dealt = rows.repartitionByRange(shards, F.slice("ids", 1, KEY_DEPTH), F.xxhash64("ids"), "conv_id")
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(turns / shard_turns))
+    dealt = rows.repartitionByRange(shards, F.slice("ids", 1, key_depth), F.xxhash64("ids"), "conv_id")
     dealt = saved(dealt.withColumn("shard", F.spark_partition_id()), "shards")
-    edges = saved(dealt.groupBy("shard").applyInArrow(_edges, _EDGES), "edges")
+
+    def edges_of(rows: pa.Table) -> pa.Table:
+        return _edges(Trie(rows, key_depth, cells), rows["shard"][0].as_py())
+
+    def nodes_of(rows: pa.Table, edges: pa.Table) -> pa.Table:
+        return _nodes(Trie(rows, key_depth, cells), rows["shard"][0].as_py(), edges, piece)
+
+    edges = saved(dealt.groupBy("shard").applyInArrow(edges_of, _EDGES), "edges")
     whole = edges.groupBy(*KEY).agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("inner").alias("inner"), F.min("shard").alias("home"))
     known = edges.select("shard", "node", *KEY).join(whole, KEY).select("shard", "node", "n", "least", "inner", "home")
-    nodes = saved(dealt.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(_nodes, _NODES), "nodes")
+    nodes = saved(dealt.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(nodes_of, _NODES), "nodes")
     within = nodes.filter("path IS NULL").drop("shard", "path", "last", "pieces")
     parts = nodes.filter("path IS NOT NULL")
     pieces = parts.select(*KEY, "shard", F.posexplode("pieces").alias("no", "piece")).repartition(*KEY).sortWithinPartitions(*KEY, "shard", "no").select(*KEY, "piece")
