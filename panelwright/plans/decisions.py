@@ -74,15 +74,24 @@ def _queue(t):
     return rounded(R.review_queue(ranked(t), 50).select("seq", "priority", "predicted_type"), "priority")
 
 
+def _advised(t):
+    """Documents with a sentence that quotes a number of theirs and points at a field, and the fields' values: every third status is complete, every fourth flag is 0."""
+    i = F.col("doc_id")
+    said = F.when(i % 5 == 0, F.concat(F.lit(" Reviewer to verify the document status of "), i.cast("string"))).when(i % 5 == 1, F.concat(F.lit("\n12. Confirm modification_flag by model, 0.5 "), (i + 7).cast("string"))).when(i % 5 == 2, " This will default. 100.3").otherwise("")
+    docs = t.raw("documents").select("doc_id", F.concat("text", said).alias("text"), "n_chars")
+    return docs.withColumns({"document_status": F.when(i % 3 == 0, " Complete ").otherwise("missing"), "modification_flag": i % 4})
+
+
 def _guard(t):
-    docs = t.raw("documents").select("doc_id", "text", "n_chars")
-    return G.usefulness_check(G.grounding_check(docs, "text", F.array(F.col("doc_id").cast("double"), F.col("n_chars").cast("double"))), "text")
+    guarded = G.grounding_check(_advised(t), "text", F.array(F.col("doc_id").cast("double"), F.col("n_chars").cast("double")))
+    return G.usefulness_check(guarded, "text", ["document_status", "modification_flag"])
 
 
-def _full_guard(t):
-    docs = t.raw("documents").select("doc_id", "text", "n_chars")
-    guarded = G.full_grounding(docs, "text", F.array(F.col("doc_id").cast("double"), F.col("n_chars").cast("double")))
-    return G.full_usefulness(guarded, "text", []).drop("text", "n_chars")
+def _latex(t):
+    """Sentences with LaTeX around numbers of each document."""
+    i, k = F.col("doc_id").cast("string"), (F.col("doc_id") % 7).cast("string")
+    said = F.concat(F.lit("of -"), i, F.lit(r".5 \times 10^{-"), k, F.lit(r"} and $10 ^ "), k, F.lit(r"$ \cdot 2, not 2"), i, F.lit("10^3 nor "), k, F.lit("times 10^x"))
+    return t.raw("documents").select("doc_id", G.latex_flags(said).alias("latex"), G.normalise_latex(said).alias("plain"))
 
 
 QUERIES = {
@@ -111,10 +120,11 @@ QUERIES = {
     "n9_linear_attributions": lambda t: rounded(attributed(t).drop("value"), "contribution"),
     "o2_action_rules": lambda t: probabilities(t).select("seq", R.action_rules().alias("action")),
     "o3_check_contract": lambda t: R.check_contract(probabilities(t), "seq", ["prob_default_12m", "exception_probability"], {"current_status": ["Current", "DQ30", "DQ60", "DQ90plus"]}),
-    "p4_parse_numbers": lambda t: t.raw("documents").select("doc_id", F.size(F.coalesce(G.parse_numbers(F.col("text")), F.array())).alias("n_numbers"), F.round(F.aggregate(F.filter(G.parse_numbers(F.col("text")), lambda x: F.abs(x) < 1e9), F.lit(0.0), lambda a, x: a + x), 4).alias("total")),
-    "p5_grounding_check": lambda t: _guard(t).select("doc_id", "n_numbers", "n_ungrounded", "causal", "framed", "latex", "grounded", "useful"),
-    "p7_full_guard": _full_guard,
-    "p8_summarise": lambda t: G.summarise(_full_guard(t)),
+    "p4_parse_numbers": lambda t: t.raw("documents").select("doc_id", F.size(F.coalesce(G.parse_numbers(G.without_list_markers(F.col("text"))), F.array())).alias("n_numbers"), F.round(F.aggregate(F.filter(G.parse_numbers(G.without_list_markers(F.col("text"))), lambda x: F.abs(x) < 1e9), F.lit(0.0), lambda a, x: a + x), 4).alias("total")),
+    "p5_grounding_check": lambda t: _guard(t).select("doc_id", "n_numbers", "n_ungrounded", "causal", "refusal", "framed", "latex", "grounded"),
+    "p6_normalise_latex": _latex,
+    "p7_usefulness_check": lambda t: _guard(t).select("doc_id", F.array_join("null_advice", ",").alias("null_advice"), "useful"),
+    "p8_summarise": lambda t: G.summarise(_guard(t)),
 }
 
 _BASE = f", base AS (SELECT c.*, {STATUS} AS status_ord, m.market_mortgage_rate, m.unemployment_rate, m.hpi_yoy_growth, rate_clean - m.market_mortgage_rate AS rate_incentive FROM clean c LEFT JOIN macro m USING (pno, reporting_month))"
@@ -154,12 +164,23 @@ drv AS (SELECT seq, c, row_number() OVER (PARTITION BY seq ORDER BY z DESC, c) A
 _ATTR = ", attr AS (" + " UNION ALL ".join(f"SELECT seq, '{c}' AS feature, CAST({c} AS DOUBLE) AS value, coalesce({b}e0 * ({c} - (SELECT avg({c}) FROM scored)), 0) AS contribution FROM scored" for c, b in COEFFICIENTS.items()) + ")"
 _PROBS = ", probs AS (SELECT seq, current_status, " + ", ".join(f"(seq * {k} % 97) / 97e0 AS {n}" for n, k in (("exception_probability", 3), ("prob_default_12m", 5), ("prob_delinquency_3m", 7), ("prob_delinquency_6m", 11), ("prob_prepayment_12m", 13))) + " FROM one)"
 _ANY = lambda words: " OR ".join(f"contains(lower(text), '{w}')" for w in words)
-_NUMBERS = rf"list_transform(regexp_extract_all(regexp_replace(text, '(?m)^\s*\d+\.\s', '', 'g'), '{G.NUMBER}', 1), lambda x: TRY_CAST(regexp_replace(x, '[,%+]', '', 'g') AS DOUBLE))"
-_ALLOWED = "list_concat(list_distinct(flatten(list_transform([doc_id, doc_id * 100e0, doc_id / 100e0, n_chars, n_chars * 100e0, n_chars / 100e0], lambda x: [x, round(x, 0), round(x, 1), round(x, 2), round(x, 3)]))), [" + ", ".join(f"{x}e0" for x in G.SMALL) + "])"
-_GUARD = f"""WITH n AS (SELECT doc_id, text, {_NUMBERS} AS numbers, {_ALLOWED} AS allowed FROM documents),
-f AS (SELECT *, len(numbers) AS n_numbers, len(list_filter(numbers, lambda x: len(list_filter(allowed, lambda a: abs(x - a) <= greatest(0.005e0, abs(a) * 0.005e0))) = 0)) AS n_ungrounded, ({_ANY(G.CAUSAL)}) AS causal, ({_ANY(G.FRAMING)}) AS framed,
-  ({" OR ".join(f"contains(text, '{m}')" for m in G.LATEX_MARKERS)} OR regexp_matches(text, '[$][^$\\n]*\\d[^$\\n]*[$]')) AS latex, ({_ANY(G.ACTION)}) AS useful FROM n)
-SELECT doc_id, n_numbers, n_ungrounded, causal, framed, latex, n_ungrounded = 0 AND NOT causal AND framed AND NOT latex AS grounded, useful FROM f"""
+_LINES = "string_split(text, chr(10))"
+_UNLISTED = f"array_to_string(list_transform({_LINES}, lambda l, i: CASE WHEN regexp_matches(concat(l, CASE WHEN i < len({_LINES}) THEN ' ' ELSE '' END), '^[ \t]{{0,8}}[0-9]{{1,3}}[.)][[:space:]]') THEN regexp_replace(l, '^[ \\t]*[0-9]+.', '') ELSE l END), chr(10))"
+_NUMBERS = rf"list_transform(regexp_extract_all({_UNLISTED}, '{G.NUMBER}', 1), lambda x: TRY_CAST(regexp_replace(x, '[,%+]', '', 'g') AS DOUBLE))"
+_SMALL = ", ".join(f"{x}e0" for x in G.SMALL)
+_ALLOWED = "list_distinct(flatten(list_transform([doc_id, doc_id * 100e0, doc_id / 100e0, n_chars, n_chars * 100e0, n_chars / 100e0], lambda x: [x, round(x, 0), round(x, 1), round(x, 2), round(x, 3)])))"
+_ADVISED = """SELECT doc_id, n_chars, concat(text, CASE doc_id % 5 WHEN 0 THEN concat(' Reviewer to verify the document status of ', doc_id) WHEN 1 THEN concat(chr(10), '12. Confirm modification_flag by model, 0.5 ', doc_id + 7) WHEN 2 THEN ' This will default. 100.3' ELSE '' END) AS said,
+  doc_id % 3 = 0 AS complete, doc_id % 4 = 0 AS unmodified FROM documents WHERE text IS NOT NULL"""
+_MARKED = " OR ".join(f"contains(said, '{m}')" for m in G.LATEX_MARKERS) + " OR len(list_filter(string_split(said, chr(10)), lambda l: len(list_filter(string_split(l, '$')[2:-2], lambda x: regexp_matches(x, '[0-9]'))) > 0)) > 0"
+# No document has a power of ten; the marks alone are dropped.
+_PLAIN = r"CASE WHEN latex THEN replace(replace(replace(said, '\times', ' '), '\cdot', ' '), '$', '') ELSE said END"
+_BEFORE = lambda name: f"(contains(low, '{name}') AND (" + " OR ".join(f"contains(substr(low, greatest(1, instr(low, '{name}') - 120), least(instr(low, '{name}') - 1, 120)), '{w}')" for w in G.ACTION) + "))"
+_GUARD = f"""WITH d AS ({_ADVISED}), m AS (SELECT *, ({_MARKED}) AS latex, lower(said) AS low FROM d), p AS (SELECT *, {_PLAIN} AS text FROM m),
+n AS (SELECT *, list_filter({_NUMBERS}, lambda x: x IS NOT NULL AND NOT list_contains([{_SMALL}], x)) AS numbers, {_ALLOWED} AS allowed FROM p),
+f AS (SELECT doc_id, len(numbers) AS n_numbers, len(list_filter(numbers, lambda x: len(list_filter(allowed, lambda a: abs(x - a) <= greatest(0.005e0, abs(a) * 0.005e0))) = 0)) AS n_ungrounded, ({_ANY(G.CAUSAL).replace('lower(text)', 'low')}) AS causal,
+  ({_ANY(G.REFUSAL).replace('lower(text)', 'low')}) AS refusal, ({_ANY(G.FRAMING + G.REFUSAL).replace('lower(text)', 'low')}) AS framed, latex, ({_ANY(G.ACTION).replace('lower(text)', 'low')}) AS act,
+  concat_ws(',', CASE WHEN complete AND ({_BEFORE('document_status')} OR {_BEFORE('document status')}) THEN 'document_status' END, CASE WHEN unmodified AND ({_BEFORE('modification_flag')} OR {_BEFORE('modification flag')}) THEN 'modification_flag' END) AS null_advice FROM n),
+g AS (SELECT *, n_ungrounded = 0 AND NOT causal AND framed AND NOT latex AS grounded, null_advice = '' AND act AS useful FROM f) """
 _PARSED = f"SELECT doc_id, coalesce(len(numbers), 0) AS n_numbers, round(list_reduce(list_prepend(0e0, list_filter(numbers, lambda x: abs(x) < 1e9)), lambda a, b: a + b), 4) AS total FROM (SELECT doc_id, {_NUMBERS} AS numbers FROM documents)"
 
 ORACLES = {
@@ -188,5 +209,8 @@ ORACLES = {
     "o2_action_rules": select(f"{_PROBS} SELECT seq, CASE " + " ".join(f"WHEN {c} >= {t}e0 THEN '{n}'" for n, c, t in R.ACTIONS) + " ELSE 'monitor_no_action' END AS action FROM probs"),
     "o3_check_contract": select(f"{_PROBS} SELECT 'repeated_keys' AS \"check\", count(*) - count(DISTINCT seq) AS violations FROM probs UNION ALL SELECT 'range_prob_default_12m', count(*) FROM probs WHERE NOT coalesce(prob_default_12m BETWEEN 0 AND 1, false) UNION ALL SELECT 'range_exception_probability', count(*) FROM probs WHERE NOT coalesce(exception_probability BETWEEN 0 AND 1, false) UNION ALL SELECT 'words_current_status', count(*) FROM probs WHERE current_status NOT IN ('Current', 'DQ30', 'DQ60', 'DQ90plus')"),
     "p4_parse_numbers": _PARSED,
-    "p5_grounding_check": _GUARD,
+    "p5_grounding_check": _GUARD + "SELECT doc_id, n_numbers, n_ungrounded, causal, refusal, framed, latex, grounded FROM g",
+    "p6_normalise_latex": "SELECT doc_id, true AS latex, concat('of -', doc_id, '.5e-', doc_id % 7, ' and 1e', doc_id % 7, '   2, not 2', doc_id, '10^3 nor ', doc_id % 7, 'times 10^x') AS plain FROM documents",
+    "p7_usefulness_check": _GUARD + "SELECT doc_id, null_advice, useful FROM g",
+    "p8_summarise": _GUARD + "SELECT count(*) AS rows, count(*) FILTER (WHERE grounded AND useful) AS passed, count(*) FILTER (WHERE NOT (grounded AND useful)) AS blocked, CAST(sum(n_ungrounded) AS BIGINT) AS ungrounded_numbers, count(*) FILTER (WHERE null_advice <> '') AS null_advice, round(count(*) FILTER (WHERE grounded AND useful) / count(*), 4) AS pass_rate, count(*) FILTER (WHERE NOT grounded) AS ungrounded, count(*) FILTER (WHERE causal) AS causal, count(*) FILTER (WHERE NOT useful) AS not_useful FROM g",
 }

@@ -205,6 +205,6 @@ def test_packs_and_their_numbers(spark):
 
 def test_guard_summary(spark):
     df = spark.createDataFrame([("the model suggests a review of 12.", 12.0), ("this will default, review 99", 12.0), (None, 1.0)], "text string, v double")
-    guarded = textguard.full_usefulness(textguard.full_grounding(df, "text", F.array("v")), "text", [])
+    guarded = textguard.usefulness_check(textguard.grounding_check(df, "text", F.array("v")), "text", [])
     row = textguard.summarise(guarded).first()
-    assert (row["rows"], row.passed, row.causal) == (3, 1, 1)
+    assert (row["rows"], row.passed, row.blocked, row.causal, row.ungrounded_numbers, row.null_advice, row.pass_rate) == (3, 1, 2, 1, 1, 0, 0.3333)

@@ -133,7 +133,7 @@ def test_anomaly_columns_are_there(spark):
 def test_text_guard(spark):
     rows = ["The model estimate is 12.5%. Please review.", "It is 99 because of rates, likely.", "1. The draft says 1,250.", r"A model \frac{1}{2}", None]
     df = spark.createDataFrame([(t, 12.5, 1250.0) for t in rows], "t string, a double, b double")
-    got = textguard.usefulness_check(textguard.grounding_check(df, "t", F.array("a", "b")), "t").collect()
+    got = textguard.usefulness_check(textguard.grounding_check(df, "t", F.array("a", "b")), "t", []).collect()
     assert [r.grounded for r in got[:4]] == [True, False, True, False] and got[0].useful and not got[1].useful
     assert [r.n_ungrounded for r in got[:3]] == [0, 1, 0]
 
@@ -144,13 +144,22 @@ def test_full_text_guard(spark):
         ("Draft: 0.5 of it. Reviewer to examine the document status.", "complete"), ("Model: the document status is fine; contact the servicer about 77.5.", "complete"), (r"x^{2} by the model", None), (None, None),
     ]
     df = spark.createDataFrame([(t, d, -2e-5, 0.5) for t, d in rows], "t string, document_status string, a double, b double")
-    got = textguard.full_usefulness(textguard.full_grounding(df, "t", F.array("a", "b")), "t", ["document_status"]).collect()
+    got = textguard.usefulness_check(textguard.grounding_check(df, "t", F.array("a", "b")), "t", ["document_status"]).collect()
     assert [r.latex for r in got] == [True, False, False, False, False, True, None]
     assert [r.n_ungrounded for r in got[:5]] == [0, 0, 0, 0, 1] and [r.n_numbers for r in got[:5]] == [1, 0, 0, 1, 1]
     assert got[1].causal and got[2].refusal and [r.grounded for r in got[:5]] == [False, False, True, True, False]
     assert got[3].null_advice == ["document_status"] and not got[3].useful and got[4].null_advice == [] and got[4].useful
 
 
+def test_guard_marks_and_numbers(spark):
+    rows = ["1. one 2\n 12) two 3.\n4.\n5 6.", "1234. x 1.\n        7. y\n         8. z", "a 3.", "$5 and $6", "cost $ and $5", "10^2 or 3 times 10^-2}", r"2\times10^{3} 5.10^2"]
+    df = spark.createDataFrame([(t,) for t in rows], "t string")
+    got = df.select(textguard.without_list_markers(F.col("t")).alias("w"), textguard.latex_flags(F.col("t")).alias("l"), textguard.normalise_latex(F.col("t")).alias("n")).collect()
+    assert [r.w for r in got[:3]] == [" one 2\n two 3.\n\n5 6.", "1234. x 1.\n y\n         8. z", "a 3."]
+    assert [r.l for r in got[2:]] == [False, True, False, False, True]
+    assert got[5].n == "1e2 or 3e-2" and got[6].n == "2e3 5.10^2"
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "perf_2019.txt").write_text("A|1|x\nB||2\nC|bad|3\n")
     got = files.read_positional(spark, str(tmp_path / "perf_2019.txt"), ["id", "n", "z"], {"id": "string", "n": "int"}, {"n": 1})
