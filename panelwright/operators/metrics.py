@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelwright.operators.prefix import running_totals
+from panelwright.operators.quantiles import exact_quantiles
 
 
 def _counts(df: DataFrame, y: str, p: str) -> DataFrame:
@@ -84,7 +85,7 @@ def multiclass_metrics(df: DataFrame, y: str, yhat: str) -> DataFrame:
 
 def calibration_table(df: DataFrame, bins: int = 10, y: str = "y", p: str = "p") -> DataFrame:
     """Quantile bins of the score, right-closed with the lowest included: n, mean score, observed rate, gap."""
-    edges = df.agg(F.array_distinct(F.percentile(p, F.array(*[F.lit(i / bins) for i in range(bins + 1)]))).alias("edges"))
+    edges = exact_quantiles(df, p, [i / bins for i in range(bins + 1)]).select(F.array_distinct("q").alias("edges"))
     k = F.greatest(F.lit(1), F.size(F.filter("edges", lambda x: x < F.col(p))))
     return df.join(F.broadcast(edges)).groupBy(k.alias("bin")).agg(F.count("*").alias("n"), F.avg(p).alias("mean_score"), F.avg(y).alias("observed")).withColumn("gap", F.col("observed") - F.col("mean_score"))
 
@@ -96,7 +97,7 @@ def expected_calibration_error(df: DataFrame, bins: int = 10, y: str = "y", p: s
 
 def agreement(df: DataFrame, top: float, y: str = "y", score: str = "p") -> DataFrame:
     """Rows at or over the score's (1 - top) quantile against the labels."""
-    cut = df.agg(F.percentile(score, 1 - top).alias("cut"))
+    cut = exact_quantiles(df, score, [1 - top]).select(F.col("q")[0].alias("cut"))
     out = df.join(F.broadcast(cut)).withColumn("f", (F.col(score) >= F.col("cut")).cast("int"))
     hit = F.sum(F.col("f") * F.col(y))
     return out.agg(F.max("cut").alias("cut"), F.avg("f").alias("flagged"), (hit / F.sum("f")).alias("precision"), (hit / F.sum(y)).alias("recall"), F.avg(y).alias("base"), (hit / F.sum("f") / F.avg(y)).alias("lift"))

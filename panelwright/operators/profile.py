@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwright.operators.prefix import running_totals
+from panelwright.operators.quantiles import exact_quantiles
 from panelwright.sources.session import saved
 
 
@@ -20,7 +21,7 @@ def _long(df: DataFrame, columns: list[str], kind: str, keep: list[str] = ()) ->
 
 def profile_numeric(df: DataFrame, columns: list[str]) -> DataFrame:
     """Counts, moments, quantiles, bias-corrected skew, and values beyond three interquartile ranges."""
-    long = _long(df, columns, "double")
+    long = saved(_long(df, columns, "double"), "values")
     n = F.count("value")
     stats = long.groupBy("column").agg(
         F.count("*").alias("n"),
@@ -28,16 +29,16 @@ def profile_numeric(df: DataFrame, columns: list[str]) -> DataFrame:
         F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("std"),
         F.min("value").alias("min"),
-        F.percentile("value", F.array(*[F.lit(q) for q in (0.01, 0.25, 0.5, 0.75, 0.99)])).alias("q"),
         F.max("value").alias("max"),
         F.when(n > 2, F.skewness("value") * F.sqrt((n * (n - 1)).cast("double")) / (n - 2)).alias("skew"),
         F.count_if(F.col("value") == 0).alias("zeros"),
         F.count_if(F.col("value") < 0).alias("negatives"),
         F.count_distinct("value").alias("distinct"),
     )
+    stats = stats.join(exact_quantiles(long, "value", [0.01, 0.25, 0.5, 0.75, 0.99], ["column"]).select("column", "q"), "column", "left")
     q = F.col("q")
     wide = 3 * (q[3] - q[1])
-    far = long.join(F.broadcast(stats.select("column", (q[1] - wide).alias("lo"), (q[3] + wide).alias("hi"))), "column")
+    far = long.join(stats.select("column", (q[1] - wide).alias("lo"), (q[3] + wide).alias("hi")), "column")
     outliers = far.groupBy("column").agg(F.count_if((F.col("value") < F.col("lo")) | (F.col("value") > F.col("hi"))).alias("outliers"))
     named = stats.select("*", *[q[i].alias(f"p{p}") for i, p in enumerate(("01", "25", "50", "75", "99"))]).drop("q")
     return named.join(outliers, "column")
@@ -187,7 +188,7 @@ def _sizes(known: DataFrame) -> DataFrame:
 def psi_numeric(df: DataFrame, column: str, side: str, bins: int = 10) -> DataFrame:
     """Population stability by the expected side's quantile bins: left-closed, the last closed on both sides; values outside drop out."""
     known = _side(df, column, side).withColumn("value", F.col("value").cast("double"))
-    edges = known.filter("e").agg(F.array_distinct(F.percentile("value", F.array(*[F.lit(i / bins) for i in range(bins + 1)]))).alias("edges"))
+    edges = exact_quantiles(known.filter("e"), "value", [i / bins for i in range(bins + 1)]).select(F.array_distinct("q").alias("edges"))
     # The bin is the number of edges that are not above the value; the last edge belongs to the last bin.
     at = F.size(F.filter("edges", lambda x: x <= F.col("value")))
     k = F.least(at, F.size("edges") - 1)
@@ -231,7 +232,7 @@ def drift(df: DataFrame, side: str, numeric: list[str], categorical: list[str],
         real = counts.filter("value is not null")
         sizes = counts.groupBy(*group).agg(*[F.sum(F.when(F.col("value").isNotNull(), F.col(c)).otherwise(0)).alias(n) for c, n in (("ce", "ne"), ("ca", "na"))], F.sum("ce").alias("te"), F.sum("ca").alias("ta"))
         if kind == "double":
-            edges = real.filter("ce > 0").groupBy(*group).agg(F.array_distinct(F.percentile("value", F.array(*[F.lit(i / bins) for i in range(bins + 1)]), F.col("ce"))).alias("edges"))
+            edges = exact_quantiles(real, "value", [i / bins for i in range(bins + 1)], group, "ce").select(*group, F.array_distinct("q").alias("edges"))
             at = F.least(F.size(F.filter("edges", lambda x: x <= F.col("value"))), F.size("edges") - 1)
             inside = (F.col("value") >= F.col("edges")[0]) & (F.col("value") <= F.element_at("edges", -1))
             binned = real.join(F.broadcast(edges), group).filter(inside).groupBy(*group, at.alias("bin")).agg(F.sum("ce").alias("ce"), F.sum("ca").alias("ca"))

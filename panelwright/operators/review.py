@@ -9,13 +9,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelwright.operators.quantiles import column_quantiles, exact_quantiles, in_one_row
 from panelwright.sources.session import saved
 
 
 def rescale(df: DataFrame, raw: str, out: str, bounds: tuple[float, float] | None = None) -> DataFrame:
     """raw scaled to 0..1 between two percentiles; those of a fit, where given, make batches comparable."""
     if bounds is None:
-        q = df.agg(F.percentile(raw, F.array(F.lit(0.005), F.lit(0.995))).alias("_q"))
+        q = exact_quantiles(df, raw, [0.005, 0.995]).select(F.col("q").alias("_q"))
         return df.join(F.broadcast(q)).withColumn(out, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col(raw) - F.col("_q")[0]) / F.nullif(F.col("_q")[1] - F.col("_q")[0], F.lit(0.0))))).drop("_q")
     return df.withColumn(out, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col(raw) - bounds[0]) / (bounds[1] - bounds[0]))))
 
@@ -26,9 +27,11 @@ def robust_drivers(df: DataFrame, columns: list[str], k: int = 3, fit_on: str =
     Medians and deviations come from the rows where fit_on holds (training rows); without a deviation the sample deviation is the unit, without that 1.
     """
     df = saved(df, "driven")
-    med = df.filter(fit_on).agg(*[F.median(c).alias(f"m_{c}") for c in columns])
+    med = saved(in_one_row(column_quantiles(df.filter(fit_on), columns, [0.5]), columns, "m_"), "medians")
     with_med = df.join(F.broadcast(med))
-    spread = with_med.filter(fit_on).agg(*[F.median(F.abs(F.col(c) - F.col(f"m_{c}"))).alias(f"d_{c}") for c in columns], *[F.stddev_samp(c).alias(f"s_{c}") for c in columns])
+    away = with_med.filter(fit_on).select(*[F.abs(F.col(c) - F.col(f"m_{c}")).alias(c) for c in columns])
+    middle = in_one_row(column_quantiles(away, columns, [0.5]), columns, "d_")
+    spread = df.filter(fit_on).agg(*[F.stddev_samp(c).alias(f"s_{c}") for c in columns]).join(F.broadcast(middle))
 
     def z(c: str) -> Column:
         unit = F.when(F.col(f"d_{c}") > 0, 1.4826 * F.col(f"d_{c}")).when(F.col(f"s_{c}") > 0, F.col(f"s_{c}")).otherwise(1.0)
@@ -49,7 +52,7 @@ def review_queue(df: DataFrame, n: int, key: str = "seq") -> DataFrame:
 
 
 def anomaly_by(df: DataFrame, by: str, score: str = "score") -> DataFrame:
-    cut = df.agg(F.percentile(score, 0.9).alias("_cut"))
+    cut = exact_quantiles(df, score, [0.9]).select(F.col("q")[0].alias("_cut"))
     return df.join(F.broadcast(cut)).groupBy(by).agg(F.count("*").alias("rows"), F.avg(score).alias("mean_score"), F.avg((F.col(score) > F.col("_cut")).cast("int")).alias("share_high"), F.avg("probability").alias("mean_probability"))
 
 

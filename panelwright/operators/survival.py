@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelwright.operators.quantiles import exact_quantiles
+
 ENTITY, MONTH = "entity_id", "month_index"
 STATES = ["Current", "DQ30", "DQ60", "DQ90plus", "Default", "Prepaid"]
 ABSORBING = ["Default", "Prepaid"]
@@ -148,4 +150,5 @@ def projected_vs_observed(matrix: DataFrame, targeted: DataFrame, horizon: int =
 
 
 def censoring_summary(v: DataFrame) -> DataFrame:
-    return v.groupBy("event_type").agg(F.count("*").alias("n"), F.median("duration").alias("median_duration"), F.sum("administratively_censored").alias("administrative"), F.sum("left_truncated").alias("left_truncated"))
+    middle = exact_quantiles(v, "duration", [0.5], ["event_type"]).select("event_type", F.col("q")[0].alias("median_duration"))
+    return v.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("administratively_censored").alias("administrative"), F.sum("left_truncated").alias("left_truncated")).join(middle, "event_type", "left")
