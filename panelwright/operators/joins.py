@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwright.functions.columns import flag
+from panelwright.operators.prefix import last_known
 
 
 def latest_wins(feed: DataFrame, keys: list[str], ts: str, ties: list[str]) -> DataFrame:
@@ -54,13 +55,19 @@ def attach_macro(panel: DataFrame, macro: DataFrame, on: str = "pno", lag: int =
     return panel.join(F.broadcast(macro.drop("reporting_month").withColumns(diffs)), on, "left")
 
 
-def asof_backward(left: DataFrame, right: DataFrame, on: str, columns: list[str], by: list[str] = ()) -> DataFrame:
-    """For each left row the values of the last right row at or before it, within `by`: one sort, no pairs."""
+def asof_backward(left: DataFrame, right: DataFrame, on: str, columns: list[str], by: list[str] = (), parts: int | None = None) -> DataFrame:
+    """For each left row the values of the last right row at or before it, within `by`: one sort, no pairs.
+
+    Without `by`, more rows than one window may hold (or any number, where `parts` is given) are sorted in parts, and each part takes over the last values of those before it.
+    """
     both = left.select("*", F.lit(1).alias("_left"), *[F.lit(None).cast(right.schema[c].dataType).alias(c) for c in columns]).unionByName(
         right.select(*by, on, *columns).withColumn("_left", F.lit(0)), allowMissingColumns=True
     )
-    w = Window.partitionBy(*by).orderBy(on, "_left").rowsBetween(Window.unboundedPreceding, 0)
-    filled = both.withColumns({c: F.last(F.when(F.col("_left") == 0, F.col(c)), ignorenulls=True).over(w) for c in columns})
+    if by:
+        w = Window.partitionBy(*by).orderBy(on, "_left").rowsBetween(Window.unboundedPreceding, 0)
+        filled = both.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in columns})
+    else:
+        filled = last_known(both, on, "_left", columns, parts)
     return filled.filter("_left = 1").drop("_left")
 
 

@@ -20,18 +20,17 @@ OPEN_BITS = (44, 28, 12)
 _FRACTION = 1 << 52
 
 
-def ordered_long(x: Column) -> Column:
-    """A long that orders as the double does, NaN last; exact for every double, with the two zeros alike."""
+def ordered_long(x: Column, guess: Column | None = None) -> Column:
+    """A long that orders as the double does, NaN last; exact for every double, with the two zeros alike. guess: the exponent, floor(log2(abs(x)))."""
     a = F.abs(x)
-    guess = F.floor(F.log2(a))
+    guess = F.floor(F.log2(a)) if guess is None else guess
+    one = F.lit(_FRACTION)
     scaled = a * F.pow(F.lit(2.0), -guess)
+    fraction = lambda y: ((y - 1) * float(_FRACTION)).cast("long")
     # The logarithm may be off by one next to a power of two.
-    exponent = guess + F.when(scaled >= 2, 1).when(scaled < 1, -1).otherwise(0)
-    fraction = a * F.pow(F.lit(2.0), -exponent) - 1
-    normal = (exponent + 1023) * F.lit(_FRACTION) + (fraction * float(_FRACTION)).cast("long")
+    rest = F.when(scaled >= 2, fraction(scaled / 2) + one).when(scaled < 1, fraction(scaled * 2) - one).otherwise(fraction(scaled))
     tiny = (a * float(2**537) * float(2**537)).cast("long")
-    huge = (exponent.cast("long") + 1023) * F.lit(_FRACTION) + ((a * F.pow(F.lit(2.0), -(exponent - 1)) / 2 - 1) * float(_FRACTION)).cast("long")
-    size = F.when(a == 0, F.lit(0).cast("long")).when(a < 2.0**-1022, tiny).when(a == float("inf"), F.lit(2047 * _FRACTION)).when(a >= 2.0**1022, huge).otherwise(normal.cast("long"))
+    size = F.when(a == 0, F.lit(0).cast("long")).when(a < 2.0**-1022, tiny).when(a == float("inf"), F.lit(2047 * _FRACTION)).otherwise((guess.cast("long") + 1023) * one + rest)
     return F.when(F.isnan(x), F.lit(2047 * _FRACTION + 1)).when(x < 0, -size).otherwise(size)
 
 
@@ -63,7 +62,8 @@ def exact_quantiles(rows: DataFrame, value: str, shares: list[float], by: list[s
     by = list(by)
     w = F.col(weight).cast("long") if weight else F.lit(1).cast("long")
     known = rows.select(*by, F.col(value).cast("double").alias("_x"), w.alias("_w")).filter("_x IS NOT NULL AND _w > 0")
-    keyed = saved(known.select(*by, ordered_long(F.col("_x")).alias("_k"), "_w"), "ordered")
+    guessed = known.withColumn("_e", F.floor(F.log2(F.abs("_x"))))
+    keyed = saved(guessed.select(*by, ordered_long(F.col("_x"), F.col("_e")).alias("_k"), "_w"), "ordered")
 
     def located(wanted: DataFrame | None, parent: int, bits: int) -> DataFrame:
         """by, n, _i, _rank, _at (leading digits of the value at the rank), _under (weight below that bracket), _rows (in it)."""
@@ -90,8 +90,8 @@ def exact_quantiles(rows: DataFrame, value: str, shares: list[float], by: list[s
         wanted, parent = saved(located(wanted, parent, bits), "brackets"), bits
         if (wanted.agg(F.max("_rows")).first()[0] or 0) <= FEW_ROWS:
             break
-    found = located(wanted, parent, 0)
-    at = lambda i: F.max(F.when(F.col("_i") == i, _double(F.col("_at"))))
+    found = located(wanted, parent, 0).withColumn("_v", _double(F.col("_at")))
+    at = lambda i: F.max(F.when(F.col("_i") == i, F.col("_v")))
 
     def between(i: int, share: float) -> Column:
         position = F.lit(float(share)) * (F.col("n") - 1)

@@ -6,7 +6,9 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelwright.operators.concordance import concordance  # noqa: F401
 from panelwright.operators.quantiles import exact_quantiles
+from panelwright.sources.session import saved
 
 ENTITY, MONTH = "entity_id", "month_index"
 STATES = ["Current", "DQ30", "DQ60", "DQ90plus", "Default", "Prepaid"]
@@ -31,7 +33,8 @@ def survival_frame(panel: DataFrame, last_index: int | None = None) -> DataFrame
     )
     end = F.lit(last_index) if last_index is not None else c("panel_end")
     if last_index is None:
-        frame = frame.join(F.broadcast(panel.agg(F.max(MONTH).alias("panel_end"))))
+        frame = saved(frame, "entities")
+        frame = frame.join(F.broadcast(frame.agg(F.max("last_month").alias("panel_end"))))
     t_prepay = F.when(c("last_state") == "Prepaid", c("last_age"))
     default = c("t_default").isNotNull() & (t_prepay.isNull() | (c("t_default") <= t_prepay))
     prepay = t_prepay.isNotNull() & ~default
@@ -56,10 +59,12 @@ def low_score_groups(scored: DataFrame, by: str, q: float = 0.25) -> DataFrame:
 
 def risk_table(v: DataFrame, events: list[str], by: list[str] = ()) -> DataFrame:
     """age, at_risk (entered before the age and not gone before it), and the counts of each event, at every exit age."""
-    exits = v.groupBy(*by, F.col("exit_age").alias("age")).agg(F.count("*").alias("out"), *[F.sum(e).alias(e) for e in events])
-    entries = v.groupBy(*by, F.col("entry_age").cast("double").alias("age")).agg(F.count("*").alias("came"))
+    none = [F.lit(0).alias(e) for e in events]
+    gone = F.struct(F.col("exit_age").cast("double").alias("age"), F.lit(1).alias("out"), F.lit(0).alias("came"), *[F.col(e).cast("int").alias(e) for e in events])
+    here = F.struct(F.col("entry_age").cast("double").alias("age"), F.lit(0).alias("out"), F.lit(1).alias("came"), *none)
+    both = v.select(*by, F.explode(F.array(gone, here)).alias("_r")).select(*by, "_r.*").groupBy(*by, "age").agg(*[F.sum(c).alias(c) for c in ("out", "came", *events)])
+    # Ages are months or half of one: a window holds as many rows as ages that occur.
     w = Window.partitionBy(*by).orderBy("age").rowsBetween(Window.unboundedPreceding, -1)
-    both = exits.join(entries, [*by, "age"], "full").na.fill(0)
     risk = F.coalesce(F.sum("came").over(w), F.lit(0)) - F.coalesce(F.sum("out").over(w), F.lit(0))
     return both.withColumn("at_risk", risk).filter("out > 0").select(*by, "age", "at_risk", *events)
 
@@ -103,22 +108,6 @@ def overstatement(cif: DataFrame, km: DataFrame) -> DataFrame:
     return asof_backward(cif, km.select("age", "cumulative"), "age", ["cumulative"]).withColumn("overstatement", F.col("cumulative") - F.col("cif_first"))
 
 
-def concordance(v: DataFrame, time: str, event: str, risk: str) -> DataFrame:
-    """Share of comparable pairs (an event against a later exit, or one without the event at that time) that risk orders rightly.
-
-    No pairs are made: for each event time, and there are as many as ages, the outlasting rows are counted by risk and summed up in its order.
-    """
-    counts = v.groupBy(F.col(time).alias("t"), F.col(risk).alias("x")).agg(F.count("*").alias("n"), F.sum(event).alias("d"))
-    times = counts.filter("d > 0").select(F.col("t").alias("t0")).distinct()
-    at = counts.join(F.broadcast(times), F.col("t") >= F.col("t0"))
-    here = F.col("t") == F.col("t0")
-    by_risk = at.groupBy("t0", "x").agg(F.sum(F.when(here, F.col("n") - F.col("d")).otherwise(F.col("n"))).alias("others"), F.sum(F.when(here, F.col("d")).otherwise(0)).alias("events"))
-    below = F.coalesce(F.sum("others").over(Window.partitionBy("t0").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    all_ = F.sum("others").over(Window.partitionBy("t0"))
-    pairs = by_risk.select("events", (below + F.col("others") / 2).alias("right"), all_.alias("all"))
-    return pairs.agg(F.sum(F.col("events") * F.col("all")).alias("pairs"), (F.sum(F.col("events") * F.col("right")) / F.sum(F.col("events") * F.col("all"))).alias("concordance"))
-
-
 def transition_matrix(df: DataFrame, states: list[str] = STATES, smooth: float = 0.25) -> DataFrame:
     """from_state, to_state, n, p over all cells: smoothed and normalised; absorbing states keep to themselves."""
     cells = df.filter(F.col("current_status").isin(states) & F.col("next_state").isin(states)).groupBy(F.col("current_status").alias("from_state"), F.col("next_state").alias("to_state")).agg(F.count("*").alias("n"))

@@ -10,6 +10,7 @@ from panelwright.operators import survival as S
 from panelwright.plans.oracle import PAIRS_VIEW, select
 from panelwright.plans.panel import EXITS, targeted, targets_sql
 from panelwright.plans.quality import cleaned, deduped, rounded, scored
+from panelwright.sources.session import saved
 from panelwright.sources.tables import Tables
 
 
@@ -43,6 +44,11 @@ def _paths(t):
     return p.groupBy("horizon_month").pivot("start_state", S.STATES).agg(F.round(F.first("p"), 6))
 
 
+def _overstated(t):
+    v = saved(frame(t), "frame")
+    return rounded(S.overstatement(S.cumulative_incidence(v), S.kaplan_meier(v, "event_default")).select("age", "overstatement"), "overstatement")
+
+
 TIES = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
 QUERIES = {
@@ -66,7 +72,7 @@ QUERIES = {
     "k2_low_score_groups": lambda t: S.low_score_groups(scored(t), "servicer_name"),
     "k3_kaplan_meier": lambda t: rounded(S.kaplan_meier(frame(t), "event_default"), "survival", "cumulative"),
     "k4_cumulative_incidence": lambda t: rounded(S.cumulative_incidence(frame(t)), "cif_first", "cif_second", "event_free"),
-    "k5_overstatement": lambda t: rounded(S.overstatement(S.cumulative_incidence(frame(t)), S.kaplan_meier(frame(t), "event_default")).select("age", "overstatement"), "overstatement"),
+    "k5_overstatement": _overstated,
     "k7_concordance": lambda t: rounded(S.concordance(frame(t).filter("rate is not null"), "exit_age", "event_default", "rate"), "concordance"),
     "k8_transition_matrix": lambda t: rounded(matrix(t), "p"),
     "k9_project_states": lambda t: rounded(S.project_states(matrix(t), 12), "p"),

@@ -74,6 +74,13 @@ def _macro(t):
     return rounded(out.select("seq", "market_mortgage_rate", "unemployment_rate", "hpi_yoy_growth", "unemployment_rate_chg", "hpi_yoy_growth_chg"), "unemployment_rate_chg", "hpi_yoy_growth_chg", digits=5)
 
 
+def _asof_any(t):
+    """The greatest balance reported on the last day with reports, for all entities together; sorted in parts, however few the rows."""
+    left = deduped(t).select("seq", F.to_date("last_updated_at").alias("day"))
+    right = t.feed().groupBy(F.to_date("received_at").alias("day")).agg(F.max("reported_balance").alias("balance"))
+    return joins.asof_backward(left, right, "day", ["balance"], parts=16).select("seq", "balance")
+
+
 def _asof(t):
     feed = latest_feed(t).filter("reported_balance is not null").select("entity_id", "month_index", "reported_balance")
     left = deduped(t).select("seq", *KEYS)
@@ -107,6 +114,7 @@ QUERIES = {
     "c6_attach_static": _statics,
     "c7_attach_macro": _macro,
     "c8_asof_backward": lambda t: rounded(_asof(t), "reported_balance"),
+    "c8_asof_without_key": lambda t: rounded(_asof_any(t), "balance"),
     "c10_restrict_entities": lambda t: joins.restrict_entities(deduped(t), t.raw("customer").filter("c_acctbal > 5000").select(F.col("c_custkey").alias("entity_id")), keep=False).select("seq", "entity_id"),
     "d1_prepare_for_rules": lambda t: rounded(rules.prepare_for_rules(cleaned(t)).select("seq", "balance_growth", "expected_dpd"), "balance_growth"),
     "d2_run_rules": lambda t: flagged(t).select("seq", *[r.flag for r in rules.default_rules()]),
@@ -170,6 +178,7 @@ ORACLES = {
     "c4_reconcile": select("SELECT seq, round(svc_balance, 6) AS svc_balance, svc_status, svc_dpd, svc_present, round(balance_gap, 6) AS balance_gap, round(balance_gap_rel, 6) AS balance_gap_rel, status_conflict, dpd_gap FROM recon"),
     "c6_attach_static": select("SELECT seq, first_occupancy FROM one LEFT JOIN (SELECT entity_id, arg_min(occupancy_type, month_index) AS first_occupancy FROM one WHERE occupancy_type IS NOT NULL GROUP BY 1) USING (entity_id)"),
     "c7_attach_macro": select("SELECT seq, market_mortgage_rate, unemployment_rate, hpi_yoy_growth, round(uc, 5) AS unemployment_rate_chg, round(hc, 5) AS hpi_yoy_growth_chg FROM one LEFT JOIN (SELECT *, unemployment_rate - lag(unemployment_rate, 12) OVER (ORDER BY pno) AS uc, hpi_yoy_growth - lag(hpi_yoy_growth, 12) OVER (ORDER BY pno) AS hc FROM macro) m USING (pno)"),
+    "c8_asof_without_key": select("SELECT seq, round(f.balance, 6) AS balance FROM (SELECT seq, CAST(last_updated_at AS DATE) AS day FROM one) o ASOF LEFT JOIN (SELECT CAST(received_at AS DATE) AS day, max(reported_balance) AS balance FROM feed GROUP BY 1 HAVING max(reported_balance) IS NOT NULL) f ON o.day >= f.day"),
     "c8_asof_backward": select("SELECT seq, o.month_index, round(f.reported_balance, 6) AS reported_balance FROM one o ASOF LEFT JOIN (SELECT * FROM latest WHERE reported_balance IS NOT NULL) f ON o.entity_id = f.entity_id AND o.month_index >= f.month_index"),
     "c10_restrict_entities": select("SELECT seq, entity_id FROM one WHERE entity_id NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 5000)"),
     "d1_prepare_for_rules": select("SELECT seq, round(balance_growth, 6) AS balance_growth, expected_dpd FROM ready"),
