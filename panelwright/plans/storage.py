@@ -9,7 +9,7 @@ from panelwright.operators import joins
 from panelwright.plans.oracle import select
 from panelwright.plans.quality import KEYS, deduped, latest_feed, rounded
 from panelwright.sources import files
-from panelwright.sources.session import new_path
+from panelwright.sources.session import new_path, saved
 from panelwright.sources.tables import FEED_TIES, Tables
 from panelwright.streaming import feed as W
 
@@ -133,6 +133,18 @@ def _window_stream(t):
     return out.groupBy(F.col("window.start").cast("date").cast("string").alias("start")).agg(F.max_by("rows", "batch").alias("rows"), F.max_by("violations", "batch").alias("violations"))
 
 
+def _late_stream(t):
+    """Feed records that arrive up to 45 days after their time, a file for each 300 days, under a watermark of 10 days: what was on time and what late, by windows of 30 days."""
+    rows = t.feed().withColumn("received_at", F.col("received_at").cast("timestamp")).withColumn("slot", F.floor((F.date_diff("received_at", F.lit("1992-01-01")) + F.col("l_orderkey") % 45) / 300))
+    rows = saved(rows.select("received_at", "reported_balance", "slot"), "arrivals")
+    arriving, path = new_path(t.spark, "arriving"), new_path(t.spark, "scores")
+    for k in sorted(r.slot for r in rows.select("slot").distinct().collect()):  # as many files as slots, one after another, since the source reads them by age
+        rows.filter(F.col("slot") == k).drop("slot").coalesce(1).write.mode("append").parquet(arriving)
+    stream = t.spark.readStream.schema(rows.drop("slot").schema).option("maxFilesPerTrigger", 1).parquet(arriving)
+    W.scored_windows(W.flagged(stream, {"no_balance": F.col("reported_balance").isNull()}), "received_at", "no_balance", path, new_path(t.spark, "progress")).awaitTermination()
+    return W.read_scores(t.spark, path).select(F.col("start").cast("date").cast("string").alias("start"), "rows", "violations", "late")
+
+
 QUERIES = {
     "a1_read_positional": _positional,
     "a3_audit_layout": _audit,
@@ -148,6 +160,7 @@ QUERIES = {
     "w1_latest_records": _latest_stream,
     "w2_flag_stream": _flag_stream,
     "w3_window_scores": _window_stream,
+    "w3_late_records": _late_stream,
 }
 
 _PRICE = "CASE WHEN o_orderkey % 40 = 0 OR o_orderkey % 41 = 0 THEN 0e0 ELSE CAST(CAST(o_totalprice AS DECIMAL(20,2)) AS DOUBLE) END"
@@ -171,5 +184,10 @@ ORACLES = {
     "s8_head_sample": "SELECT o_orderkey, o_custkey FROM orders ORDER BY 1 LIMIT 25",
     "w1_latest_records": select("SELECT entity_id, month_index, reported_status, l_orderkey, l_linenumber FROM latest"),
     "w2_flag_stream": select("SELECT month_index, count(*) AS rows, sum(CASE WHEN reported_balance IS NULL THEN 1 ELSE 0 END) AS no_balance, sum(CASE WHEN reported_dpd > 30 THEN 1 ELSE 0 END) AS late FROM feed GROUP BY 1"),
+    "w3_late_records": select(""", arrived AS (SELECT CAST(received_at AS DATE) AS day, reported_balance, (date_diff('day', DATE '1992-01-01', CAST(received_at AS DATE)) + l_orderkey % 45) // 300 AS slot FROM feed),
+seen AS (SELECT slot, max(max(day)) OVER (ORDER BY slot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS latest FROM arrived GROUP BY slot),
+placed AS (SELECT a.*, DATE '1970-01-01' + CAST(30 * (date_diff('day', DATE '1970-01-01', day) // 30) AS INT) AS start, latest FROM arrived a JOIN seen USING (slot)),
+judged AS (SELECT *, coalesce(start + 30 <= latest - 10, false) AS late FROM placed)
+SELECT CAST(CAST(start AS DATE) AS VARCHAR) AS start, count(*) FILTER (WHERE NOT late) AS rows, count(*) FILTER (WHERE NOT late AND reported_balance IS NULL) AS violations, count(*) FILTER (WHERE late) AS late FROM judged GROUP BY 1"""),
     "w3_window_scores": select("SELECT CAST(DATE '1970-01-01' + CAST(30 * (date_diff('day', DATE '1970-01-01', CAST(received_at AS DATE)) // 30) AS INT) AS VARCHAR) AS start, count(*) AS rows, sum(CASE WHEN reported_balance IS NULL THEN 1 ELSE 0 END) AS violations FROM feed GROUP BY 1"),
 }
