@@ -90,8 +90,10 @@ def expanding_folds(df: DataFrame, target: str, horizon: int, n: int = 3, step:
 
 def split_summary(split: DataFrame, target: str) -> DataFrame:
     """Rows, positive rate, entities and month range of each part, and how many of its entities training has too."""
-    trained = split.filter("split = 'train'").select(ENTITY).distinct().withColumn("_t", F.lit(1))
-    return split.join(trained, ENTITY, "left").groupBy("split").agg(
-        F.count("*").alias("rows"), F.avg(target).alias("rate"), F.count_distinct(ENTITY).alias("entities"), F.min(MONTH).alias("first_month"), F.max(MONTH).alias("last_month"),
-        F.count_distinct(F.when(F.col("_t") == 1, F.col(ENTITY))).alias("shared_with_train"),
+    own = split.groupBy(ENTITY, "split").agg(F.count("*").alias("n"), F.sum(target).alias("s"), F.count(target).alias("k"), F.min(MONTH).alias("a"), F.max(MONTH).alias("b"))
+    # As many rows in a window as an entity has splits.
+    trained = F.max(F.col("split") == "train").over(Window.partitionBy(ENTITY)) & F.col(ENTITY).isNotNull()
+    return own.withColumn("_t", trained).groupBy("split").agg(
+        F.sum("n").alias("rows"), (F.sum("s") / F.nullif(F.sum("k"), F.lit(0))).alias("rate"), F.count(ENTITY).alias("entities"), F.min("a").alias("first_month"), F.max("b").alias("last_month"),
+        F.count_if("_t").alias("shared_with_train"),
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from itertools import combinations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwright.operators.prefix import running_totals
@@ -82,91 +82,109 @@ def missing_summary(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.agg(F.count("*").alias("rows"), F.count_if(n > 0).alias("rows_with_missing"), (F.avg(n) / len(columns)).alias("mean_missing"))
 
 
-def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
-    """chi2 (with continuity correction for 2 x 2), n, rows and columns of a two-way table; nulls left out."""
-    cells = df.dropna(subset=[a, b]).groupBy(a, b).agg(F.count("*").alias("o"))
-    left, right = (cells.groupBy(x).agg(F.sum("o").alias(f"n_{i}")) for i, x in enumerate((a, b)))
-    # All cells, empty ones too: the margins are as short as the categories.
-    full = left.join(F.broadcast(right)).join(cells, [a, b], "left").withColumn("o", F.coalesce("o", F.lit(0)))
-    size = full.agg(F.sum("o").alias("n"), F.count_distinct(a).alias("r"), F.count_distinct(b).alias("c"))
-    e = F.col("n_0") * F.col("n_1") / F.col("n")
-    gap = F.abs(F.col("o") - e)
-    yates = F.when((F.col("r") == 2) & (F.col("c") == 2), F.greatest(gap - F.least(F.lit(0.5), gap), F.lit(0.0))).otherwise(gap)
-    return full.join(F.broadcast(size)).groupBy("n", "r", "c").agg(F.sum(yates * yates / e).alias("chi2"))
-
-
-def missingness_test(df: DataFrame, by: str, column: str) -> DataFrame:
-    """Whether a column's being missing depends on the group: chi2, degrees of freedom and Cramer's V."""
-    out = contingency(df.select(by, F.col(column).isNull().cast("string").alias("missing")), by, "missing")
-    v = F.sqrt(F.col("chi2") / (F.col("n") * (F.least("r", "c") - 1)))
-    return out.select(F.lit(by).alias("by"), F.lit(column).alias("column"), "n", "chi2", ((F.col("r") - 1) * (F.col("c") - 1)).alias("df"), v.alias("cramers_v"))
-
-
-def chi2_sf(x: float, df: int) -> float:
-    """Upper tail of the chi-square distribution, by the incomplete gamma function's series or continued fraction."""
-    a, x = df / 2, x / 2
-    if x <= 0:
-        return 1.0
-    scale = math.exp(-x + a * math.log(x) - math.lgamma(a))
-    if x < a + 1:
-        term = total = 1 / a
-        n = a
-        while abs(term) > abs(total) * 1e-15:
-            n += 1
-            term *= x / n
-            total += term
-        return max(0.0, 1 - total * scale)
-    b, c = x + 1 - a, 1e300
-    d = h = 1 / b
-    for i in range(1, 10000):
-        an = -i * (i - a)
-        b += 2
-        d = 1 / (an * d + b)
-        c = b + an / c
-        h *= d * c
-        if abs(d * c - 1) < 1e-15:
-            break
-    return scale * h
+def _pairs(df: DataFrame, pairs: list[tuple[str, str]], kind: str) -> DataFrame:
+    """_p (number of the pair), x, y: a row for each row of df and pair that has both values, in one pass over df."""
+    columns = dict.fromkeys(c for pair in pairs for c in pair)
+    typed = df.select(*[F.col(c).cast(kind).alias(f"_{i}") for i, c in enumerate(columns)])
+    at = {c: f"_{i}" for i, c in enumerate(columns)}
+    each = F.array(*[F.struct(F.lit(k).alias("_p"), F.col(at[a]).alias("x"), F.col(at[b]).alias("y")) for k, (a, b) in enumerate(pairs)])
+    return typed.select(F.explode(each).alias("v")).select("v.*").filter("x IS NOT NULL AND y IS NOT NULL")
+
+
+def _named(df: DataFrame, pairs: list[tuple[str, str]], a: str = "a", b: str = "b") -> DataFrame:
+    """df with the columns' names in front, in place of _p."""
+    names = [F.element_at(F.array(*[F.lit(pair[i]) for pair in pairs]), F.col("_p") + 1).alias(n) for i, n in enumerate((a, b))]
+    return df.select(*names, *[c for c in df.columns if c != "_p"])
+
+
+def contingencies(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """_p, chi2 (with continuity correction for 2 x 2), n, r, c of the two-way table of each pair; nulls left out.
+
+    All tables are counted in one aggregation, and cells that do not occur are never made: what is expected of them is what the others leave.
+    """
+    cells = saved(_pairs(df, pairs, "string").groupBy("_p", "x", "y").agg(F.count("*").alias("o")), "cells")
+    margin = lambda c: cells.groupBy("_p", c).agg(F.sum("o").alias(f"n{c}"))
+    sides = [margin(c).groupBy("_p").agg(F.count("*").alias(k), F.sum(1 / F.col(f"n{c}")).alias(f"i{c}"), *([F.sum("nx").alias("n")] if c == "x" else [])) for c, k in (("x", "r"), ("y", "c"))]
+    sizes = sides[0].join(sides[1], "_p")
+    e = F.col("nx") * F.col("ny") / F.col("n")
+    both = cells.join(margin("x"), ["_p", "x"]).join(margin("y"), ["_p", "y"]).join(sizes, "_p").select("_p", "o", "n", "r", "c", "ix", "iy", e.alias("e"))
+    gap = F.abs(F.col("o") - F.col("e"))
+    sums = both.groupBy("_p", "n", "r", "c", "ix", "iy").agg(F.sum(gap * gap / F.col("e")).alias("q"), F.sum("e").alias("e"), F.max(gap).alias("gap"))
+    # The four cells of a 2 x 2 table are equally far from what is expected.
+    less = F.greatest(F.col("gap") - 0.5, F.lit(0.0))
+    yates = less * less * F.col("n") * F.col("ix") * F.col("iy")
+    return sums.select("_p", "n", "r", "c", F.when((F.col("r") == 2) & (F.col("c") == 2), yates).otherwise(F.col("q") + F.col("n") - F.col("e")).alias("chi2"))
+
+
+def chi2_tail(x: Column, df: Column) -> Column:
+    """Upper tail of the chi-square distribution with a whole number of degrees of freedom, as a column: what one step of two degrees adds, from one or two degrees on.
+
+    With two degrees the tail is exp(-x / 2); with one it is that of a normal variable, by its series up to 2.5 and by a continued fraction beyond. Null where df is under 1.
+    """
+    h = x / 2
+    z = F.sqrt(h)
+    odd = df % 2 == 1
+    down = F.aggregate(F.sequence(F.lit(60), F.lit(1), F.lit(-1)), F.lit(0.0), lambda t, k: k / 2 / (z + t))
+    step = lambda t, n: F.struct((t["s"] + t["v"] * 2 * h / (2 * n + 1)).alias("s"), (t["v"] * 2 * h / (2 * n + 1)).alias("v"))
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(60)), F.struct(z.alias("s"), z.alias("v")), step, lambda t: t["s"])
+    half = 2 / math.sqrt(math.pi) * F.exp(-h)
+    one = F.when(z < 2.5, 1 - half * series).otherwise(half / 2 / (z + down))
+    a = F.when(odd, 0.5).otherwise(1.0)
+    # Terms h ** a * exp(-h) / gamma(a + 1), in logarithms, since either factor may leave the range of a double.
+    first = F.when(odd, F.log(h) / 2 - h - math.log(math.sqrt(math.pi) / 2)).otherwise(F.log(h) - h)
+    more = F.floor((df + 1) / 2).cast("int") - 1
+    add = lambda t, k: F.struct((t["s"] + F.exp(t["l"])).alias("s"), (t["l"] + F.log(h) - F.log(a + k + 1)).alias("l"))
+    rest = F.when(more > 0, F.aggregate(F.sequence(F.lit(0), more - 1), F.struct(F.lit(0.0).alias("s"), first.alias("l")), add, lambda t: t["s"])).otherwise(0.0)
+    tail = F.least(F.when(odd, one).otherwise(F.exp(-h)) + rest, F.lit(1.0))
+    return F.when((df >= 1) & (x <= 0), 1.0).when(df >= 1, tail)
+
+
+def missingness_tests(df: DataFrame, pairs: list[tuple[str, str]], level: float = 0.01) -> DataFrame:
+    """Whether a column's being missing depends on the group, for each (by, column): n, chi2, degrees of freedom, p, Cramer's V and the verdict; all in one pass. Rows without a group are left out."""
+    flags = {c: f"_missing_{i}" for i, c in enumerate(dict.fromkeys(c for _, c in pairs))}
+    marked = df.select(*dict.fromkeys(b for b, _ in pairs), *[F.col(c).isNull().cast("string").alias(f) for c, f in flags.items()])
+    out = contingencies(marked, [(b, flags[c]) for b, c in pairs])
+    v = F.sqrt(F.col("chi2") / (F.col("n") * F.nullif(F.least("r", "c") - 1, F.lit(0))))
+    tested = out.select("_p", "n", "chi2", ((F.col("r") - 1) * (F.col("c") - 1)).alias("df"), v.alias("cramers_v")).withColumn("p", chi2_tail(F.col("chi2"), F.col("df")))
+    verdict = F.when(F.col("p") < level, "depends on group").when(F.col("p").isNotNull(), "at random").otherwise("does not vary")
+    return _named(tested.withColumn("verdict", verdict), pairs, "by", "column")
 
 
 def cramers_v(df: DataFrame, columns: list[str], max_distinct: int = 40, min_rows: int = 500) -> DataFrame:
     """Bias-corrected association of each pair of short columns; null where degenerate."""
-    distinct = df.agg(*[F.count_distinct(c).alias(c) for c in columns]).first().asDict()
-    short = [c for c in columns if distinct[c] < max_distinct]
-    out = None
-    for a, b in combinations(short, 2):
-        t = contingency(df, a, b)
-        n, r, c = F.col("n"), F.col("r"), F.col("c")
-        phi = F.greatest(F.lit(0.0), F.col("chi2") / n - (r - 1) * (c - 1) / (n - 1))
-        small = F.least(r - (r - 1) * (r - 1) / (n - 1), c - (c - 1) * (c - 1) / (n - 1)) - 1
-        one = t.filter(n >= min_rows).select(F.lit(a).alias("a"), F.lit(b).alias("b"), "n", F.when(small > 0, F.sqrt(phi / small)).alias("v"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    distinct = {r["column"]: r["k"] for r in _long(df, columns, "string").filter("value IS NOT NULL").groupBy("column", "value").agg(F.lit(1)).groupBy("column").agg(F.count("*").alias("k")).collect()}
+    pairs = list(combinations([c for c in columns if distinct.get(c, 0) < max_distinct], 2))
+    if not pairs:
+        return df.sparkSession.createDataFrame([], "a string, b string, n long, v double")
+    n, r, c = F.col("n"), F.col("r"), F.col("c")
+    phi = F.greatest(F.lit(0.0), F.col("chi2") / n - (r - 1) * (c - 1) / (n - 1))
+    small = F.least(r - (r - 1) * (r - 1) / (n - 1), c - (c - 1) * (c - 1) / (n - 1)) - 1
+    return _named(contingencies(df, pairs).filter(n >= min_rows).select("_p", "n", F.when(small > 0, F.sqrt(phi / small)).alias("v")), pairs)
 
 
 def spearman(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Rank correlation of each pair, over rows that have both, with average ranks: counts of distinct values, then prefix sums."""
-    out = None
-    for a, b in combinations(columns, 2):
-        both = df.dropna(subset=[a, b]).select(F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
-        ranks = []
-        for c in ("x", "y"):
-            counts = both.groupBy(c).agg(F.count("*").alias("n"))
-            up_to = running_totals(counts, c, {"cum": "n"})
-            ranks.append(up_to.select(c, (F.col("cum") - F.col("n") + (F.col("n") + 1) / 2).alias(f"r{c}")))
-        one = both.join(ranks[0], "x").join(ranks[1], "y").agg(F.corr("rx", "ry").alias("rho")).select(F.lit(a).alias("a"), F.lit(b).alias("b"), "rho")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Rank correlation of each pair, over rows that have both, with average ranks: counts of pairs of values, ranks by running totals, all pairs together."""
+    pairs = list(combinations(columns, 2))
+    cells = saved(_pairs(df, pairs, "double").groupBy("_p", "x", "y").agg(F.count("*").alias("o")), "cells")
+    sides = F.explode(F.array(*[F.struct(F.lit(c).alias("_s"), F.col(c).alias("z")) for c in ("x", "y")])).alias("v")
+    counts = cells.select("_p", "o", sides).groupBy("_p", "v._s", "v.z").agg(F.sum("o").alias("k"))
+    upto = running_totals(counts, "z", {"cum": "k"}, ["_p", "_s"])
+    ranks = upto.select("_p", "_s", "z", (F.col("cum") - F.col("k") + (F.col("k") + 1) / 2).alias("rank"))
+    rank = lambda c: ranks.filter(F.col("_s") == c).select("_p", F.col("z").alias(c), F.col("rank").alias(f"r{c}"))
+    # The mean of average ranks is known, so the sums can be centred at once.
+    size = cells.groupBy("_p").agg(((F.sum("o") + 1) / 2).alias("m"))
+    both = cells.join(rank("x"), ["_p", "x"]).join(rank("y"), ["_p", "y"]).join(size, "_p")
+    u, w = F.col("rx") - F.col("m"), F.col("ry") - F.col("m")
+    sums = both.groupBy("_p").agg(*[F.sum(F.col("o") * p).alias(n) for n, p in (("uw", u * w), ("uu", u * u), ("ww", w * w))])
+    return _named(sums.select("_p", (F.col("uw") / F.nullif(F.sqrt(F.col("uu") * F.col("ww")), F.lit(0.0))).alias("rho")), pairs)
 
 
 def functional_dependencies(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    """For each determinant and dependent: groups with a known dependent, those with several values, whether it holds, and the rate of violations."""
-    out = None
-    for a, b in pairs:
-        one = df.dropna(subset=[a, b]).groupBy(a).agg(F.count_distinct(b).alias("k")).agg(F.count("*").alias("groups"), F.count_if(F.col("k") > 1).alias("violations"))
-        one = one.select(F.lit(a).alias("determinant"), F.lit(b).alias("dependent"), "groups", "violations", (F.col("violations") == 0).alias("holds"), (F.col("violations") / F.col("groups")).alias("rate"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """For each determinant and dependent: groups with a known dependent, those with several values, whether it holds, and the rate of violations; all in one pass."""
+    groups = _pairs(df, pairs, "string").groupBy("_p", "x").agg((F.min("y") != F.max("y")).alias("several"))
+    out = groups.groupBy("_p").agg(F.count("*").alias("groups"), F.count_if("several").alias("violations"))
+    out = out.select("_p", "groups", "violations", (F.col("violations") == 0).alias("holds"), (F.col("violations") / F.col("groups")).alias("rate"))
+    return _named(out, pairs, "determinant", "dependent")
 
 
 def _side(df: DataFrame, column: str, side: str) -> DataFrame:

@@ -9,6 +9,7 @@ from panelwright.operators import joins
 from panelwright.operators import labels as L
 from panelwright.plans.oracle import DAYS, STATUS, select
 from panelwright.plans.quality import cleaned, deduped, rounded
+from panelwright.sources.session import saved
 from panelwright.sources.tables import Tables
 
 EXITS = {"01": "Prepaid", "02": "Default"}
@@ -37,7 +38,7 @@ TARGET = "next_12m_default_flag"
 
 
 def _split(t):
-    return L.purged_split(targeted(t), TARGET, 12)
+    return L.purged_split(saved(targeted(t), "targeted"), TARGET, 12)
 
 
 def _folds(t):

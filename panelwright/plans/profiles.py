@@ -20,9 +20,7 @@ BOUNDARY = "1999-06"
 
 
 def _tests(t: Tables):
-    panel = deduped(t)
-    a, b = P.missingness_test(panel, "state", "dti_band"), P.missingness_test(panel, "servicer_name", "credit_score_band")
-    return rounded(a.unionByName(b), "chi2", "cramers_v")
+    return rounded(P.missingness_tests(deduped(t), [("state", "dti_band"), ("servicer_name", "credit_score_band")]), "chi2", "cramers_v", "p")
 
 
 def _rank_pairs(t):
@@ -79,6 +77,8 @@ _CO = " UNION ALL ".join(_CORR.format(a=a, b=b) for a, b in combinations(GAPS, 2
 _CELLS = """cells_{k} AS (SELECT a, b, count(*) AS o FROM (SELECT {a} AS a, {b} AS b FROM one) WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY 1, 2),
 full_{k} AS (SELECT na, nb, coalesce(o, 0) AS o, (SELECT sum(o) FROM cells_{k}) AS n, (SELECT count(DISTINCT a) FROM cells_{k}) AS r, (SELECT count(DISTINCT b) FROM cells_{k}) AS c FROM (SELECT a, sum(o) AS na FROM cells_{k} GROUP BY 1) CROSS JOIN (SELECT b, sum(o) AS nb FROM cells_{k} GROUP BY 1) LEFT JOIN cells_{k} USING (a, b)),
 chi_{k} AS (SELECT n, r, c, sum(CASE WHEN r = 2 AND c = 2 THEN greatest(abs(o - na * nb / n) - least(0.5e0, abs(o - na * nb / n)), 0) ** 2 ELSE (o - na * nb / n) ** 2 END / (na * nb / n)) AS chi2 FROM full_{k} GROUP BY 1, 2, 3)"""
+# The tail of an even number of degrees, which both tests have: all groups are of an odd number of categories.
+_TAIL = "(exp(-chi2 / 2) * list_sum(list_transform(range(CAST((r - 1) * (c - 1) // 2 AS BIGINT)), lambda i: pow(chi2 / 2, i) / gamma(i + 1e0))))"
 _PAIRS = list(combinations(["credit_score_band", "ltv_band", "current_status"], 2))
 _RHO = "SELECT '{a}' AS a, '{b}' AS b, round(corr(ra, rb), 6) AS rho FROM (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2 AS ra, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2 AS rb FROM (SELECT {a} AS x, {b} AS y FROM clean WHERE {a} IS NOT NULL AND {b} IS NOT NULL))"
 _FD = "SELECT '{a}' AS determinant, '{b}' AS dependent, count(*) AS groups, sum(CASE WHEN k > 1 THEN 1 ELSE 0 END) AS violations, sum(CASE WHEN k > 1 THEN 1 ELSE 0 END) = 0 AS holds, round(sum(CASE WHEN k > 1 THEN 1 ELSE 0 END) / count(*), 6) AS rate FROM (SELECT {a}, count(DISTINCT {b}) AS k FROM one WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY 1)"
@@ -120,7 +120,7 @@ ORACLES = {
     "e5_missing_by": select("SELECT servicer_name, " + ", ".join(f"round(avg(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END), 6) AS {c}" for c in GAPS) + " FROM one GROUP BY 1"),
     "e6_missingness_tests": select(
         ", " + _CELLS.format(k=1, a="state", b="dti_band IS NULL") + ", " + _CELLS.format(k=2, a="servicer_name", b="credit_score_band IS NULL")
-        + " UNION ALL ".join(f"\nSELECT '{a}' AS \"by\", '{b}' AS \"column\", n, round(chi2, 6) AS chi2, (r - 1) * (c - 1) AS df, round(sqrt(chi2 / (n * (least(r, c) - 1))), 6) AS cramers_v FROM chi_{k}" for k, a, b in ((1, "state", "dti_band"), (2, "servicer_name", "credit_score_band")))
+        + " UNION ALL ".join(f"\nSELECT '{a}' AS \"by\", '{b}' AS \"column\", n, round(chi2, 6) AS chi2, (r - 1) * (c - 1) AS df, round(sqrt(chi2 / (n * (least(r, c) - 1))), 6) AS cramers_v, round({_TAIL}, 6) AS p, CASE WHEN {_TAIL} < 0.01 THEN 'depends on group' ELSE 'at random' END AS verdict FROM chi_{k}" for k, a, b in ((1, "state", "dti_band"), (2, "servicer_name", "credit_score_band")))
     ),
     "e7_missing_summary": select("SELECT count(*) AS rows, sum(CASE WHEN k > 0 THEN 1 ELSE 0 END) AS rows_with_missing, round(avg(k) / 5, 6) AS mean_missing FROM (SELECT " + " + ".join(f"CASE WHEN {c} IS NULL THEN 1 ELSE 0 END" for c in GAPS) + " AS k FROM one)"),
     "e8_spearman": select(" UNION ALL ".join(_RHO.format(a=a, b=b) for a, b in combinations(["balance_clean", "dpd_clean", "age_clean"], 2))),
