@@ -76,11 +76,27 @@ def per_class(df: DataFrame, y: str, yhat: str) -> DataFrame:
     return out.select("class", "support", precision.alias("precision"), recall.alias("recall"), f1.alias("f1"))
 
 
-def multiclass_metrics(df: DataFrame, y: str, yhat: str) -> DataFrame:
-    """accuracy, macro_f1, weighted_f1."""
+def one_vs_rest(df: DataFrame, y: str, scores: str, classes: list[str]) -> DataFrame:
+    """class, n (rows of it), roc_auc of its score against all other rows: counts of (class, score) and their running totals, all classes together; null for a class that all rows or none have."""
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("class"), F.col(scores)[k].cast("double").alias("p"), (F.col(y) == c).cast("int").alias("hit")) for k, c in enumerate(classes)]))
+    counts = df.dropna(subset=[y]).select(each.alias("v")).select("v.*").dropna().groupBy("class", "p").agg(F.sum("hit").alias("pos"), F.sum(1 - F.col("hit")).alias("neg"))
+    above = running_totals(counts, "p", {"fp": "neg"}, ["class"], descending=True)
+    # Each row of the class beats the others below its score, and half of those at it.
+    sums = above.groupBy("class").agg(F.sum("pos").alias("a"), F.sum("neg").alias("b"), F.sum(F.col("pos") * (F.col("fp") - F.col("neg") / 2)).alias("lost"))
+    return sums.select("class", F.col("a").alias("n"), (1 - F.col("lost") / F.nullif(F.col("a") * F.col("b"), F.lit(0))).alias("roc_auc"))
+
+
+def multiclass_metrics(df: DataFrame, y: str, yhat: str, scores: str | None = None, classes: list[str] = ()) -> DataFrame:
+    """accuracy, macro_f1, weighted_f1; with an array of scores for the classes also log_loss (over rows of these classes) and macro_roc_auc (mean over classes that have one)."""
     c = per_class(df, y, yhat)
     n = F.sum("support")
-    return c.agg((F.sum(F.col("recall") * F.col("support")) / n).alias("accuracy"), F.avg("f1").alias("macro_f1"), (F.sum(F.col("f1") * F.col("support")) / n).alias("weighted_f1"))
+    plain = c.agg((F.sum(F.col("recall") * F.col("support")) / n).alias("accuracy"), F.avg("f1").alias("macro_f1"), (F.sum(F.col("f1") * F.col("support")) / n).alias("weighted_f1"))
+    if scores is None:
+        return plain
+    own = F.col(scores)[F.array_position(F.array(*[F.lit(x) for x in classes]), F.col(y)).cast("int") - 1]
+    loss = df.filter(F.col(y).isin(list(classes))).agg(F.avg(-F.log(F.least(F.greatest(own, F.lit(2.0**-52)), F.lit(1 - 2.0**-52)))).alias("log_loss"))
+    area = one_vs_rest(df, y, scores, classes).agg(F.avg("roc_auc").alias("macro_roc_auc"))
+    return plain.join(F.broadcast(loss)).join(F.broadcast(area))
 
 
 def calibration_table(df: DataFrame, bins: int = 10, y: str = "y", p: str = "p") -> DataFrame:

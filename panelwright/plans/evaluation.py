@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from panelwright.operators import labels as L
 from panelwright.operators import metrics as M
 from panelwright.operators import survival as S
+from panelwright.operators.models import markov_scores
 from panelwright.plans.oracle import PAIRS_VIEW, select
 from panelwright.plans.panel import EXITS, targeted, targets_sql
 from panelwright.plans.quality import cleaned, deduped, rounded, scored
@@ -24,7 +25,15 @@ def matrix(t: Tables):
 
 def _classes(t):
     said = F.when(F.col("l_linestatus") == "F", F.when(F.col("p") > 0.5, "R").otherwise("A")).otherwise("N")
-    return t.pairs().withColumn("said", said)
+    raw = [F.col("p"), 1 - F.col("p"), (F.col("l_suppkey") % 10) / 10]
+    return t.pairs().withColumn("said", said).withColumn("scores", F.array(*[F.round((x + 0.1) / (raw[0] + raw[1] + raw[2] + 0.3), 12) for x in raw]))
+
+
+def _markov(t):
+    """Rows from month 50 on, scored by the transitions before it; Default is left out of these, so that one state is unseen."""
+    rows = L.status_next(deduped(t), EXITS)
+    out, _ = markov_scores(rows.filter("month_index < 50 AND current_status <> 'Default'"), rows.filter("month_index >= 50"))
+    return rounded(out.groupBy("current_status", "said").agg(F.count("*").alias("rows"), F.max(F.array_max("scores")).alias("p")), "p")
 
 
 def _compare(t):
@@ -54,13 +63,13 @@ TIES = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 QUERIES = {
     "i1_prior": lambda t: rounded(t.pairs().agg(F.avg("y").alias("prior"), F.count("*").alias("n")), "prior"),
     "i7_thresholds": lambda t: rounded(M.recall_at_precision(t.pairs(), 0.3).unionByName(M.recall_at_precision(t.pairs(), 0.5)).unionByName(M.recall_at_precision(t.pairs(), 0.999)), "recall", "best_precision"),
-    "i10_markov_classifier": lambda t: rounded(matrix(t).groupBy("from_state").agg(F.max_by("to_state", F.struct("p", "to_state")).alias("said"), F.max("p").alias("p")), "p"),
+    "i10_markov_classifier": _markov,
     "i11_persistence": lambda t: M.per_class(L.status_next(deduped(t), EXITS).filter("next_state is not null"), "next_state", "current_status").select("class", "support", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"), F.round("f1", 6).alias("f1")),
     "j1_pr_curve": lambda t: rounded(M.pr_curve(t.pairs()).select("threshold", "tp", "fp", "precision", "recall"), "precision", "recall"),
     "j3_best_f1": lambda t: rounded(M.best_f1(t.pairs()), "f1"),
     "j8_lift_at_k": lambda t: rounded(M.lift_at_k(t.pairs(), 0.1, TIES), "base", "rate", "lift"),
     "j9_binary_metrics": lambda t: rounded(M.binary_metrics(t.pairs()), "rate", "roc_auc", "average_precision", "lift", "ks", "brier", "log_loss"),
-    "j10_multiclass_metrics": lambda t: rounded(M.multiclass_metrics(_classes(t), "l_returnflag", "said"), "accuracy", "macro_f1", "weighted_f1"),
+    "j10_multiclass_metrics": lambda t: rounded(M.multiclass_metrics(_classes(t), "l_returnflag", "said", "scores", ["A", "N", "R"]), "accuracy", "macro_f1", "weighted_f1", "log_loss", "macro_roc_auc"),
     "j11_per_class": lambda t: rounded(M.per_class(_classes(t), "l_returnflag", "said"), "precision", "recall", "f1"),
     "j12_calibration_table": lambda t: rounded(M.calibration_table(t.pairs()), "mean_score", "observed", "gap"),
     "j13_calibration_error": lambda t: rounded(M.expected_calibration_error(t.pairs()), "ece"),
@@ -135,13 +144,19 @@ _POWERS = (
 ORACLES = {
     "i1_prior": f"SELECT round(avg(y), 6) AS prior, count(*) AS n FROM ({PAIRS_VIEW})",
     "i7_thresholds": _CURVE + " UNION ALL ".join(_RAP.format(x) for x in ("0.3", "0.5", "0.999")),
-    "i10_markov_classifier": select(f"{_MATRIX} SELECT from_state, arg_max(to_state, (p, to_state)) AS said, round(max(p), 6) AS p FROM matrix GROUP BY 1"),
+    "i10_markov_classifier": select(f"""{targets_sql()}, old AS (SELECT current_status AS s, next_state AS y FROM nexts WHERE month_index < 50 AND current_status <> 'Default' AND next_state IS NOT NULL), ys AS (SELECT DISTINCT y FROM old),
+own AS (SELECT s, y, (SELECT count(*) FROM old o WHERE o.s = a.s AND o.y = ys.y) + 0.5e0 AS n FROM (SELECT DISTINCT s FROM old) a, ys), alls AS (SELECT y, count(*) + 1e0 AS n FROM old GROUP BY 1),
+said AS (SELECT s, first(y ORDER BY n DESC, y) AS said, max(n) / sum(n) AS p FROM own GROUP BY 1), prior AS (SELECT first(y ORDER BY n DESC, y) AS said, max(n) / sum(n) AS p FROM alls)
+SELECT current_status, coalesce(d.said, prior.said) AS said, count(*) AS rows, round(max(coalesce(d.p, prior.p)), 6) AS p FROM nexts LEFT JOIN said d ON current_status = d.s, prior WHERE month_index >= 50 GROUP BY 1, 2"""),
     "i11_persistence": select(f"{targets_sql()}, yh AS (SELECT next_state AS y, current_status AS h FROM nexts WHERE next_state IS NOT NULL), {_PER} SELECT class, support, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM per"),
     "j1_pr_curve": _CURVE + "SELECT threshold, tp, fp, round(precision, 6) AS precision, round(recall, 6) AS recall FROM pr",
     "j3_best_f1": _CURVE + ", f AS (SELECT threshold, 2 * precision * recall / (precision + recall) AS f1 FROM pr) SELECT round(max(f1), 6) AS f1, (SELECT min(threshold) FROM f WHERE f1 = (SELECT max(f1) FROM f)) AS threshold FROM f",
     "j8_lift_at_k": f"WITH pairs AS ({PAIRS_VIEW}), r AS (SELECT y, row_number() OVER (ORDER BY p DESC, {', '.join(TIES)}) AS k, count(*) OVER () AS n FROM pairs) SELECT 0.1e0 AS share, CAST(floor(max(n) * 0.1e0) AS BIGINT) AS rows, round(avg(y), 6) AS base, round(avg(y) FILTER (WHERE k <= floor(n * 0.1e0)), 6) AS rate, round(avg(y) FILTER (WHERE k <= floor(n * 0.1e0)) / avg(y), 6) AS lift FROM r",
     "j9_binary_metrics": _CURVE + f"SELECT count(*) AS n, round(avg(y), 6) AS rate, round({_BINARY}, 6) AS roc_auc, round((SELECT sum(pos / a * precision) FROM pr), 6) AS average_precision, round((SELECT sum(pos / a * precision) FROM pr) / avg(y), 6) AS lift, round((SELECT max(abs(tp / a - fp / b)) FROM curve), 6) AS ks, round(avg((p - y) ** 2), 6) AS brier, round(-avg(CASE WHEN y = 1 THEN ln(least(greatest(p, 1e-7), 1 - 1e-7)) ELSE ln(1 - least(greatest(p, 1e-7), 1 - 1e-7)) END), 6) AS log_loss FROM pairs",
-    "j10_multiclass_metrics": _YH + "SELECT round(sum(recall * support) / sum(support), 6) AS accuracy, round(avg(f1), 6) AS macro_f1, round(sum(f1 * support) / sum(support), 6) AS weighted_f1 FROM per",
+    "j10_multiclass_metrics": _YH + """, sc AS (SELECT l_returnflag AS y, c, (CASE c WHEN 'A' THEN p WHEN 'N' THEN 1 - p ELSE (l_suppkey % 10) / 10e0 END + 0.1e0) / (1 + (l_suppkey % 10) / 10e0 + 0.3e0) AS s FROM pairs, (VALUES ('A'), ('N'), ('R')) k(c)),
+ct AS (SELECT c, s, sum(CASE WHEN y = c THEN 1 ELSE 0 END) AS a, sum(CASE WHEN y = c THEN 0 ELSE 1 END) AS b FROM (SELECT y, c, round(s, 12) AS s FROM sc) GROUP BY 1, 2),
+au AS (SELECT c, sum(a * (below + b / 2)) / (sum(a) * sum(b)) AS auc FROM (SELECT *, coalesce(sum(b) OVER (PARTITION BY c ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM ct) GROUP BY 1)
+SELECT round(sum(recall * support) / sum(support), 6) AS accuracy, round(avg(f1), 6) AS macro_f1, round(sum(f1 * support) / sum(support), 6) AS weighted_f1, (SELECT round(avg(-ln(s)), 6) FROM sc WHERE c = y) AS log_loss, (SELECT round(avg(auc), 6) FROM au) AS macro_roc_auc FROM per""",
     "j11_per_class": _YH + "SELECT class, support, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM per",
     "j12_calibration_table": _BINS + "SELECT bin, n, round(mean_score, 6) AS mean_score, round(observed, 6) AS observed, round(gap, 6) AS gap FROM t",
     "j13_calibration_error": _BINS + "SELECT round(sum(abs(gap) * n) / sum(n), 6) AS ece FROM t",

@@ -131,8 +131,9 @@ def scorecard(t: Tables):
         columns = ANOMALY if y == "exception_required" else SMALL
         binary[name] = (M.fit_logistic(df.dropna(subset=[y]), columns, y), columns, [])
     columns = [*SMALL, *ANOMALY]
+    following = M.next_state_report(df, columns)[0]
     kinds = M.fit_multiclass(df.filter("exception_required = 1"), columns, "exception_type", balanced=True)
-    return Q.scorecard(X.snapshot(df), binary, M.fit_multiclass(df, columns, "next_state"), kinds, columns, anomalies(df))
+    return Q.scorecard(X.snapshot(df), binary, following, kinds, columns, anomalies(df))
 
 
 def _stressed_paths(t, df):
@@ -203,10 +204,8 @@ def _packs(t):
 
 
 def _next_state(t):
-    df = modelled(t)
-    model = M.fit_multiclass(df, SMALL, "next_state")
-    rows = df.filter("split = 'test'").dropna(subset=["next_state"]).withColumns({c: F.col(c).cast("double") for c in SMALL})
-    return model.transform(rows).groupBy("next_state").agg(F.count("*").alias("rows"), F.round(F.avg((F.col("label") == F.col("prediction")).cast("int")), 4).alias("recall"))
+    report = M.next_state_report(modelled(t), SMALL)[1]
+    return rounded(report, "accuracy", "macro_f1", "weighted_f1", "log_loss", "macro_roc_auc", digits=4)
 
 
 def _probe(t):
