@@ -14,6 +14,7 @@ from panelwright.operators import rules
 from panelwright.operators import scenarios as Z
 from panelwright.operators import scorecard as Q
 from panelwright.operators import survival as S
+from panelwright.operators.hazard import cox_report
 from panelwright.operators.metrics import binary_metrics
 from panelwright.operators.trees import staged_spread, tree_attributions
 from panelwright.plans.evaluation import frame, matrix
@@ -71,17 +72,17 @@ def _gbt(t):
 
 def _grid(t):
     df = modelled(t)
-    grid = [{"depth": 3, "rounds": 10}, {"depth": 4, "rounds": 10}]
-    best, trace = M.grid_search(df, SMALL, CATEGORIES, TARGET, grid)
+    _, trace = M.grid_search(df, SMALL, CATEGORIES, TARGET, [g | {"rounds": 10, "patience": 5} for g in M.GRID])
     chosen = max(trace, key=lambda x: x["average_precision"] or 0)
-    return t.spark.createDataFrame([(x["depth"], x["rounds"], round(x["average_precision"] or 0.0, 4), x is chosen) for x in trace], "depth int, rounds int, average_precision double, chosen boolean")
+    rows = [(x["depth"], x["step"], x["chosen_rounds"], round(x["average_precision"] or 0.0, 4), x is chosen) for x in trace]
+    return t.spark.createDataFrame(rows, "depth int, step double, rounds int, average_precision double, chosen boolean")
 
 
 def _calibrated(t):
     _, out = _boosted(modelled(t), depth=3, rounds=10)
     out = saved(out, "scored")
     valid, rows = out.filter("split = 'valid'"), None
-    chosen = M.choose_calibrator(valid, TARGET)
+    chosen = M.choose_calibrator(valid, TARGET, keys=["seq"])
     for kind in ("isotonic", "platt"):
         one = _metrics(M.calibrated(valid, out, TARGET, kind=kind), p="p_cal").select(F.lit(kind).alias("kind"), F.lit(kind == chosen).alias("chosen"), "n", "roc_auc", "brier", "log_loss")
         rows = one if rows is None else rows.unionByName(one)
@@ -217,8 +218,9 @@ def _probe(t):
 
 
 def _cox(t):
-    ratios = M.fit_cox(frame(t), ["rate", "log_original_balance", "is_investment"])
-    return t.spark.createDataFrame([(c, round(b, 5)) for c, b in ratios.items()], "covariate string, log_hazard_ratio double")
+    """Entities of a hashed share of two thirds are fitted on, the others are the test."""
+    rows = frame(t).withColumn("held", L.share_of(F.col("entity_id"), 11) < 0.35)
+    return rounded(cox_report(rows, ["rate", "log_original_balance", "is_investment"], fit_on="NOT held"), "coef", "hazard_ratio", "se", "p", "concordance_train", "concordance_test")
 
 
 def _forest(t):
