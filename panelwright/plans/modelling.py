@@ -17,7 +17,7 @@ from panelwright.operators import survival as S
 from panelwright.operators.hazard import cox_report
 from panelwright.operators.metrics import binary_metrics
 from panelwright.operators.trees import staged_spread, tree_attributions
-from panelwright.plans.evaluation import frame, matrix
+from panelwright.plans.evaluation import frame
 from panelwright.plans.panel import EXITS, TARGET, featured
 from panelwright.plans.quality import reconciled, rounded, scored
 from panelwright.sources.session import new_path, saved, ship_package
@@ -44,7 +44,7 @@ def labelled(t: Tables):
 
 def modelled(t: Tables):
     """What the fits read, written once for all their passes."""
-    keep = dict.fromkeys(["seq", "entity_id", "month_index", "reporting_month", "servicer_name", "current_status", *SMALL, *ANOMALY, "state", "document_status", "next_state", "exception_type", "exception_required", *TARGETS, "split"])
+    keep = dict.fromkeys(["seq", "entity_id", "month_index", "reporting_month", "servicer_name", "current_status", *SMALL, *ANOMALY, *X.NUMERIC, *X.CATEGORICAL, "next_state", "exception_type", "exception_required", *TARGETS, "split"])
     return saved(labelled(t).select(*keep), "modelled")
 
 
@@ -66,8 +66,10 @@ def _boosted(df, y=TARGET, **sizes):
 
 
 def _gbt(t):
-    _, out = _boosted(modelled(t), depth=4, rounds=20)
-    return _metrics(out)
+    """All features and categories of the design; the rounds are those that did best on the validation rows."""
+    df = modelled(t)
+    model = M.fit_gbt(df, X.NUMERIC, X.CATEGORICAL, TARGET, depth=4, rounds=20)
+    return _metrics(M.score(model, df, "p", X.NUMERIC, X.CATEGORICAL))
 
 
 def _grid(t):
@@ -138,10 +140,9 @@ def scorecard(t: Tables):
 
 
 def _stressed_paths(t, df):
-    """Projected shares under each scenario, by transitions whose shifts come from the fit on macro values."""
-    rows = L.status_next(featured(t).drop("next_state"), EXITS)
-    macro, paths, own = t.macro(), None, saved(matrix(t).select("from_state", "to_state", "p"), "matrix")
-    fit, scen, snap = Z.macro_transition_fit(Z.monthly_rates(rows), macro), Z.build_scenarios(macro), X.snapshot(df)
+    """Projected shares under each scenario, by transitions whose shifts come from the fit on macro values; df: featured rows with their next state, written before."""
+    macro, paths, own = saved(t.macro(), "macro"), None, saved(S.transition_matrix(df).select("from_state", "to_state", "p"), "matrix")
+    fit, scen, snap = Z.macro_transition_fit(Z.monthly_rates(df), macro), Z.build_scenarios(macro), X.snapshot(df)
     for name in Z.SHOCKS:
         shifts = Z.fitted_shifts(fit, scen, macro, name)
         stressed = Z.stressed_matrix(own, shifts) if shifts else own
@@ -153,9 +154,14 @@ def _stressed_paths(t, df):
 MACRO_X = ["rate_incentive", "unemployment_rate", "hpi_yoy_growth", "status_ord"]
 
 
+def _featured_rows(t):
+    """Featured rows with targets, next state and split, written once."""
+    return saved(L.purged_split(L.attach_targets(featured(t), EXITS), TARGET, 12), "featured")
+
+
 def _fitted_scorer(t):
     """Featured rows with their split, and a scorer from a logistic model fitted on them."""
-    df = saved(L.purged_split(L.attach_targets(featured(t), EXITS), TARGET, 12), "featured")
+    df = _featured_rows(t)
     model = M.fit_logistic(df, MACRO_X, TARGET)
     lr, scale = model.stages[-1], model.stages[-2]
     b = {c: float(w / s) if s else 0.0 for c, w, s in zip(MACRO_X, lr.coefficients, scale.std)}
@@ -267,7 +273,7 @@ QUERIES = {
     "l3_score_scenarios_fitted": _scores,
     "l4_segment_impacts_fitted": _segments,
     "l6_driver_decomposition_fitted": _drivers,
-    "l8_stressed_paths_fitted": lambda t: rounded(_stressed_paths(t, modelled(t)), "share"),
+    "l8_stressed_paths_fitted": lambda t: rounded(_stressed_paths(t, _featured_rows(t)), "share"),
     "l11_compare_engines": _engines,
     "m1_isolation_forest": _forest,
     "m4_review_queue_fitted": _queue,
