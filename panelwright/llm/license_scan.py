@@ -11,7 +11,9 @@ and text are read.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from functools import lru_cache
+from heapq import heappop, heappush
 
 import pyarrow as pa
 import regex
@@ -47,36 +49,64 @@ def pieces(notice: str, errors: int) -> list[tuple[int, str]]:
 @lru_cache(maxsize=None)
 def _plan(notice: str, per_error: int):
     errors = len(notice) // per_error
-    return errors, pieces(notice, errors), regex.compile(rf"(?b)(?:{regex.escape(notice)}){{e<={errors}}}")
+    grams = [notice[i : i + 3] for i in range(len(notice) - 2)]
+    return errors, pieces(notice, errors), grams, regex.compile(rf"(?b)(?:{regex.escape(notice)}){{e<={errors}}}")
+
+
+def _areas(words: str, seeds: list[tuple[int, str]], length: int, errors: int) -> list[tuple[int, int]]:
+    """Where a notice may stand: around each place that an exact piece points at; places that differ by no more than `errors` share an area, so an area holds one notice."""
+    starts = set()
+    for offset, piece in seeds:
+        at = words.find(piece)
+        while at >= 0:
+            starts.add(at - offset)
+            at = words.find(piece, at + 1)
+    out: list[tuple[int, int]] = []
+    first = last = None
+    for start in [*sorted(starts), None]:
+        if first is not None and (start is None or start > first + errors):
+            out.append((max(0, first - errors), min(len(words), last + length + errors)))
+            first = None
+        first, last = start if first is None else first, start
+    return out
 
 
 def fuzzy_spans(words: str, notices: dict[str, str] = NOTICES, per_error: int = CHARS_PER_ERROR) -> list[tuple[str, int, int, int, int]]:
-    """(label, start, end, errors, notice length) of each notice in a text of words joined by spaces; spans in characters."""
+    """(label, start, end, errors, notice length) of each notice in a text of words joined by spaces; spans in characters.
+
+    Each area is verified by itself. Spans of one notice don't overlap: those with fewer errors, then earlier ones, come first, and an area that such a span covers in part is searched
+    again in what is left of it. An area is a little longer than its notice, so the time is in proportion to the places that pieces point at.
+    """
     out = []
     for notice, label in notices.items():
-        errors, seeds, pattern = _plan(notice, per_error)
-        areas = []
-        for offset, piece in seeds:
-            at = words.find(piece)
-            while at >= 0:
-                areas.append((max(0, at - offset - errors), min(len(words), at - offset + len(notice) + errors)))
-                at = words.find(piece, at + 1)
-        merged: list[list[int]] = []
-        for low, high in sorted(areas):
-            if merged and low <= merged[-1][1]:
-                merged[-1][1] = max(merged[-1][1], high)
+        errors, seeds, grams, pattern = _plan(notice, per_error)
+        # An error takes away three runs of three characters at most; where more are missing, no match is possible and none is tried.
+        shared = len(grams) - 3 * errors
+        least, own, waiting, starts, ends = len(notice) - errors, [], [], [], []
+
+        def look(low: int, high: int) -> None:
+            if high - low < least:  # noqa: B023
+                return
+            area = words[low:high]
+            found = pattern.search(words, low, high) if sum(g in area for g in grams) >= shared else None  # noqa: B023
+            if found:
+                heappush(waiting, (sum(found.fuzzy_counts), found.start(), found.end(), low, high))  # noqa: B023
+
+        for low, high in _areas(words, seeds, len(notice), errors):
+            look(low, high)
+        while waiting:
+            k, start, end, low, high = heappop(waiting)
+            # Taken spans in order; those that meet this area.
+            a, b = bisect_right(ends, low), bisect_left(starts, high)
+            if bisect_right(ends, start) == bisect_left(starts, end):
+                i = bisect_left(starts, start)
+                starts.insert(i, start)
+                ends.insert(i, end)
+                own.append((label, start, end, k, len(notice)))
             else:
-                merged.append([low, high])
-        for low, high in merged:
-            # The best match comes first, so the parts before and after it are searched too, where a notice still fits.
-            own, todo = [], [(low, high)]
-            while todo:
-                start, end = todo.pop()
-                found = pattern.search(words, start, end) if end - start >= len(notice) - errors else None
-                if found:
-                    own.append((label, found.start(), found.end(), sum(found.fuzzy_counts), len(notice)))
-                    todo += [(max(found.end(), found.start() + 1), end), (start, found.start())]
-            out += sorted(own, key=lambda span: span[1])
+                for left, right in zip([low, *ends[a:b]], [*starts[a:b], high]):
+                    look(left, right)
+        out += sorted(own, key=lambda span: span[1])
     return out
 
 

@@ -1,5 +1,7 @@
 """License scan against brute force and by hand."""
 
+import time
+
 import duckdb
 import numpy as np
 import pyarrow as pa
@@ -50,6 +52,43 @@ def test_fuzzy_notices_are_found_with_errors_up_to_the_bound(which, seed):
     assert label in {s[0] for s in license_scan.fuzzy_spans("before " + "".join(damaged) + " after")}
 
 
+def _exhaustive(words, notice, label):
+    """The best match in the whole text, then in what is before and after it, and so on."""
+    errors, _, _, pattern = license_scan._plan(notice, license_scan.CHARS_PER_ERROR)
+    own, todo = [], [(0, len(words))]
+    while todo:
+        low, high = todo.pop()
+        found = pattern.search(words, low, high) if high - low >= len(notice) - errors else None
+        if found:
+            own.append((label, found.start(), found.end(), sum(found.fuzzy_counts), len(notice)))
+            todo += [(max(found.end(), found.start() + 1), high), (low, found.start())]
+    return sorted(own)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 1 << 30))
+def test_spans_equal_an_exhaustive_search(seed):
+    rng, names, parts = np.random.default_rng(seed), list(license_scan.NOTICES), []
+    for _ in range(int(rng.integers(1, 6))):
+        text = list(names[int(rng.integers(len(names)))] if rng.random() < 0.4 else names[0])
+        for i in rng.integers(0, len(text), int(rng.integers(0, len(text) // 10 + 2))):
+            text[i] = str(rng.choice(["#", "", text[i] + "z"]))
+        parts += ["".join(text), *(["the mit x"] if rng.random() < 0.4 else [])]
+    words = " ".join(parts)
+    got = license_scan.fuzzy_spans(words)
+    for notice, label in license_scan.NOTICES.items():
+        assert sorted(x for x in got if x[0] == label and x[4] == len(notice)) == _exhaustive(words, notice, label)
+
+
+def test_time_is_in_proportion_to_the_places():
+    took = []
+    for times in (1600, 6400):
+        began = time.process_time()
+        assert len(license_scan.fuzzy_spans(("releasd under the mit license " * times).strip())) == times
+        took.append(time.process_time() - began)
+    assert took[1] < 8 * took[0] + 0.2 and took[1] < 4
+
+
 def test_notices_before_a_better_one_are_found():
     text = "licensxd undxr cc by nc 4 0 licensed under cc by nc 4 0 licensedd under cc by nc 4 0"
     got = [x for x in license_scan.fuzzy_spans(text) if x[0] == "cc-by-nc"]
