@@ -59,6 +59,11 @@ def map_codes(c: Column | str, mapping: dict, default=None) -> Column:
     return steps.otherwise(F.lit(default))
 
 
+def property_type(code: Column | str, units: Column | str) -> Column:
+    """Property by its code (single family if unknown), but by the number of units where there are two or more; unknown units are one."""
+    return F.when(F.coalesce(col(units).try_cast("int"), F.lit(1)) >= 2, F.lit("2-4_unit")).otherwise(map_codes(code, PROPERTY, "single_family"))
+
+
 def ordinal(c: Column | str, categories: list[str]) -> Column:
     """Position in an ordered list; unknown and null have none."""
     return map_codes(c, {v: float(i) for i, v in enumerate(categories)})

@@ -136,9 +136,12 @@ def action_reasons(rules=ACTIONS) -> Column:
     return F.coalesce(*[F.when(F.col(c) >= t, REASONS[name]) for name, c, t in rules], F.lit("No score reaches a threshold."))
 
 
-def check_contract(df: DataFrame, key: str, probabilities: list[str], vocabulary: dict[str, list[str]]) -> DataFrame:
-    """Violations: repeated keys, values outside 0..1, words outside the vocabulary."""
+def check_contract(df: DataFrame, key: str, probabilities: list[str], vocabulary: dict[str, list[str]], gated: dict[str, tuple[str, float, str]] | None = None, present: list[str] = (), true: list[str] = ()) -> DataFrame:
+    """Violations: repeated keys, values outside 0..1, words outside the vocabulary; for `gated` (column: probability, threshold, word) other words where the probability is under the
+    threshold; nulls in `present`; rows where a flag of `true` doesn't hold."""
     checks = {f"range_{c}": F.count_if(~F.col(c).between(0, 1) | F.col(c).isNull()) for c in probabilities} | {f"words_{c}": F.count_if(~F.col(c).isin(v)) for c, v in vocabulary.items()}
+    checks |= {f"gate_{c}": F.count_if((F.col(p) < limit) & (F.coalesce(c, F.lit("")) != word)) for c, (p, limit, word) in (gated or {}).items()}
+    checks |= {f"null_{c}": F.count_if(F.col(c).isNull()) for c in present} | {f"untrue_{c}": F.count_if(~F.coalesce(c, F.lit(False))) for c in true}
     row = df.agg((F.count("*") - F.count_distinct(key)).alias("repeated_keys"), *[v.alias(k) for k, v in checks.items()])
     return row.unpivot([], ["repeated_keys", *checks], "check", "violations")
 

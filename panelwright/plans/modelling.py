@@ -1,4 +1,4 @@
-"""Queries that fit models or grow trees; SQL cannot express them. Fits, trees, forests and comparisons are held against direct computation in tests/test_models.py."""
+"""Queries that fit models or grow trees; SQL cannot express them. Fits, Shapley values, stops, hazards and reports are held against direct computation in tests/test_models.py and tests/test_fits.py."""
 
 from __future__ import annotations
 
@@ -125,9 +125,10 @@ def anomalies(df, trees=100):
     return joins.attach_scores(R.rescale(saved(raw, "anomalies"), "raw", "anomaly_score"), driven, ["seq"])
 
 
-def scorecard(t: Tables):
-    """Each entity's last row with all fitted scores: five probabilities, next state, exception type, anomaly, drivers, confidence and action."""
+def scorecard(t: Tables, scope: str = "latest"):
+    """Each entity's last row, or (scope "test") all rows of the test window of the three-month target, with all fitted scores: five probabilities, next state, exception type, anomaly, drivers, confidence and action."""
     df = modelled(t)
+    rows = X.snapshot(df) if scope == "latest" else L.purged_split(df.drop("split"), TARGETS[0], 3).filter("split = 'test'")
     main = M.fit_gbt(df, SMALL, CATEGORIES, TARGET, depth=3, rounds=12)
     binary = {"prob_default_12m": (main, SMALL, CATEGORIES)}
     for name, y in (("prob_delinquency_3m", TARGETS[0]), ("prob_delinquency_6m", TARGETS[1]), ("prob_prepayment_12m", TARGETS[3]), ("exception_probability", "exception_required")):
@@ -136,7 +137,7 @@ def scorecard(t: Tables):
     columns = [*SMALL, *ANOMALY]
     following = M.next_state_report(df, columns)[0]
     kinds = M.fit_multiclass(df.filter("exception_required = 1"), columns, "exception_type", balanced=True)
-    return Q.scorecard(X.snapshot(df), binary, following, kinds, columns, anomalies(df))
+    return Q.scorecard(rows, binary, following, kinds, columns, anomalies(df))
 
 
 def _stressed_paths(t, df):
@@ -280,6 +281,7 @@ QUERIES = {
     "n1_tree_attributions": _attributions,
     "n5_staged_spread": _spread,
     "o1_scorecard": scorecard,
+    "o1_scorecard_test_window": lambda t: scorecard(t, "test"),
     "p1_build_pack": _packs,
     "p2_build_list_pack": _rule_pack,
 }

@@ -91,6 +91,7 @@ def _credit_bands(t):
     return d.select(
         o, C.credit_band(score).alias("credit"), C.ltv_band(ltv).alias("ltv"), C.dti_band(dti).alias("dti"), C.loss_band((o % 80).cast("double")).alias("loss"), C.map_codes(letter, C.OCCUPANCY).alias("occupancy"),
         C.map_codes(F.when(o % 2 == 0, "C").otherwise("X"), C.PURPOSE).alias("purpose"), C.map_codes(F.when(o % 2 == 0, "PU").otherwise("SF"), C.PROPERTY).alias("property"),
+        C.property_type(F.when(o % 2 == 0, "PU").otherwise("??"), F.when(o % 13 == 0, "").otherwise((o % 5).cast("string"))).alias("by_units"),
     )
 
 
@@ -178,7 +179,7 @@ ORACLES = {
     "a7_read_feed": select("SELECT entity_id, month_index, round(reported_balance, 6) AS reported_balance, reported_status, CAST(CAST(received_at AS DATE) AS VARCHAR) AS received_at FROM latest"),
     "a9_read_series": select("SELECT concat(reporting_month, '-01') AS observation_date, unemployment_rate AS value FROM macro WHERE pno % 7 <> 0"),
     "a10_write_and_materialise": select("SELECT current_status, count(*) AS rows, count(DISTINCT entity_id) AS entities FROM one GROUP BY 1"),
-    "b2_credit_bands": "SELECT o_orderkey, " + _cases("(500 + o_orderkey % 331)", C.CREDIT_EDGES, C.CREDIT_BANDS, "<", "o_orderkey % 17 = 0") + " AS credit, " + _cases("(o_orderkey % 110)", C.LTV_EDGES, C.LTV_BANDS, "<=", "o_orderkey % 19 = 0") + " AS ltv, " + _cases("(o_orderkey % 60)", C.DTI_EDGES, C.DTI_BANDS, "<=", "o_orderkey % 23 = 0") + " AS dti, " + _cases("(o_orderkey % 80)", C.LOSS_EDGES, C.LOSS_BANDS, "<") + " AS loss, CASE o_orderkey % 3 WHEN 0 THEN 'primary' WHEN 1 THEN 'second_home' ELSE 'investment' END AS occupancy, CASE WHEN o_orderkey % 2 = 0 THEN 'cash_out_refi' END AS purpose, CASE WHEN o_orderkey % 2 = 0 THEN 'pud' ELSE 'single_family' END AS property FROM orders",
+    "b2_credit_bands": "SELECT o_orderkey, " + _cases("(500 + o_orderkey % 331)", C.CREDIT_EDGES, C.CREDIT_BANDS, "<", "o_orderkey % 17 = 0") + " AS credit, " + _cases("(o_orderkey % 110)", C.LTV_EDGES, C.LTV_BANDS, "<=", "o_orderkey % 19 = 0") + " AS ltv, " + _cases("(o_orderkey % 60)", C.DTI_EDGES, C.DTI_BANDS, "<=", "o_orderkey % 23 = 0") + " AS dti, " + _cases("(o_orderkey % 80)", C.LOSS_EDGES, C.LOSS_BANDS, "<") + " AS loss, CASE o_orderkey % 3 WHEN 0 THEN 'primary' WHEN 1 THEN 'second_home' ELSE 'investment' END AS occupancy, CASE WHEN o_orderkey % 2 = 0 THEN 'cash_out_refi' END AS purpose, CASE WHEN o_orderkey % 2 = 0 THEN 'pud' ELSE 'single_family' END AS property, CASE WHEN o_orderkey % 13 <> 0 AND o_orderkey % 5 >= 2 THEN '2-4_unit' WHEN o_orderkey % 2 = 0 THEN 'pud' ELSE 'single_family' END AS by_units FROM orders",
     "c5_attach_recon": select("SELECT seq, round(f.reported_balance, 6) AS recon_reported_balance, f.reported_status AS recon_reported_status, f.reported_dpd AS recon_reported_dpd, CAST(CAST(f.received_at AS DATE) AS VARCHAR) AS recon_received_at, CASE WHEN f.reported_balance IS NULL THEN 0 ELSE 1 END AS recon_record_present FROM one LEFT JOIN latest f USING (entity_id, month_index)"),
     "s7_shuffle_rows": "SELECT c_custkey, md5(CAST(c_custkey AS VARCHAR)) AS h FROM customer",
     "s8_head_sample": "SELECT o_orderkey, o_custkey FROM orders ORDER BY 1 LIMIT 25",

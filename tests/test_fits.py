@@ -2,13 +2,19 @@
 
 import itertools
 import math
+import os
 
 import numpy as np
 import pytest
 from pyspark.ml.classification import GBTClassifier
 from pyspark.sql import functions as F
 
-from panelwright.operators import hazard, metrics, models, trees
+from panelwright.operators import hazard, metrics, models, review, survival, trees
+from panelwright.plans import modelling
+from panelwright.sources.session import saved
+from panelwright.sources.tables import Tables
+
+DATA = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="module")
@@ -148,3 +154,17 @@ def test_hazards_and_robust_errors(spark):
             for j in np.flatnonzero(part & ((out > out[i]) | ((out == out[i]) & (d == 0)))):
                 pairs, right = pairs + 1, right + (risk[j] < risk[i]) + (risk[j] == risk[i]) / 2
         assert got["u"][f"concordance_{name}"] == pytest.approx(right / pairs, abs=1e-9) and got["u"][f"n_{name}"] == part.sum()
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the given tables")
+def test_the_scorecard_keeps_its_contract(spark):
+    card = saved(modelling.scorecard(Tables(spark, DATA)), "card")
+    kinds = ["none", *[r[0] for r in card.select("predicted_exception_type").distinct().collect() if r[0] != "none"]]
+    probabilities = ["prob_default_12m", "prob_delinquency_3m", "prob_delinquency_6m", "prob_prepayment_12m", "exception_probability", "next_state_confidence", "anomaly_score"]
+    found = review.check_contract(card, "seq", probabilities, {"predicted_next_state": [*survival.STATES, "PaidOff"], "predicted_exception_type": kinds}, {"predicted_exception_type": ("exception_probability", 0.5, "none")}, ["entity_id", "recommended_action", "action_reason"], ["is_recommendation"])
+    assert {r["check"]: r.violations for r in found.collect()} == dict.fromkeys([r["check"] for r in found.collect()], 0)
+    order = card.select("prob_default_12m", "seq").collect()
+    assert card.count() == card.select("entity_id").distinct().count() and len(order) == card.count()
+    broken = card.withColumn("exception_probability", F.lit(0.1)).withColumn("predicted_exception_type", F.lit("dpd_breach")).withColumn("is_recommendation", F.lit(False))
+    worse = {r["check"]: r.violations for r in review.check_contract(broken, "seq", [], {}, {"predicted_exception_type": ("exception_probability", 0.5, "none")}, [], ["is_recommendation"]).collect()}
+    assert worse == {"repeated_keys": 0, "gate_predicted_exception_type": card.count(), "untrue_is_recommendation": card.count()}
