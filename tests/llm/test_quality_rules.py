@@ -85,3 +85,10 @@ def test_rejects_junk_keeps_the_rest_without_python(spark):
 def test_empty_table_and_quantiles(spark, rows):
     assert quality_rules.quality_verdicts(frame(spark, rows).limit(0)).count() == 0
     assert quality_rules._chi2_quantile(0.95, 4) == pytest.approx(9.487729, abs=1e-6) and quality_rules._chi2_quantile(0.99, 6) == pytest.approx(16.811894, abs=1e-6)
+
+
+def test_one_very_long_text(spark):
+    rng = np.random.default_rng(9)
+    text = " ".join(f"w{i}" for i in rng.integers(0, 60, 60_000)) + "\n" + "again and again\n" * 2000
+    got = quality_rules.text_statistics(frame(spark, [(1, text), (2, "y" * 200_000)])).orderBy("doc_id").collect()
+    assert (got[0].n_words, got[0].word_chars, got[0].n_symbols, got[0].n_dup_lines, got[0].n_repeat_words) == counted(text) and got[1].word_chars == 200_000
