@@ -14,7 +14,7 @@ from panelwright.operators import survival as S
 from panelwright.operators import textguard as G
 from panelwright.plans.evaluation import _MATRIX, _POWERS, matrix
 from panelwright.plans.oracle import PAIRS_VIEW, STATUS, select
-from panelwright.plans.panel import EXITS, featured
+from panelwright.plans.panel import EXITS, featured, targets_sql
 from panelwright.plans.quality import deduped, rounded, scored
 from panelwright.sources.tables import Tables
 
@@ -103,6 +103,7 @@ QUERIES = {
     "l5_bucket": lambda t: featured(t).select("seq", bucket("rate_incentive", [-9, -1, -0.5, 0, 0.5, 1, 9]).alias("incentive_bucket")),
     "l6_driver_decomposition": lambda t: rounded(Z.driver_decomposition(snap(t), scen(t), "adverse_credit"), "effect", "share", digits=5),
     "l7_macro_transition_fit": _fit,
+    "c13_macro_design": lambda t: rounded(rounded(Z.macro_design(Z.monthly_rates(L.status_next(featured(t).drop("next_state"), EXITS)), t.macro()), "deteriorate", "prepay"), "rate_incentive", digits=4),
     "l8_stressed_matrix": lambda t: rounded(Z.stressed_matrix(matrix(t), SHIFTS), "p"),
     "l9_portfolio_projection": lambda t: rounded(Z.portfolio_projection(X.snapshot(deduped(t)), S.project_states(matrix(t), 12)), "share"),
     "l10_scenario_summary": lambda t: rounded(Z.scenario_summary(scen(t), t.macro()), *[f"shift_{c}" for c in Z.MACRO], digits=5),
@@ -162,6 +163,17 @@ zs AS ({' UNION ALL '.join(f"SELECT seq, '{c}' AS c, coalesce(abs({c} - m_{c}) /
 drv AS (SELECT seq, c, row_number() OVER (PARTITION BY seq ORDER BY z DESC, c) AS k FROM zs)
 """
 _ATTR = ", attr AS (" + " UNION ALL ".join(f"SELECT seq, '{c}' AS feature, CAST({c} AS DOUBLE) AS value, coalesce({b}e0 * ({c} - (SELECT avg({c}) FROM scored)), 0) AS contribution FROM scored" for c, b in COEFFICIENTS.items()) + ")"
+_KINDS = " OR ".join(f"current_status = '{s}' AND next_state IN ({', '.join(repr(x) for x in t)})" for s, t in Z.WORSE.items())
+_XS = range(1, 4)
+# Weighted least squares on three values, from sums around their means, by Cramer's rule.
+_SQUARES = f"""{targets_sql()}{_BASE}
+, r AS (SELECT current_status, pno, count(*) AS n, avg(CASE WHEN {_KINDS} THEN 1 ELSE 0 END) AS deteriorate, avg(CASE WHEN next_state = 'Prepaid' THEN 1 ELSE 0 END) AS prepay, avg(rate_incentive) AS x3
+  FROM base JOIN (SELECT seq, next_state FROM nexts) USING (seq) WHERE current_status IN ({', '.join(repr(s) for s in Z.WORSE)}) AND next_state IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 25),
+d AS (SELECT r.*, m.unemployment_rate AS x1, m.hpi_yoy_growth AS x2 FROM r JOIN macro m USING (pno) WHERE x3 IS NOT NULL AND m.unemployment_rate IS NOT NULL AND m.hpi_yoy_growth IS NOT NULL),
+l AS ({' UNION ALL '.join(f"SELECT current_status, '{k}' AS kind, n, x1, x2, x3, ln(least(greatest({k}, 1e-4), 1 - 1e-4) / (1 - least(greatest({k}, 1e-4), 1 - 1e-4))) AS y FROM d" for k in ("deteriorate", "prepay"))}),
+means AS (SELECT current_status, kind, count(*) AS months, {', '.join(f'sum(n * x{i}) / sum(n) AS m{i}' for i in _XS)}, sum(n * y) / sum(n) AS my FROM l GROUP BY 1, 2 HAVING count(*) >= 12),
+s AS (SELECT current_status, kind, months, m1, m2, m3, my, {', '.join(f'sum(n * (x{i} - m{i}) * (x{j} - m{j})) AS a{i}{j}' for i in _XS for j in _XS)}, {', '.join(f'sum(n * (x{i} - m{i}) * (y - my)) AS a{i}0' for i in _XS)}, sum(n * (y - my) ** 2) AS t FROM l JOIN means USING (current_status, kind) GROUP BY ALL),
+""" + "fits AS (SELECT *, " + ", ".join("(" + " + ".join(f"{'-' if odd else ''}a1{p} * a2{q} * a3{w}" for p, q, w, odd in (((0 if c == k else c), (0 if e == k else e), (0 if f == k else f), o) for c, e, f, o in ((1, 2, 3, 0), (2, 3, 1, 0), (3, 1, 2, 0), (3, 2, 1, 1), (2, 1, 3, 1), (1, 3, 2, 1)))) + f") AS d{k}" for k in (-1, 1, 2, 3)).replace("d-1", "det") + " FROM s), betas AS (SELECT *, d1 / det AS b1, d2 / det AS b2, d3 / det AS b3 FROM fits) "
 _PROBS = ", probs AS (SELECT seq, current_status, " + ", ".join(f"(seq * {k} % 97) / 97e0 AS {n}" for n, k in (("exception_probability", 3), ("prob_default_12m", 5), ("prob_delinquency_3m", 7), ("prob_delinquency_6m", 11), ("prob_prepayment_12m", 13))) + " FROM one)"
 _ANY = lambda words: " OR ".join(f"contains(lower(text), '{w}')" for w in words)
 _LINES = "string_split(text, chr(10))"
@@ -191,6 +203,8 @@ ORACLES = {
     "l4_segment_impacts": select(f"{_LIN}, m AS (SELECT state, " + ", ".join(f"avg(CASE WHEN scenario_name = '{n}' THEN {_SCN} END) AS {n}" for n in Z.SHOCKS) + " FROM x WHERE state IS NOT NULL GROUP BY 1) SELECT state, round(base, 6) AS base, round(adverse_credit, 6) AS adverse_credit, round(high_prepayment, 6) AS high_prepayment, round(adverse_credit - base, 6) AS delta_adverse_credit, round(high_prepayment - base, 6) AS delta_high_prepayment FROM m"),
     "l5_bucket": select(f"{_BASE} SELECT seq, CASE WHEN rate_incentive <= -9 THEN NULL WHEN rate_incentive <= -1 THEN 0 WHEN rate_incentive <= -0.5e0 THEN 1 WHEN rate_incentive <= 0 THEN 2 WHEN rate_incentive <= 0.5e0 THEN 3 WHEN rate_incentive <= 1 THEN 4 WHEN rate_incentive <= 9 THEN 5 END AS incentive_bucket FROM base"),
     "l6_driver_decomposition": select(f"{_LIN}, e AS (SELECT avg({_SCN} - {_OWN}) AS total, " + ", ".join(f"avg({p} - {_OWN}) AS {c}" for c, p in _DRIVERS.items()) + " FROM x WHERE scenario_name = 'adverse_credit')" + " UNION ALL ".join(f" SELECT '{n}' AS driver, round({e}, 5) AS effect, round({e} / total, 5) AS share FROM e" for n, e in [*((c, c) for c in _DRIVERS), ("interaction", "(total - " + " - ".join(_DRIVERS) + ")")])),
+    "c13_macro_design": select(f"{_SQUARES.split('l AS (')[0].rstrip().rstrip(',')} SELECT current_status, pno, n, round(deteriorate, 6) AS deteriorate, round(prepay, 6) AS prepay, round(x3, 4) AS rate_incentive, x1 AS unemployment_rate, x2 AS hpi_yoy_growth FROM d"),
+    "l7_macro_transition_fit": select(f"{_SQUARES} SELECT current_status, kind, months, round(my - b1 * m1 - b2 * m2 - b3 * m3, 4) AS intercept, round(b1, 4) AS unemployment_rate, round(b2, 4) AS hpi_yoy_growth, round(b3, 4) AS rate_incentive, round(CASE WHEN t > 1e-12 THEN (b1 * a10 + b2 * a20 + b3 * a30) / t END, 4) AS r2 FROM betas"),
     "l8_stressed_matrix": select(f"{_MATRIX} {_STRESS}"),
     "l9_portfolio_projection": select(f"{_MATRIX} {_POWERS}, sh AS (SELECT current_status AS start_state, count(*) / sum(count(*)) OVER () AS w FROM (SELECT * FROM one QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY month_index DESC) = 1) GROUP BY 1), ok AS (SELECT * FROM sh WHERE start_state IN ({', '.join(repr(s) for s in S.STATES)})) SELECT 0 AS horizon_month, start_state AS state, round(w, 6) AS share FROM ok UNION ALL SELECT horizon_month, state, round(sum(p * w), 6) FROM powers JOIN ok USING (start_state) GROUP BY 1, 2"),
     "l10_scenario_summary": select(f"{_SCEN} SELECT scenario_name, market_mortgage_rate, unemployment_rate, hpi_yoy_growth, round(market_mortgage_rate - a, 5) AS shift_market_mortgage_rate, round(unemployment_rate - b, 5) AS shift_unemployment_rate, round(hpi_yoy_growth - c, 5) AS shift_hpi_yoy_growth FROM scen, lastm WHERE horizon_month = 12"),
