@@ -177,7 +177,11 @@ s AS (SELECT current_status, kind, months, m1, m2, m3, my, {', '.join(f'sum(n *
 _PROBS = ", probs AS (SELECT seq, current_status, " + ", ".join(f"(seq * {k} % 97) / 97e0 AS {n}" for n, k in (("exception_probability", 3), ("prob_default_12m", 5), ("prob_delinquency_3m", 7), ("prob_delinquency_6m", 11), ("prob_prepayment_12m", 13))) + " FROM one)"
 _ANY = lambda words: " OR ".join(f"contains(lower(text), '{w}')" for w in words)
 _LINES = "string_split(text, chr(10))"
-_UNLISTED = f"array_to_string(list_transform({_LINES}, lambda l, i: CASE WHEN regexp_matches(concat(l, CASE WHEN i < len({_LINES}) THEN ' ' ELSE '' END), '^[ \t]{{0,8}}[0-9]{{1,3}}[.)][[:space:]]') THEN regexp_replace(l, '^[ \\t]*[0-9]+.', '') ELSE l END), chr(10))"
+_BODY = "ltrim(l, concat(' ', chr(9)))"
+_DIGITS = f"len(regexp_extract({_BODY}, '^[0-9]*'))"
+_REST = f"substr({_BODY}, {_DIGITS} + 2)"
+_MARKER = f"{_DIGITS} BETWEEN 1 AND {G.MARKER_DIGITS} AND len(l) - len({_BODY}) <= {G.INDENT} AND substr({_BODY}, {_DIGITS} + 1, 1) IN ('.', ')') AND (regexp_matches({_REST}, '^[[:space:]]') OR ({_REST} = '' AND i < len({_LINES})))"
+_UNLISTED = f"array_to_string(list_transform({_LINES}, lambda l, i: CASE WHEN {_MARKER} THEN {_REST} ELSE l END), chr(10))"
 _NUMBERS = rf"list_transform(regexp_extract_all({_UNLISTED}, '{G.NUMBER}', 1), lambda x: TRY_CAST(regexp_replace(x, '[,%+]', '', 'g') AS DOUBLE))"
 _SMALL = ", ".join(f"{x}e0" for x in G.SMALL)
 _ALLOWED = "list_distinct(flatten(list_transform([doc_id, doc_id * 100e0, doc_id / 100e0, n_chars, n_chars * 100e0, n_chars / 100e0], lambda x: [x, round(x, 0), round(x, 1), round(x, 2), round(x, 3)])))"
