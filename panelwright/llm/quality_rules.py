@@ -143,7 +143,8 @@ def _concentrated(points: DataFrame, shapes: DataFrame) -> DataFrame:
     each = Window.partitionBy("g", "start")
     buckets = far.groupBy("g", "start", "b").agg(F.sum("w").alias("k"))
     upto = buckets.withColumn("below", F.sum("k").over(each.orderBy("b"))).withColumn("all", F.sum("k").over(each))
-    cut = upto.filter(F.col("below") >= F.ceil(SHARE * F.col("all"))).groupBy("g", "start").agg(F.min("b").alias("cut"))
+    # Written before the join: Spark then knows how small it is, and if it is not, both sides are shuffled by it and a hot group is split between tasks.
+    cut = saved(upto.filter(F.col("below") >= F.ceil(SHARE * F.col("all"))).groupBy("g", "start").agg(F.min("b").alias("cut")), "cuts")
     return _estimated(far.join(cut, ["g", "start"]).filter("b <= cut"), _consistency(SHARE))
 
 
