@@ -13,12 +13,13 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     both = edges.select(F.col("u"), F.col("v")).union(edges.select(F.col("v"), F.col("u"))).toDF("u", "v")
     if not large:
         both = both.filter("v < u")
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    # Written before the join: Spark then knows its size, and if it is large, both sides are shuffled by the join, so a node that very many edges have can be split between tasks.
+    least = saved(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
     near = both.filter("v > u") if large else both
     out = near.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     if not large:
         out = out.union(least.select("u", F.col("m").alias("v")))
-    return out.filter("u != v").distinct()
+    return saved(out.filter("u != v").distinct(), "edges")
 
 
 def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
@@ -30,7 +31,7 @@ def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     nodes = edges.select(F.col("u").alias("node")).union(edges.select(F.col("v").alias("node"))).distinct()
     now, before = saved(edges.filter("u != v").distinct(), "edges"), None
     for _ in range(rounds):
-        now = saved(_star(_star(now, large=True), large=False), "edges")
+        now = _star(_star(now, large=True), large=False)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break
