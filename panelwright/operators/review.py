@@ -79,10 +79,10 @@ def global_importance(attr: DataFrame) -> DataFrame:
 
 
 def driver_strings(attr: DataFrame, keys: list[str], k: int = 3) -> DataFrame:
-    """`name (+0.12) | ...` of the k largest contributions of each row."""
+    """`name (+0.12) | ...` of the k largest contributions of each row; digits are not grouped: (+1234.50)."""
     ranked = F.array_sort(F.collect_list(F.struct((-F.abs("contribution")).alias("z"), "feature", "contribution")))
     sign = lambda x: F.when(x["contribution"] >= 0, "+").otherwise("-")
-    text = F.array_join(F.transform(F.slice("r", 1, k), lambda x: F.concat(friendly(x["feature"]), F.lit(" ("), sign(x), F.format_number(F.abs(x["contribution"]), 2), F.lit(")"))), " | ")
+    text = F.array_join(F.transform(F.slice("r", 1, k), lambda x: F.concat(friendly(x["feature"]), F.lit(" ("), sign(x), F.replace(F.format_number(F.abs(x["contribution"]), 2), F.lit(","), F.lit("")), F.lit(")"))), " | ")
     return attr.groupBy(*keys).agg(ranked.alias("r")).select(*keys, text.alias("drivers"))
 
 
