@@ -108,11 +108,17 @@ def fitted_shifts(fit: DataFrame, scenarios: DataFrame, macro: DataFrame, name:
     return {s: (shift.get((s, "deteriorate"), 0.0), shift.get((s, "prepay"), 0.0)) for s in {s for s, _ in shift}}
 
 
+def exact_mean(column: str) -> Column:
+    """The mean of known values from a decimal sum of doubles as they are (to twenty decimals): the same in whatever order rows come. For rates: values that are not finite or from 1e18 on count as unknown."""
+    exact = F.col(column).try_cast("decimal(38,20)")
+    return F.sum(exact).cast("double") / F.nullif(F.count(exact), F.lit(0))
+
+
 def monthly_rates(df: DataFrame, least: int = 25) -> DataFrame:
     """Per state and month: rows, share that gets worse, share that prepays, mean incentive."""
     worse = reduce(lambda a, b: a | b, [(F.col("current_status") == s) & F.col("next_state").isin(t) for s, t in WORSE.items()])
     known = df.filter(F.col("current_status").isin(list(WORSE)) & F.col("next_state").isNotNull())
-    rates = known.groupBy("current_status", "pno").agg(F.count("*").alias("n"), F.avg(worse.cast("int")).alias("deteriorate"), F.avg((F.col("next_state") == "Prepaid").cast("int")).alias("prepay"), F.avg("rate_incentive").alias("rate_incentive"))
+    rates = known.groupBy("current_status", "pno").agg(F.count("*").alias("n"), F.avg(worse.cast("int")).alias("deteriorate"), F.avg((F.col("next_state") == "Prepaid").cast("int")).alias("prepay"), exact_mean("rate_incentive").alias("rate_incentive"))
     return rates.filter(F.col("n") >= least)
 
 
