@@ -24,29 +24,34 @@ def forward_any(flag: Column, horizon: int, last_index: Column, closed: Column)
     return F.when(hit > 0, 1.0).when(closed | complete, 0.0)
 
 
-def attach_targets(df: DataFrame, exits: dict[str, str], default_states=("DQ90plus", "Default")) -> DataFrame:
-    """Delinquency within 3 and 6 rows, default and prepayment within 12, all of the next state."""
-    out = status_next(df, exits).join(F.broadcast(df.agg(F.max(MONTH).alias("_last"))))
+def last_month(df: DataFrame) -> DataFrame:
+    """One row, _last: the last month of df."""
+    return df.agg(F.max(MONTH).alias("_last"))
+
+
+def attach_targets(df: DataFrame, exits: dict[str, str], default_states=("DQ90plus", "Default"), last: DataFrame | None = None) -> DataFrame:
+    """Delinquency within 3 and 6 rows, default and prepayment within 12, all of the next state. last: last_month of df from a cheaper source, so that df is not computed for it too."""
+    out = status_next(df, exits).join(F.broadcast(last_month(df) if last is None else last))
     closed = F.max(F.col("next_state").isin(*ENDED).cast("int")).over(Window.partitionBy(ENTITY)) == 1
     is_ = lambda *states: F.coalesce(F.col("next_state").isin(*states).cast("int"), F.lit(0))
     late = is_("DQ30", "DQ60", "DQ90plus", "Default")
-    last = F.col("_last")
+    end = F.col("_last")
     return out.withColumn("_closed", closed).withColumns(
         {
-            "next_3m_delinquency_flag": forward_any(late, 3, last, F.col("_closed")),
-            "next_6m_delinquency_flag": forward_any(late, 6, last, F.col("_closed")),
-            "next_12m_default_flag": forward_any(is_(*default_states), 12, last, F.col("_closed")),
-            "next_12m_prepayment_flag": forward_any(is_("Prepaid"), 12, last, F.col("_closed")),
+            "next_3m_delinquency_flag": forward_any(late, 3, end, F.col("_closed")),
+            "next_6m_delinquency_flag": forward_any(late, 6, end, F.col("_closed")),
+            "next_12m_default_flag": forward_any(is_(*default_states), 12, end, F.col("_closed")),
+            "next_12m_prepayment_flag": forward_any(is_("Prepaid"), 12, end, F.col("_closed")),
         }
     ).drop("_last", "_closed")
 
 
-def purged_split(df: DataFrame, target: str, horizon: int, n_test: int = 6, n_valid: int = 6, train_end: int | None = None) -> DataFrame:
+def purged_split(df: DataFrame, target: str, horizon: int, n_test: int = 6, n_valid: int = 6, train_end: int | None = None, last: DataFrame | None = None) -> DataFrame:
     """split: the last observable months test, `horizon` months of embargo before them, then validation, then training; unlabelled or later rows excluded.
 
-    With `train_end`, training ends there if that is earlier, never later; validation goes on from there to its old end, and the test window stays.
+    With `train_end`, training ends there if that is earlier, never later; validation goes on from there to its old end, and the test window stays. last: as of attach_targets.
     """
-    top = df.agg(F.max(MONTH).alias("_last"))
+    top = last_month(df) if last is None else last
     test_from = F.col("_last") - horizon - n_test + 1
     valid_to = test_from - horizon - 1
     train_to = valid_to - n_valid
