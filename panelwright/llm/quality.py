@@ -3,7 +3,8 @@
 Two generative models give each hashed byte n-gram a probability: one of target text (labelled good), one of the raw corpus. `log_ratio` is the sum of
 the log ratio of the two over a document's n-grams: the importance weight of the whole text. Sampling by it would keep little but the longest texts, so
 the models are compared on a sketch of equal length for all: `SKETCH` n-grams at even steps over the whole text (a shorter text has all of its own). `log_weight` is the
-sum of the log ratio over the sketch, its importance weight. Documents are drawn without replacement in proportion to these weights by the Gumbel top-k trick: each gets its log weight plus Gumbel noise made
+sum of the log ratio over the sketch, its importance weight. One sketch looks at some places only; with `whole`, `log_weight` is the mean over all sketches of that size, so every
+n-gram counts alike: `SKETCH` times the mean log ratio of all of them (a text of fewer keeps its own sum). The registered query draws so. Documents are drawn without replacement in proportion to these weights by the Gumbel top-k trick: each gets its log weight plus Gumbel noise made
 from a hash of the row, and those with the `share` largest sums are selected: exactly that many.
 
 The raw model counts every document whole. The target model counts at most `MOST_TARGET` documents labelled 1, chosen by a hash of doc_id:
@@ -70,14 +71,17 @@ def sketch(buckets: np.ndarray, size: int = SKETCH) -> np.ndarray:
     return buckets if len(buckets) <= size else buckets[np.arange(size) * len(buckets) // size]
 
 
-def weighted(docs: DataFrame, ratio: np.ndarray, size: int = SKETCH, seed: int = 0) -> DataFrame:
-    """doc_id, r (row key), log_ratio, log_weight, noisy (with Gumbel noise) of each row, and place, a number of its own."""
+def weighted(docs: DataFrame, ratio: np.ndarray, size: int = SKETCH, seed: int = 0, whole: bool = False) -> DataFrame:
+    """doc_id, r (row key), log_ratio, log_weight (of one sketch, or with `whole` the mean over all), noisy (with Gumbel noise) of each row, and place, a number of its own."""
 
     def weigh(batches):
         for batch in batches:
             own = [gram_counts(text) for text in byte_texts(batch["text"])]
             sums = np.array([ratio[x].sum() for x in own], dtype=np.float64)
-            weights = np.array([ratio[sketch(x, size)].sum() for x in own], dtype=np.float64)
+            if whole:
+                weights = sums * np.array([min(1.0, size / max(1, len(x))) for x in own], dtype=np.float64)
+            else:
+                weights = np.array([ratio[sketch(x, size)].sum() for x in own], dtype=np.float64)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["r"], pa.array(sums), pa.array(weights)], names=["doc_id", "r", "log_ratio", "log_weight"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -105,9 +109,9 @@ def kth_largest(values: DataFrame, k: int, few: int = 20_000) -> float | None:
     return None
 
 
-def resampled(docs: DataFrame, labels: DataFrame, share: float = SHARE, seed: int = 0) -> DataFrame:
-    """doc_id, log_ratio, log_weight, noisy, selected of every row; exactly share of all, rounded up, are selected."""
-    out = saved(weighted(docs, fitted(docs, labels), seed=seed), "weights")
+def resampled(docs: DataFrame, labels: DataFrame, share: float = SHARE, seed: int = 0, whole: bool = False) -> DataFrame:
+    """doc_id, log_ratio, log_weight, noisy, selected of every row; exactly share of all, rounded up, are selected. whole: drawn by all n-grams of a text, not by one sketch."""
+    out = saved(weighted(docs, fitted(docs, labels), seed=seed, whole=whole), "weights")
     k = int(np.ceil(share * out.count()))
     limit = kth_largest(out, k)
     chosen = F.lit(False)

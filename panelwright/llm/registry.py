@@ -35,7 +35,7 @@ def op2_line_dedup(spark, sf_dir):
 
 def op3_quality_classifier(spark, sf_dir):
     prepare(spark)
-    return resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), whole=True)
 
 
 def op4_benchmark_decontamination(spark, sf_dir):

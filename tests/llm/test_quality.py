@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelwright.llm import quality
+from panelwright.llm import quality, registry
 from panelwright.llm.common import prepare
 from corpus_cases import prose, signed_hash
 
@@ -47,3 +47,25 @@ def test_importance_resampling(spark):
     want = sorted((r.noisy for r in values.collect()), reverse=True)
     for k in (1, 777, 25_000, 50_000):
         assert quality.kth_largest(values, k, few=500) == want[k - 1]
+
+
+def test_the_whole_text_decides(spark, tmp_path):
+    prepare(spark)
+    rng = np.random.default_rng(3)
+    ratio = rng.normal(size=1 << 16)
+    # Two texts that differ between the places of a sketch only.
+    text = prose(5, 400)
+    n = len(text.encode()) - 3
+    places = set(np.arange(100) * n // 100)
+    at = next(i for i in range(50, n - 50) if not places & set(range(i - 3, i + 1)))
+    other = text[:at] + "#" + text[at + 1 :]
+    docs = spark.createDataFrame([(1, text), (2, other), (3, "short text"), (4, None)], "doc_id long, text string")
+    got = {r.doc_id: r for r in quality.weighted(docs, ratio, whole=True).collect()}
+    sums = {i: ratio[quality.gram_counts(t.encode())].sum() for i, t in ((1, text), (2, other), (3, "short text"))}
+    assert np.isclose(got[1].log_weight, 100 * sums[1] / n) and np.isclose(got[2].log_weight, 100 * sums[2] / n) and got[1].log_weight != got[2].log_weight
+    assert np.isclose(got[3].log_weight, sums[3]) and got[4].log_weight == 0
+    # So too in the registered query.
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (3, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = {r.doc_id: r for r in registry.queries()["op3_quality_classifier"](spark, str(tmp_path)).collect()}
+    assert np.isclose(rows[1].log_weight, 100 * rows[1].log_ratio / n) and np.isclose(rows[2].log_weight, 100 * rows[2].log_ratio / n)
