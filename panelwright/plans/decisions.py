@@ -16,6 +16,7 @@ from panelwright.plans.evaluation import _MATRIX, _POWERS, matrix
 from panelwright.plans.oracle import PAIRS_VIEW, STATUS, select
 from panelwright.plans.panel import EXITS, featured, targets_sql
 from panelwright.plans.quality import deduped, rounded, scored
+from panelwright.sources.session import saved
 from panelwright.sources.tables import Tables
 
 
@@ -41,8 +42,8 @@ SHIFTS = {"Current": (0.4, -0.2), "DQ30": (0.3, 0.0), "DQ60": (0.2, 0.1)}
 
 
 def ranked(t: Tables):
-    """Scored records with an anomaly score, a probability and a predicted type, for the review operators."""
-    rows = scored(t).withColumn("raw", F.col("penalty") + F.col("seq") % 7)
+    """Scored records with an anomaly score, a probability and a predicted type, for the review operators; what they read of them is written once."""
+    rows = saved(scored(t).select("seq", "servicer_name", "violations", (F.col("penalty") + F.col("seq") % 7).alias("raw")), "ranked")
     out = R.rescale(rows, "raw", "score")
     kind = F.when(F.col("seq") % 3 == 0, "document_breach").when(F.col("seq") % 3 == 1, "date_breach").otherwise("dpd_breach")
     return out.withColumn("probability", F.col("violations") / 17).withColumn("predicted_type", kind)
