@@ -159,9 +159,10 @@ def isolation_forest(df: DataFrame, columns: list[str], key: str, trees: int = 5
     med = df.filter(fit_on).agg(*[F.median(c).alias(c) for c in columns]).first().asDict()
     filled = df.select(key, F.expr(fit_on).alias("_fit"), *[F.coalesce(F.col(c).cast("double"), F.lit(float(med[c] or 0.0))).alias(c) for c in columns])
     n = filled.filter("_fit").count()
-    draw = F.array(*[F.pmod(F.xxhash64(F.col(key), F.lit(seed + k)), F.lit(1_000_000)) for k in range(trees)])
     limit = min(1_000_000, int(1_000_000 * 1.5 * sample / max(1, n)) + 1)
-    picked = filled.filter("_fit").select(*columns, F.explode(F.filter(F.transform(draw, lambda d, k: F.struct(d.alias("d"), k.alias("tree"))), lambda x: x["d"] < limit)).alias("s")).select(*columns, "s.*")
+    # A row a tree, of which all but the drawn are gone before anything is stored.
+    dealt = filled.filter("_fit").select(key, *columns, F.explode(F.array(*[F.lit(k) for k in range(trees)])).alias("tree"))
+    picked = dealt.withColumn("d", F.pmod(F.xxhash64(F.col(key), F.lit(seed) + F.col("tree")), F.lit(1_000_000))).filter(F.col("d") < limit).select(*columns, "d", "tree")
     names = list(columns)
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
