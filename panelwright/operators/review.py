@@ -21,12 +21,13 @@ def rescale(df: DataFrame, raw: str, out: str, bounds: tuple[float, float] | Non
     return df.withColumn(out, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col(raw) - bounds[0]) / (bounds[1] - bounds[0]))))
 
 
-def robust_drivers(df: DataFrame, columns: list[str], k: int = 3, fit_on: str = "true") -> DataFrame:
+def robust_drivers(df: DataFrame, columns: list[str], k: int = 3, fit_on: str = "true", rows: DataFrame | None = None) -> DataFrame:
     """drivers: the k columns farthest from their median in units of the scaled median deviation, in one array; ties by name.
 
     Medians and deviations come from the rows where fit_on holds (training rows); without a deviation the sample deviation is the unit, without that 1.
+    rows: those to be described, if not all of df; of df the rows to fit on alone are then kept.
     """
-    df = saved(df, "driven")
+    df = saved(df if rows is None else df.filter(fit_on), "driven")
     med = saved(in_one_row(column_quantiles(df.filter(fit_on), columns, [0.5]), columns, "m_"), "medians")
     with_med = df.join(F.broadcast(med))
     away = with_med.filter(fit_on).select(*[F.abs(F.col(c) - F.col(f"m_{c}")).alias(c) for c in columns])
@@ -38,7 +39,8 @@ def robust_drivers(df: DataFrame, columns: list[str], k: int = 3, fit_on: str =
         return F.coalesce(F.abs(F.col(c) - F.col(f"m_{c}")) / unit, F.lit(0.0))
 
     ranked = F.array_sort(F.array(*[F.struct((-z(c)).alias("z"), F.lit(c).alias("c")) for c in columns]))
-    out = with_med.join(F.broadcast(spread)).withColumn("drivers", F.transform(F.slice(ranked, 1, k), lambda x: x["c"]))
+    told = with_med if rows is None else rows.join(F.broadcast(med))
+    out = told.join(F.broadcast(spread)).withColumn("drivers", F.transform(F.slice(ranked, 1, k), lambda x: x["c"]))
     return out.drop(*[f"{p}_{c}" for p in "mds" for c in columns])
 
 
@@ -81,9 +83,13 @@ def global_importance(attr: DataFrame) -> DataFrame:
 def driver_strings(attr: DataFrame, keys: list[str], k: int = 3) -> DataFrame:
     """`name (+0.12) | ...` of the k largest contributions of each row; digits are not grouped: (+1234.50)."""
     ranked = F.array_sort(F.collect_list(F.struct((-F.abs("contribution")).alias("z"), "feature", "contribution")))
+    return attr.groupBy(*keys).agg(ranked.alias("r")).select(*keys, driver_text("r", k).alias("drivers"))
+
+
+def driver_text(ranked: str, k: int = 3) -> Column:
+    """The first k of an array of feature and contribution, the largest first, as driver_strings has them."""
     sign = lambda x: F.when(x["contribution"] >= 0, "+").otherwise("-")
-    text = F.array_join(F.transform(F.slice("r", 1, k), lambda x: F.concat(friendly(x["feature"]), F.lit(" ("), sign(x), F.replace(F.format_number(F.abs(x["contribution"]), 2), F.lit(","), F.lit("")), F.lit(")"))), " | ")
-    return attr.groupBy(*keys).agg(ranked.alias("r")).select(*keys, text.alias("drivers"))
+    return F.array_join(F.transform(F.slice(ranked, 1, k), lambda x: F.concat(friendly(x["feature"]), F.lit(" ("), sign(x), F.replace(F.format_number(F.abs(x["contribution"]), 2), F.lit(","), F.lit("")), F.lit(")"))), " | ")
 
 
 def local_explanations(attr: DataFrame, key: str, n: int, k: int) -> DataFrame:
@@ -156,13 +162,17 @@ def isolation_forest(df: DataFrame, columns: list[str], key: str, trees: int = 5
 
     Trees and medians come from the rows where fit_on holds; all rows are scored. Missing values take the column's median. The trees hold at most trees * 2 * sample nodes.
     """
-    med = df.filter(fit_on).agg(*[F.median(c).alias(c) for c in columns]).first().asDict()
-    filled = df.select(key, F.expr(fit_on).alias("_fit"), *[F.coalesce(F.col(c).cast("double"), F.lit(float(med[c] or 0.0))).alias(c) for c in columns])
+    lacking = df.agg(*[F.max(F.col(c).isNull()).alias(c) for c in columns]).first().asDict()
+    lacking, med = [c for c in columns if lacking[c]], {}
+    if lacking:  # other columns need no median
+        med = in_one_row(column_quantiles(df.filter(fit_on), lacking, [0.5]), lacking, "").first().asDict()
+    filled = df.select(key, F.expr(fit_on).alias("_fit"), *[F.coalesce(F.col(c).cast("double"), F.lit(float(med.get(c) or 0.0))).alias(c) for c in columns])
     n = filled.filter("_fit").count()
     limit = min(1_000_000, int(1_000_000 * 1.5 * sample / max(1, n)) + 1)
-    # A row a tree, of which all but the drawn are gone before anything is stored.
-    dealt = filled.filter("_fit").select(key, *columns, F.explode(F.array(*[F.lit(k) for k in range(trees)])).alias("tree"))
-    picked = dealt.withColumn("d", F.pmod(F.xxhash64(F.col(key), F.lit(seed) + F.col("tree")), F.lit(1_000_000))).filter(F.col("d") < limit).select(*columns, "d", "tree")
+    # A key a tree, of which all but the drawn are gone before anything is stored; about 1.5 * sample keys a tree are left, and their rows are fetched.
+    dealt = filled.filter("_fit").select(F.col(key).alias("_key"), F.explode(F.array(*[F.lit(k) for k in range(trees)])).alias("tree"))
+    drawn = dealt.withColumn("d", F.pmod(F.xxhash64(F.col("_key"), F.lit(seed) + F.col("tree")), F.lit(1_000_000))).filter(F.col("d") < limit)
+    picked = filled.filter("_fit").join(F.broadcast(drawn), F.col(key).eqNullSafe(F.col("_key"))).select(*columns, "d", "tree")
     names = list(columns)
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -188,21 +198,24 @@ def isolation_forest(df: DataFrame, columns: list[str], key: str, trees: int = 5
 
     schema = "feature int, cut double, left int, right int, depth double, tree int, node int, size int"
     forest = picked.groupBy("tree").applyInPandas(grow, schema).toPandas().sort_values(["tree", "node"])
-    grown = [{c: g[c].to_numpy() for c in forest.columns} for _, g in forest.groupby("tree")]
+    # A leaf is its own child, so that all rows take as many steps as the tree is deep.
+    grown = []
+    for _, g in forest.groupby("tree"):
+        node, inner = g["node"].to_numpy(), g["feature"].to_numpy() >= 0
+        child = np.column_stack([np.where(inner, g["right"], node), np.where(inner, g["left"], node)]).ravel()
+        steps = int(np.ceil(np.log2(max(2, g["size"].iloc[0]))))
+        grown.append((np.maximum(g["feature"].to_numpy(), 0), g["cut"].to_numpy(), child, g["depth"].to_numpy() / max(1e-9, _path_length(g["size"].iloc[0])), steps))
     kind = df.schema[key].dataType.simpleString()
 
     def score(batches):
         for pdf in batches:
-            x, total = pdf[names].to_numpy(), np.zeros(len(pdf))
-            for t in grown:
+            x, total = np.ascontiguousarray(pdf[names].to_numpy()), np.zeros(len(pdf))
+            values, first = x.ravel(), np.arange(len(x)) * len(names)
+            for feature, cut, child, depth, steps in grown:
                 at = np.zeros(len(x), dtype=int)
-                while True:
-                    inner = np.flatnonzero(t["feature"][at] >= 0)
-                    if not len(inner):
-                        break
-                    here = at[inner]
-                    at[inner] = np.where(x[inner, t["feature"][here]] <= t["cut"][here], t["left"][here], t["right"][here])
-                total += t["depth"][at] / max(1e-9, _path_length(t["size"][0]))
+                for _ in range(steps):
+                    at = child.take(2 * at + (values.take(first + feature.take(at)) <= cut.take(at)))
+                total += depth.take(at)
             yield pd.DataFrame({key: pdf[key], "raw": 2.0 ** -(total / max(1, len(grown)))})
 
     return filled.drop("_fit").mapInPandas(score, f"{key} {kind}, raw double")

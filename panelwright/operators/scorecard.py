@@ -10,18 +10,18 @@ from pyspark.sql import functions as F
 from panelwright.operators import models as M
 from panelwright.operators import review as R
 from panelwright.operators.joins import attach_scores
-from panelwright.operators.trees import staged_spread, tree_attributions
+from panelwright.operators.trees import staged_spread, tree_contributions
 
 FACTS = ["entity_id", "reporting_month", "servicer_name", "current_status"]
 
 
-def class_scores(model: PipelineModel, df: DataFrame, columns: list[str], key: str, out: str, sure: str) -> DataFrame:
-    """key, the likeliest class under its name, and its probability."""
+def class_scores(model: PipelineModel, df: DataFrame, columns: list[str], out: str, sure: str) -> DataFrame:
+    """df with the likeliest class under its name, and its probability."""
     labels = next(s for s in model.stages if hasattr(s, "labels")).labels
     p = vector_to_array("probability")
     # The label indexer is left out: rows to score have no label yet.
     scored = PipelineModel(stages=model.stages[1:]).transform(df.withColumns({c: F.col(c).cast("double") for c in columns}))
-    return scored.select(key, F.array(*[F.lit(x) for x in labels])[F.col("prediction").cast("int")].alias(out), F.round(F.array_max(p), 6).alias(sure))
+    return scored.select(*df.columns, F.array(*[F.lit(x) for x in labels])[F.col("prediction").cast("int")].alias(out), F.round(F.array_max(p), 6).alias(sure))
 
 
 def scorecard(rows: DataFrame, binary: dict[str, tuple[PipelineModel, list[str], list[str]]], next_state: PipelineModel, kinds: PipelineModel, columns: list[str], anomalies: DataFrame, main: str = "prob_default_12m", key: str = "seq", gate: float = 0.5) -> DataFrame:
@@ -29,18 +29,22 @@ def scorecard(rows: DataFrame, binary: dict[str, tuple[PipelineModel, list[str],
 
     anomalies has key, anomaly_score and drivers of all rows. `main` has to be a model of boosted trees; its paths give the drivers and its rounds the spread.
     """
-    out = rows.select(key, *FACTS)
+    # One model after the other on the same rows: nothing is joined. The models' types and fillings don't touch the facts.
+    out = rows.withColumn("_facts", F.struct(*FACTS))
     for name, (model, numeric, categorical) in binary.items():
-        p = M.score(model, rows, "p", numeric, categorical).select(key, F.round("p", 6).alias(name))
-        out = attach_scores(out, p, [key])
-    out = attach_scores(out, class_scores(next_state, rows, columns, key, "predicted_next_state", "next_state_confidence"), [key])
-    out = attach_scores(out, class_scores(kinds, rows, columns, key, "_kind", "exception_type_confidence"), [key])
+        out = M.score(model, out, name, numeric, categorical).withColumn(name, F.round(name, 6))
+    out = class_scores(next_state, out, columns, "predicted_next_state", "next_state_confidence")
+    out = class_scores(kinds, out, columns, "_kind", "exception_type_confidence")
+    out = out.select(key, "_facts.*", *binary, "predicted_next_state", "next_state_confidence", "_kind", "exception_type_confidence")
     out = attach_scores(out, anomalies.select(key, F.round("anomaly_score", 6).alias("anomaly_score"), F.col("drivers")[0].alias("top_anomaly_driver")), [key])
     out = out.withColumn("predicted_exception_type", R.gate_type("_kind", "exception_probability", gate)).drop("_kind")
     model, numeric, categorical = binary[main]
     shaped, trees = model.stages[0].transform(M.typed(rows, numeric, categorical)), model.stages[-1]
-    drivers = R.driver_strings(tree_attributions(shaped, trees, [*numeric, *categorical], [key]), [key]).withColumnRenamed("drivers", "top_drivers")
-    out = attach_scores(out, drivers, [key])
+    names = [*numeric, *categorical]
+    given = F.arrays_zip(F.array(*[F.lit(n) for n in names]).alias("feature"), F.col("given").alias("contribution"))
+    ranked = F.array_sort(F.transform(given, lambda x: F.struct((-F.abs(x["contribution"])).alias("z"), x["feature"].alias("feature"), x["contribution"].alias("contribution"))))
+    told = tree_contributions(shaped, trees, names, [key])[0].select(key, ranked.alias("r"))
+    out = attach_scores(out, told.select(key, R.driver_text("r").alias("top_drivers")), [key])
     out = attach_scores(out, staged_spread(shaped, trees, [key]).select(key, F.round("staged_std", 6).alias("prediction_spread")), [key])
     out = out.withColumn("confidence", R.confidence_band(main, "prediction_spread")).withColumns({"recommended_action": R.action_rules(), "action_reason": R.action_reasons(), "is_recommendation": F.lit(True)})
     return out.orderBy(F.desc(main), key)

@@ -113,12 +113,8 @@ def _leaves(x: np.ndarray, trees: list[dict[str, np.ndarray]]) -> np.ndarray:
     return leaves
 
 
-def tree_attributions(shaped: DataFrame, model: GBTClassificationModel, names: list[str], keys: list[str], features: str = "features") -> DataFrame:
-    """keys, feature, value, contribution for every row: Shapley values in log odds, one row for each feature.
-
-    They are exact for the game in which a feature that is left out sends a row down both branches, in proportion to the training rows that went there. A row's contributions
-    and the expected value (column expected: the mean of the roots) add up to its log odds.
-    """
+def tree_contributions(shaped: DataFrame, model: GBTClassificationModel, names: list[str], keys: list[str], features: str = "features") -> tuple[DataFrame, float]:
+    """keys, given and _x (arrays over the features: Shapley values in log odds, and values), one row for each row; and the expected value."""
     trees = node_table(shaped.sparkSession, model)
     paths = _Paths(trees)
     expected = float(sum(t["value"][0] for t in trees))
@@ -129,7 +125,16 @@ def tree_attributions(shaped: DataFrame, model: GBTClassificationModel, names: l
             yield pdf[keys].assign(given=list(paths.values(x, trees)), _x=list(x))
 
     kinds = ", ".join(f"{k} {shaped.schema[k].dataType.simpleString()}" for k in keys)
-    rows = shaped.select(*keys, vector_to_array(features).alias("_x")).mapInPandas(explain, f"{kinds}, given array<double>, _x array<double>")
+    return shaped.select(*keys, vector_to_array(features).alias("_x")).mapInPandas(explain, f"{kinds}, given array<double>, _x array<double>"), expected
+
+
+def tree_attributions(shaped: DataFrame, model: GBTClassificationModel, names: list[str], keys: list[str], features: str = "features") -> DataFrame:
+    """keys, feature, value, contribution for every row: Shapley values in log odds, one row for each feature.
+
+    They are exact for the game in which a feature that is left out sends a row down both branches, in proportion to the training rows that went there. A row's contributions
+    and the expected value (column expected: the mean of the roots) add up to its log odds.
+    """
+    rows, expected = tree_contributions(shaped, model, names, keys, features)
     parts = F.explode(F.arrays_zip(F.array(*[F.lit(n) for n in names]).alias("feature"), F.col("_x").alias("value"), F.col("given").alias("contribution")))
     return rows.select(*keys, parts.alias("a")).select(*keys, F.col("a.feature"), F.col("a.value"), F.col("a.contribution"), F.lit(expected).alias("expected"))
 
