@@ -59,9 +59,14 @@ def dedupe_keys(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return df.withColumn("_n", first).filter("_n = 1").drop("_n")
 
 
+def repair_panel(df: DataFrame) -> DataFrame:
+    """All repairs and the reporting lag, row by row."""
+    return reporting_lag(repair_age(mask_implausible(mask_rate(mask_days(df)))))
+
+
 def clean_panel(df: DataFrame, keys=("entity_id", "month_index"), order=("seq",)) -> DataFrame:
     """All repairs, the reporting lag, and one row for each key."""
-    return reporting_lag(repair_age(mask_implausible(mask_rate(mask_days(dedupe_keys(df, list(keys), list(order)))))))
+    return repair_panel(dedupe_keys(df, list(keys), list(order)))
 
 
 def repair_summary(df: DataFrame, flags=("dpd_repaired", "rate_repaired", "balance_repaired", "age_repaired")) -> DataFrame:

@@ -35,10 +35,10 @@ def running(value: Column, how=F.max) -> Column:
 
 
 def streak(df: DataFrame, flag: str, out: str) -> DataFrame:
-    """Rows since the flag was last set; a start without it counts from 0 too."""
-    island = F.sum(F.coalesce(F.col(flag), F.lit(0))).over(history().rowsBetween(Window.unboundedPreceding, 0))
-    rank = F.row_number().over(Window.partitionBy(ENTITY, "_island").orderBy(MONTH)) - 1
-    return df.withColumn("_island", island).withColumn(out, rank).drop("_island")
+    """Rows since the flag was last set; a start without it counts from 0 too. It needs no order but the history's."""
+    numbered = df.withColumn("_row", F.row_number().over(history()))
+    since = running(F.when(F.col(flag) != 0, F.col("_row")))
+    return numbered.withColumn(out, F.col("_row") - F.coalesce(since, F.lit(1))).drop("_row")
 
 
 def pct_change(column: str, k: int) -> Column:

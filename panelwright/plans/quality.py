@@ -25,7 +25,7 @@ def reconciled(t: Tables):
 
 
 def cleaned(t: Tables):
-    return clean.clean_panel(reconciled(t))
+    return clean.repair_panel(reconciled(t))  # which has a row a key
 
 
 def flagged(t: Tables):

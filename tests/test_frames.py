@@ -42,3 +42,18 @@ def test_the_modelled_frame_equals_its_parts_joined(spark):
 @pytest.mark.parametrize("name", ["ranked"])
 def test_ranked_records_are_written_once(spark, name):
     assert scans(getattr(decisions, name)(Tables(spark, DATA)), "l_orderkey") == 0
+
+
+def test_the_modelled_frame_is_deduplicated_and_sorted_once(spark):
+    plan = modelling.labelled(Tables(spark, DATA))._jdf.queryExecution().executedPlan().toString()
+    assert "_island" not in plan
+    # Partial and final, for the panel and for the feed.
+    assert len(re.findall(r"WindowGroupLimit ", plan)) == 4
+
+
+def test_streak_by_hand(spark):
+    late = [0, 0, None, 1, 0, 0, 1, 1, 0]
+    df = spark.createDataFrame([(1, m, x) for m, x in enumerate(late)] + [(2, 5, 1), (2, 7, 0), (3, 1, 0)], "entity_id int, month_index int, late int")
+    got = {(r.entity_id, r.month_index): r.s for r in X.streak(df, "late", "s").collect()}
+    assert [got[1, m] for m in range(9)] == [0, 1, 2, 0, 1, 2, 0, 0, 1] and (got[2, 5], got[2, 7], got[3, 1]) == (0, 1, 0)
+    assert X.streak(df, "late", "s").schema["s"].dataType.simpleString() == "int"
